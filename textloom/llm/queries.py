@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,9 +16,31 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"), "doc_id", "text", width=3, percent=90)
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.exact_dedup import mark_duplicates
+
+    return mark_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text", keep=["doc_id"])
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.bpe import decode, encode
+
+    coded = decode(encode(_table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return coded.select("doc_id", F.expr("cast(octet_length(ids) / 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op5_exact_dedup, op6_ngram_jaccard_join, op10_bpe)}
+
+
+ORACLE = {
+    "op5_exact_dedup": """
+        WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+        SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+               doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+        FROM d""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)

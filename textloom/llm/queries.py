@@ -22,6 +22,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text", keep=["doc_id"])
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.decontaminate import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.bpe import decode, encode
 
@@ -30,7 +36,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_exact_dedup, op6_ngram_jaccard_join, op10_bpe)}
+    return {f.__name__: f for f in (op5_exact_dedup, op6_ngram_jaccard_join, op9_decontaminate, op10_bpe)}
 
 
 ORACLE = {

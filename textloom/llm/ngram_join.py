@@ -11,7 +11,9 @@ set are one class. Two classes can only be similar if each owns few n-grams that
    list, which is enough to link most of a large set of near copies; the members are expanded and verified, and
    components built. Then all pairs of different components that share a prefix n-gram are expanded and
    verified. Pairs within one component need no verification, so a set of near copies isn't squared, and no
-   link between components is lost.
+   link between components is lost. Pairs are listed for n-grams of up to LIST classes, which bounds their number
+   by the input's. Classes that share n-grams of more are gathered in clusters, whose blocks are compared with one
+   another as matrices; of these only links that join components come out.
 
 Shuffles move n-gram hashes of a quarter of the space once, and of the left-over classes once; text never moves.
 """
@@ -30,6 +32,9 @@ from textloom.llm._bloom import build, filter_bits, maybe
 from textloom.llm._graph import components
 from textloom.llm._staging import stage
 
+#: The most classes of an n-gram for which pairs are listed; classes and n-grams of a block of a cluster.
+LIST, BLOCK_CLASSES, BLOCK_GRAMS = 64, 256, 1 << 18
+
 _SAMPLE = np.uint64(3)  # hashes whose two lowest bits are 0: a quarter
 
 
@@ -140,6 +145,66 @@ def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return stage(pairs.join(sets("a"), "a").join(sets("b"), "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(f, "a bigint, b bigint"), "links")
 
 
+def _matrix_links(x: pa.StructArray, y: pa.StructArray, percent: int) -> list[tuple[int, int]]:
+    """Links between the classes of two blocks, only such as join components that aren't joined yet."""
+    part = lambda v: (v.field(0).to_numpy(), v.field(1).to_numpy(), v.field(2).to_numpy(), [np.frombuffer(t, "<u8") for t in v.field(3).to_pylist()])
+    (cx, px, nx, tx), (cy, py, ny, ty) = part(x), part(y)
+    common = np.intersect1d(np.concatenate(tx), np.concatenate(ty))
+    same = np.zeros((len(cx), len(cy)), np.float32)
+    for k in range(0, len(common), 4096):
+        piece = common[k : k + 4096]
+        same += _incidence(tx, piece) @ _incidence(ty, piece).T
+    similar = 100 * same >= percent * (nx[:, None] + ny[None, :] - same) - 1e-3
+    up: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while up.get(c, c) != c:
+            c = up[c]
+        return c
+
+    out = []
+    for i, j in zip(*np.nonzero(similar & (px[:, None] != py[None, :])), strict=True):
+        a, b = find(int(px[i])), find(int(py[j]))
+        if a != b:
+            up[a] = b
+            out.append((int(cx[i]), int(cy[j])))
+    return out
+
+
+def _incidence(sets: list[np.ndarray], grams: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), len(grams)), np.float32)
+    for row, s in zip(out, sets, strict=True):
+        s = s[(s >= grams[0]) & (s <= grams[-1])]
+        at = np.searchsorted(grams, s)
+        row[at[grams[at] == s]] = 1
+    return out
+
+
+def _block_links(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join all components of (cluster, cid, comp, n, toks) that links between its classes join.
+
+    A cluster is cut by size of set, as only sets of near sizes can be similar, and by hash into blocks of bounded
+    size; each block meets the blocks of its own size and the next. A row holds a block, not a pair of classes.
+    """
+    members = members.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent if percent < 100 else 2.0))).cast("int"))
+    sizes = members.groupBy("cluster", "size").agg(F.expr(f"cast(ceil(greatest(count(*) / {BLOCK_CLASSES}, sum(n) / {BLOCK_GRAMS})) as int)").alias("blocks"))
+    blocks = members.join(sizes, ["cluster", "size"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    blocks = stage(blocks.groupBy("cluster", "size", "block").agg(F.collect_list(F.struct("cid", "comp", "n", "toks")).alias("rows")), "blocks")
+    left = blocks.select("cluster", F.explode(F.array("size", F.col("size") + 1)).alias("with"), "size", "block", "rows")
+    right = blocks.select("cluster", F.col("size").alias("with"), F.col("block").alias("block2"), F.col("rows").alias("rows2"))
+    met = left.join(right, ["cluster", "with"]).filter("size < with or block <= block2").select("rows", "rows2")
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x, y in zip(b.column(0), b.column(1), strict=True):
+                x, y = x.values, y.values
+                links = _matrix_links(x, y, percent)
+                if links:
+                    yield pa.RecordBatch.from_pydict({"a": [a for a, _ in links], "b": [c for _, c in links]})
+
+    return stage(met.mapInArrow(f, "a bigint, b bigint"), "links")
+
+
 def _possible(n1: str, n2: str, p1: str, p2: str, percent: int) -> Column:
     """Whether sizes, and positions of a shared n-gram, leave enough n-grams for the threshold."""
     most = f"(least({p1}, {p2}) + least({n1} - {p1}, {n2} - {p2}))"
@@ -177,12 +242,17 @@ def ngram_links(docs: DataFrame, id_column: str, text_column: str, width: int =
     labels = components(first)
 
     expanded = postings.join(classes.select("gid", "cid"), "gid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("h", "cid", F.coalesce("comp", "cid").alias("comp"), "n", "at")
-    mixed = expanded.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("h")
-    left = stage(expanded.join(mixed, "h", "left_semi"), "mixed")
+    lists = expanded.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("classes")).filter("x < y").select("h", "classes")
+    mixed = stage(expanded.join(lists, "h"), "mixed")
+    left = mixed.filter(F.col("classes") <= LIST).drop("classes")
     right = left.select("h", *(F.col(c).alias(f"{c}0") for c in ("cid", "comp", "n", "at")))
     across = left.join(right, "h").filter("comp0 < comp").filter(_possible("n0", "n", "at0", "at", percent)).select(F.col("cid0").alias("a"), F.col("cid").alias("b")).distinct()
     second = _verified(across, classes, percent)
-    return members, components(first.unionByName(second)) if not second.isEmpty() else labels
+    long = mixed.filter(F.col("classes") > LIST)
+    clusters = components(long.select(F.lag("cid").over(Window.partitionBy("h").orderBy("n", "cid")).alias("a"), F.col("cid").alias("b")).filter("a is not null"))
+    third = _block_links(long.select("cid", "comp").distinct().join(clusters.toDF("cid", "cluster"), "cid").join(classes.select("cid", "n", "toks"), "cid"), percent)
+    more = second.unionByName(third)
+    return members, components(first.unionByName(more)) if not more.isEmpty() else labels
 
 
 def ngram_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

@@ -16,6 +16,12 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"), "doc_id", "text", width=3, percent=90)
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.sharding import shard_by_bytes
+
+    return shard_by_bytes(_table(spark, sf_dir, "documents"), 40)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.exact_dedup import mark_duplicates
 
@@ -36,7 +42,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_exact_dedup, op6_ngram_jaccard_join, op9_decontaminate, op10_bpe)}
+    return {f.__name__: f for f in (op2_sharding, op5_exact_dedup, op6_ngram_jaccard_join, op9_decontaminate, op10_bpe)}
 
 
 ORACLE = {

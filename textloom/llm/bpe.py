@@ -15,13 +15,14 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.llm._arrays import blocks, hash_spans
 from textloom.llm._codepoints import bpe_words, code_points
@@ -30,6 +31,7 @@ from textloom.llm._codepoints import bpe_words, code_points
 SAMPLE_ROWS = 32_768
 TABLE_WORDS = 1 << 19
 _BLOCK = 400_000
+_ROWS = 500  # rows that are put together at once
 _RARE = -1  # codes: a word of the table, a word that isn't in it, or -2 - id for a special token
 
 
@@ -50,10 +52,9 @@ class Vocabulary:
     """A byte-level BPE vocabulary file of the tokenizers library."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        text = open(path, encoding="utf-8").read()
-        spec = json.loads(text)
+        with open(path, encoding="utf-8") as f:
+            self._text = f.read()
+        spec = json.loads(self._text)
         if spec["model"]["type"] != "BPE" or spec["normalizer"] or (spec["pre_tokenizer"] or {}).get("type") != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space") or not spec["pre_tokenizer"].get("use_regex", True):
             raise ValueError("only byte-level BPE vocabularies without a normalizer or a prefix space are known here")
         added = spec["added_tokens"]
@@ -61,7 +62,6 @@ class Vocabulary:
             raise ValueError("special tokens that take white space or words with them aren't known here")
         self.special = {t["content"]: t["id"] for t in added}
         self.pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if added else None
-        self._model = Tokenizer.from_str(text).model
         self._to = _byte_characters()
         back = {c: bytes([b]) for b, c in enumerate(self._to)}
         by_id = {i: b"".join(back[c] for c in piece) for piece, i in spec["model"]["vocab"].items()}
@@ -71,6 +71,12 @@ class Vocabulary:
         self.piece_starts = np.cumsum(self.piece_lengths) - self.piece_lengths
         self.piece_bytes = np.frombuffer(b"".join(pieces), np.uint8)
 
+    @cached_property
+    def _model(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self._text).model
+
     def encode_word(self, word: str) -> np.ndarray:
         return np.array([t.id for t in self._model.tokenize("".join([self._to[b] for b in word.encode()]))], "<u4")
 
@@ -113,15 +119,15 @@ def _split(texts: pa.Array, vocab: Vocabulary) -> Iterator[tuple]:
 class WordTable:
     """Encoded words, found by hash; frequent words have the smaller codes."""
 
-    def __init__(self, words: list[str], ids: list[bytes]):
-        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        ends = np.cumsum([*map(len, words)], dtype=np.int64)
-        hashes = hash_spans(points, ends - np.array([*map(len, words)], np.int64), ends)
-        self.codes = np.argsort(hashes).astype(np.int32)
-        self.hashes = hashes[self.codes]
-        self.lengths = np.array([len(b) // 4 for b in ids], np.int32)
+    def __init__(self, words: pa.Array, ids: pa.Array):
+        hashes = [hash_spans(points, at[:-1], at[1:]) for _, data, offsets in blocks(words) for _, points, at in [code_points(data, offsets)]]
+        every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        self.codes = np.argsort(every).astype(np.int32)
+        self.hashes = every[self.codes]
+        packed = ids.to_pylist()
+        self.lengths = np.array([len(b) // 4 for b in packed], np.int32)
         self.starts = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
-        self.ids = np.frombuffer(b"".join(ids), "<u4")
+        self.ids = np.frombuffer(b"".join(packed), "<u4")
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -134,16 +140,28 @@ class WordTable:
 
 
 def _pack(codes: np.ndarray) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    """Codes as varints of 7 bits a byte: 0 for a rare word, even numbers for the table's, odd ones for special tokens."""
+    c = codes.astype(np.int64)
+    v = np.where(c >= 0, 2 * c + 2, np.where(c == _RARE, 0, 2 * (-2 - c) + 1))
+    bytes_of = 1 + (v >= 1 << 7).astype(np.int64) + (v >= 1 << 14) + (v >= 1 << 21) + (v >= 1 << 28)
+    ends = np.cumsum(bytes_of)
+    out = np.zeros(ends[-1] if len(ends) else 0, np.uint8)
+    for k in range(5):
+        more = bytes_of > k
+        out[(ends - bytes_of + k)[more]] = ((v[more] >> (7 * k)) & 127) | ((bytes_of[more] > k + 1) << 7)
+    return out.tobytes()
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    import zstandard
-
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+    b = np.frombuffer(data, np.uint8).astype(np.int64)
+    ends = np.flatnonzero(b < 128)
+    starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
+    v = np.zeros(len(ends), np.int64)
+    for k in range(5):
+        at = starts + k
+        more = at <= ends
+        v[more] |= (b[at[more]] & 127) << (7 * k)
+    return np.where(v == 0, _RARE, np.where(v % 2 == 0, v // 2 - 1, -2 - v // 2))
 
 
 def _sample_words(docs: DataFrame, path: str) -> DataFrame:
@@ -200,20 +218,26 @@ def _word_table(docs: DataFrame, path: str, most: int) -> WordTable:
         if total > most:
             break
         least = 1 << size
-    rows = _encode_words(words.filter(F.col("n") >= least), path).toPandas().sort_values(["n", "word"], ascending=[False, True])
-    return WordTable(rows["word"].tolist(), [bytes(b) for b in rows["ids"]])
+    rows = _encode_words(words.filter(F.col("n") >= least), path).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    return WordTable(rows["word"], rows["ids"])
 
 
-def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str | None = None, table_words: int = TABLE_WORDS) -> DataFrame:
+def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str | None = None, table_words: int = TABLE_WORDS, decoded: str | None = None) -> DataFrame:
     """A row for each row of docs: the id and `ids`, the token ids as little-endian unsigned 32-bit integers.
 
+    With `decoded`, a column of that name has the ids' text as well, as from decode().
+
     Ids are those of the tokenizers library's encode with add_special_tokens=False: special tokens that a text
     holds are found in it. Null and empty texts have no ids (empty bytes). Null, tied and repeated ids and
     repeated rows are encoded like others; other columns aren't carried; an empty table gives an empty result.
     """
     path = tokenizer or default_path()
     text = F.coalesce(F.col(text_column), F.lit(""))
-    docs = docs.select(F.col(id_column).alias("id"), text.alias("text"), F.xxhash64(id_column, text).alias("k1"), F.crc32(text).alias("k2"))
+    # rows find their rare words again by id and text hash: 44 bits of it beside an integer id, else all of it
+    whole = isinstance(docs.schema[id_column].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
+    k1 = F.coalesce(F.col(id_column).cast("long"), F.lit(-1)) if whole else F.xxhash64(id_column)
+    k2 = F.when(F.col(id_column).isNotNull() & F.lit(whole), F.shiftrightunsigned(F.xxhash64(text), 20)).otherwise(F.xxhash64(text))
+    docs = docs.select(F.col(id_column).alias("id"), text.alias("text"), k1.alias("k1"), k2.alias("k2"))
     table: Broadcast[WordTable] = docs.sparkSession.sparkContext.broadcast(_word_table(docs, path, table_words))
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -246,31 +270,43 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     base = docs.select("k1", "k2", "id", "text").mapInArrow(coded, f"k1 bigint, k2 bigint, id {kind}, codes binary")
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = table.value
-        for b in batches:
-            out = []
-            for data, extra in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                c = _unpack(data)
-                known = c >= 0
-                lengths, own = np.where(known, t.lengths[np.where(known, c, 0)] if len(t.lengths) else 0, 0).astype(np.int64), {}
-                for at in np.flatnonzero(c < _RARE).tolist():
-                    own[at] = np.array([-2 - c[at]], "<u4")
-                for e in extra or ():
-                    own[e["at"]] = np.frombuffer(e["ids"], "<u4")
-                for at, ids in own.items():
-                    lengths[at] = len(ids)
-                ends = np.cumsum(lengths)
-                starts = np.where(known, t.starts[np.where(known, c, 0)] if len(t.starts) else 0, 0)
-                # a word that isn't in the table reads some ids of it, which its own then overwrite
-                span = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
-                got = t.ids[np.minimum(span, len(t.ids) - 1)] if len(t.ids) else np.zeros(len(span), "<u4")
-                got = got.copy()
-                for at, ids in own.items():
-                    got[ends[at] - len(ids) : ends[at]] = ids
-                out.append(got.astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], [id_column, "ids"])
-
-    return base.join(joined, ["k1", "k2"], "left").select("id", "codes", "rare").mapInArrow(filled, f"`{id_column}` {kind}, ids binary")
+        for whole_batch in batches:
+            for b in (whole_batch.slice(k, _ROWS) for k in range(0, whole_batch.num_rows, _ROWS)):
+                ids = [_join(table.value, codes, extra or ()) for codes, extra in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+                columns = [b.column(0), pa.array([x.tobytes() for x in ids], pa.binary())]
+                if decoded:
+                    columns.append(pa.array([_text_of(vocabulary(path), x) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, [id_column, "ids", *[decoded] * bool(decoded)])
+
+    schema = f"`{id_column}` {kind}, ids binary" + (f", `{decoded}` string" if decoded else "")
+    return base.join(joined, ["k1", "k2"], "left").select("id", "codes", "rare").mapInArrow(filled, schema)
+
+
+def _join(table: WordTable, codes: bytes, rare) -> np.ndarray:
+    """A document's ids from its codes, with those of its rare words put in at their positions."""
+    c = _unpack(codes)
+    known, own = c >= 0, {}
+    for at in np.flatnonzero(c < _RARE).tolist():
+        own[at] = np.array([-2 - c[at]], "<u4")
+    for e in rare:
+        own[e["at"]] = np.frombuffer(e["ids"], "<u4")
+    lengths, starts = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
+    lengths[known], starts[known] = table.lengths[c[known]], table.starts[c[known]]
+    for at, ids in own.items():
+        lengths[at] = len(ids)
+    ends = np.cumsum(lengths)
+    out = np.zeros(ends[-1] if len(ends) else 0, "<u4")
+    given = np.repeat(known, lengths)
+    out[given] = _gather(table.ids, starts[known], lengths[known])
+    for at, ids in own.items():
+        out[ends[at] - len(ids) : ends[at]] = ids
+    return out
+
+
+def _text_of(vocab: Vocabulary, ids: np.ndarray) -> str:
+    """The text of ids: each joins its piece, ids outside the vocabulary none."""
+    ids = ids[ids < len(vocab.piece_lengths)]
+    return _gather(vocab.piece_bytes, vocab.piece_starts[ids], vocab.piece_lengths[ids]).tobytes().decode("utf-8", "replace")
 
 
 def decode(encoded: DataFrame, ids_column: str = "ids", name: str = "decoded", tokenizer: str | None = None) -> DataFrame:
@@ -284,11 +320,6 @@ def decode(encoded: DataFrame, ids_column: str = "ids", name: str = "decoded", t
     def pieces(packed):
         import pandas as pd
 
-        vocab, out = vocabulary(path), []
-        for p in packed:
-            ids = np.frombuffer(p or b"", "<u4")
-            ids = ids[ids < len(vocab.piece_lengths)]
-            out.append(_gather(vocab.piece_bytes, vocab.piece_starts[ids], vocab.piece_lengths[ids]).tobytes().decode("utf-8", "replace"))
-        return pd.Series(out, dtype=object)
+        return pd.Series([_text_of(vocabulary(path), np.frombuffer(p or b"", "<u4")) for p in packed], dtype=object)
 
     return encoded.withColumn(name, pieces(F.col(ids_column)))

@@ -35,9 +35,9 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from textloom.llm.bpe import decode, encode
+    from textloom.llm.bpe import encode
 
-    coded = decode(encode(_table(spark, sf_dir, "documents"), "doc_id", "text"))
+    coded = encode(_table(spark, sf_dir, "documents"), "doc_id", "text", decoded="decoded")
     return coded.select("doc_id", F.expr("cast(octet_length(ids) / 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -28,9 +28,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm._arrays import mix, shingle_sets
-from textloom.llm._bloom import build, filter_bits, maybe
+from textloom.llm._bloom import build, filter_bits, flagged, maybe
 from textloom.llm._graph import components
-from textloom.llm._staging import stage
+from textloom.llm._staging import fresh, stage
 
 #: The most classes of an n-gram for which pairs are listed; classes and n-grams of a block of a cluster.
 LIST, BLOCK_CLASSES, BLOCK_GRAMS = 64, 256, 1 << 18
@@ -266,3 +266,28 @@ def ngram_components(docs: DataFrame, id_column: str = "doc_id", text_column: st
     least = labelled.filter("n > 0").groupBy("comp").agg(F.min("id").alias("low"), F.count("*").alias("rows"))
     several = least.filter("rows > 1").select("comp", "low")
     return labelled.join(several, "comp", "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("low", "id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, without those that have a near copy of a lesser id in their component.
+
+    Of each component of linked texts one row stays: that with the least id, nulls last; of rows that tie, any one.
+    Texts without words link with nothing, so all rows that have none stay.
+    """
+    members, labels = ngram_links(docs, id_column, text_column, width, percent)
+    labelled = members.filter("n > 0").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("id", "cid", "th", F.coalesce("comp", "cid").alias("comp"))
+    several = labelled.groupBy("comp").agg(F.count("*").alias("rows"), F.min(F.struct(F.col("id").isNull(), F.col("id"), "th")).alias("stay")).filter("rows > 1")
+    # what goes is told by id and text hash; the row that stays is kept from going, and of its repetitions one stays
+    going = labelled.join(several.select("comp", "stay"), "comp").select("id", "th", F.col("stay.id").alias("stay_id"), F.col("stay.th").alias("stay_th"))
+    same = going["id"].eqNullSafe(going["stay_id"]) & (going["th"] == going["stay_th"])
+    marked = stage(going.select(F.xxhash64("id", "th").alias("tl_key"), same.alias("tl_stays")).groupBy("tl_key").agg(F.max("tl_stays").alias("tl_stays"), F.count("*").alias("tl_rows")), "going")
+    gone = stage(marked.filter("not tl_stays or tl_rows > 1").select("tl_key"), "gone")
+    wanted = docs.sparkSession.sparkContext.broadcast(build(gone, filter_bits(gone.count()), 1))
+    key = fresh(docs, "tl_key")
+    keyed = flagged(docs.withColumn(key, F.xxhash64(id_column, F.xxhash64(text_column))), key, fresh(docs, "tl_maybe"), wanted)
+    maybe_gone = fresh(docs, "tl_maybe")
+    sure = keyed.filter(~F.col(maybe_gone)).select(*docs.columns)
+    asked = keyed.filter(F.col(maybe_gone)).join(marked.withColumnRenamed("tl_key", key), key, "left")
+    stays = asked.filter("tl_stays is null or (tl_stays and tl_rows = 1)").select(*docs.columns)
+    repeated = asked.filter("tl_stays and tl_rows > 1").dropDuplicates([key]).select(*docs.columns)
+    return sure.unionByName(stays).unionByName(repeated)

@@ -1,13 +1,69 @@
-"""The corpus pipeline: stages over documents, each written and read again before the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again before the next.
+
+1. Language ID drops documents whose language it rejects: texts without letters, and such that no language takes
+   at least half of the probability.
+2. Exact dedup keeps one document of each group of equal texts.
+3. The n-gram Jaccard join keeps one document of each group of near copies: five words, similarity 0.8.
+4. Benchmark decontamination drops documents that hold a passage of a test item.
+5. BPE encoding gives each document its token ids and, decoded from them, its text.
+
+All but the last return the columns of documents. Null ids, repeated ids and repeated rows go through every stage as
+rows; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.llm._staging import stage
+from textloom.llm.bpe import encode
+from textloom.llm.decontaminate import remove_leaks
+from textloom.llm.exact_dedup import mark_duplicates
+from textloom.llm.language_id import predict, train
+from textloom.llm.ngram_join import drop_near_copies
+
+#: The least share of probability for a language.
+LEAST_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language: learned from those with a label, applied to all."""
+    marked = predict(docs, train(docs, "text", "lang"))
+    pred, score = marked.columns[-2:]
+    return marked.filter((F.col(pred) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, A-Z in lower case, the document with the largest id."""
+    marked = mark_duplicates(docs, "doc_id", "text")
+    return marked.filter(F.col(marked.columns[-2])).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the least id."""
+    return drop_near_copies(docs, "doc_id", "text", width=5, percent=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of a benchmark item."""
+    return remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded): ids as little-endian unsigned 32-bit integers, decoded their text."""
+    coded = encode(docs, "doc_id", "text", decoded="decoded")
+    return coded.select("doc_id", F.expr("cast(octet_length(ids) / 4 as bigint)").alias("n_tokens"), "ids", "decoded")
+
+
+STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("tokenize", tokenize)]
 
-STAGES: list = []
+#: SQL can't express the language model, the similarity join at its size, or the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, f in STAGES[:-1]:
+        docs = stage(f(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

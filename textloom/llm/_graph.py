@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._staging import stage
+from textloom.llm._staging import small, stage
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,10 +18,11 @@ def components(links: DataFrame) -> DataFrame:
     rounds: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up"))
-        hook = stage(hook, "hooks")
-        jump = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        hook = stage(hook.join(jump, "up", "left").select("node", F.coalesce("top", "up").alias("up")), "hooks")
+        hook = small(stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up")), "hooks"))
+        jumped = hook
+        for _ in range(3):
+            jumped = jumped.join(hook.toDF("up", "top"), "up", "left").select("node", F.coalesce("top", "up").alias("up"))
+        hook = small(stage(jumped, "hooks"))
         rounds.append(hook)
         for side in ("a", "b"):
             edges = edges.join(hook.withColumnRenamed("node", side), side, "left").withColumn(side, F.coalesce("up", side)).drop("up")
@@ -32,3 +33,14 @@ def components(links: DataFrame) -> DataFrame:
     for hook in rounds[1:]:
         labels = labels.join(hook.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
     return stage(labels, "components")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (node, comp) of components that more links join, nodes that have no label yet included."""
+    known = small(labels)
+    for side in ("a", "b"):
+        links = links.join(known.toDF(side, "comp"), side, "left").withColumn(side, F.coalesce("comp", side)).drop("comp")
+    joined = small(components(links))
+    old = labels.join(joined.toDF("comp", "top"), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    new = joined.join(known.select(F.col("comp").alias("node")).distinct(), "node", "left_anti")
+    return stage(old.unionByName(new.select("node", "comp")), "components")

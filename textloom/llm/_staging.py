@@ -26,6 +26,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The most rows of a narrow table that are broadcast; counted before, and joined by a shuffle beyond it.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A staged table of a few numbers a row, marked for broadcast if its rows are counted to be within the bound."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def clear_staging(spark: SparkSession) -> None:
     """Remove every table that this application staged; call it when no result that reads them is needed any more."""
     jvm = spark.sparkContext._jvm

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from textloom.llm._arrays import mix, shingle_sets
 from textloom.llm._bloom import build, filter_bits, flagged, maybe
-from textloom.llm._graph import components
-from textloom.llm._staging import fresh, stage
+from textloom.llm._graph import components, merged
+from textloom.llm._staging import fresh, small, stage
 
 #: The most classes of an n-gram for which pairs are listed; classes and n-grams of a block of a cluster.
 LIST, BLOCK_CLASSES, BLOCK_GRAMS = 64, 256, 1 << 18
@@ -235,24 +235,25 @@ def ngram_links(docs: DataFrame, id_column: str, text_column: str, width: int =
 
     in_list, in_group = Window.partitionBy("h").orderBy("n", "gid"), Window.partitionBy("gid").orderBy("cid")
     near = postings.select("gid", "n", "at", *(F.lag(c).over(in_list).alias(f"{c}0") for c in ("gid", "n", "at"))).filter("gid0 is not null").filter(_possible("n0", "n", "at0", "at", percent))
-    one = groups.select("gid", F.col("one.cid").alias("cid"))
+    one = small(stage(groups.select("gid", F.col("one.cid").alias("cid")), "groups"))
     near = near.select("gid0", "gid").distinct().join(one.toDF("gid0", "a"), "gid0").join(one.toDF("gid", "b"), "gid").select("a", "b")
     inside = classes.select(F.lag("cid").over(in_group).alias("a"), F.col("cid").alias("b")).filter("a is not null")
     first = _verified(near.unionByName(inside), classes, percent)
     labels = components(first)
 
-    expanded = postings.join(classes.select("gid", "cid"), "gid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("h", "cid", F.coalesce("comp", "cid").alias("comp"), "n", "at")
-    lists = expanded.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("classes")).filter("x < y").select("h", "classes")
+    placed = stage(classes.select("gid", "cid").join(small(labels).withColumnRenamed("node", "cid"), "cid", "left"), "placed")
+    expanded = postings.join(small(placed), "gid").select("h", "cid", F.coalesce("comp", "cid").alias("comp"), "n", "at")
+    lists = expanded.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("classes"), F.min("cid").alias("lead")).filter("x < y").select("h", "classes", "lead")
     mixed = stage(expanded.join(lists, "h"), "mixed")
-    left = mixed.filter(F.col("classes") <= LIST).drop("classes")
+    left = mixed.filter(F.col("classes") <= LIST).drop("classes", "lead")
     right = left.select("h", *(F.col(c).alias(f"{c}0") for c in ("cid", "comp", "n", "at")))
     across = left.join(right, "h").filter("comp0 < comp").filter(_possible("n0", "n", "at0", "at", percent)).select(F.col("cid0").alias("a"), F.col("cid").alias("b")).distinct()
     second = _verified(across, classes, percent)
     long = mixed.filter(F.col("classes") > LIST)
-    clusters = components(long.select(F.lag("cid").over(Window.partitionBy("h").orderBy("n", "cid")).alias("a"), F.col("cid").alias("b")).filter("a is not null"))
-    third = _block_links(long.select("cid", "comp").distinct().join(clusters.toDF("cid", "cluster"), "cid").join(classes.select("cid", "n", "toks"), "cid"), percent)
+    clusters = components(long.select("lead", "cid"))
+    third = _block_links(long.select("cid", "comp").distinct().join(small(clusters).toDF("cid", "cluster"), "cid").join(classes.select("cid", "n", "toks"), "cid"), percent)
     more = second.unionByName(third)
-    return members, components(first.unionByName(more)) if not more.isEmpty() else labels
+    return members, merged(labels, more) if not more.isEmpty() else labels
 
 
 def ngram_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

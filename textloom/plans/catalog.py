@@ -1,11 +1,208 @@
-"""Registered queries over the driver's tables, each with the SQL that says what it returns."""
+"""Registered queries over the driver's tables, each with the DuckDB SQL that says what it returns."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from textloom.functions.filetypes import DEFAULT_TYPES, Types
+from textloom.functions.matching import Match
+from textloom.operators import lines as L
+from textloom.operators import paths as P
+from textloom.operators import sinks as S
+
+_LINES = """lines AS (
+    SELECT doc_id, line_no, line, CAST(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS BIGINT) AS line_no, len(string_split(text, chr(10))) AS n FROM {table})
+    WHERE NOT (line = '' AND line_no = n))"""
+
+
+def _with(select: str, table: str = "documents") -> str:
+    return f"WITH {_LINES.format(table=table)} {select}"
+
+
+def _docs(spark: SparkSession, sf_dir: str, table: str = "documents", key: str = "doc_id", text: str = "text") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key), F.col(text).alias("text"))
+
+
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _search(name: str, match: Match, condition: str) -> None:
+    """A search of documents for lines that meet the condition."""
+    _Q[name] = lambda spark, sf: L.search_lines(_docs(spark, sf), match)
+    _SQL[name] = _with(f"SELECT doc_id, line_no, byte_offset, line FROM lines WHERE {condition}")
+
+
+_search("search_literal", Match(("the",)), "contains(line, 'the')")
+_search("search_regex", Match((r"[a-z]+tion\b.*\.$",)), r"regexp_matches(line, '[a-z]+tion\b.*\.$')")
+_search("search_ignore_case_unicode", Match(("é",), case="ignore"), "regexp_matches(line, '(?i)é')")
+_search("search_smart_case", Match(("que",), case="smart"), "regexp_matches(line, '(?i)que')")
+_search("search_smart_case_upper", Match(("Que",), case="smart"), "contains(line, 'Que')")
+_search("search_fixed_metachars", Match((".",), fixed=True), "contains(line, '.')")
+_search("search_multi_pattern", Match(("ción", "heit", "tion$")), "regexp_matches(line, '(?:ción)|(?:heit)|(?:tion$)')")
+_search("search_word", Match(("the",), word=True), r"regexp_matches(line, '(^|[^\pL\p{Nd}_])the([^\pL\p{Nd}_]|$)')")
+_search("search_line_regexp", Match((r"[A-ZÑÉÜÖÄ].*\.",), line=True), r"regexp_full_match(line, '[A-ZÑÉÜÖÄ].*\.')")
+_search("search_invert", Match(("e",), invert=True), "NOT contains(line, 'e')")
+_search("search_unicode_class", Match((r"\p{Greek}|\p{Lu}{3,}",)), r"regexp_matches(line, '\p{Greek}|\p{Lu}{3,}')")
+_search("search_empty_pattern", Match(("",)), "true")
+_search("search_no_literal", Match((r"\w{5}\s+\w{5}\s+\w{5}",)), r"regexp_matches(line, '\w{5}\s+\w{5}\s+\w{5}')")
+
+_THE = Match(("the",))
+_EN = Match((r"\bth\w+",), case="ignore")
+_RX = r"(?i)\bth\w+"
+
+_Q["lines_numbered"] = lambda spark, sf: L.number_lines(_docs(spark, sf))
+_SQL["lines_numbered"] = _with("SELECT doc_id, line_no, byte_offset, line FROM lines")
+
+_Q["count_lines"] = lambda spark, sf: L.count_lines(_docs(spark, sf), _THE)
+_SQL["count_lines"] = _with("SELECT doc_id, count(*) AS matches FROM lines WHERE contains(line, 'the') GROUP BY doc_id")
+_Q["count_include_zero"] = lambda spark, sf: L.count_lines(_docs(spark, sf), _THE, include_zero=True)
+_SQL["count_include_zero"] = _with("SELECT d.doc_id, count(l.line) AS matches FROM documents d LEFT JOIN lines l ON d.doc_id = l.doc_id AND contains(l.line, 'the') GROUP BY d.doc_id")
+_Q["count_matches"] = lambda spark, sf: L.count_lines(_docs(spark, sf), _EN, occurrences=True)
+_SQL["count_matches"] = _with(rf"SELECT doc_id, CAST(sum(len(regexp_extract_all(line, '{_RX}'))) AS BIGINT) AS matches FROM lines WHERE regexp_matches(line, '{_RX}') GROUP BY doc_id")
+_Q["files_with_matches"] = lambda spark, sf: L.texts_with_match(_docs(spark, sf), _EN)
+_SQL["files_with_matches"] = _with(f"SELECT DISTINCT doc_id FROM lines WHERE regexp_matches(line, '{_RX}')")
+_Q["files_without_match"] = lambda spark, sf: L.texts_with_match(_docs(spark, sf), _EN, without=True)
+_SQL["files_without_match"] = _with(f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM lines WHERE regexp_matches(line, '{_RX}'))")
+_Q["quiet_any"] = lambda spark, sf: L.texts_with_match(_docs(spark, sf), _THE).limit(1).agg((F.count("*") > 0).alias("found"), F.when(F.count("*") > 0, 0).otherwise(1).alias("exit_code"))
+_SQL["quiet_any"] = _with("SELECT count(*) > 0 AS found, CASE WHEN count(*) > 0 THEN 0 ELSE 1 END AS exit_code FROM lines WHERE contains(line, 'the')")
+_Q["max_count_2"] = lambda spark, sf: L.search_events(_docs(spark, sf), _THE, max_count=2).select("doc_id", "line_no", "byte_offset", "line")
+_SQL["max_count_2"] = _with("SELECT doc_id, line_no, byte_offset, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM lines WHERE contains(line, 'the')) WHERE k <= 2")
+_Q["column_first"] = lambda spark, sf: L.search_lines(_docs(spark, sf), Match(("ción",)), column=True)
+_SQL["column_first"] = _with("SELECT doc_id, line_no, byte_offset, line, CAST(strlen(left(line, strpos(line, 'ción') - 1)) + 1 AS INTEGER) AS \"column\" FROM lines WHERE contains(line, 'ción')")
+
+_PIECES = rf"""pieces AS (
+    SELECT l.doc_id, l.line_no, l.byte_offset AS line_offset, l.line, i AS occ, regexp_extract_all(l.line, '{_RX}') AS ms, string_split(regexp_replace(l.line, '{_RX}', chr(1), 'g'), chr(1)) AS gaps
+    FROM lines l, unnest(generate_series(1, len(regexp_extract_all(l.line, '{_RX}')))) AS u(i) WHERE regexp_matches(l.line, '{_RX}')),
+spans AS (SELECT doc_id, line_no, line_offset, line, CAST(occ AS INTEGER) AS occ, ms[occ] AS text,
+    CAST(list_sum(list_transform(gaps[1:occ], lambda x: strlen(x))) + coalesce(list_sum(list_transform(ms[1:occ - 1], lambda x: strlen(x))), 0) AS INTEGER) AS s FROM pieces)"""
+_Q["only_matching"] = lambda spark, sf: L.search_spans(_docs(spark, sf), _EN).select("doc_id", "line_no", "occ", "s", "e", "text", "column", "byte_offset")
+_SQL["only_matching"] = _with("SELECT doc_id, line_no, occ, s, CAST(s + strlen(text) AS INTEGER) AS e, text, s + 1 AS \"column\", line_offset + s AS byte_offset FROM spans").replace(" SELECT doc_id, line_no, occ", f", {_PIECES} SELECT doc_id, line_no, occ", 1)
+_Q["vimgrep"] = lambda spark, sf: L.search_spans(_docs(spark, sf), _EN).select("doc_id", F.concat_ws(":", F.col("doc_id"), F.col("line_no"), F.col("column"), F.col("line")).alias("row"))
+_SQL["vimgrep"] = _with("SELECT doc_id, concat_ws(':', doc_id, line_no, s + 1, line) AS row FROM spans").replace(" SELECT doc_id, concat_ws", f", {_PIECES} SELECT doc_id, concat_ws", 1)
+
+_NEAR = """m AS (SELECT *, contains(line, 'ther') AS hit FROM lines),
+near AS (SELECT *, last_value(CASE WHEN hit THEN line_no END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev,
+    first_value(CASE WHEN hit THEN line_no END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM m),
+ev AS (SELECT doc_id, line_no, byte_offset, line, CASE WHEN hit THEN 'match' ELSE 'context' END AS kind, NOT hit AND coalesce(line_no - prev <= 2, false) AS "after"
+    FROM near WHERE hit OR line_no - prev <= 2 OR next - line_no <= 1)"""
+_Q["context_before_after"] = lambda spark, sf: L.search_events(_docs(spark, sf), Match(("ther",)), before=1, after=2).drop("group_id")
+_SQL["context_before_after"] = _with("SELECT * FROM ev").replace(" SELECT * FROM ev", f", {_NEAR} SELECT * FROM ev")
+_Q["context_gap_groups"] = lambda spark, sf: L.search_events(_docs(spark, sf), Match(("ther",)), before=1, after=2).groupBy("doc_id", "group_id").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.sum((F.col("kind") == "match").cast("long")).alias("matches"))
+_SQL["context_gap_groups"] = _with("SELECT doc_id, group_id, min(line_no) AS first_line, max(line_no) AS last_line, count(*) FILTER (kind = 'match') AS matches FROM (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS group_id FROM ev) GROUP BY ALL").replace(" SELECT doc_id, group_id", f", {_NEAR} SELECT doc_id, group_id", 1)
+_Q["passthru"] = lambda spark, sf: L.search_events(_docs(spark, sf), _THE, passthru=True).select("doc_id", "line_no", "byte_offset", "line", "kind")
+_SQL["passthru"] = _with("SELECT doc_id, line_no, byte_offset, line, CASE WHEN contains(line, 'the') THEN 'match' ELSE 'context' END AS kind FROM lines")
+_Q["match_nested_context"] = lambda spark, sf: L.nested_context(_docs(spark, sf), Match(("ther",)), before=1, after=2).select("doc_id", "line_no", "byte_offset", "line", "column", F.array_join("before_lines", "|").alias("before_lines"), F.array_join("after_lines", "|").alias("after_lines"))
+_SQL["match_nested_context"] = _with("""SELECT x.doc_id, x.line_no, x.byte_offset, x.line, CAST(strlen(left(x.line, strpos(x.line, 'ther') - 1)) + 1 AS INTEGER) AS "column",
+    coalesce(string_agg(e.line, '|' ORDER BY e.line_no) FILTER (e.line_no < x.line_no), '') AS before_lines, coalesce(string_agg(e.line, '|' ORDER BY e.line_no) FILTER (e.line_no > x.line_no), '') AS after_lines
+    FROM ev x LEFT JOIN near e ON NOT e.hit AND e.doc_id = x.doc_id AND ((coalesce(e.line_no - e.prev <= 2, false) AND e.prev = x.line_no) OR (NOT coalesce(e.line_no - e.prev <= 2, false) AND e.next - e.line_no <= 1 AND e.next = x.line_no))
+    WHERE x.kind = 'match' GROUP BY ALL""").replace(" SELECT x.doc_id", f", {_NEAR} SELECT x.doc_id", 1)
+_Q["max_columns"] = lambda spark, sf: L.search_lines(_docs(spark, sf), _THE).select("doc_id", "line_no", S.limited(F.col("line"), 200).alias("text"))
+_SQL["max_columns"] = _with("SELECT doc_id, line_no, CASE WHEN strlen(line) + 1 > 200 THEN '[Omitted long matching line]' ELSE line END AS text FROM lines WHERE contains(line, 'the')")
+_Q["trim"] = lambda spark, sf: L.search_lines(_docs(spark, sf).withColumn("text", F.regexp_replace("text", "\n", "\n \t")), _THE).select("doc_id", "line_no", S.trimmed(F.col("line")).alias("text"))
+_SQL["trim"] = _with("SELECT doc_id, line_no, ltrim(line, ' ' || chr(9)) AS text FROM lines WHERE contains(line, 'the')", "(SELECT doc_id, replace(text, chr(10), chr(10) || ' ' || chr(9)) AS text FROM documents)")
+_Q["standard_format"] = lambda spark, sf: S.standard(L.search_events(_docs(spark, sf), Match(("ther",)), before=1, after=2), F.col("doc_id"), offset=F.col("byte_offset")).select("row")
+_SQL["standard_format"] = _with("SELECT concat(doc_id, p, line_no, p, byte_offset, p, line) AS row FROM (SELECT *, CASE WHEN kind = 'match' THEN ':' ELSE '-' END AS p FROM ev)").replace(" SELECT concat", f", {_NEAR} SELECT concat", 1)
+_Q["json_events"] = lambda spark, sf: S.json_events(L.search_events(_docs(spark, sf), _EN), _EN, F.col("doc_id"))
+_Q["run_stats"] = lambda spark, sf: L.run_stats(_docs(spark, sf), _EN)
+_SQL["run_stats"] = _with(f"SELECT CAST(sum(len(regexp_extract_all(line, '{_RX}'))) AS BIGINT) AS matches, count(*) FILTER (regexp_matches(line, '{_RX}')) AS matched_lines, count(DISTINCT doc_id) FILTER (regexp_matches(line, '{_RX}')) AS texts_with_match, (SELECT count(*) FROM documents) AS texts_searched, (SELECT CAST(sum(strlen(text)) AS BIGINT) FROM documents) AS bytes_searched FROM lines")
+_Q["crlf_anchor"] = lambda spark, sf: L.search_lines(_docs(spark, sf).withColumn("text", F.regexp_replace("text", "\n", "\r\n")), Match((r"s\.$",), crlf=True))
+_SQL["crlf_anchor"] = _with(r"SELECT doc_id, line_no, byte_offset, line FROM lines WHERE regexp_matches(regexp_replace(line, '\r$', ''), 's\.$')", "(SELECT doc_id, replace(text, chr(10), chr(13) || chr(10)) AS text FROM documents)")
+_Q["null_records"] = lambda spark, sf: L.search_lines(_docs(spark, sf).withColumn("text", F.replace("text", F.lit("."), F.lit("\0"))), Match(("^The",), null_data=True)).select("doc_id", "line_no", "line")
+_SQL["null_records"] = "SELECT doc_id, line_no, line FROM (SELECT doc_id, unnest(string_split(text, '.')) AS line, CAST(generate_subscripts(string_split(text, '.'), 1) AS BIGINT) AS line_no FROM documents) WHERE regexp_matches(line, '(?m)^The')"
+
+
+def _patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold one of the test items' first lines, as a set of patterns; the items are split into blocks of bounded size."""
+    firsts = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.substring_index("text", "\n", 1).alias("p")).filter("p <> ''").distinct()
+    docs = _docs(spark, sf)
+    words = lambda c: F.split(F.regexp_replace(c, "[^\\p{L}]+", " "), " ")
+    # a text that holds a pattern holds the pattern's second word; pairs are only made where it does
+    keyed = firsts.select("p", F.get(F.filter(words(F.col("p")), lambda w: w != ""), 1).alias("w"))
+    some = keyed.filter("w is not null")
+    rare = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("w")).join(some.select("w").distinct(), "w", "left_semi")
+    hits = rare.join(some, "w").select("doc_id", "p").join(docs, "doc_id").filter(F.contains("text", F.col("p"))).select("doc_id")
+    return hits.distinct()
+
+
+_Q["pattern_table_semi"] = _patterns
+_SQL["pattern_table_semi"] = "SELECT DISTINCT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT string_split(text, chr(10))[1] AS p FROM benchmark) b WHERE p <> '' AND contains(d.text, p))"
+
+
+def _paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents at paths made of their columns; some are hidden, some in directories of other names."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    ext = F.element_at(F.array(*map(F.lit, ("txt", "md", "py", "rs", "LOG"))), (F.pmod("doc_id", F.lit(5)) + 1).cast("int"))
+    name = F.concat(F.when(F.pmod("doc_id", F.lit(11)) == 0, ".").otherwise(""), F.col("doc_id"), F.lit("."), ext)
+    return docs.select("doc_id", "text", F.concat_ws("/", "source", "lang", name).alias("path"))
+
+
+_PATH_SQL = "p AS (SELECT doc_id, text, concat_ws('/', source, lang, concat(CASE WHEN doc_id % 11 = 0 THEN '.' ELSE '' END, doc_id, '.', ['txt', 'md', 'py', 'rs', 'LOG'][doc_id % 5 + 1])) AS path FROM documents)"
+_BARE = "doc_id % 11 <> 0"
+
+
+def _files(name: str, condition: str, **options) -> None:
+    _Q[name] = lambda spark, sf: P.select_files(_paths(spark, sf), **{k: v(spark) if callable(v) else v for k, v in options.items()}).select("doc_id", "path")
+    _SQL[name] = f"WITH {_PATH_SQL} SELECT doc_id, path FROM p WHERE {condition}"
+
+
+_files("files_listing", _BARE)
+_files("hidden", "true", show_hidden=True)
+_files("glob_filter", _BARE + " AND (path LIKE '%.md' OR path LIKE '%/en/%.py') AND NOT path LIKE 'src1/%'", globs=["*.md", "**/en/*.py", "!/src1/"])
+_files("iglob_filter", _BARE + " AND path LIKE '%.LOG'", iglobs=["*.log"])
+_files("type_filter", _BARE + " AND (path LIKE '%.py' OR path LIKE '%.rs')", types=lambda _: Types().select("py").select("rust"))
+_files("type_not", _BARE + " AND NOT path LIKE '%.md'", types=lambda _: Types().negate("markdown"))
+_files("max_depth", "false", max_depth=2)
+_files("max_filesize", _BARE + " AND strlen(text) <= 1024", max_size=1024)
+
+
+def _ignore_rules(spark: SparkSession) -> DataFrame:
+    files = [("gitignore", "", "*.py\nfr/\n!keep.py\n# a comment\n/src2\n"), ("ignore", "src3", "*\n!*/\n!*.md\n"), ("rgignore", "src4/en", "!*.py\n"), ("explicit", "", "*.txt\n")]
+    return P.rules_of(spark.createDataFrame(files, "source string, dir string, content string"))
+
+
+_files("ignore_rules", _BARE + """ AND NOT (path LIKE '%/fr/%') AND NOT path LIKE 'src2/%' AND
+    CASE WHEN path LIKE 'src3/%' THEN path LIKE '%.md' WHEN path LIKE 'src4/en/%.py' THEN true WHEN path LIKE '%.py' THEN false WHEN path LIKE '%.txt' THEN false ELSE true END""", rules=_ignore_rules)
+
+
+def _sorted(name: str, sql: str, descending: bool) -> None:
+    # sorted by ranges; a row's rank is its place in its range plus the sizes of the ranges before
+    def f(spark: SparkSession, sf: str) -> DataFrame:
+        rows = _paths(spark, sf).select("path", F.split("path", "/").alias("parts"))
+        ranged = rows.repartitionByRange(*[F.col("parts").desc() if descending else F.col("parts").asc()]).sortWithinPartitions(F.col("parts").desc() if descending else F.col("parts").asc())
+        ranged = ranged.select("path", F.spark_partition_id().alias("task"), (F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("at"))
+        sizes = ranged.groupBy("task").agg(F.count("*").alias("n"))
+        before = sizes.select("task", F.coalesce(F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+        return ranged.join(F.broadcast(before), "task").select("path", (F.col("base") + F.col("at") + 1).cast("long").alias("rank"))
+
+    _Q[name] = f
+    _SQL[name] = f"WITH {_PATH_SQL} SELECT path, row_number() OVER (ORDER BY {sql}) AS rank FROM p"
+
+
+_sorted("sort_path", "string_split(path, '/')", False)
+_sorted("sortr_path", "string_split(path, '/') DESC", True)
+
+_Q["type_list"] = lambda spark, sf: Types().listing(spark)
+_SQL["type_list"] = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{', '.join(sorted(v, key=lambda g: g.encode()))}')" for k, v in DEFAULT_TYPES.items()) + ") t(name, globs)"
+
+
+def _other(name: str, table: str, key: str, text: str, match: Match, condition: str) -> None:
+    _Q[name] = lambda spark, sf: L.search_lines(_docs(spark, sf, table, key, text), match).select(F.col(key).alias("key"), "line_no", "line")
+    _SQL[name] = _with(f"SELECT doc_id AS key, line_no, line FROM lines WHERE {condition}", f"(SELECT row_number() OVER () AS r, {key} AS doc_id, {text} AS text FROM {table})").replace("SELECT doc_id, line_no, line, CAST", "SELECT doc_id, line_no, line, CAST")
+
+
+_other("html_search", "pages", "page_id", "html", Match(("<title>[^<]*</title>",)), "regexp_matches(line, '<title>[^<]*</title>')")
+_other("chat_search", "conversations", "conv_id", "text", Match(("que", "the"), word=True), r"regexp_matches(line, '(^|[^\pL\p{Nd}_])(que|the)([^\pL\p{Nd}_]|$)')")
+_other("props_search", "events", "event_id", "props", Match((r'"k": 2\d',)), r"""regexp_matches(line, '"k": 2\d')""")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

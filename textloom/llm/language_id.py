@@ -32,7 +32,7 @@ FIT_ROWS, ROUNDS, MOST_CHARACTERS = 20_000, 3, 16
 #: The probability of a character that no piece covers, and what is added to each expected count.
 _LONE, _SMOOTH = 1e-7, 0.01
 _MARK = 0x2581
-_BLOCK = 200_000
+_BLOCK = 1_000_000
 
 
 def default_path() -> str:
@@ -108,14 +108,16 @@ def _forward(lattice: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, np.nd
     """(scaled forward sums by (word, place, language), log scale by (word, place)): summed over all segmentations."""
     n, length, most = lattice.shape
     langs = chance.shape[1]
-    padded = np.vstack([chance, np.zeros((1, langs))])  # number -1 has no chance
     sums = np.zeros((n, length + 1, langs))
     scale = np.zeros((n, length + 1))
     sums[:, 0] = 1
     for j in range(1, length + 1):
         for k in range(1, min(most, j) + 1):
-            shift = np.exp(scale[:, j - k] - scale[:, j - 1])[:, None] if j > 1 else 1.0
-            sums[:, j] += sums[:, j - k] * shift * padded[lattice[:, j - k, k - 1]]
+            number = lattice[:, j - k, k - 1]
+            has = np.flatnonzero(number >= 0)  # few of the longer runs are pieces
+            if len(has):
+                shift = np.exp(scale[has, j - k] - scale[has, j - 1])[:, None]
+                sums[has, j] += sums[has, j - k] * shift * chance[number[has]]
         top = sums[:, j].max(axis=1)
         top[top == 0] = 1
         sums[:, j] /= top[:, None]
@@ -128,8 +130,8 @@ def _groups(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator
     lengths = ends - starts
     for length in np.unique(lengths):
         own = np.flatnonzero(lengths == length)
-        for k in range(0, len(own), max(1, 40_000 // int(length))):
-            some = own[k : k + max(1, 40_000 // int(length))]
+        for k in range(0, len(own), max(1, 100_000 // int(length))):
+            some = own[k : k + max(1, 100_000 // int(length))]
             yield some, units[starts[some][:, None] + np.arange(length)]
 
 

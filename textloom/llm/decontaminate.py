@@ -86,6 +86,10 @@ def _whole() -> tuple[Column, Column]:
     return same, F.when(fits, F.aggregate("same", F.lit(0), lambda x, y: x + y)).otherwise(0)
 
 
+def _of_family(k: int):
+    return lambda hit: F.struct(F.lit(k).alias("k"), hit["item"].alias("item"), hit["j"].alias("j"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_id_column: str = "item_id", item_text_column: str = "text", row_key: bool = False) -> DataFrame:
     """(doc_id, item_id, matched_words, hits, first_word) for each document and item that contaminates it.
 
@@ -111,7 +115,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
             rows = rows.withColumn(f"seed{k}", _seed(mask)).join(F.broadcast(seeds), f"seed{k}", "left")
         rows = rows.filter(reduce(Column.__or__, (F.col(f"hits{k}").isNotNull() for k in range(len(families)))))
         nothing = F.array().cast("array<struct<k:int,item:bigint,j:int>>")
-        every = F.concat(*(F.coalesce(F.transform(F.col(f"hits{k}"), lambda h, k=k: F.struct(F.lit(k).alias("k"), h["item"].alias("item"), h["j"].alias("j"))), nothing) for k in range(len(families))))
+        every = F.concat(*(F.coalesce(F.transform(F.col(f"hits{k}"), _of_family(k)), nothing) for k in range(len(families))))
         hits = rows.select("id", "row_key", "w", "i", F.explode(every).alias("hit")).select("id", "row_key", "w", "i", "hit.k", "hit.item", "hit.j")
         hits = hits.join(F.broadcast(own.select("item", "item_id", F.col("w").alias("iw"))), "item")
         hits = hits.withColumn("same", of([s for s, _ in scored])).withColumn("matched", of([m for _, m in scored]))

@@ -25,13 +25,14 @@ def mark_duplicates(df: DataFrame, order_column: str = "doc_id", text_column: st
 
     Texts are equal when their normalised forms are: by default A-Z lower-cased and nothing else, null as empty.
     Of equal texts the row with the largest order value stays, nulls being less than all values; of rows that tie
-    for it, exactly one. keep_id is that row's order value, null if all are null. Names of the four columns that the
-    table has already get underscores appended. An empty table gives an empty result.
+    for it, exactly one. keep_id is that row's order value, null if all are null. Names of the four columns that `keep`
+    has already get underscores appended. An empty table gives an empty result.
     """
     text: Column = normalise(F.col(text_column))
     keep = df.columns if keep is None else keep
-    sha, h, maybe, row, order = (fresh(df, n) for n in ("text_sha256", "tl_hash", "tl_maybe", "tl_row", "tl_order"))
-    keep_id, group_size, kept = (fresh(df, n) for n in ("keep_id", "group_size", "kept"))
+    h, maybe, row, order = (fresh(df, n) for n in ("tl_hash", "tl_maybe", "tl_row", "tl_order"))
+    carried = df.select(*(f"`{c}`" for c in keep))
+    keep_id, group_size, kept, sha = (fresh(carried, n) for n in ("keep_id", "group_size", "kept", "text_sha256"))
     rows = df.count()
     hashes = df.select(F.xxhash64(text).alias(h))
     bitmap = df.sparkSession.sparkContext.broadcast(build(hashes, filter_bits(rows), 2))

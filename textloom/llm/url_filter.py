@@ -61,7 +61,9 @@ def mine_rules(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     from pyspark.ml.fpm import FPGrowth
 
     rows = stage(labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")), "baskets")
-    n = max(1, rows.count())
+    n = rows.count()
+    if n < mining.least:
+        return labelled.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, rarest string")
     model = FPGrowth(itemsCol="items", minSupport=max(mining.support, mining.least / n), minConfidence=mining.confidence).fit(rows)
     rules = model.associationRules.filter((F.col("consequent")[0] == BAD) & (F.size("antecedent") <= mining.tokens)).select(F.sort_array("antecedent").alias("antecedent"), "confidence")
     rules = stage(rules, "rules")

@@ -111,6 +111,35 @@ def test_tree(spark, tree):
     assert paths(max_filesize=11) == {"sub/b.txt", "c.txt", "_u/u.txt", "bom.txt", ".shown"}
 
 
+def test_outer_ignore_rules(spark, tree, tmp_path):
+    (tmp_path / ".git/info").mkdir()
+    (tmp_path / ".git/info/exclude").write_text("c.txt\n")
+    (tmp_path / "own.ignore").write_text("bom.txt\n")
+    paths = lambda root, **o: {r.path for r in S.files(spark, [root], S.Options(**o)).collect()}
+    found = paths(tree, ignore_files=(f"{tree}/own.ignore",))
+    assert "c.txt" not in found and "bom.txt" not in found and "a.txt" in found
+    assert "c.txt" in paths(tree, no_ignore_exclude=True)
+    (tmp_path / ".ignore").write_text("/sub/b.txt\n")
+    assert paths(f"{tree}/sub") == set() and paths(f"{tree}/sub", no_ignore_parent=True) == {"b.txt"}
+    order = [r.path for r in S.sorted_files(S.files(spark, [tree], S.Options(globs=("*.txt",))), descending=True).collect()]
+    assert order == sorted(order, key=lambda p: p.split("/"), reverse=True)
+
+
+def test_scalars(spark):
+    from pyspark.sql import functions as F
+
+    from textloom.functions import scalars as C
+
+    assert [C.parse_size(x) for x in ("7", "2K", "1M", "3G")] == [7, 2048, 1 << 20, 3 << 30]
+    assert C.unescape_separator(r"a\t\x41\0\q") == "a\tA\0\\q"
+    assert C.pattern_lines("a\r\n\nb\n") == ["a", "", "b"]
+    for bad in ("7k", "", "9999999999G"):
+        with pytest.raises(ValueError):
+            C.parse_size(bad)
+    row = spark.range(1).select(C.preview(F.lit("e\u0301bc"), 2).alias("p"), C.exit_code(F.lit(True), F.lit(1)).alias("e"), C.exit_code(F.lit(True), F.lit(1), True).alias("q"), C.exit_code(F.lit(False), F.lit(0)).alias("n")).first()
+    assert row.p.startswith("e\u0301b [") and (row.e, row.q, row.n) == (2, 0, 1)
+
+
 def test_search_tree(spark, tree):
     hits = {(r.path, r.line_no, r.column) for r in S.search((spark, [tree]), "needle").collect()}
     assert hits == {("a.txt", 1, 7), ("a.txt", 3, 1), ("sub/b.txt", 1, 5), ("_u/u.txt", 1, 1), ("bom.txt", 1, 1), (".shown", 1, 1)}

@@ -12,11 +12,15 @@ from textloom.functions.globs import ancestors, overridden, parse_ignore_line
 SOURCES = ("rgignore", "ignore", "gitignore", "exclude", "global", "explicit")
 #: Sources that count only inside a repository.
 GIT_SOURCES = ("gitignore", "exclude", "global")
-RULES = "source string, dir string, idx int, regex string, whitelist boolean, directories_only boolean"
+RULES = "source string, dir string, prefix string, idx int, regex string, whitelist boolean, directories_only boolean"
 
 
 def rules_of(files: DataFrame) -> DataFrame:
-    """Rule rows from (source, dir, content) rows of ignore files: one for each line that is a glob."""
+    """Rule rows from (source, dir, prefix, content) rows of ignore files: one for each line that is a glob.
+
+    dir is the file's directory below the root. For files above the root it is empty and prefix is the way from their
+    directory to the root, with a slash at its end; the column may be missing.
+    """
     from collections.abc import Iterator
 
     import pandas as pd
@@ -24,13 +28,14 @@ def rules_of(files: DataFrame) -> DataFrame:
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for source, where, content in zip(b["source"], b["dir"], b["content"], strict=True):
-                for i, line in enumerate((content or "").removeprefix("﻿").split("\n")):
+            for source, where, prefix, content in zip(b["source"], b["dir"], b["prefix"], b["content"], strict=True):
+                for i, line in enumerate((content or "").removeprefix("\ufeff").split("\n")):
                     if g := parse_ignore_line(line):
-                        rows.append((source, where, i, g.regex, g.whitelist, g.directories_only))
+                        rows.append((source, where, prefix, i, g.regex, g.whitelist, g.directories_only))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in RULES.split(", ")])
 
-    return files.select("source", "dir", "content").mapInPandas(f, RULES)
+    prefix = F.col("prefix") if "prefix" in files.columns else F.lit("").alias("prefix")
+    return files.select("source", "dir", prefix, "content").mapInPandas(f, RULES)
 
 
 def with_verdicts(files: DataFrame, rules: DataFrame, path_column: str = "path", sources: tuple[str, ...] = SOURCES) -> DataFrame:
@@ -47,8 +52,8 @@ def with_verdicts(files: DataFrame, rules: DataFrame, path_column: str = "path",
     above = entries.select("file", "entry", "at", "is_dir", F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(0), F.col("at")), lambda k: F.array_join(F.slice(F.split("entry", "/"), 1, k), "/")))).alias("dir")).distinct()
     rank = F.create_map(*(F.lit(x) for i, s in enumerate(sources) for x in (s, i)))
     own = rules.filter(F.col("source").isin(*sources)).withColumn("rank", F.element_at(rank, F.col("source")))
-    hits = above.join(own, "dir").filter((~F.col("directories_only") | F.col("is_dir")) & F.expr("if(dir = '', entry, substring(entry, length(dir) + 2)) rlike regex"))
-    per = hits.groupBy("file", "entry", "at", "rank").agg(F.max_by("whitelist", F.struct(F.length("dir"), "idx")).alias("whitelist"))
+    hits = above.join(own, "dir").filter((~F.col("directories_only") | F.col("is_dir")) & F.expr("concat(prefix, if(dir = '', entry, substring(entry, length(dir) + 2))) rlike regex"))
+    per = hits.groupBy("file", "entry", "at", "rank").agg(F.max_by("whitelist", F.struct(F.length("dir") - F.length("prefix"), "idx")).alias("whitelist"))
     per = per.groupBy("file", "entry", "at").agg(F.min_by("whitelist", "rank").alias("whitelist"))
     last = per.groupBy("file").agg(F.max((~F.col("whitelist")).cast("int")).alias("any_ignored"), F.max_by("whitelist", "at").alias("own"), F.max("at").alias("deepest"))
     out = files.join(last.withColumnRenamed("file", path_column), path_column, "left")

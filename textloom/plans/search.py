@@ -46,7 +46,13 @@ class Options:
     no_ignore: bool = False
     no_ignore_vcs: bool = False
     no_ignore_dot: bool = False
+    no_ignore_exclude: bool = False
+    no_ignore_global: bool = False
+    no_ignore_files: bool = False
+    no_ignore_parent: bool = False
     no_require_git: bool = False
+    ignore_files: tuple[str, ...] = ()
+    global_ignore: str | None = None
     globs: tuple[str, ...] = ()
     iglobs: tuple[str, ...] = ()
     types: tuple[str, ...] = ()
@@ -86,22 +92,45 @@ def files(spark: SparkSession, paths: list[str], options: Options = Options()) -
     every = S.list_files(spark, paths, options.follow, options.one_file_system, options.max_depth)
     found = every.filter("kind = 'file'")
     explicit, walked = found.filter("explicit"), found.filter("not explicit")
-    sources = tuple(s for s in P.SOURCES if not (options.no_ignore or (options.no_ignore_vcs and s in P.GIT_SOURCES) or (options.no_ignore_dot and s in ("ignore", "rgignore"))))
+    sources = _sources(options)
+    if not options.no_require_git and every.filter("kind = 'dir' and path in ('.git', '.jj')").isEmpty():
+        sources = tuple(s for s in sources if s not in P.GIT_SOURCES)
     rules = None
     if sources:
-        rules = P.rules_of(S.ignore_files(walked))
-        if not options.no_require_git:
-            git = every.filter("kind = 'dir' and path in ('.git', '.jj')").isEmpty()
-            sources = tuple(s for s in sources if not (git and s in P.GIT_SOURCES)) or ("explicit",)
+        outer = S.outer_ignore_files(spark, paths, not options.no_ignore_parent and not options.no_ignore, options.ignore_files, options.global_ignore)
+        rules = P.rules_of(S.ignore_files(walked).unionByName(outer))
     walked = P.select_files(walked, "path", options.hidden, list(options.globs), list(options.iglobs), options._types(), None, options.max_filesize, F.col("size"), rules, sources)
     return walked.unionByName(explicit).select("root_idx", "root", "path", "depth", "explicit", "size", "mtime", "kind")
 
 
+def _sources(options: Options) -> tuple[str, ...]:
+    """Sources of ignore rules that count; given files have a switch of their own."""
+    off = set()
+    if options.no_ignore or options.no_ignore_vcs:
+        off |= {*P.GIT_SOURCES}
+    if options.no_ignore or options.no_ignore_dot:
+        off |= {"ignore", "rgignore"}
+    off |= {"exclude"} if options.no_ignore_exclude else set()
+    off |= {"global"} if options.no_ignore_global else set()
+    off |= {"explicit"} if options.no_ignore_files else set()
+    return tuple(s for s in P.SOURCES if s not in off)
+
+
 def errors(spark: SparkSession, paths: list[str], options: Options = Options()) -> DataFrame:
     """(path, message) of what couldn't be listed."""
     return S.list_files(spark, paths, options.follow, options.one_file_system, options.max_depth).filter("kind = 'error'").select("path", "message")
 
 
+def sorted_files(found: DataFrame, by: str = "path", descending: bool = False) -> DataFrame:
+    """Files in order: by path, component by component, in the order of roots, or all descending; or by modification time, those without last."""
+    if by == "path":
+        parts = F.split("path", "/")
+        return found.orderBy(parts.desc()) if descending else found.orderBy("root_idx", parts)
+    if by == "modified":
+        return found.orderBy(F.desc_nulls_first("mtime") if descending else F.asc_nulls_last("mtime"), "root_idx", "path")
+    raise Unsupported(f"no order by {by}")
+
+
 def _texts(source: DataFrame | tuple[SparkSession, list[str]], options: Options) -> DataFrame:
     if isinstance(source, DataFrame):
         return source

@@ -103,12 +103,42 @@ def read_files(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def ignore_files(files: DataFrame) -> DataFrame:
-    """(source, dir, content) of the ignore files in the trees, for rules_of()."""
+    """(source, dir, prefix, content) of the ignore files in the trees and of repositories' exclude files, for rules_of()."""
     name = F.element_at(F.split("path", "/"), -1)
-    named = files.filter(name.isin(*IGNORE_FILES)).select("*", name.alias("name"))
-    source = F.create_map(*(F.lit(x) for kv in IGNORE_FILES.items() for x in kv))
-    where = F.when(F.col("path") == F.col("name"), "").otherwise(F.regexp_replace("path", "/[^/]*$", ""))
-    return read_files(named).select(F.element_at(source, F.col("name")).alias("source"), where.alias("dir"), F.col("content").cast("string").alias("content"))
+    exclude = F.col("path") == ".git/info/exclude"
+    named = files.filter(name.isin(*IGNORE_FILES) | exclude).select("*", name.alias("name"), exclude.alias("is_exclude"))
+    source = F.when(F.col("is_exclude"), "exclude").otherwise(F.try_element_at(F.create_map(*(F.lit(x) for kv in IGNORE_FILES.items() for x in kv)), F.col("name")))
+    where = F.when((F.col("path") == F.col("name")) | F.col("is_exclude"), "").otherwise(F.regexp_replace("path", "/[^/]*$", ""))
+    return read_files(named).select(source.alias("source"), where.alias("dir"), F.lit("").alias("prefix"), F.col("content").cast("string").alias("content"))
+
+
+def outer_ignore_files(spark: SparkSession, roots: list[str], parents: bool = True, explicit: tuple[str, ...] = (), global_file: str | None = None) -> DataFrame:
+    """Such rows of the few ignore files that lie outside the trees: of directories above the roots, given ones, and the user's own.
+
+    Given files are one list in their order; those that can't be read are left out.
+    """
+    rows = []
+
+    def content(path: str) -> str | None:
+        try:
+            with open(path, encoding="utf-8", errors="replace") as f:
+                return f.read()
+        except OSError:
+            return None
+
+    for root in map(os.path.abspath, roots):
+        here, above = root, os.path.dirname(root)
+        while parents and above != here:
+            for name, source in IGNORE_FILES.items():
+                if (text := content(os.path.join(above, name))) is not None:
+                    rows.append((source, "", os.path.relpath(root, above) + "/", text))
+            here, above = above, os.path.dirname(above)
+    given = [t for t in map(content, explicit) if t is not None]
+    if given:
+        rows.append(("explicit", "", "", "\n".join(given)))
+    if global_file and (text := content(global_file)) is not None:
+        rows.append(("global", "", "", text))
+    return spark.createDataFrame(rows, "source string, dir string, prefix string, content string")
 
 
 def without_bom(content: Column) -> Column:

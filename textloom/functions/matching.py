@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textloom.functions.regex import Pattern, PatternError, literal, plain_literal, translate
+from textloom.functions.regex import PatternError, literal, plain_literal, translate
 
 _WORD = r"[\p{L}\p{Nd}_]"
 #: Noncharacters that mark matches inside a line.
@@ -60,6 +60,10 @@ class Match:
     def matches_all(self) -> bool:
         return "" in self.patterns and not (self.word or self.line)
 
+    def never_empty(self) -> bool:
+        """Whether each match surely has a character."""
+        return all(len(p) if self.fixed else translate(p).least for p in self.patterns)
+
     def plain(self, text: Column) -> Column:
         """Whether a line matches, before inversion."""
         if self.matches_all():
@@ -94,18 +98,34 @@ def spans(match: Match, line: Column) -> Column:
     if match.invert:
         return F.array().cast("array<struct<s:int,e:int,text:string>>")
     marked = F.regexp_replace(line, f"(?:{match.java()})", f"{_OPEN}$0{_CLOSE}")
-    parts = F.split(marked, _OPEN)
-    state = lambda at, out: F.struct(at.cast("int").alias("at"), out.alias("out"))
     none = F.array().cast("array<struct<s:int,e:int,text:string>>")
+    state = lambda at, out: F.struct(at.cast("int").alias("at"), out.alias("out"))
+    empty = not match.never_empty()
+
+    def cell(part: Column) -> Column:
+        text = F.substring_index(part, _CLOSE, 1)
+        return F.struct(text.alias("text"), F.octet_length(text).alias("n"), F.octet_length(part).alias("all"))
+
+    def step(acc: Column, x: Column) -> Column:
+        end = acc["at"] + x["n"]
+        out = F.concat(acc["out"], F.array(F.struct(acc["at"].alias("s"), end.cast("int").alias("e"), x["text"].alias("text"))))
+        if empty:
+            touches = (x["n"] == 0) & (F.size(acc["out"]) > 0) & (F.get(acc["out"], F.size(acc["out"]) - 1)["e"] == acc["at"])
+            out = F.when(touches, acc["out"]).otherwise(out)
+        return state(acc["at"] + x["all"] - len(_CLOSE.encode()), out)
+
+    def of(parts: Column) -> Column:
+        cells = F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), cell)
+        return F.aggregate(cells, state(F.octet_length(parts[0]), none), step)["out"]
+
+    return F.transform(F.array(F.split(marked, _OPEN)), of)[0]  # the split is done once
 
-    def step(acc: Column, part: Column) -> Column:
-        text, rest = F.substring_index(part, _CLOSE, 1), F.substring_index(part, _CLOSE, -1)
-        end = acc["at"] + F.octet_length(text)
-        touches = (text == "") & (F.size(acc["out"]) > 0) & (F.get(acc["out"], F.size(acc["out"]) - 1)["e"] == acc["at"])
-        one = F.array(F.struct(acc["at"].alias("s"), end.cast("int").alias("e"), text.alias("text")))
-        return state(end + F.octet_length(rest), F.when(touches, acc["out"]).otherwise(F.concat(acc["out"], one)))
 
-    return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), state(F.octet_length(parts[0]), none), step)["out"]
+def count_of(match: Match, line: Column) -> Column:
+    """The number of a line's matches; 0 for inverted lines."""
+    if match.never_empty() and not match.invert:
+        return F.regexp_count(line, F.lit(match.java()))
+    return F.size(spans(match, line))
 
 
 def first_column(match: Match, line: Column) -> Column:

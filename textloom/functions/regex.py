@@ -56,6 +56,8 @@ class _Parser:
         #: What the pattern says about literals: for smart case, and for a required literal.
         self.letters: list[str] = []
         self.can_newline = False
+        #: The least length of a match of what was read last.
+        self.least = 0
 
     def fail(self, why: str) -> PatternError:
         return PatternError(f"{why} at {self.at} in {self.p!r}")
@@ -66,15 +68,18 @@ class _Parser:
     def alternation(self, flags: _Flags, depth: int) -> str:
         if depth > 1000:
             raise self.fail("nesting too deep")
-        flags, parts = _Flags(**vars(flags)), [[]]
+        flags, parts, least = _Flags(**vars(flags)), [[]], [0]
         while self.at < len(self.p) and self.peek() != ")":
             if self.peek() == "|":
                 self.at += 1
                 parts.append([])
+                least.append(0)
                 continue
             atom = self.atom(flags, depth)
             if atom is not None:
                 parts[-1].append(self.repeats(atom, flags))
+                least[-1] += self.least
+        self.least = min(least)
         return "|".join("".join(x) for x in parts)
 
     def repeats(self, atom: str, flags: _Flags) -> str:
@@ -90,6 +95,7 @@ class _Parser:
                 low, high = int(m[1]), int(m[3]) if m[3] else None
                 if low > _MOST or (high or 0) > _MOST or (high is not None and high < low):
                     raise self.fail("bad repeat count")
+            self.least *= 0 if m[0] in "*?" else 1 if m[0] == "+" else int(m[1])
             self.at += len(m[0])
             lazy = self.peek() == "?"
             self.at += lazy
@@ -103,9 +109,12 @@ class _Parser:
             raise self.fail("nothing to repeat")
         if c == "(":
             return self.group(flags, depth)
+        self.least = 1
         if c == "[":
             return self.set(flags)
         self.at += 1
+        if c in "^$":
+            self.least = 0
         if c == ".":
             self.can_newline |= flags.s
             return "(?s:.)" if flags.s else r"[^\n]"
@@ -170,6 +179,7 @@ class _Parser:
         if c == "Q":
             end = self.p.find("\\E", self.at)
             text = self.p[self.at + 1 : end if end >= 0 else None]
+            self.least = 0 if len(text) < 2 else len(text) - 1  # its last character may be repeated not at all
             self.at = len(self.p) if end < 0 else end + 2
             return "".join(self.single(ord(x), flags) for x in text) or "(?:)"  # a repeat after it takes its last character, as in RE2
         if c in "pP":
@@ -182,6 +192,7 @@ class _Parser:
             return f"[{'^' if c.isupper() else ''}{PERL[c.lower()]}]"
         if c in "bBAz":
             self.at += 1
+            self.least = 0
             return {"b": _BOUNDARY, "B": _NO_BOUNDARY, "A": r"\A", "z": r"\z"}[c]
         return self.single(self.escaped(), flags)
 
@@ -250,11 +261,12 @@ class _Parser:
 
 @dataclass(frozen=True)
 class Pattern:
-    """A translated pattern: Java syntax, the literal characters it names, and whether a match may hold a newline."""
+    """A translated pattern: Java syntax, the literal characters it names, whether a match may hold a newline, and its least length."""
 
     java: str
     letters: tuple[str, ...]
     can_newline: bool
+    least: int
 
 
 def translate(pattern: str, ignore_case: bool = False) -> Pattern:
@@ -263,7 +275,7 @@ def translate(pattern: str, ignore_case: bool = False) -> Pattern:
     java = p.alternation(_Flags(i=ignore_case), 0)
     if p.at < len(pattern):
         raise p.fail("unmatched )")
-    return Pattern(java, tuple(p.letters), p.can_newline)
+    return Pattern(java, tuple(p.letters), p.can_newline, p.least)
 
 
 def plain_literal(pattern: str) -> str | None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.matching import Match, first_column, spans
+from textloom.functions.matching import Match, count_of, first_column, spans
 
 
 def line_array(text: Column, null_data: bool = False) -> Column:
@@ -145,7 +145,7 @@ def count_lines(docs: DataFrame, match: Match, text_column: str = "text", includ
     lines = line_array(F.col(text_column), match.null_data)
     hits = F.filter(F.transform(lines, lambda x: trimmed_end(x, match.crlf)), lambda x: match(x))
     hits = hits if max_count is None else F.slice(hits, 1, max_count)
-    each = F.size(hits).cast("long") if not occurrences else F.aggregate(hits, F.lit(0).cast("long"), lambda n, x: n + F.greatest(F.size(spans(match, x)), F.lit(1)))
+    each = F.size(hits).cast("long") if not occurrences else F.aggregate(hits, F.lit(0).cast("long"), lambda n, x: n + F.greatest(count_of(match, x), F.lit(1)))
     out = docs.select(*keep, each.alias("matches"))
     return out if include_zero else out.filter("matches > 0")
 
@@ -163,6 +163,6 @@ def run_stats(docs: DataFrame, match: Match, text_column: str = "text") -> DataF
     """One row: matches, matched_lines, texts_with_match, texts_searched, bytes_searched. Inverted lines add no matches."""
     lines = line_array(F.col(text_column), match.null_data)
     hits = F.filter(F.transform(lines, lambda x: trimmed_end(x, match.crlf)), lambda x: match(x))
-    per = docs.select(F.size(hits).cast("long").alias("n"), F.aggregate(hits, F.lit(0).cast("long"), lambda n, x: n + F.size(spans(match, x))).alias("m"), F.coalesce(F.octet_length(text_column), F.lit(0)).cast("long").alias("b"))
+    per = docs.select(F.size(hits).cast("long").alias("n"), F.aggregate(hits, F.lit(0).cast("long"), lambda n, x: n + count_of(match, x)).alias("m"), F.coalesce(F.octet_length(text_column), F.lit(0)).cast("long").alias("b"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     return per.agg(zero(F.sum("m")).alias("matches"), zero(F.sum("n")).alias("matched_lines"), zero(F.sum((F.col("n") > 0).cast("long"))).alias("texts_with_match"), F.count("*").alias("texts_searched"), zero(F.sum("b")).alias("bytes_searched"))

@@ -47,7 +47,8 @@ def _data(text: Column) -> Column:
 def json_events(events: DataFrame, match: Match, path: Column) -> DataFrame:
     """The events with `json`: a begin, match, context or end message; begin and end have line numbers before and after all."""
     text = F.concat("line", F.lit("\n"))
-    found = spans(match, trimmed_end(F.col("line"), match.crlf))
+    events = events.withColumn("tl_found", spans(match, trimmed_end(F.col("line"), match.crlf)))
+    found = F.col("tl_found")
     subs = F.array_join(F.transform(found, lambda m: F.concat(F.lit('{"match":'), _data(m["text"]), F.lit(',"start":'), m["s"].cast("string"), F.lit(',"end":'), m["e"].cast("string"), F.lit("}"))), ",")
     body = F.concat(F.lit('{"type":"'), F.col("kind"), F.lit('","data":{"path":'), _data(path.cast("string")), F.lit(',"lines":'), _data(text), F.lit(',"line_number":'), F.col("line_no").cast("string"), F.lit(',"absolute_offset":'), F.col("byte_offset").cast("string"), F.lit(',"submatches":['), F.when(F.col("kind") == "match", subs).otherwise(""), F.lit("]}}"))
     rows = events.select(path.cast("string").alias("path"), "line_no", body.alias("json"), (F.col("kind") == "match").cast("long").alias("m"), F.when(F.col("kind") == "match", F.size(found)).otherwise(0).cast("long").alias("s"))

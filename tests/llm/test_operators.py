@@ -382,7 +382,7 @@ def test_bpe(spark, words):
     from public_tokenizers import path
     from tokenizers import Tokenizer
 
-    from textloom.llm.bpe import decode, encode
+    from textloom.llm.bpe import count_tokens, decode, encode
 
     tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
     rng = random.Random(4)
@@ -392,6 +392,8 @@ def test_bpe(spark, words):
     got = encode(df, table_words=words, decoded="text_back")
     expected = collections.Counter((r.doc_id, np.array(tok.encode(r.text or "", add_special_tokens=False).ids, "<u4").tobytes(), r.text or "") for r in df.collect())
     assert collections.Counter((i, bytes(x), t) for i, x, t in rows_of(got, "doc_id", "ids", "text_back")) == expected
+    counts = collections.Counter((i, len(x) // 4) for i, x, _ in expected.elements())
+    assert collections.Counter(rows_of(count_tokens(df, table_words=words), "doc_id", "n_tokens")) == counts
     assert rows_of(decode(got.filter("doc_id = 5")), "decoded") == [(texts[5],)]
     assert encode(df.limit(0)).count() == 0
 

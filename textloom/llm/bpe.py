@@ -20,7 +20,7 @@ from functools import cached_property, lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -222,6 +222,42 @@ def _word_table(docs: DataFrame, path: str, most: int) -> WordTable:
     return WordTable(rows["word"], rows["ids"])
 
 
+class _Split:
+    """The rows of a table keyed for encoding, the broadcast word table, and the positions of words that it lacks."""
+
+    def __init__(self, docs: DataFrame, id_column: str, text_column: str, path: str, table_words: int):
+        text = F.coalesce(F.col(text_column), F.lit(""))
+        # rows find their rare words again by id and text hash: 44 bits of it beside an integer id, else all of it
+        whole = isinstance(docs.schema[id_column].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
+        k1 = F.coalesce(F.col(id_column).cast("long"), F.lit(-1)) if whole else F.xxhash64(id_column)
+        k2 = F.when(F.col(id_column).isNotNull() & F.lit(whole), F.shiftrightunsigned(F.xxhash64(text), 20)).otherwise(F.xxhash64(text))
+        self.docs = docs.select(F.col(id_column).alias("id"), text.alias("text"), k1.alias("k1"), k2.alias("k2"))
+        self.kind = self.docs.schema["id"].dataType.simpleString()
+        table: Broadcast[WordTable] = docs.sparkSession.sparkContext.broadcast(_word_table(self.docs, path, table_words))
+        self.table = table
+
+        def codes(texts: pa.Array) -> Iterator[tuple]:
+            for first, n, text, starts, ends, hashes, rows, ids in _split(texts, vocabulary(path)):
+                found = table.value.find(hashes)
+                found[ids >= 0] = (-2 - ids[ids >= 0]).astype(np.int32)
+                yield first, n, text, starts, ends, found, rows
+
+        def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                k1, k2 = b.column(0).to_numpy(), b.column(1).to_numpy()
+                for first, _, text, starts, ends, found, rows in codes(b.column(2)):
+                    at = np.flatnonzero(found == _RARE)
+                    if len(at):
+                        row = rows[at]
+                        words = [text[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+                        yield pa.RecordBatch.from_pydict({"k1": k1[first + row], "k2": k2[first + row], "at": (at - np.searchsorted(rows, row)).astype(np.int32), "word": words})
+
+        self.codes = codes
+        lone = self.docs.select("k1", "k2", "text").mapInArrow(rare, "k1 bigint, k2 bigint, at int, word string").repartition("word").sortWithinPartitions("word")
+        #: (k1, k2, at, word, ids) of each position of a word that isn't in the table.
+        self.rare = _encode_words(lone, path)
+
+
 def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str | None = None, table_words: int = TABLE_WORDS, decoded: str | None = None) -> DataFrame:
     """A row for each row of docs: the id and `ids`, the token ids as little-endian unsigned 32-bit integers.
 
@@ -232,41 +268,18 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     repeated rows are encoded like others; other columns aren't carried; an empty table gives an empty result.
     """
     path = tokenizer or default_path()
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    # rows find their rare words again by id and text hash: 44 bits of it beside an integer id, else all of it
-    whole = isinstance(docs.schema[id_column].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
-    k1 = F.coalesce(F.col(id_column).cast("long"), F.lit(-1)) if whole else F.xxhash64(id_column)
-    k2 = F.when(F.col(id_column).isNotNull() & F.lit(whole), F.shiftrightunsigned(F.xxhash64(text), 20)).otherwise(F.xxhash64(text))
-    docs = docs.select(F.col(id_column).alias("id"), text.alias("text"), k1.alias("k1"), k2.alias("k2"))
-    table: Broadcast[WordTable] = docs.sparkSession.sparkContext.broadcast(_word_table(docs, path, table_words))
-    kind = docs.schema["id"].dataType.simpleString()
-
-    def codes(b: pa.RecordBatch) -> Iterator[tuple]:
-        for first, n, text, starts, ends, hashes, rows, ids in _split(b.column(b.schema.get_field_index("text")), vocabulary(path)):
-            found = table.value.find(hashes)
-            found[ids >= 0] = (-2 - ids[ids >= 0]).astype(np.int32)
-            yield first, n, text, starts, ends, found, rows
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k1, k2 = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for first, _, text, starts, ends, found, rows in codes(b):
-                at = np.flatnonzero(found == _RARE)
-                if len(at):
-                    row = rows[at]
-                    words = [text[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_pydict({"k1": k1[first + row], "k2": k2[first + row], "at": (at - np.searchsorted(rows, row)).astype(np.int32), "word": words})
+    split = _Split(docs, id_column, text_column, path, table_words)
+    docs, table, kind, codes = split.docs, split.table, split.kind, split.codes
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             packed: list[bytes] = []
-            for _, n, _, _, _, found, rows in codes(b):
+            for _, n, _, _, _, found, rows in codes(b.column(3)):
                 cut = np.searchsorted(rows, np.arange(n + 1))
                 packed += [_pack(found[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(packed, pa.binary())], ["k1", "k2", "id", "codes"])
 
-    lone = docs.select("k1", "k2", "text").mapInArrow(rare, "k1 bigint, k2 bigint, at int, word string").repartition("word").sortWithinPartitions("word")
-    joined = _encode_words(lone, path).groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "ids")).alias("rare"))
+    joined = split.rare.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "ids")).alias("rare"))
     base = docs.select("k1", "k2", "id", "text").mapInArrow(coded, f"k1 bigint, k2 bigint, id {kind}, codes binary")
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,6 +295,28 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     return base.join(joined, ["k1", "k2"], "left").select("id", "codes", "rare").mapInArrow(filled, schema)
 
 
+def count_tokens(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str | None = None, table_words: int = TABLE_WORDS) -> DataFrame:
+    """(id, n_tokens) for each row of docs: how many ids encode() gives its text, without putting them in order."""
+    split = _Split(docs, id_column, text_column, tokenizer or default_path(), table_words)
+    table, codes = split.table, split.codes
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total = np.zeros(b.num_rows, np.int64)
+            for first, n, _, _, _, found, rows in codes(b.column(3)):
+                each = np.ones(len(found), np.int64)  # a special token is one
+                each[found >= 0] = table.value.lengths[found[found >= 0]]
+                each[found == _RARE] = 0
+                total[first : first + n] = np.bincount(rows, each, n)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(total)], ["k1", "k2", "id", "known"])
+
+    base = split.docs.select("k1", "k2", "id", "text").mapInArrow(known, f"k1 bigint, k2 bigint, id {split.kind}, known bigint")
+    rare = split.rare.select("k1", "k2", F.expr("octet_length(ids) div 4").alias("n")).groupBy("k1", "k2").agg(F.sum("n").alias("more"))
+    # rows that are alike have one key, under which the rare words of all of them were added up
+    alike = F.count("*").over(Window.partitionBy("k1", "k2"))
+    return base.join(rare, ["k1", "k2"], "left").withColumn("alike", alike).select(F.col("id").alias(id_column), F.expr("known + coalesce(more div alike, 0L)").alias("n_tokens"))
+
+
 def _join(table: WordTable, codes: bytes, rare) -> np.ndarray:
     """A document's ids from its codes, with those of its rare words put in at their positions."""
     c = _unpack(codes)

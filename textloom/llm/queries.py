@@ -47,7 +47,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four batches, for a BPE and a word tokenizer: all documents are inserted; those with repeated lines
     are revised to their text without the repetitions; those labelled toxic are deleted; and that batch is sent again."""
     from textloom.llm._staging import stage, staging_path
-    from textloom.llm.bpe import encode
+    from textloom.llm.bpe import count_tokens
     from textloom.llm.token_rollup import TokenRollup, count_words
 
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -56,7 +56,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = rows.select("doc_id", "source", "lang", "text", "repeats", F.lit(False).alias("revised"))
     after = rows.filter("repeats").select("doc_id", "source", "lang", F.col("once").alias("text"), "repeats", F.lit(True).alias("revised"))
     keyed = count_words(before.unionByName(after)).select(F.struct("doc_id", "source", "lang", "repeats", "revised", F.col("n_tokens").alias("words")).alias("row"), "text")
-    counts = encode(keyed, "row", "text").select("row.*", F.expr("cast(octet_length(ids) / 4 as bigint)").alias("pieces"))
+    counts = count_tokens(keyed, "row", "text").select("row.*", F.col("n_tokens").alias("pieces"))
     toxic = labels.filter("toxic = 1").select("doc_id").distinct().withColumn("toxic", F.lit(True))
     counts = stage(counts.join(toxic, "doc_id", "left"), "counts")
     each = counts.select("source", "lang", "repeats", "revised", F.coalesce("toxic", F.lit(False)).alias("toxic"), F.expr("stack(2, 'byte_bpe_50k@1', pieces, 'words@1', words) as (tokenizer, n)"))

@@ -45,7 +45,6 @@ def with_verdicts(files: DataFrame, rules: DataFrame, path_column: str = "path",
     match decides, by its last rule that matches; of sources the strongest that decides. A file under an ignored
     directory is ignored, whatever rules say of the file itself.
     """
-    files = files.withColumn("tl_file", F.monotonically_increasing_id()) if "tl_file" not in files.columns else files
     paths = files.select(path_column).distinct()
     entries = paths.select(F.col(path_column).alias("file"), F.posexplode(ancestors(F.col(path_column))).alias("at", "entry"), F.size(F.split(path_column, "/")).alias("n"))
     entries = entries.withColumn("is_dir", F.col("at") + 1 < F.col("n"))
@@ -58,7 +57,7 @@ def with_verdicts(files: DataFrame, rules: DataFrame, path_column: str = "path",
     last = per.groupBy("file").agg(F.max((~F.col("whitelist")).cast("int")).alias("any_ignored"), F.max_by("whitelist", "at").alias("own"), F.max("at").alias("deepest"))
     out = files.join(last.withColumnRenamed("file", path_column), path_column, "left")
     own_says = F.col("deepest") == F.size(F.split(path_column, "/")) - 1
-    return out.select(*(c for c in files.columns if c != "tl_file"), (F.coalesce(F.col("any_ignored"), F.lit(0)) == 1).alias("ignored"), F.coalesce(own_says & F.col("own"), F.lit(False)).alias("whitelisted"))
+    return out.select(*files.columns, (F.coalesce(F.col("any_ignored"), F.lit(0)) == 1).alias("ignored"), F.coalesce(own_says & F.col("own"), F.lit(False)).alias("whitelisted"))
 
 
 def hidden(path: Column) -> Column:

@@ -112,3 +112,20 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
                 yield mix(mix(whole))
             else:
                 yield np.zeros(0, np.uint64)
+
+
+def lean(f):
+    """The function of a task over batches, which gives memory back at its end, as Spark keeps Python workers for later tasks."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            import ctypes
+
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+            if trim:
+                trim(0)
+
+    return run

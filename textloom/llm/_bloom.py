@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._arrays import mix
+from textloom.llm._arrays import lean, mix
 
 #: Positions in a segment, and the most bits of a filter: 2**28 bits are 32 MiB, whatever the input's size.
 SEGMENT_BITS = 1 << 20
@@ -79,10 +79,10 @@ def build(hashes: DataFrame, bits: int, least: int) -> np.ndarray:
         for k, c in seen.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(c >= least, bitorder="little").tobytes()], pa.binary())], ["segment", "bitmap"])
 
-    parts = hashes.mapInArrow(sent, "segment int, once binary, twice binary").repartition(min(bits // SEGMENT_BITS, 64), "segment")
+    parts = hashes.mapInArrow(lean(sent), "segment int, once binary, twice binary").repartition(min(bits // SEGMENT_BITS, 64), "segment")
     out = np.zeros(bits // 8, np.uint8)
     step = SEGMENT_BITS // 8
-    for r in parts.mapInArrow(merged, "segment int, bitmap binary").toLocalIterator():
+    for r in parts.mapInArrow(lean(merged), "segment int, bitmap binary").toLocalIterator():
         out[r.segment * step : (r.segment + 1) * step] = np.frombuffer(r.bitmap, np.uint8)
     return out
 

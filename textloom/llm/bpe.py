@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm._arrays import blocks, hash_spans
+from textloom.llm._arrays import blocks, hash_spans, lean
 from textloom.llm._codepoints import bpe_words, code_points
 
 #: Rows of the sample that proposes words for the broadcast table, and the most words that it may hold.
@@ -186,7 +186,7 @@ def _sample_words(docs: DataFrame, path: str) -> DataFrame:
                 seen = {}
         yield pa.RecordBatch.from_pydict({"word": pa.array([*seen], pa.string()), "n": pa.array([*seen.values()], pa.int64())})
 
-    return docs.select("text").mapInArrow(f, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(f), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _encode_words(words: DataFrame, path: str) -> DataFrame:
@@ -204,7 +204,7 @@ def _encode_words(words: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "ids"])
 
     schema = ", ".join([*(f"{c.name} {c.dataType.simpleString()}" for c in others), "word string", "ids binary"])
-    return words.select(*(c.name for c in others), "word").mapInArrow(f, schema)
+    return words.select(*(c.name for c in others), "word").mapInArrow(lean(f), schema)
 
 
 def _word_table(docs: DataFrame, path: str, most: int) -> WordTable:
@@ -253,7 +253,7 @@ class _Split:
                         yield pa.RecordBatch.from_pydict({"k1": k1[first + row], "k2": k2[first + row], "at": (at - np.searchsorted(rows, row)).astype(np.int32), "word": words})
 
         self.codes = codes
-        lone = self.docs.select("k1", "k2", "text").mapInArrow(rare, "k1 bigint, k2 bigint, at int, word string").repartition("word").sortWithinPartitions("word")
+        lone = self.docs.select("k1", "k2", "text").mapInArrow(lean(rare), "k1 bigint, k2 bigint, at int, word string").repartition("word").sortWithinPartitions("word")
         #: (k1, k2, at, word, ids) of each position of a word that isn't in the table.
         self.rare = _encode_words(lone, path)
 
@@ -280,7 +280,7 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(packed, pa.binary())], ["k1", "k2", "id", "codes"])
 
     joined = split.rare.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "ids")).alias("rare"))
-    base = docs.select("k1", "k2", "id", "text").mapInArrow(coded, f"k1 bigint, k2 bigint, id {kind}, codes binary")
+    base = docs.select("k1", "k2", "id", "text").mapInArrow(lean(coded), f"k1 bigint, k2 bigint, id {kind}, codes binary")
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
@@ -292,7 +292,7 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
                 yield pa.RecordBatch.from_arrays(columns, [id_column, "ids", *[decoded] * bool(decoded)])
 
     schema = f"`{id_column}` {kind}, ids binary" + (f", `{decoded}` string" if decoded else "")
-    return base.join(joined, ["k1", "k2"], "left").select("id", "codes", "rare").mapInArrow(filled, schema)
+    return base.join(joined, ["k1", "k2"], "left").select("id", "codes", "rare").mapInArrow(lean(filled), schema)
 
 
 def count_tokens(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str | None = None, table_words: int = TABLE_WORDS) -> DataFrame:
@@ -310,7 +310,7 @@ def count_tokens(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 total[first : first + n] = np.bincount(rows, each, n)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(total)], ["k1", "k2", "id", "known"])
 
-    base = split.docs.select("k1", "k2", "id", "text").mapInArrow(known, f"k1 bigint, k2 bigint, id {split.kind}, known bigint")
+    base = split.docs.select("k1", "k2", "id", "text").mapInArrow(lean(known), f"k1 bigint, k2 bigint, id {split.kind}, known bigint")
     rare = split.rare.select("k1", "k2", F.expr("octet_length(ids) div 4").alias("n")).groupBy("k1", "k2").agg(F.sum("n").alias("more"))
     # rows that are alike have one key, under which the rare words of all of them were added up
     alike = F.count("*").over(Window.partitionBy("k1", "k2"))

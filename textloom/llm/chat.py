@@ -26,6 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm._arrays import lean
+
 
 @dataclass(frozen=True)
 class Template:
@@ -124,7 +126,7 @@ def format_chats(turns: DataFrame, conv_column: str = "conv_id", turn_column: st
                 part += len(first)
 
     schema = f"`{conv_column}` {kind}, task int, part bigint, n_turns bigint, formatted string, loss_starts array<bigint>, loss_ends array<bigint>"
-    return ranged.select("conv", "role", "text", F.spark_partition_id().alias("task")).mapInArrow(f, schema)
+    return ranged.select("conv", "role", "text", F.spark_partition_id().alias("task")).mapInArrow(lean(f), schema)
 
 
 def read_turns(formatted: str, template: Template = Template()) -> list[tuple[str, str]]:
@@ -181,4 +183,4 @@ def digest_chats(formatted: DataFrame, conv_column: str = "conv_id", template: T
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     parts = formatted.repartition(conv_column).sortWithinPartitions(conv_column, "task", "part")
-    return parts.select(conv_column, "formatted", "loss_starts", "loss_ends").mapInArrow(f, f"`{conv_column}` {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return parts.select(conv_column, "formatted", "loss_starts", "loss_ends").mapInArrow(lean(f), f"`{conv_column}` {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")

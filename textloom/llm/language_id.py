@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._arrays import blocks, hash_spans
+from textloom.llm._arrays import blocks, hash_spans, lean
 from textloom.llm._codepoints import LETTER, classes, code_points
 from textloom.llm._staging import stage
 
@@ -199,7 +199,7 @@ def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
                 words = [units[s:e].tobytes().decode("utf-32-le") for s, e in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({"k": pa.array(lang[first + of[one]], pa.int32()), "word": words, "n": pa.array(np.bincount(each), pa.int64())})
 
-    words = stage(rows.mapInArrow(counted, "k int, word string, n bigint").groupBy("k", "word").agg(F.sum("n").alias("n")).filter("length(word) <= 33"), "fit-words")
+    words = stage(rows.mapInArrow(lean(counted), "k int, word string, n bigint").groupBy("k", "word").agg(F.sum("n").alias("n")).filter("length(word) <= 33"), "fit-words")
     vocab_size = len(pieces(path).words)
     chance = np.full((vocab_size + 1, len(langs)), 1 / (vocab_size + 1))
     chance[-1] = _LONE
@@ -217,7 +217,7 @@ def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
             piece, lang = np.nonzero(out)
             yield pa.RecordBatch.from_pydict({"piece": pa.array(piece, pa.int32()), "k": pa.array(lang, pa.int32()), "uses": out[piece, lang]})
 
-        found = words.mapInArrow(expected, "piece int, k int, uses double").groupBy("piece", "k").agg(F.sum("uses").alias("uses")).toArrow()
+        found = words.mapInArrow(lean(expected), "piece int, k int, uses double").groupBy("piece", "k").agg(F.sum("uses").alias("uses")).toArrow()
         uses = np.full(chance.shape, _SMOOTH)
         uses[found["piece"].to_numpy(), found["k"].to_numpy()] += found["uses"].to_numpy()
         chance = uses / uses.sum(axis=0)
@@ -277,4 +277,4 @@ def predict(docs: DataFrame, model: Model, text_column: str = "text", keep: list
     text = fresh(docs, "tl_text")
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_column).alias(text))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"`{names[0]}` string", f"`{names[1]}` double"])
-    return rows.mapInArrow(f, schema)
+    return rows.mapInArrow(lean(f), schema)

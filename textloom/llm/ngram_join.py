@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm._arrays import mix, shingle_sets
+from textloom.llm._arrays import lean, mix, shingle_sets
 from textloom.llm._bloom import build, filter_bits, flagged, maybe
 from textloom.llm._graph import components, merged
 from textloom.llm._staging import fresh, small, stage
@@ -67,7 +67,7 @@ def _features(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cid), pa.array(n), b.column(2)], ["id", "cid", "n", "th"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text", F.xxhash64("text").alias("th")).mapInArrow(f, f"id {kind}, cid bigint, n bigint, th bigint")
+    return docs.select("id", "text", F.xxhash64("text").alias("th")).mapInArrow(lean(f), f"id {kind}, cid bigint, n bigint, th bigint")
 
 
 def _members(docs: DataFrame, width: int, sampled: bool, wanted=None) -> DataFrame:
@@ -98,7 +98,7 @@ def _members(docs: DataFrame, width: int, sampled: bool, wanted=None) -> DataFra
         cols = {"h": np.concatenate(hs).view(np.int64), "cid": np.concatenate(cids)} | ({} if sampled else {"n": np.concatenate(ns)})
         return pa.RecordBatch.from_pydict(cols)
 
-    return docs.select("text", F.xxhash64("text").alias("th")).mapInArrow(f, "h bigint, cid bigint" + ("" if sampled else ", n int"))
+    return docs.select("text", F.xxhash64("text").alias("th")).mapInArrow(lean(f), "h bigint, cid bigint" + ("" if sampled else ", n int"))
 
 
 def _prefixes(listed: DataFrame, percent: int) -> DataFrame:
@@ -123,7 +123,7 @@ def _prefixes(listed: DataFrame, percent: int) -> DataFrame:
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int32()), strict=True)], ["cid", "n", "toks", "prefix", "gid", "first"])
 
-    return listed.mapInArrow(f, "cid bigint, n int, toks binary, prefix array<bigint>, gid bigint, first int")
+    return listed.mapInArrow(lean(f), "cid bigint, n int, toks binary, prefix array<bigint>, gid bigint, first int")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -142,7 +142,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep))], ["a", "b"])
 
     sets = lambda k: classes.select(F.col("cid").alias(k), F.col("n").alias(f"n{k}"), F.col("toks").alias(f"t{k}"))
-    return stage(pairs.join(sets("a"), "a").join(sets("b"), "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(f, "a bigint, b bigint"), "links")
+    return stage(pairs.join(sets("a"), "a").join(sets("b"), "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(lean(f), "a bigint, b bigint"), "links")
 
 
 def _matrix_links(x: pa.StructArray, y: pa.StructArray, percent: int) -> list[tuple[int, int]]:
@@ -202,7 +202,7 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
                 if links:
                     yield pa.RecordBatch.from_pydict({"a": [a for a, _ in links], "b": [c for _, c in links]})
 
-    return stage(met.mapInArrow(f, "a bigint, b bigint"), "links")
+    return stage(met.mapInArrow(lean(f), "a bigint, b bigint"), "links")
 
 
 def _possible(n1: str, n2: str, p1: str, p2: str, percent: int) -> Column:

@@ -27,3 +27,19 @@ def test_query(spark, duck, name):
     assert sorted(names) == columns
     expected = sorted(repr(tuple(r[names.index(c)] for c in columns)) for r in result.fetchall())
     assert sorted(repr(tuple(r)) for r in df.select(columns).collect()) == expected
+
+
+@pytest.mark.parametrize("block", [4096, 2])
+def test_short_patterns(spark, duck, tmp_path, monkeypatch, block):
+    from textloom.plans import catalog
+
+    monkeypatch.setattr(catalog, "SHORT_PATTERNS", block)
+    items = ["Thing.\nmore", "foo ba", "one two three\nx", "42 %", "\nno first line", None, "  ", "é", "a.b.c"]
+    texts = ["Something. Thing.", "foo bar", "so foo ba", "someone two threefold", "one twos three", "at 42 %", "no first line", "", None, "a  b", "café", "a.b c", "xa.b.cd"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sql = oracle_sql()["pattern_table_semi"]
+    for name in ("benchmark", "documents"):
+        sql = sql.replace(f"FROM {name}", f"FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = {r.doc_id for r in queries()["pattern_table_semi"](spark, str(tmp_path)).collect()}
+    assert got == {r[0] for r in duck.execute(sql).fetchall()} == {0, 1, 2, 3, 5, 9, 10, 12}

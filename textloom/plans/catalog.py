@@ -116,16 +116,29 @@ _Q["null_records"] = lambda spark, sf: L.search_lines(_docs(spark, sf).withColum
 _SQL["null_records"] = "SELECT doc_id, line_no, line FROM (SELECT doc_id, unnest(string_split(text, '.')) AS line, CAST(generate_subscripts(string_split(text, '.'), 1) AS BIGINT) AS line_no FROM documents) WHERE regexp_matches(line, '(?m)^The')"
 
 
+#: Patterns of fewer than three words that are broadcast together, in expectation.
+SHORT_PATTERNS = 4096
+
+
 def _patterns(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that hold one of the test items' first lines, as a set of patterns; the items are split into blocks of bounded size."""
+    """Documents that hold one of the test items' first lines, as a set of patterns.
+
+    A word inside a pattern has marks on both sides, so a text that holds the pattern holds it as a whole word: patterns
+    of three words or more are looked up by their second. The others, whose words may be parts of a text's words, are
+    tried on each text, in broadcast blocks of about SHORT_PATTERNS.
+    """
     firsts = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.substring_index("text", "\n", 1).alias("p")).filter("p <> ''").distinct()
     docs = _docs(spark, sf)
     words = lambda c: F.split(F.regexp_replace(c, "[^\\p{L}]+", " "), " ")
-    # a text that holds a pattern holds the pattern's second word; pairs are only made where it does
-    keyed = firsts.select("p", F.get(F.filter(words(F.col("p")), lambda w: w != ""), 1).alias("w"))
-    some = keyed.filter("w is not null")
-    rare = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("w")).join(some.select("w").distinct(), "w", "left_semi")
-    hits = rare.join(some, "w").select("doc_id", "p").join(docs, "doc_id").filter(F.contains("text", F.col("p"))).select("doc_id")
+    found = F.filter(words(F.col("p")), lambda w: w != "")
+    long = firsts.filter(F.size(found) > 2).select("p", F.get(found, 1).alias("w"))
+    rare = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("w")).join(long.select("w").distinct(), "w", "left_semi")
+    hits = rare.join(long, "w").select("doc_id", "p").join(docs, "doc_id").filter(F.contains("text", F.col("p"))).select("doc_id")
+    short = firsts.filter(F.size(found) < 3)
+    blocks = -(-short.count() // SHORT_PATTERNS)
+    for k in range(blocks):
+        block = short.filter(F.pmod(F.xxhash64("p"), F.lit(blocks)) == k)
+        hits = hits.unionAll(docs.join(F.broadcast(block), F.contains("text", F.col("p")), "left_semi").select("doc_id"))
     return hits.distinct()
 
 

@@ -285,6 +285,54 @@ def test_license_scan(spark):
     assert scan_licenses(df.limit(0)).count() == 0
 
 
+LEAD = {"bare": "", "indented": "    ", "hash": "# ", "slashes": "// ", "star": " * ", "dashes": "-- ", "semicolon": ";; ", "no space": "#", "quoted": "> # ", "batch": ":: "}
+
+
+@pytest.mark.parametrize("width", [10_000, 60])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_license_every_rule(spark, width, end):
+    import textwrap
+
+    from textloom.llm.license_scan import RULES, SENTENCES, scan_licenses
+
+    rows, expected = [], set()
+
+    def add(lines, rule):
+        rows.append((len(rows), end.join(lines)))
+        expected.add((len(rows) - 1, rule, 1))
+
+    by_sentence = {seq[0]: rule for rule, _, seq in RULES if len(seq) == 1}
+    cases = [(seq, rule) for rule, _, seq in RULES] + [((k,), by_sentence[k]) for k in SENTENCES if k in by_sentence]
+    assert set(SENTENCES) == {k for seq, _ in cases for k in seq}
+    for seq, rule in cases:
+        for lead in LEAD.values():
+            # a notice without a full stop, an empty line, and the sentences with empty lines between
+            lines = ["Copyright 2024 X"]
+            for k in seq:
+                lines += ["", *textwrap.wrap(SENTENCES[k], width)]
+            add([(lead + x).rstrip() for x in [*lines, "", "import os"]], rule)
+        one = " ".join(SENTENCES[k] for k in seq if k != "apache2-obtain")
+        if "apache2-obtain" not in seq:
+            add([f"/* {one}*/", "int x"], rule)
+            add([f"<!-- {one}-->", "<p>"], rule)
+            add([f'"""{one}"""', "import os"], rule)
+    got = {(r.doc_id, r.rule, r.matches) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == expected
+
+
+def test_license_pieces(spark):
+    from textloom.llm.license_scan import SENTENCES, scan_licenses
+
+    s = SENTENCES
+    first, second = s["gpl-grant"].split(": ")
+    cases = [
+        (1, f"{first}: No. {second}"), (2, f"{first}:"), (3, second), (4, f"{s['mit-grant']}\n{first}:\n{s['mit-notice']}"), (5, f"{s['gpl-grant']} {s['gpl-grant']}"),
+        (6, f"{s['gpl-grant']} See below. {s['gpl-warranty']}"),
+    ]
+    got = {(r.doc_id, r.rule, r.matches) for r in scan_licenses(spark.createDataFrame(cases, "doc_id long, text string")).collect()}
+    assert got == {(4, "mit-text", 1), (5, "gpl-3.0-grant", 2), (6, "gpl-3.0-header", 1)}
+
+
 # -- 8: URL filters
 
 URLS = [

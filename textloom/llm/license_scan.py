@@ -1,7 +1,8 @@
 """License scans by sentence rules, in DataFrame functions only.
 
 Texts are cut into sentences, sentences normalised to lower-case words, and those that are known license sentences
-become identifiers. A rule is a sequence of identifiers; rules are tried in order, longest first, on the sequence of
+become identifiers. A known sentence that would be cut inside is known by its pieces, which must follow each other.
+Marks at line starts, as those of comments, don't count. A rule is a sequence of identifiers; rules are tried in order, longest first, on the sequence of
 a document's identifiers. A rule that matches claims its sentences, so a later rule doesn't report them again.
 
 Only texts that hold a trigger are cut; each known sentence holds one, so none is missed.
@@ -9,6 +10,8 @@ Only texts that hold a trigger are cut; each known sentence holds one, so none i
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,19 +58,29 @@ _MARK = "\u0001"
 _STARTERS = sorted({s.split()[0] for s in SENTENCES.values()})
 
 
-def normalised(sentence: str) -> str:
-    import re
+#: Marks at a line's start: # // * -- ; > <!-- and whatever else has no letter, digit or end of a sentence; a batch file's ::.
+_LEADING = r"(?md)^(?:::)?[^\p{L}\p{N}\n.!?:]+"
+#: An end of a sentence, and the quotes or comment's end that close it.
+_END = r"""([.!?:][*/>)\]}"'-]*)[ \t\n\x0B\f\r]+"""
+
 
+def normalised(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
 def sentences_of(text: Column) -> Column:
-    """Sentences end at . ! ? : before white space, at blank lines, and at line ends before a known first word."""
-    text = F.regexp_replace(text, r"([.!?:])[ \t\n\x0B\f\r]+", "$1" + _MARK)
+    """Sentences end at . ! ? : before white space, at blank lines, and at line ends before a known first word; marks at line starts are left out."""
+    text = F.regexp_replace(F.regexp_replace(text, _LEADING, ""), _END, "$1" + _MARK)
     text = F.regexp_replace(text, r"\n[ \t\r]*\n", _MARK)
     return F.split(F.regexp_replace(text, rf"\n[ \t]*({'|'.join(_STARTERS)})", _MARK + "$1"), _MARK)
 
 
+def _pieces(key: str) -> dict[str, str]:
+    """A known sentence's pieces as texts are cut, normalised, with their identifiers; a whole sentence has the key's own."""
+    cut = [normalised(p) for p in re.split(_END.replace("(", "(?:", 1), SENTENCES[key])]
+    return {cut[0]: f"<{key}>"} if len(cut) == 1 else {p: f"<{key}:{i}>" for i, p in enumerate(cut)}
+
+
 def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, rule, license, matches): a row for each document and rule that matches, matches being how often.
 
@@ -75,9 +88,15 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     columns aren't carried; an empty table gives an empty result.
     """
     text = F.col(text_column)
-    known = F.create_map(*(F.lit(x) for k, s in SENTENCES.items() for x in (normalised(s), f"<{k}>")))
+    pieces = {k: _pieces(k) for k in SENTENCES}
+    known = F.create_map(*(F.lit(x) for found in pieces.values() for pair in found.items() for x in pair))
     plain = F.transform(sentences_of(text), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    ids = F.array_join(F.transform(plain, lambda s: F.try_element_at(known, s)), "")
+    # other sentences are bars, until pieces side by side have become their sentence
+    ids = F.array_join(F.transform(plain, lambda s: F.when(s == "", "").otherwise(F.coalesce(F.try_element_at(known, s), F.lit("|")))), "")
+    for k, found in pieces.items():
+        if len(found) > 1:
+            ids = F.replace(ids, F.lit("".join(found.values())), F.lit(f"<{k}>"))
+    ids = F.regexp_replace(ids, r"\||<[^>]*:\d+>", "")
     rows = docs.filter(text.rlike(TRIGGER)).select(F.col(id_column), ids.alias("ids")).filter("ids <> ''")
 
     rules = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(lic).alias("license"), F.lit("".join(f"<{k}>" for k in seq)).alias("seq")) for r, lic, seq in RULES))

@@ -172,6 +172,27 @@ def test_rollup(spark, tmp_path):
     assert set(r.commits()) == {"b1", "b2", "b3"}
 
 
+def test_rollup_half_written_markers(spark, tmp_path):
+    from textloom.llm.token_rollup import CHANGES, TokenRollup
+
+    r = TokenRollup(spark, str(tmp_path / "r"))
+    load = spark.createDataFrame([("insert", "a", "en", "v1", 5, None)], CHANGES)
+    markers = tmp_path / "r" / "commits"
+    markers.mkdir(parents=True)
+    for name, text in (("b1", ""), ("b2", "b2-0123"), ("b2~1", "")):
+        (markers / name).write_text(text)
+    assert r.commits() == {} and r.totals().count() == 0
+    assert r.commit("b1", load) and not r.commit("b1", load)
+    assert r.commit("b2", load) and not r.commit("b2", load)
+    assert set(r.commits()) == {"b1", "b2"} and rows_of(r.totals(), "docs", "tokens") == [(2, 10)]
+
+    # a writer that was only slow: its marker comes first then, and the batch still counts once
+    signed = tmp_path / "r" / "deltas" / ("b1-" + "0" * 32)
+    (tmp_path / "r" / "deltas" / r.commits()["b1"]).rename(signed)
+    (markers / "b1").write_text(signed.name)
+    assert rows_of(r.totals(), "docs", "tokens") == [(2, 10)]
+
+
 def test_token_counts_query(spark):
     from public_tokenizers import path
     from tokenizers import Tokenizer

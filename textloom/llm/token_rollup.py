@@ -5,8 +5,10 @@ added up by source, language and tokenizer version, before anything is stored; a
 and adds the new. Totals are the sum of the deltas of all committed batches, so a commit costs what its batch holds.
 
 Commits are idempotent. A batch's deltas are written to a folder of their own attempt; then a marker named by the
-batch is created, which the file system lets only one attempt do. Totals read the attempts that markers name, so a
-batch that is sent again, or whose job died half-way and ran again, counts once.
+batch is created, which the file system lets only one attempt do, and the attempt's name is written into it. A marker
+whose writer died in between doesn't count, and the next attempt makes another after it (batch~1, batch~2, ...). Totals
+read the attempt that a batch's first whole marker names, so a batch that is sent again, or whose job died anywhere and
+ran again, counts once.
 """
 
 from __future__ import annotations
@@ -50,8 +52,20 @@ class TokenRollup:
         folder = self._hadoop(f"{self.path}/commits")
         if not self._fs.exists(folder):
             return {}
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return {n: self._read(f"{self.path}/commits/{n}") for n in names}
+        names = [s.getPath().getName().partition("~") for s in self._fs.listStatus(folder)]
+        out = {}
+        for batch, k in sorted((batch, int(k or 0)) for batch, _, k in names):
+            if batch not in out and (attempt := self._named(batch, k)):
+                out[batch] = attempt
+        return out
+
+    def _marker(self, batch: str, k: int) -> str:
+        return f"{self.path}/commits/{batch}" + (f"~{k}" if k else "")
+
+    def _named(self, batch: str, k: int) -> str | None:
+        """The attempt that a batch's k-th marker names; None if its writer didn't come to an end."""
+        text = self._read(self._marker(batch, k))
+        return text if re.fullmatch(re.escape(batch) + "-[0-9a-f]{32}", text) else None
 
     def _read(self, path: str) -> str:
         stream = self._fs.open(self._hadoop(path))
@@ -64,24 +78,30 @@ class TokenRollup:
         """Add a batch of changes once; False if a batch of this name is there already."""
         if not re.fullmatch(r"[\w.-]+", batch):
             raise ValueError(f"a batch's name has letters, digits, . _ and - only: {batch!r}")
-        marker = self._hadoop(f"{self.path}/commits/{batch}")
-        if self._fs.exists(marker):
-            return False
+        k = 0
+        while self._fs.exists(self._hadoop(self._marker(batch, k))):
+            if self._named(batch, k):
+                return False
+            k += 1
         attempt = f"{batch}-{uuid.uuid4().hex}"
         signed_deltas(changes).write.parquet(f"{self.path}/deltas/{attempt}")
-        try:
-            stream = self._fs.create(marker, False)
-        except Exception as e:
-            if "FileAlreadyExists" in str(e):
-                return False
-            raise
+        while True:
+            try:
+                stream = self._fs.create(self._hadoop(self._marker(batch, k)), False)
+                break
+            except Exception as e:
+                if "AlreadyExists" not in str(e) and "AlreadyBeingCreated" not in str(e):
+                    raise
+                if self._named(batch, k):
+                    return False
+                k += 1
         stream.write(bytearray(attempt.encode()))
         stream.close()
         return True
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, docs, tokens) of all committed batches; groups that have come to nothing are left out."""
-        paths = [f"{self.path}/deltas/{a}" for a in sorted(self.commits().values()) if a]
+        paths = [f"{self.path}/deltas/{a}" for a in sorted(self.commits().values())]
         rows = self.spark.read.schema(DELTAS).parquet(*paths) if paths else self.spark.createDataFrame([], DELTAS)
         return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 or tokens <> 0")
 

@@ -6,8 +6,8 @@ result. Positions of all other words are sent by word, so that each distinct wor
 words, and its ids join back to the documents by position. What is sent of a document is a code for each word of
 the table, in about two bytes.
 
-Decoding. Ids join the table of pieces, which has a row for each id of the vocabulary, and the pieces' bytes are
-put together in order.
+Decoding. Each row's ids are looked up in arrays of the vocabulary's pieces, which every Python worker has loaded for
+encoding, and the pieces' bytes are put together in order. There is no table of pieces and no join.
 """
 
 from __future__ import annotations

@@ -43,3 +43,9 @@ def test_short_patterns(spark, duck, tmp_path, monkeypatch, block):
         sql = sql.replace(f"FROM {name}", f"FROM '{tmp_path}/{name}.parquet/*.parquet'")
     got = {r.doc_id for r in queries()["pattern_table_semi"](spark, str(tmp_path)).collect()}
     assert got == {r[0] for r in duck.execute(sql).fetchall()} == {0, 1, 2, 3, 5, 9, 10, 12}
+
+
+def test_max_depth_keeps_and_drops(spark):
+    every = queries()["files_listing"](spark, SF).count()
+    kept = [r.path.count("/") + 1 for r in queries()["max_depth_mixed"](spark, SF).collect()]
+    assert set(kept) == {1, 2} and 0 < len(kept) < every

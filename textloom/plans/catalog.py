@@ -154,6 +154,13 @@ def _paths(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", "text", F.concat_ws("/", "source", "lang", name).alias("path"))
 
 
+def _mixed_depths(spark: SparkSession, sf: str) -> DataFrame:
+    """The same at depths of 1, 2 and 3: without both directories, without the first, or with both."""
+    parts = F.split("path", "/")
+    drop = F.lit(2) - F.pmod("doc_id", F.lit(3)).cast("int")
+    return _paths(spark, sf).withColumn("path", F.array_join(F.slice(parts, drop + 1, F.size(parts)), "/"))
+
+
 _PATH_SQL = "p AS (SELECT doc_id, text, concat_ws('/', source, lang, concat(CASE WHEN doc_id % 11 = 0 THEN '.' ELSE '' END, doc_id, '.', ['txt', 'md', 'py', 'rs', 'LOG'][doc_id % 5 + 1])) AS path FROM documents)"
 _BARE = "doc_id % 11 <> 0"
 
@@ -170,6 +177,8 @@ _files("iglob_filter", _BARE + " AND path LIKE '%.LOG'", iglobs=["*.log"])
 _files("type_filter", _BARE + " AND (path LIKE '%.py' OR path LIKE '%.rs')", types=lambda _: Types().select("py").select("rust"))
 _files("type_not", _BARE + " AND NOT path LIKE '%.md'", types=lambda _: Types().negate("markdown"))
 _files("max_depth", "false", max_depth=2)
+_Q["max_depth_mixed"] = lambda spark, sf: P.select_files(_mixed_depths(spark, sf), max_depth=2).select("doc_id", "path")
+_SQL["max_depth_mixed"] = f"WITH {_PATH_SQL}, q AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN string_split(path, '/')[3] WHEN 1 THEN regexp_replace(path, '^[^/]*/', '') ELSE path END AS path FROM p) SELECT doc_id, path FROM q WHERE {_BARE} AND doc_id % 3 < 2"
 _files("max_filesize", _BARE + " AND strlen(text) <= 1024", max_size=1024)
 
 

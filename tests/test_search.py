@@ -125,6 +125,27 @@ def test_outer_ignore_rules(spark, tree, tmp_path):
     assert order == sorted(order, key=lambda p: p.split("/"), reverse=True)
 
 
+def test_repositories(spark, tmp_path):
+    for path, text in {
+        "a/.gitignore": "x.txt\n", "a/x.txt": "", "a/y.txt": "", "a/sub/x.txt": "", "a/sub/y.txt": "", "a/.git/info/exclude": "/sub/y.txt\n",
+        "a/.git/worktrees/w/info/exclude": "/sub/y.txt\n", "w/.git": f"gitdir: {tmp_path}/a/.git/worktrees/w\n", "w/.gitignore": "z.txt\n", "w/x.txt": "", "w/z.txt": "", "w/sub/y.txt": "",
+        "a/in/.jj/m": "", "a/in/x.txt": "", "a/in/.gitignore": "q.txt\n", "a/in/q.txt": "", "plain/.gitignore": "x.txt\n", "plain/x.txt": "", ".gitignore": "y.txt\n", "own": "z.txt\nq.txt\n",
+    }.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    paths = lambda *roots, **o: {f"{r.root[len(str(tmp_path)) + 1 :]}:{r.path}" for r in S.files(spark, [f"{tmp_path}/{x}".rstrip("/") for x in roots], S.Options(**o)).collect()}
+    inner = {"a/y.txt", "a/in/x.txt", "w/x.txt", "plain/x.txt", "own"}
+    # a folder of several repositories, one a worktree, one inside another; rules outside repositories don't count
+    assert paths("") == {f":{x}" for x in inner}
+    # a directory of a repository, and roots of which some are repositories
+    assert paths("a/sub") == set() and paths("a/in") == {"a/in:x.txt"}
+    assert paths("a/sub", no_ignore_parent=True) == {"a/sub:x.txt", "a/sub:y.txt"}
+    assert paths("a", "plain", "w") == {"a:y.txt", "a:in/x.txt", "plain:x.txt", "w:x.txt"}
+    assert paths("a/in", "plain", no_require_git=True) == set()
+    # the user's own rules count in repositories only
+    assert paths("w", "plain", global_ignore=f"{tmp_path}/a/.gitignore") == {"plain:x.txt"}
+
+
 def test_scalars(spark):
     from pyspark.sql import functions as F
 

@@ -38,12 +38,13 @@ def rules_of(files: DataFrame) -> DataFrame:
     return files.select("source", "dir", prefix, "content").mapInPandas(f, RULES)
 
 
-def with_verdicts(files: DataFrame, rules: DataFrame, path_column: str = "path", sources: tuple[str, ...] = SOURCES) -> DataFrame:
+def with_verdicts(files: DataFrame, rules: DataFrame, path_column: str = "path", sources: tuple[str, ...] = SOURCES, repositories: DataFrame | None = None) -> DataFrame:
     """The files with `ignored` and `whitelisted`, by rules of directories above them.
 
     A rule of a directory is matched with the path below that directory. In a source the innermost directory with a
     match decides, by its last rule that matches; of sources the strongest that decides. A file under an ignored
-    directory is ignored, whatever rules say of the file itself.
+    directory is ignored, whatever rules say of the file itself. Given repositories' (dir, prefix), rules of GIT_SOURCES
+    count for what is inside one only, and those of directories above the nearest one don't; global ones have no place.
     """
     paths = files.select(path_column).distinct()
     entries = paths.select(F.col(path_column).alias("file"), F.posexplode(ancestors(F.col(path_column))).alias("at", "entry"), F.size(F.split(path_column, "/")).alias("n"))
@@ -52,6 +53,10 @@ def with_verdicts(files: DataFrame, rules: DataFrame, path_column: str = "path",
     rank = F.create_map(*(F.lit(x) for i, s in enumerate(sources) for x in (s, i)))
     own = rules.filter(F.col("source").isin(*sources)).withColumn("rank", F.element_at(rank, F.col("source")))
     hits = above.join(own, "dir").filter((~F.col("directories_only") | F.col("is_dir")) & F.expr("concat(prefix, if(dir = '', entry, substring(entry, length(dir) + 2))) rlike regex"))
+    if repositories is not None:
+        level = F.length("dir") - F.length("prefix")
+        nearest = above.join(repositories, "dir").groupBy("file", "entry").agg(F.max(level).alias("repository"))
+        hits = hits.join(nearest, ["file", "entry"], "left").filter(~F.col("source").isin(*GIT_SOURCES) | (F.col("repository").isNotNull() & ((F.col("source") == "global") | (level >= F.col("repository")))))
     per = hits.groupBy("file", "entry", "at", "rank").agg(F.max_by("whitelist", F.struct(F.length("dir") - F.length("prefix"), "idx")).alias("whitelist"))
     per = per.groupBy("file", "entry", "at").agg(F.min_by("whitelist", "rank").alias("whitelist"))
     last = per.groupBy("file").agg(F.max((~F.col("whitelist")).cast("int")).alias("any_ignored"), F.max_by("whitelist", "at").alias("own"), F.max("at").alias("deepest"))
@@ -69,8 +74,11 @@ def depth(path: Column) -> Column:
     return F.size(F.split(path, "/"))
 
 
-def select_files(files: DataFrame, path_column: str = "path", show_hidden: bool = False, globs: list[str] | None = None, iglobs: list[str] | None = None, types: Types | None = None, max_depth: int | None = None, max_size: int | None = None, size: Column | None = None, rules: DataFrame | None = None, sources: tuple[str, ...] = SOURCES) -> DataFrame:
-    """The files that are searched. Globs beat ignore rules, whitelisted files are shown though hidden."""
+def select_files(files: DataFrame, path_column: str = "path", show_hidden: bool = False, globs: list[str] | None = None, iglobs: list[str] | None = None, types: Types | None = None, max_depth: int | None = None, max_size: int | None = None, size: Column | None = None, rules: DataFrame | None = None, sources: tuple[str, ...] = SOURCES, rules_path: str | None = None, repositories: DataFrame | None = None) -> DataFrame:
+    """The files that are searched. Globs beat ignore rules, whitelisted files are shown though hidden.
+
+    rules_path is a column with the paths that the rules' directories are of, by default the paths themselves.
+    """
     path = F.col(path_column)
     columns = files.columns
     keep = overridden(path, globs or []) & overridden(path, iglobs or [], ignore_case=True)
@@ -82,7 +90,7 @@ def select_files(files: DataFrame, path_column: str = "path", show_hidden: bool
         keep = keep & ((F.octet_length("text") if size is None else size) <= max_size)
     files = files.filter(keep)
     if rules is not None:
-        files = with_verdicts(files, rules, path_column, sources).filter("not ignored")
+        files = with_verdicts(files, rules, rules_path or path_column, sources, repositories).filter("not ignored")
         seen = ~hidden(path) | F.col("whitelisted")
     else:
         seen = ~hidden(path)

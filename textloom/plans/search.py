@@ -93,13 +93,15 @@ def files(spark: SparkSession, paths: list[str], options: Options = Options()) -
     found = every.filter("kind = 'file'")
     explicit, walked = found.filter("explicit"), found.filter("not explicit")
     sources = _sources(options)
-    if not options.no_require_git and every.filter("kind = 'dir' and path in ('.git', '.jj')").isEmpty():
-        sources = tuple(s for s in sources if s not in P.GIT_SOURCES)
-    rules = None
+    rules = repositories = None
     if sources:
         outer = S.outer_ignore_files(spark, paths, not options.no_ignore_parent and not options.no_ignore, options.ignore_files, options.global_ignore)
-        rules = P.rules_of(S.ignore_files(walked).unionByName(outer))
-    walked = P.select_files(walked, "path", options.hidden, list(options.globs), list(options.iglobs), options._types(), None, options.max_filesize, F.col("size"), rules, sources)
+        inside = S.repositories(every)
+        rules = P.rules_of(S.ignore_files(walked, inside).unionByName(outer.filter("source <> 'repository'")))
+        if not options.no_require_git:
+            repositories = inside.select("dir", "prefix").unionByName(outer.filter("source = 'repository'").select("dir", "prefix"))
+    walked = walked.withColumn("key", S.keyed(F.col("path")))
+    walked = P.select_files(walked, "path", options.hidden, list(options.globs), list(options.iglobs), options._types(), None, options.max_filesize, F.col("size"), rules, sources, "key", repositories).drop("key")
     return walked.unionByName(explicit).select("root_idx", "root", "path", "depth", "explicit", "size", "mtime", "kind")
 
 

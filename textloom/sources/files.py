@@ -20,6 +20,8 @@ FILES = "root_idx int, root string, path string, depth int, explicit boolean, si
 CHUNK = 1 << 16
 #: Names of ignore files and the sources of their rules.
 IGNORE_FILES = {".rgignore": "rgignore", ".ignore": "ignore", ".gitignore": "gitignore"}
+#: What makes a directory a repository.
+REPOSITORY = (".git", ".jj")
 
 
 def _row(idx: int, root: str, full: str, follow: bool, device: int | None, explicit: bool, above: frozenset) -> tuple:
@@ -102,42 +104,73 @@ def read_files(files: DataFrame, content: str = "content") -> DataFrame:
     return files.filter("kind = 'file'").withColumn(content, read("root", "path", "explicit"))
 
 
-def ignore_files(files: DataFrame) -> DataFrame:
+def keyed(path: Column) -> Column:
+    """The path with its root's number as its first directory, so that rules of one root don't meet paths of another."""
+    return F.concat(F.col("root_idx").cast("string"), F.when(path == "", "").otherwise(F.concat(F.lit("/"), path)))
+
+
+def repositories(every: DataFrame) -> DataFrame:
+    """(root_idx, root, path, dir, prefix) of the directories in the trees that hold a .git or .jj of any kind."""
+    marks = every.filter("not explicit").filter(F.element_at(F.split("path", "/"), -1).isin(*REPOSITORY))
+    where = F.regexp_replace("path", "/?[^/]*$", "")
+    return marks.select("root_idx", "root", where.alias("path")).distinct().select("*", keyed(F.col("path")).alias("dir"), F.lit("").alias("prefix"))
+
+
+def _content(path: str) -> str | None:
+    try:
+        with open(path, encoding="utf-8", errors="replace") as f:
+            return f.read()
+    except OSError:
+        return None
+
+
+def exclude_of(directory: str) -> str | None:
+    """A repository's info/exclude; where .git is a file, as in a worktree, that of the directory that it names."""
+    git = os.path.join(directory, ".git")
+    if os.path.lexists(git) and not os.path.isdir(git):
+        text = (_content(git) or "").strip()
+        if not text.startswith("gitdir:"):
+            return None
+        git = os.path.join(directory, text.removeprefix("gitdir:").strip())
+    return _content(os.path.join(git, "info", "exclude"))
+
+
+def ignore_files(files: DataFrame, repositories: DataFrame) -> DataFrame:
     """(source, dir, prefix, content) of the ignore files in the trees and of repositories' exclude files, for rules_of()."""
     name = F.element_at(F.split("path", "/"), -1)
-    exclude = F.col("path") == ".git/info/exclude"
-    named = files.filter(name.isin(*IGNORE_FILES) | exclude).select("*", name.alias("name"), exclude.alias("is_exclude"))
-    source = F.when(F.col("is_exclude"), "exclude").otherwise(F.try_element_at(F.create_map(*(F.lit(x) for kv in IGNORE_FILES.items() for x in kv)), F.col("name")))
-    where = F.when((F.col("path") == F.col("name")) | F.col("is_exclude"), "").otherwise(F.regexp_replace("path", "/[^/]*$", ""))
-    return read_files(named).select(source.alias("source"), where.alias("dir"), F.lit("").alias("prefix"), F.col("content").cast("string").alias("content"))
+    named = files.filter(name.isin(*IGNORE_FILES)).withColumn("name", name)
+    source = F.try_element_at(F.create_map(*(F.lit(x) for kv in IGNORE_FILES.items() for x in kv)), F.col("name"))
+    inside = read_files(named).select(source.alias("source"), keyed(F.regexp_replace("path", "/?[^/]*$", "")).alias("dir"), F.lit("").alias("prefix"), F.col("content").cast("string").alias("content"))
+
+    @F.pandas_udf("string")
+    def exclude(roots: pd.Series, paths: pd.Series) -> pd.Series:
+        return pd.Series([exclude_of(os.path.join(r, p) if p else r) for r, p in zip(roots, paths, strict=True)], dtype=object)
+
+    excluded = repositories.select(F.lit("exclude").alias("source"), "dir", "prefix", exclude("root", "path").alias("content")).filter("content is not null")
+    return inside.unionByName(excluded)
 
 
 def outer_ignore_files(spark: SparkSession, roots: list[str], parents: bool = True, explicit: tuple[str, ...] = (), global_file: str | None = None) -> DataFrame:
     """Such rows of the few ignore files that lie outside the trees: of directories above the roots, given ones, and the user's own.
 
-    Given files are one list in their order; those that can't be read are left out.
+    Given files are one list in their order; those that can't be read are left out. Repositories above the roots are
+    rows of source "repository", without content.
     """
     rows = []
-
-    def content(path: str) -> str | None:
-        try:
-            with open(path, encoding="utf-8", errors="replace") as f:
-                return f.read()
-        except OSError:
-            return None
-
-    for root in map(os.path.abspath, roots):
+    given = [t for t in map(_content, explicit) if t is not None]
+    for i, root in enumerate(map(os.path.abspath, roots)):
         here, above = root, os.path.dirname(root)
         while parents and above != here:
-            for name, source in IGNORE_FILES.items():
-                if (text := content(os.path.join(above, name))) is not None:
-                    rows.append((source, "", os.path.relpath(root, above) + "/", text))
+            found = [(source, _content(os.path.join(above, name))) for name, source in IGNORE_FILES.items()]
+            if any(os.path.lexists(os.path.join(above, name)) for name in REPOSITORY):
+                rows.append(("repository", str(i), os.path.relpath(root, above) + "/", None))
+                found.append(("exclude", exclude_of(above)))
+            rows += [(source, str(i), os.path.relpath(root, above) + "/", text) for source, text in found if text is not None]
             here, above = above, os.path.dirname(above)
-    given = [t for t in map(content, explicit) if t is not None]
-    if given:
-        rows.append(("explicit", "", "", "\n".join(given)))
-    if global_file and (text := content(global_file)) is not None:
-        rows.append(("global", "", "", text))
+        if given:
+            rows.append(("explicit", str(i), "", "\n".join(given)))
+        if global_file and (text := _content(global_file)) is not None:
+            rows.append(("global", str(i), "", text))
     return spark.createDataFrame(rows, "source string, dir string, prefix string, content string")
 
 

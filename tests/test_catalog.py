@@ -49,3 +49,15 @@ def test_max_depth_keeps_and_drops(spark):
     every = queries()["files_listing"](spark, SF).count()
     kept = [r.path.count("/") + 1 for r in queries()["max_depth_mixed"](spark, SF).collect()]
     assert set(kept) == {1, 2} and 0 < len(kept) < every
+
+
+def test_ignore_rules_broadcast(spark, monkeypatch):
+    from textloom.operators import paths
+
+    def plan_and_rows(most):
+        monkeypatch.setattr(paths, "BROADCAST_RULES", most)
+        df = queries()["ignore_rules"](spark, SF)
+        return df._jdf.queryExecution().optimizedPlan().toString(), sorted(map(tuple, df.collect()))
+
+    (few, rows), (many, same) = plan_and_rows(50_000), plan_and_rows(1)
+    assert "strategy=broadcast" in few and "strategy=broadcast" not in many and rows == same and rows

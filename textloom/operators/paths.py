@@ -12,6 +12,8 @@ from textloom.functions.globs import ancestors, overridden, parse_ignore_line
 SOURCES = ("rgignore", "ignore", "gitignore", "exclude", "global", "explicit")
 #: Sources that count only inside a repository.
 GIT_SOURCES = ("gitignore", "exclude", "global")
+#: Ignore rules that are broadcast at most; more are joined by directory.
+BROADCAST_RULES = 50_000
 RULES = "source string, dir string, prefix string, idx int, regex string, whitelist boolean, directories_only boolean"
 
 
@@ -52,7 +54,9 @@ def with_verdicts(files: DataFrame, rules: DataFrame, path_column: str = "path",
     above = entries.select("file", "entry", "at", "is_dir", F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(0), F.col("at")), lambda k: F.array_join(F.slice(F.split("entry", "/"), 1, k), "/")))).alias("dir")).distinct()
     rank = F.create_map(*(F.lit(x) for i, s in enumerate(sources) for x in (s, i)))
     own = rules.filter(F.col("source").isin(*sources)).withColumn("rank", F.element_at(rank, F.col("source")))
-    hits = above.join(own, "dir").filter((~F.col("directories_only") | F.col("is_dir")) & F.expr("concat(prefix, if(dir = '', entry, substring(entry, length(dir) + 2))) rlike regex"))
+    # every path meets the rules of directory '', so a join by directory would send all paths to one task
+    few = own.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
+    hits = above.join(F.broadcast(own) if few else own, "dir").filter((~F.col("directories_only") | F.col("is_dir")) & F.expr("concat(prefix, if(dir = '', entry, substring(entry, length(dir) + 2))) rlike regex"))
     if repositories is not None:
         level = F.length("dir") - F.length("prefix")
         nearest = above.join(repositories, "dir").groupBy("file", "entry").agg(F.max(level).alias("repository"))

@@ -409,7 +409,7 @@ def test_leaks(spark, monkeypatch, block):
     monkeypatch.setattr(D, "BLOCK_SEEDS", block)
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
-    items = [[word() for _ in range(n)] for n in (13, 40, 20, 5, 9, 11, 4, 30)]
+    items = [[word() for _ in range(n)] for n in (13, 40, 20, 5, 9, 11, 4, 30, 1, 2, 3, 7, 12)]
     bench = [(i, " ".join(w)) for i, w in enumerate(items)] + [(1, " ".join(items[1])), (20, None), (21, "")]
     filler = lambda n: [word() for _ in range(n)]
     rows = []
@@ -424,8 +424,6 @@ def test_leaks(spark, monkeypatch, block):
     out = D.find_leaks(df, spark.createDataFrame(bench, "item_id long, text string"))
 
     def matched(doc, item):
-        if len(item) < 5:
-            return 0
         width = min(13, len(item)) if len(item) >= 13 else len(item)
         best = 0
         for off in range(-len(item), len(doc)):

@@ -11,8 +11,11 @@ _OWN = "/tmp/checkpoints/textloom"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where that is unset, as in tests."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or _OWN
+    """The cluster's ``spark.checkpoint.dir``; where that is unset, a folder of our own if Spark runs on this machine only."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or _OWN
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
@@ -35,6 +38,20 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """rows LEFT JOIN groups on a key that groups has once; `weight` is how many of the `total` rows have the key.
+
+    No task gets a hot key: all groups are broadcast if they are few, else those that hold many rows, which are few:
+    at most BROADCAST_ROWS, as each holds a share of the total.
+    """
+    if groups.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), key, "left")
+    most = min(max(1, total // 512), max(10_000, total // BROADCAST_ROWS))
+    met = rows.join(F.broadcast(groups.filter(F.col(weight) > most)), key, "left")
+    rest = met.filter(F.col(weight).isNull()).select(*rows.columns).join(groups.filter(F.col(weight) <= most), key, "left")
+    return met.filter(F.col(weight).isNotNull()).unionByName(rest)
+
+
 def clear_staging(spark: SparkSession) -> None:
     """Remove every table that this application staged; call it when no result that reads them is needed any more."""
     jvm = spark.sparkContext._jvm

@@ -7,9 +7,10 @@ compared word by word, aligned with the item; an item contaminates a document wh
 least MATCHED words.
 
 Any window of 13 words with up to 2 substitutions holds one of the masks on unchanged words, whichever words were
-substituted (`misses` counts the exceptions: none), so no such window is missed. Items of 5 to 12 words are compared
-whole and may differ in a fifth of their words: their seeds are contiguous blocks, one more than the substitutions
-allowed, one of which must be unchanged.
+substituted (`misses` counts the exceptions: none), so no such window is missed. Items of fewer words are compared
+whole and may differ in a fifth of their words, those of fewer than 5 in none. Their mask takes every q-th word, q
+being one more than the substitutions allowed, from each of the first q places: the words of one such place must be
+unchanged, as substitutions can't fall on all of them.
 """
 
 from __future__ import annotations
@@ -20,12 +21,10 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._staging import stage
+from textloom.llm._staging import fresh, stage
 
 #: Words of a compared window, and how many of them must agree: 80 %.
 WINDOW, MATCHED = 13, 11
-#: Items of fewer words are matched with nothing.
-LEAST_WORDS = 5
 #: Fixed masks for windows of 13 words: the places that count.
 MASKS = ((0, 1, 2, 3, 4, 7), (0, 3, 5, 7, 8, 9))
 #: The most seeds of items that are broadcast at once; more items are taken in blocks.
@@ -56,15 +55,17 @@ def _placed(rows: DataFrame, *keep: str) -> DataFrame:
 def _items(benchmark: DataFrame, id_column: str, text_column: str) -> DataFrame:
     rows = benchmark.select(F.col(id_column).alias("item_id"), F.col(text_column).alias("text"))
     rows = rows.select(F.xxhash64("item_id", "text").alias("item"), "item_id", _word_hashes("text").alias("w")).dropDuplicates(["item"])
-    spare = "(size(w) - cast(ceil(size(w) * 0.8) as int))"  # words of a short item that may differ
-    return rows.filter(F.size("w") >= LEAST_WORDS).withColumn("block", F.expr(f"case when size(w) < {WINDOW} then cast(floor(size(w) / ({spare} + 1)) as int) else 0 end")).withColumn("spare", F.expr(spare))
+    spare = F.size("w") - F.ceil(F.size("w") * 0.8).cast("int")  # words of a short item that may differ
+    short = F.size("w") < WINDOW
+    step = F.when(short, spare + 1).otherwise(0)
+    return rows.filter(F.size("w") > 0).withColumn("step", step).withColumn("count", F.when(short, F.floor(F.size("w") / (spare + 1)).cast("int")).otherwise(0))
 
 
-def _item_seeds(items: DataFrame, mask: tuple[int, ...], block: int) -> DataFrame:
+def _item_seeds(items: DataFrame, mask: tuple[int, ...], step: int, count: int) -> DataFrame:
     """(seed, hits): hits are the items, and places in them, that have the seed."""
-    rows = _placed(items.filter(F.col("block") == block), "item", "spare")
-    if block:
-        rows = rows.filter((F.col("i") % block == 0) & (F.col("i") <= block * F.col("spare")))
+    rows = _placed(items.filter((F.col("step") == step) & (F.col("count") == count)), "item")
+    if step:
+        rows = rows.filter(F.col("i") < step)
     return rows.select(_seed(mask).alias("seed"), "item", F.col("i").alias("j")).filter("seed is not null").groupBy("seed").agg(F.collect_list(F.struct("item", "j")).alias("hits"))
 
 
@@ -94,24 +95,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     """(doc_id, item_id, matched_words, hits, first_word) for each document and item that contaminates it.
 
     matched_words are those that agree in the best window (of 13 words, or of the whole of a short item), hits the
-    seeds whose windows qualify, first_word the least place in the document of one. Null and empty texts, and items
-    of fewer than 5 words, match nothing. Repeated items count once; documents that share an id, null included, give
+    seeds whose windows qualify, first_word the least place in the document of one. Null and empty texts and items
+    match nothing; items of fewer than 5 words match where all of them follow each other. Repeated items count once; documents that share an id, null included, give
     one row an item. With row_key, rows of different texts are kept apart by xxhash64(id, text) in a column row_key.
     Other columns aren't carried. Empty tables give an empty result.
     """
     docs = docs.select(F.col(id_column).alias("id"), F.xxhash64(id_column, text_column).alias("row_key"), _word_hashes(text_column).alias("w"))
     items = stage(_items(benchmark, item_id_column, item_text_column), "items")
-    sizes = {r["block"]: r["words"] for r in items.groupBy("block").agg(F.sum(F.size("w")).alias("words")).collect()}
-    families = [(m, 0) for m in MASKS if 0 in sizes or not sizes] + [(tuple(range(b)), b) for b in sorted(sizes) if b]
-    parts = max(1, -(-sum(n * (1 if block else len(MASKS)) for block, n in sizes.items()) // BLOCK_SEEDS))
-    scored = [_whole() if block else _windows(max(mask) + 1) for mask, block in families]
+    sizes = {(r["step"], r["count"]): r["words"] for r in items.groupBy("step", "count").agg(F.sum(F.size("w")).alias("words")).collect()}
+    families = [(m, 0, 0) for m in MASKS if (0, 0) in sizes or not sizes] + [(tuple(range(0, q * n, q)), q, n) for q, n in sorted(sizes) if q]
+    parts = max(1, -(-sum(n * (1 if q else len(MASKS)) for (q, _), n in sizes.items()) // BLOCK_SEEDS))
+    scored = [_whole() if q else _windows(max(mask) + 1) for mask, q, _ in families]
     of = lambda values: reduce(lambda when, kv: when.when(F.col("k") == kv[0], kv[1]), enumerate(values[1:], 1), F.when(F.col("k") == 0, values[0]))
 
     def part_of(part: int) -> DataFrame:
         own = items.filter(F.pmod("item", F.lit(parts)) == part)
         rows = _placed(docs, "id", "row_key")
-        for k, (mask, block) in enumerate(families):
-            seeds = _item_seeds(own, mask, block).toDF(f"seed{k}", f"hits{k}")
+        for k, (mask, step, count) in enumerate(families):
+            seeds = _item_seeds(own, mask, step, count).toDF(f"seed{k}", f"hits{k}")
             rows = rows.withColumn(f"seed{k}", _seed(mask)).join(F.broadcast(seeds), f"seed{k}", "left")
         rows = rows.filter(reduce(Column.__or__, (F.col(f"hits{k}").isNotNull() for k in range(len(families)))))
         nothing = F.array().cast("array<struct<k:int,item:bigint,j:int>>")
@@ -128,7 +129,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that no item contaminates."""
-    leaks = stage(find_leaks(docs, benchmark, id_column, text_column, row_key=True).select(F.col("row_key").alias("tl_leak")).distinct(), "leaks")
+    leak = fresh(docs, "tl_leak")
+    leaks = stage(find_leaks(docs, benchmark, id_column, text_column, row_key=True).select(F.col("row_key").alias(leak)).distinct(), "leaks")
     if leaks.count() <= BLOCK_SEEDS:
         leaks = F.broadcast(leaks)
-    return docs.join(leaks, F.xxhash64(docs[id_column], docs[text_column]) == leaks["tl_leak"], "left_anti")
+    return docs.join(leaks, F.xxhash64(F.col(f"`{id_column}`"), F.col(f"`{text_column}`")) == F.col(leak), "left_anti")

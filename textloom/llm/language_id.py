@@ -15,24 +15,31 @@ Tasks score each distinct word of a block of texts once, all words of one length
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.llm._arrays import blocks, hash_spans, lean
-from textloom.llm._codepoints import LETTER, classes, code_points
-from textloom.llm._staging import stage
+from textloom.llm._codepoints import LETTER, classes
+from textloom.llm._staging import fresh, stage
 
-#: Labelled rows that are fitted on at most, chosen by a hash of the text; rounds of training; the most characters of a piece.
-FIT_ROWS, ROUNDS, MOST_CHARACTERS = 20_000, 3, 16
+#: Labelled rows that are fitted on at most, chosen by a hash of the row; rounds of training.
+FIT_ROWS, ROUNDS = 20_000, 3
 #: The probability of a character that no piece covers, and what is added to each expected count.
 _LONE, _SMOOTH = 1e-7, 0.01
 _MARK = 0x2581
 _BLOCK = 1_000_000
+#: Units of a run of letters above which it is scored in windows; places after which sums are scaled again.
+_LONG, _RESCALE = 1024, 8
+#: Units of a window, and of the context on both sides, in which a long run of letters is learned from.
+_WINDOW, _CONTEXT = 256, 64
+#: The fewest letters of a text from which its fit to a language is told.
+FIT_LETTERS = 20
 
 
 def default_path() -> str:
@@ -42,14 +49,14 @@ def default_path() -> str:
 
 
 class Pieces:
-    """The vocabulary's pieces by hash: those without letters beside the word mark, and longer ones, are left out."""
+    """The vocabulary's pieces by hash; those with other characters than letters and the word mark are left out."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         every = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-        self.words = sorted(p for p in every if 0 < len(p) <= MOST_CHARACTERS and all(c == chr(_MARK) or c.isalpha() for c in p))
+        self.words = sorted(p for p in every if p and all(c == chr(_MARK) or c.isalpha() for c in p))
         lengths = np.array([*map(len, self.words)], np.int64)
         ends = np.cumsum(lengths)
         hashes = hash_spans(np.frombuffer("".join(self.words).encode("utf-32-le"), np.uint32), ends - lengths, ends)
@@ -73,6 +80,7 @@ class Model:
     langs: tuple[str, ...]
     log_prior: np.ndarray
     chance: np.ndarray  # of a piece in a language; the last row is for characters without a piece
+    usual: np.ndarray | None = None  # by language: mean and deviation of the log probability a letter of labelled texts
 
 
 def _words(texts: pa.Array) -> Iterator[tuple]:
@@ -90,38 +98,41 @@ def _words(texts: pa.Array) -> Iterator[tuple]:
 
 
 def _lattice(units: np.ndarray, vocab: Pieces) -> np.ndarray:
-    """For words of one length: piece numbers by (word, start, length - 1), -1 where there is none."""
+    """For words of one length: the piece that ends at each unit with each length, by (word, unit, length - 1); -1 where there is none."""
     n, length = units.shape
     flat = units.ravel()
     most = min(vocab.longest, length)
-    out = np.full((n, length, most), -1, np.int64)
+    out = np.full((n, length, most), -1, np.int32)
     base = np.arange(n)[:, None] * length
     for k in range(1, most + 1):
         starts = (base + np.arange(length - k + 1)[None, :]).ravel()
-        out[:, : length - k + 1, k - 1] = vocab.find(hash_spans(flat, starts, starts + k)).reshape(n, -1)
+        out[:, k - 1 :, k - 1] = vocab.find(hash_spans(flat, starts, starts + k)).reshape(n, -1)
     # a character that no one-character piece covers stands alone
     out[:, :, 0][out[:, :, 0] < 0] = len(vocab.words)
     return out
 
 
-def _forward(lattice: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(scaled forward sums by (word, place, language), log scale by (word, place)): summed over all segmentations."""
+def _advance(sums: np.ndarray, lattice: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward sums carried over the units of a lattice, and the log of what they were divided by, by (word, language).
+
+    `sums` is by (word, start, slot, language): a ring of places, of which the last of its slots is the place before
+    the first unit. Every few places a ring is divided by its largest sum, so nothing underflows at any length.
+    """
     n, length, most = lattice.shape
-    langs = chance.shape[1]
-    sums = np.zeros((n, length + 1, langs))
-    scale = np.zeros((n, length + 1))
-    sums[:, 0] = 1
-    for j in range(1, length + 1):
-        for k in range(1, min(most, j) + 1):
-            number = lattice[:, j - k, k - 1]
+    ring, scale = sums.shape[2], np.zeros((n, chance.shape[1]))
+    for j in range(length):
+        new = np.zeros((n, sums.shape[1], chance.shape[1]))
+        for k in range(1, most + 1):
+            number = lattice[:, j, k - 1]
             has = np.flatnonzero(number >= 0)  # few of the longer runs are pieces
             if len(has):
-                shift = np.exp(scale[has, j - k] - scale[has, j - 1])[:, None]
-                sums[has, j] += sums[has, j - k] * shift * chance[number[has]]
-        top = sums[:, j].max(axis=1)
-        top[top == 0] = 1
-        sums[:, j] /= top[:, None]
-        scale[:, j] = scale[:, j - 1] + np.log(top)
+                new[has] += sums[has, :, (j - k) % ring] * chance[number[has]][:, None, :]
+        sums[:, :, j % ring] = new
+        if j % _RESCALE == _RESCALE - 1:
+            top = sums.max(axis=(1, 2))
+            top[top == 0] = 1
+            sums /= top[:, None, None, :]
+            scale += np.log(top)
     return sums, scale
 
 
@@ -135,55 +146,107 @@ def _groups(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator
             yield some, units[starts[some][:, None] + np.arange(length)]
 
 
+def _log(x: np.ndarray) -> np.ndarray:
+    return np.log(np.maximum(x, 1e-300))
+
+
+def _run_score(units: np.ndarray, chance: np.ndarray, vocab: Pieces) -> np.ndarray:
+    """Log probability by language of one long run of letters, summed over all segmentations as for a short word.
+
+    The forward pass is linear, so windows of the run are worked on side by side: each from every place before it
+    that a piece can reach back to, which gives a matrix, and the matrices are applied one after another.
+    """
+    ring, langs = vocab.longest, chance.shape[1]
+    lattice = _lattice(units[None, :], vocab)[0]
+    width = max(ring, int(np.sqrt(len(lattice))))
+    lead = len(lattice) % width
+    state = np.zeros((1, 1, ring, langs))
+    state[0, 0, ring - 1] = 1
+    state, scale = _advance(state, lattice[None, :lead], chance)
+    at, total = np.roll(state[0, 0], -lead, axis=0), scale[0]  # slots in order of places
+    windows = lattice[lead:].reshape(-1, width, ring)
+    for k in range(0, len(windows), 256):
+        own = windows[k : k + 256]
+        unit = np.broadcast_to(np.eye(ring)[None, :, :, None], (len(own), ring, ring, langs)).copy()
+        moves, scales = _advance(unit, own, chance)
+        moves = np.roll(moves, -width, axis=2)
+        for move, log in zip(moves, scales, strict=True):
+            at = np.einsum("ql,qrl->rl", at, move)
+            top = at.max(axis=0)
+            top[top == 0] = 1
+            at, total = at / top, total + log + np.log(top)
+    return _log(at[-1]) + total
+
+
 def word_scores(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: Model) -> np.ndarray:
     """Log probabilities by (word, language)."""
-    out = np.zeros((len(starts), len(model.langs)))
-    for own, rows in _groups(units, starts, ends):
-        sums, scale = _forward(_lattice(rows, pieces(model.path)), model.chance)
-        with np.errstate(divide="ignore"):
-            out[own] = np.maximum(np.log(sums[:, -1]), -700) + scale[:, -1:]
+    out, vocab = np.zeros((len(starts), len(model.langs))), pieces(model.path)
+    long = ends - starts > _LONG
+    for i in np.flatnonzero(long):
+        out[i] = _run_score(units[starts[i] : ends[i]], model.chance, vocab)
+    short = np.flatnonzero(~long)
+    for own, rows in _groups(units, starts[short], ends[short]):
+        state = np.zeros((len(own), 1, vocab.longest, len(model.langs)))
+        state[:, 0, -1] = 1
+        state, scale = _advance(state, _lattice(rows, vocab), model.chance)
+        out[short[own]] = _log(state[:, 0, (rows.shape[1] - 1) % vocab.longest]) + scale
     return out
 
 
+def _learned_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(word, start, end, core start, core end): words whole, longer ones as windows with context, whose cores make up the word."""
+    cores = np.maximum(1, -(-(ends - starts) // _WINDOW))
+    word = np.repeat(np.arange(len(starts)), cores)
+    at = np.arange(len(word)) - np.repeat(np.cumsum(cores) - cores, cores)
+    lo = starts[word] + at * _WINDOW
+    hi = np.minimum(lo + _WINDOW, ends[word])
+    return word, np.maximum(lo - _CONTEXT, starts[word]), np.minimum(hi + _CONTEXT, ends[word]), lo, hi
+
+
 def _expected(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray, langs: np.ndarray, chance: np.ndarray, vocab: Pieces) -> np.ndarray:
-    """Expected uses by (piece, language) of words that each have a weight and a language."""
+    """Expected uses by (piece, language) of words that each have a weight and a language; sums are logarithms, so none underflows."""
     out = np.zeros(chance.shape)
-    padded = np.vstack([chance, np.zeros((1, chance.shape[1]))])
-    for own, rows in _groups(units, starts, ends):
-        lattice, lang, weight = _lattice(rows, vocab), langs[own], weights[own]
+    word, first, last, lo, hi = _learned_spans(starts, ends)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        logs = np.vstack([np.log(chance), np.full((1, chance.shape[1]), -np.inf)])
+    for own, rows in _groups(units, first, last):
+        lattice, lang, weight = _lattice(rows, vocab), langs[word[own]], weights[word[own]]
         n, length, most = lattice.shape
-        prob = padded[lattice, lang[:, None, None]]
-        ahead = np.zeros((n, length + 1))
-        behind = np.zeros((n, length + 1))
-        ahead[:, 0] = behind[:, length] = 1
-        lift = np.full((n, 1), 1e6)  # a constant a character, against underflow; it cancels
-        for j in range(1, length + 1):
-            for k in range(1, min(most, j) + 1):
-                ahead[:, j] += ahead[:, j - k] * prob[:, j - k, k - 1] * lift[:, 0] ** k
-        for i in range(length - 1, -1, -1):
-            for k in range(1, min(most, length - i) + 1):
-                behind[:, i] += prob[:, i, k - 1] * lift[:, 0] ** k * behind[:, i + k]
+        log = logs[lattice, lang[:, None, None]]
+        ahead, behind = np.full((n, length + 1), -np.inf), np.full((n, length + 1), -np.inf)
+        ahead[:, 0] = behind[:, length] = 0
+        for j in range(length):
+            for k in range(1, min(most, j + 1) + 1):
+                has = np.flatnonzero(lattice[:, j, k - 1] >= 0)
+                ahead[has, j + 1] = np.logaddexp(ahead[has, j + 1], ahead[has, j + 1 - k] + log[has, j, k - 1])
+        for j in range(length - 1, -1, -1):
+            for k in range(1, min(most, j + 1) + 1):
+                has = np.flatnonzero(lattice[:, j, k - 1] >= 0)
+                behind[has, j + 1 - k] = np.logaddexp(behind[has, j + 1 - k], behind[has, j + 1] + log[has, j, k - 1])
         total = ahead[:, length]
-        good = (total > 0) & np.isfinite(total)
         for k in range(1, most + 1):
-            use = ahead[:, : length - k + 1] * prob[:, : length - k + 1, k - 1] * lift**k * behind[:, k : length + 1]
-            use = use[good] / total[good, None] * weight[good, None]
-            np.add.at(out, (lattice[good, : length - k + 1, k - 1], lang[good, None]), use)
+            begins = np.arange(length - k + 1)
+            inside = (first[own][:, None] + begins >= lo[own][:, None]) & (first[own][:, None] + begins < hi[own][:, None])
+            i, b = np.nonzero((lattice[:, k - 1 :, k - 1] >= 0) & inside)
+            use = np.exp(ahead[i, b] + log[i, b + k - 1, k - 1] + behind[i, b + k] - total[i]) * weight[i]
+            np.add.at(out, (lattice[i, b + k - 1, k - 1], lang[i]), use)
     return out
 
 
 def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", path: str | None = None, fit_rows: int = FIT_ROWS, rounds: int = ROUNDS) -> Model:
-    """A model of the languages of the rows whose label isn't null; FIT_ROWS of them are expected in the sample at most.
+    """A model of the languages of the rows whose label isn't null; `fit_rows` of them are expected in the sample at most.
 
-    Without labelled rows, or with none that has letters, the model has no languages. Words of over 32 characters
-    aren't learned from.
+    Without labelled rows the model has no languages. Null and empty texts and texts without letters teach nothing but
+    their language's share; repeated rows count as often as they occur and are sampled together. Runs of letters of
+    over 256 units are learned from in windows of that size, each with 64 units of context on both sides.
     """
     path = path or default_path()
-    rows = docs.filter(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text"))
+    every = [F.col(f"`{c.name}`") for c in docs.schema if not isinstance(c.dataType, (T.MapType, T.VariantType))]
+    rows = docs.filter(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text"), F.pmod(F.xxhash64(*every), F.lit(1 << 20)).alias("chosen"))
     per_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs, total = tuple(sorted(per_lang)), sum(per_lang.values())
     if total > fit_rows:
-        rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * fit_rows / total))
+        rows = rows.filter(F.col("chosen") < int((1 << 20) * fit_rows / total))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pandas as pd
@@ -199,7 +262,7 @@ def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
                 words = [units[s:e].tobytes().decode("utf-32-le") for s, e in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({"k": pa.array(lang[first + of[one]], pa.int32()), "word": words, "n": pa.array(np.bincount(each), pa.int64())})
 
-    words = stage(rows.mapInArrow(lean(counted), "k int, word string, n bigint").groupBy("k", "word").agg(F.sum("n").alias("n")).filter("length(word) <= 33"), "fit-words")
+    words = stage(rows.select("lang", "text").mapInArrow(lean(counted), "k int, word string, n bigint").groupBy("k", "word").agg(F.sum("n").alias("n")), "fit-words")
     vocab_size = len(pieces(path).words)
     chance = np.full((vocab_size + 1, len(langs)), 1 / (vocab_size + 1))
     chance[-1] = _LONE
@@ -223,58 +286,93 @@ def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
         chance = uses / uses.sum(axis=0)
         chance[-1] = _LONE
     prior = np.log(np.array([per_lang[x] for x in langs], float) / max(1, total)) if langs else np.zeros(0)
-    return Model(path, langs, prior, chance)
+    model = Model(path, langs, prior, chance)
+    return replace(model, usual=_usual(rows.select("lang", "text"), model)) if langs else model
+
 
+def _usual(rows: DataFrame, model: Model) -> np.ndarray:
+    """Mean and deviation, by language, of the log probability a letter of the fitted texts under their own language."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
-def predict(docs: DataFrame, model: Model, text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The rows (columns `keep`, by default all) with lang_pred and score.
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(shared.value)
+        for b in batches:
+            own = np.array([*map(scorer.model.langs.index, b.column(0).to_pylist())], np.int64)
+            for first, letters, total in scorer.totals(b.column(1)):
+                at = np.flatnonzero(letters >= FIT_LETTERS)
+                yield pa.RecordBatch.from_pydict({"k": pa.array(own[first + at], pa.int32()), "x": total[at, own[first + at]] / letters[at]})
+
+    found = rows.mapInArrow(lean(f), "k int, x double").groupBy("k").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd")).collect()
+    out = np.tile([0.0, np.inf], (len(model.langs), 1))  # a language without such texts rejects nothing
+    for r in found:
+        out[r["k"]] = r["mean"], max(r["sd"], 0.05)
+    return out
+
+
+class _Scorer:
+    """Scores texts block by block; words that it has seen lately are looked up."""
+
+    def __init__(self, model: Model):
+        self.model, self.known = model, {}
+
+    def totals(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For runs of rows: (first row, letters of each, log probabilities by row and language)."""
+        import pandas as pd
+
+        m, known = self.model, self.known
+        for first, n, units, starts, ends, of in _words(texts):
+            if not len(starts):
+                yield first, np.zeros(n), np.zeros((n, len(m.langs)))
+                continue
+            each, hashes = pd.factorize(hash_spans(units, starts, ends))
+            one = np.unique(each, return_index=True)[1]
+            table = np.zeros((len(hashes), len(m.langs)))
+            keys = hashes.tolist()
+            new = np.array([i for i, h in enumerate(keys) if h not in known], np.int64)
+            if len(new):
+                table[new] = word_scores(units, starts[one[new]], ends[one[new]], m)
+            for i, h in enumerate(keys):
+                if (row := known.get(h)) is not None:
+                    table[i] = row
+            if len(known) > 100_000:
+                known.clear()
+            known.update((keys[i], table[i].copy()) for i in new.tolist())
+            total = np.stack([np.bincount(of, table[each, k], n) for k in range(len(m.langs))], axis=1)
+            yield first, np.bincount(of, ends - starts - 1, n), total
+
+
+def predict(docs: DataFrame, model: Model, text_column: str = "text", keep: list[str] | None = None, fit: bool = False) -> DataFrame:
+    """The rows (columns `keep`, by default all) with lang_pred and score, and with `fit` a column of that name.
 
     score is the language's share of probability, 0 to 1. Texts that are null or have no letters are `und` with score
-    0, and so is every text if the model has no languages. Languages that tie: the first by name. Names that the table
-    has already get underscores appended.
+    0, and so is every text if the model has no languages. Languages that tie: the first by name. fit says how usual
+    the text's log probability a letter is among labelled texts of its language, in standard deviations from their
+    mean; null for texts of fewer than FIT_LETTERS letters. Names that the table has already get underscores appended.
+    An empty table gives an empty result.
     """
-    from textloom.llm._staging import fresh
-
     keep = docs.columns if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [fresh(docs.select(*(f"`{c}`" for c in keep)), n) for n in ("lang_pred", "score")]
+    carried = docs.select(*(F.col(f"`{c}`") for c in keep))
+    names = [fresh(carried, n) for n in ("lang_pred", "score", "fit")[: 3 if fit else 2]]
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pandas as pd
-
-        m, known = shared.value, {}
+        m = shared.value
+        scorer = _Scorer(m)
         for b in batches:
-            lang, score = np.full(b.num_rows, "und", object), np.zeros(b.num_rows)
-            if m.langs:
-                for first, n, units, starts, ends, of in _words(b.column(b.num_columns - 1).fill_null("")):
-                    if not len(starts):
-                        continue
-                    each, hashes = pd.factorize(hash_spans(units, starts, ends))
-                    one = np.unique(each, return_index=True)[1]
-                    table = np.zeros((len(hashes), len(m.langs)))
-                    keys = hashes.tolist()
-                    new = np.array([i for i, h in enumerate(keys) if h not in known], np.int64)
-                    if len(new):
-                        table[new] = word_scores(units, starts[one[new]], ends[one[new]], m)
-                    for i, h in enumerate(keys):
-                        if (row := known.get(h)) is not None:
-                            table[i] = row
-                    if len(known) > 100_000:
-                        known.clear()
-                    known.update((keys[i], table[i].copy()) for i in new.tolist())
-                    total = np.zeros((n, len(m.langs)))
-                    for k in range(len(m.langs)):
-                        total[:, k] = np.bincount(of, table[each, k], n)
-                    has = np.bincount(of, minlength=n) > 0
-                    total += m.log_prior
-                    share = np.exp(total - total.max(axis=1, keepdims=True))
-                    share /= share.sum(axis=1, keepdims=True)
-                    best = total.argmax(axis=1)
-                    at = first + np.flatnonzero(has)
-                    lang[at], score[at] = np.array(m.langs, object)[best[has]], share[np.flatnonzero(has), best[has]]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], [*b.schema.names[:-1], *names])
+            lang, score, usual = np.full(b.num_rows, "und", object), np.zeros(b.num_rows), np.full(b.num_rows, np.nan)
+            for first, letters, total in scorer.totals(b.column(b.num_columns - 1).fill_null("")) if m.langs else ():
+                has = np.flatnonzero(letters)
+                weighed = total[has] + m.log_prior
+                share = np.exp(weighed - weighed.max(axis=1, keepdims=True))
+                share /= share.sum(axis=1, keepdims=True)
+                best = weighed.argmax(axis=1)
+                lang[first + has], score[first + has] = np.array(m.langs, object)[best], share[np.arange(len(has)), best]
+                mean, deviation = m.usual[best].T
+                usual[first + has] = np.where(letters[has] >= FIT_LETTERS, (total[has, best] / letters[has] - mean) / deviation, np.nan)
+            found = [pa.array(lang, pa.string()), pa.array(score), pa.array(usual, from_pandas=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *found[: len(names)]], [*b.schema.names[:-1], *names])
 
     text = fresh(docs, "tl_text")
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_column).alias(text))
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"`{names[0]}` string", f"`{names[1]}` double"])
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"`{names[0]}` string", *(f"`{n}` double" for n in names[1:])])
     return rows.mapInArrow(lean(f), schema)

@@ -1,7 +1,8 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again before the next.
 
-1. Language ID drops documents whose language it rejects: texts without letters, and such that no language takes
-   at least half of the probability.
+1. Language ID drops documents whose language it rejects: texts without letters, such that no language takes at
+   least half of the probability, and such that are in none of the learned languages, as their letters are far less
+   likely than those of labelled texts.
 2. Exact dedup keeps one document of each group of equal texts.
 3. The n-gram Jaccard join keeps one document of each group of near copies: five words, similarity 0.8.
 4. Benchmark decontamination drops documents that hold a passage of a test item.
@@ -23,15 +24,16 @@ from textloom.llm.exact_dedup import mark_duplicates
 from textloom.llm.language_id import predict, train
 from textloom.llm.ngram_join import drop_near_copies
 
-#: The least share of probability for a language.
-LEAST_SCORE = 0.5
+#: The least share of probability for a language, and the least fit: deviations from the mean of labelled texts.
+LEAST_SCORE, LEAST_FIT = 0.5, -32
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: learned from those with a label, applied to all."""
-    marked = predict(docs, train(docs, "text", "lang"))
-    pred, score = marked.columns[-2:]
-    return marked.filter((F.col(pred) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
+    marked = predict(docs, train(docs, "text", "lang"), fit=True)
+    pred, score, fit = marked.columns[-3:]
+    taken = (F.col(pred) != "und") & (F.col(score) >= LEAST_SCORE) & (F.col(fit).isNull() | (F.col(fit) >= LEAST_FIT))
+    return marked.filter(taken).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

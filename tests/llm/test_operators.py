@@ -216,9 +216,14 @@ def test_token_counts_query(spark):
 # -- 5: exact dedup
 
 
-def test_exact_dedup(spark):
+@pytest.mark.parametrize(("bits", "few"), [(1 << 28, 200_000), (1 << 8, 0)])
+def test_exact_dedup(spark, monkeypatch, bits, few):
+    from textloom.llm import _bloom, _staging
     from textloom.llm.exact_dedup import mark_duplicates
 
+    monkeypatch.setattr(_bloom, "MAX_BITS", bits)  # few bits: filters of parts of the hash space
+    monkeypatch.setattr(_bloom, "RANGE_ROWS", 64)
+    monkeypatch.setattr(_staging, "BROADCAST_ROWS", few or 1)
     df = docs(spark, fixture_texts() + ["Hot"] * 200)
     out = mark_duplicates(df, keep=["doc_id", "kept"])
     assert out.columns[:2] == ["doc_id", "kept"] and out.columns[-2] == "kept_"
@@ -239,6 +244,21 @@ def test_exact_dedup(spark):
     assert mark_duplicates(df.limit(0)).count() == 0
 
 
+def clashing(df, *names):
+    """The table with columns of the names that operators give their own helpers."""
+    for n in names:
+        df = df.withColumn(n, F.lit("own"))
+    return df
+
+
+def test_exact_dedup_clashing_names(spark):
+    from textloom.llm.exact_dedup import mark_duplicates
+
+    df = clashing(docs(spark), "tl_hash", "tl_maybe", "tl_row", "tl_order", "tl_top", "group_size", "dotted.name")
+    out = mark_duplicates(df)
+    assert out.columns == [*df.columns, "keep_id_", "group_size_", "kept_", "text_sha256"] and out.count() == df.count()
+
+
 # -- 6: n-gram Jaccard join
 
 
@@ -252,6 +272,12 @@ def test_ngram_components(spark, monkeypatch, width, percent, longest):
     from textloom.llm import ngram_join
 
     monkeypatch.setattr(ngram_join, "LIST", longest)  # short lists: most pairs are found in blocks
+    if longest == 2:  # everything is dealt into parts
+        from textloom.llm import _staging
+
+        for name, value in {"BLOCK_CLASSES": 4, "GRID": 2, "NEIGHBOURS": 3, "PARTS": 2, "SAMPLE_TEXTS": 500, "FREQUENT": 100}.items():
+            monkeypatch.setattr(ngram_join, name, value)
+        monkeypatch.setattr(_staging, "BROADCAST_ROWS", 1)
     df = docs(spark)
     rows = [(r.doc_id, shingles(r.text, width)) for r in df.collect()]
     up = list(range(len(rows)))
@@ -279,6 +305,15 @@ def test_ngram_components(spark, monkeypatch, width, percent, longest):
         assert {low[g] for g in groups} <= {d for d, _ in kept}
 
 
+def test_near_copies_clashing_names(spark):
+    from textloom.llm.ngram_join import drop_near_copies
+
+    df = docs(spark)
+    more = clashing(df, "id", "cid", "n", "th", "tl_key", "tl_maybe", "tl_stays", "tl_rows", "class_rows", "dotted.name")
+    out = drop_near_copies(more)
+    assert out.columns == more.columns and out.count() == drop_near_copies(df).count()
+
+
 def test_ngram_empty(spark):
     from textloom.llm.ngram_join import drop_near_copies, ngram_components
 

@@ -2,8 +2,12 @@
 
 A filter has two bits' worth of knowledge a position: hit, and hit more than once. Tasks send the positions
 that their rows hit, segment by segment; what a task sends of one hot value is one position, however many
-rows have it. Beyond the size bound a filter says "maybe" more often, and what follows is as right as before,
-with more rows to look at.
+rows have it.
+
+Where hashes are too many for one such bitmap, `repeated` deals them out by parts of the hash space, each small enough
+for a filter of its own within a task, and collects only those that were hit twice: the broadcast filter is then
+over these, so its bits a hash stay the same. Should they too be too many, it says "maybe" more often, and what follows
+is as right as before, with more rows to look at.
 """
 
 from __future__ import annotations
@@ -17,11 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm._arrays import lean, mix
+from textloom.llm._staging import stage
 
 #: Positions in a segment, and the most bits of a filter: 2**28 bits are 32 MiB, whatever the input's size.
 SEGMENT_BITS = 1 << 20
 MAX_BITS = 1 << 28
 _PROBES = 2
+#: Hashes of a part that has a filter of its own.
+RANGE_ROWS = 1 << 20
 _FLUSH = 2_000_000
 
 
@@ -87,6 +94,43 @@ def build(hashes: DataFrame, bits: int, least: int) -> np.ndarray:
     return out
 
 
+def repeated(hashes: DataFrame, rows: int) -> np.ndarray:
+    """A bitmap, to be asked by maybe(), in which all values are found that occur twice in the one long column of `hashes`.
+
+    `rows` says how many there are; with 16 bits for each the bitmap is that of their positions hit twice, beyond the
+    bound that of the values possibly hit twice.
+    """
+    if 16 * rows <= MAX_BITS:
+        return build(hashes, filter_bits(rows), 2)
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a task sends a value twice at most a batch, however many rows have it
+        for b in batches:
+            h, n = np.unique(b.column(0).drop_null().to_numpy(zero_copy_only=False), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((h, h[n > 1])))], ["h"])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice = np.zeros(2 * RANGE_ROWS, np.uint8), np.zeros(2 * RANGE_ROWS, np.uint8)
+        held = []
+        for b in batches:
+            h = b.column(0).to_numpy()
+            p = positions(h, 8 * len(once))[0]
+            own, n = np.unique(p, return_counts=True)
+            seen = (once[own >> 3] >> (own & 7).astype(np.uint8)) & 1
+            both = own[(n > 1) | (seen == 1)]
+            np.bitwise_or.at(once, own >> 3, np.uint8(1) << (own & 7).astype(np.uint8))
+            np.bitwise_or.at(twice, both >> 3, np.uint8(1) << (both & 7).astype(np.uint8))
+            held.append(np.unique(h))
+        for h in held:
+            p = positions(h, 8 * len(once))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(h[((twice[p >> 3] >> (p & 7).astype(np.uint8)) & 1) == 1])], ["h"])
+
+    ranges = -(-rows // RANGE_ROWS)
+    dealt = hashes.mapInArrow(lean(sent), "h bigint").repartition(ranges, "h")
+    twice = stage(dealt.mapInArrow(lean(found), "h bigint").distinct(), "twice")
+    return build(twice, filter_bits(twice.count()), 1)
+
+
 def maybe(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether the filter may hold each hash."""
     p = positions(hashes, len(bitmap) * 8)

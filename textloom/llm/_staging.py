@@ -48,7 +48,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, weight: str, total
         return rows.join(F.broadcast(groups), key, "left")
     most = min(max(1, total // 512), max(10_000, total // BROADCAST_ROWS))
     met = rows.join(F.broadcast(groups.filter(F.col(weight) > most)), key, "left")
-    rest = met.filter(F.col(weight).isNull()).select(*rows.columns).join(groups.filter(F.col(weight) <= most), key, "left")
+    rest = met.filter(F.col(weight).isNull()).select(*(F.col(f"`{c}`") for c in rows.columns)).join(groups.filter(F.col(weight) <= most), key, "left")
     return met.filter(F.col(weight).isNotNull()).unionByName(rest)
 
 

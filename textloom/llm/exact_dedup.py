@@ -4,9 +4,9 @@ The first pass sets, for each row's 64-bit hash, positions in a filter that tell
 The second pass looks each row up: a row whose positions weren't all hit twice has no equal, keeps its place and
 passes straight through. Only the others shuffle, by the SHA-256 of their text, which decides.
 
-The filter has 16 bits a row up to a bound (2**28 bits, 32 MiB). Beyond 16 million rows more rows shuffle without
-need, until all do; the result is the same. Sizes of groups are pre-aggregated before they shuffle, and groups that
-hold over a 512th of the rows, which are 511 at most, join their rows by broadcast, so no task gets a hot group.
+The filter has 16 bits a row up to 32 MiB; of more rows than that makes, it has 16 bits for each hash that filters of
+parts of the hash space found possibly repeated, so what shuffles stays in proportion to what repeats. Sizes of groups
+are pre-aggregated before they shuffle, and rows meet large groups by broadcast, so no task gets a hot group.
 """
 
 from __future__ import annotations
@@ -14,10 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._bloom import build, filter_bits, flagged
-from textloom.llm._staging import ascii_lower, fresh, stage
-
-_HOT = 512
+from textloom.llm._bloom import flagged, repeated
+from textloom.llm._staging import ascii_lower, fresh, join_groups, stage
 
 
 def mark_duplicates(df: DataFrame, order_column: str = "doc_id", text_column: str = "text", keep: list[str] | None = None, normalise=ascii_lower) -> DataFrame:
@@ -28,14 +26,13 @@ def mark_duplicates(df: DataFrame, order_column: str = "doc_id", text_column: st
     for it, exactly one. keep_id is that row's order value, null if all are null. Names of the four columns that `keep`
     has already get underscores appended. An empty table gives an empty result.
     """
-    text: Column = normalise(F.col(text_column))
+    text: Column = normalise(F.col(f"`{text_column}`"))
     keep = df.columns if keep is None else keep
-    h, maybe, row, order = (fresh(df, n) for n in ("tl_hash", "tl_maybe", "tl_row", "tl_order"))
     carried = df.select(*(f"`{c}`" for c in keep))
     keep_id, group_size, kept, sha = (fresh(carried, n) for n in ("keep_id", "group_size", "kept", "text_sha256"))
+    h, maybe, row, order, top = (fresh(df, n) for n in ("tl_hash", "tl_maybe", "tl_row", "tl_order", "tl_top"))
     rows = df.count()
-    hashes = df.select(F.xxhash64(text).alias(h))
-    bitmap = df.sparkSession.sparkContext.broadcast(build(hashes, filter_bits(rows), 2))
+    bitmap = df.sparkSession.sparkContext.broadcast(repeated(df.select(F.xxhash64(text).alias(h)), rows))
 
     probed = flagged(df.withColumn(h, F.xxhash64(text)), h, maybe, bitmap)
     full = [F.col(f"`{c}`") for c in keep] + [F.col(f"`{order_column}`").alias(order), F.sha2(text, 256).alias(sha)]
@@ -43,15 +40,11 @@ def mark_duplicates(df: DataFrame, order_column: str = "doc_id", text_column: st
     others = stage(probed.filter(F.col(maybe)).select(*full, F.monotonically_increasing_id().alias(row)), "repeated")
 
     # nulls are least; of rows with one order value, the one that was written first stays
-    top = F.max(F.struct(F.col(order).isNotNull().alias("has"), F.col(order).alias("v"), (-F.col(row)).alias("r")))
-    groups = others.groupBy(sha).agg(F.count("*").alias(group_size), top.alias("top")).select(sha, group_size, F.col("top.v").alias(keep_id), (-F.col("top.r")).alias("tl_top"))
-    groups = stage(groups.filter(F.col(group_size) > 1), "groups")
-    hot = groups.filter(F.col(group_size) > max(1, rows // _HOT))
-    near = others.join(F.broadcast(hot), sha, "left")
-    rest = near.filter(F.col(group_size).isNull()).drop(group_size, keep_id, "tl_top").join(groups.filter(F.col(group_size) <= max(1, rows // _HOT)), sha, "left")
-    met = near.filter(F.col(group_size).isNotNull()).unionByName(rest)
+    best = F.max(F.struct(F.col(order).isNotNull().alias("has"), F.col(order).alias("v"), (-F.col(row)).alias("r"))).alias(top)
+    groups = others.groupBy(sha).agg(F.count("*").alias(group_size), best).filter(F.col(group_size) > 1)
+    groups = stage(groups.select(sha, group_size, F.col(f"{top}.v").alias(keep_id), (-F.col(f"{top}.r")).alias(top)), "groups")
+    met = join_groups(others, groups, sha, group_size, rows)
 
     names = [F.col(f"`{c}`") for c in keep]
-    return met.select(*names, F.when(F.col(group_size).isNull(), F.col(order)).otherwise(F.col(keep_id)).alias(keep_id), F.coalesce(group_size, F.lit(1)).cast("long").alias(group_size), (F.col("tl_top").isNull() | (F.col("tl_top") == F.col(row))).alias(kept), F.col(sha)).unionByName(
-        alone.select(*names, F.col(order).alias(keep_id), F.lit(1).cast("long").alias(group_size), F.lit(True).alias(kept), F.col(sha))
-    )
+    in_group = met.select(*names, F.when(F.col(group_size).isNull(), F.col(order)).otherwise(F.col(keep_id)).alias(keep_id), F.coalesce(group_size, F.lit(1)).cast("long").alias(group_size), (F.col(top).isNull() | (F.col(top) == F.col(row))).alias(kept), F.col(sha))
+    return in_group.unionByName(alone.select(*names, F.col(order).alias(keep_id), F.lit(1).cast("long").alias(group_size), F.lit(True).alias(kept), F.col(sha)))

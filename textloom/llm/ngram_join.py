@@ -16,6 +16,10 @@ set are one class. Two classes can only be similar if each owns few n-grams that
    another as matrices; of these only links that join components come out.
 
 Shuffles move n-gram hashes of a quarter of the space once, and of the left-over classes once; text never moves.
+
+No task gets a hot key. N-grams that are frequent in a bounded sample of classes are counted in parts; lists of a
+common prefix n-gram are cut into parts whose ends are linked; blocks meet in a grid; and rows of hot classes and
+components meet what is known of them by broadcast. The sample changes no result, only where rows go.
 """
 
 from __future__ import annotations
@@ -30,10 +34,14 @@ from pyspark.sql import functions as F
 from textloom.llm._arrays import lean, mix, shingle_sets
 from textloom.llm._bloom import build, filter_bits, flagged, maybe
 from textloom.llm._graph import components, merged
-from textloom.llm._staging import fresh, small, stage
+from textloom.llm._staging import fresh, join_groups, small, stage
 
 #: The most classes of an n-gram for which pairs are listed; classes and n-grams of a block of a cluster.
 LIST, BLOCK_CLASSES, BLOCK_GRAMS = 64, 256, 1 << 18
+#: Texts that are sampled for frequent n-grams, in expectation; the share of them that makes one frequent; parts of its rows.
+SAMPLE_TEXTS, FREQUENT, PARTS = 10_000, 500, 64
+#: The most rows of a list of neighbours before it is cut into parts; blocks on a side of a grid's cell.
+NEIGHBOURS, GRID = 50_000, 8
 
 _SAMPLE = np.uint64(3)  # hashes whose two lowest bits are 0: a quarter
 
@@ -70,11 +78,17 @@ def _features(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("id", "text", F.xxhash64("text").alias("th")).mapInArrow(lean(f), f"id {kind}, cid bigint, n bigint, th bigint")
 
 
-def _members(docs: DataFrame, width: int, sampled: bool, wanted=None) -> DataFrame:
-    """(h, cid, n) for the n-grams of each class, once a task; sampled: a quarter of them; wanted: a filter of text hashes."""
+def _members(docs: DataFrame, width: int, part: str, wanted=None, frequent: frozenset[int] = frozenset()) -> DataFrame:
+    """(h, cid, n, salt) for the n-grams of each class, once a task.
+
+    part: "quarter" has a quarter of the n-grams, of h and cid only; "all" has those of the classes that `wanted`, a
+    filter of text hashes, may hold. salt deals the classes of frequent n-grams into parts.
+    """
+    quarter = part == "quarter"
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
+        often = np.array(sorted(frequent), np.int64)
         for b in batches:
             if wanted is not None:
                 b = b.filter(pa.array(maybe(wanted.value, b.column(1).to_numpy(zero_copy_only=False))))
@@ -83,22 +97,33 @@ def _members(docs: DataFrame, width: int, sampled: bool, wanted=None) -> DataFra
                 if not len(s) or (cid := _class_id(s)) in done:
                     continue
                 done.add(cid)
-                own = s[(s & _SAMPLE) == 0] if sampled else s
+                own = s[(s & _SAMPLE) == 0] if quarter else s
                 hs.append(own)
                 cids.append(np.full(len(own), cid, np.int64))
                 ns.append(np.full(len(own), len(s), np.int32))
                 held += len(own)
                 if held > 200_000:
-                    yield out(hs, cids, ns)
+                    yield out(hs, cids, ns, often)
                     hs, cids, ns, held = [], [], [], 0
             if held:
-                yield out(hs, cids, ns)
+                yield out(hs, cids, ns, often)
+
+    def out(hs, cids, ns, often: np.ndarray) -> pa.RecordBatch:
+        h, cid = np.concatenate(hs).view(np.int64), np.concatenate(cids)
+        if quarter:
+            return pa.RecordBatch.from_pydict({"h": h, "cid": cid})
+        salt = np.where(np.isin(h, often), cid % PARTS, 0) if len(often) else np.zeros(len(h), np.int64)
+        return pa.RecordBatch.from_pydict({"h": h, "cid": cid, "n": np.concatenate(ns), "salt": salt.astype(np.int32)})
 
-    def out(hs, cids, ns) -> pa.RecordBatch:
-        cols = {"h": np.concatenate(hs).view(np.int64), "cid": np.concatenate(cids)} | ({} if sampled else {"n": np.concatenate(ns)})
-        return pa.RecordBatch.from_pydict(cols)
+    return docs.select("text", F.xxhash64("text").alias("th")).mapInArrow(lean(f), "h bigint, cid bigint" + ("" if quarter else ", n int, salt int"))
 
-    return docs.select("text", F.xxhash64("text").alias("th")).mapInArrow(lean(f), "h bigint, cid bigint" + ("" if sampled else ", n int"))
+
+def _frequent(docs: DataFrame, width: int, rows: int, wanted) -> frozenset[int]:
+    """N-grams that many classes of a bounded sample hold; at most FREQUENT for each n-gram of a text."""
+    some = docs.select("text").filter(F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(1 << 20)) < max(1, (SAMPLE_TEXTS << 20) // max(1, rows)))
+    grams = _members(some, width, "all", wanted).select("h", "cid").distinct()
+    least = max(2 * PARTS, SAMPLE_TEXTS // FREQUENT)
+    return frozenset(r["h"] for r in grams.groupBy("h").count().filter(F.col("count") > least).select("h").toLocalIterator())
 
 
 def _prefixes(listed: DataFrame, percent: int) -> DataFrame:
@@ -187,12 +212,17 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
     size; each block meets the blocks of its own size and the next. A row holds a block, not a pair of classes.
     """
     members = members.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent if percent < 100 else 2.0))).cast("int"))
-    sizes = members.groupBy("cluster", "size").agg(F.expr(f"cast(ceil(greatest(count(*) / {BLOCK_CLASSES}, sum(n) / {BLOCK_GRAMS})) as int)").alias("blocks"))
-    blocks = members.join(sizes, ["cluster", "size"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-    blocks = stage(blocks.groupBy("cluster", "size", "block").agg(F.collect_list(F.struct("cid", "comp", "n", "toks")).alias("rows")), "blocks")
-    left = blocks.select("cluster", F.explode(F.array("size", F.col("size") + 1)).alias("with"), "size", "block", "rows")
-    right = blocks.select("cluster", F.col("size").alias("with"), F.col("block").alias("block2"), F.col("rows").alias("rows2"))
-    met = left.join(right, ["cluster", "with"]).filter("size < with or block <= block2").select("rows", "rows2")
+    sizes = stage(members.groupBy("cluster", "size").agg(F.expr(f"cast(ceil(greatest(count(*) / {BLOCK_CLASSES}, sum(n) / {BLOCK_GRAMS})) as int)").alias("blocks")), "sizes")
+    blocks = members.join(small(sizes), ["cluster", "size"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    blocks = stage(blocks.groupBy("cluster", "size", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("cid", "comp", "n", "toks")).alias("rows")), "blocks")
+    # two sizes meet in a grid: a cell has up to GRID blocks of either; a block goes to all cells of its row or column
+    other = lambda step, name: sizes.select("cluster", (F.col("size") - step).alias("size"), F.col("blocks").alias(name))
+    around = blocks.join(small(other(1, "above")), ["cluster", "size"], "left").join(small(other(-1, "below")), ["cluster", "size"], "left")
+    cells, place = lambda n: F.ceil(n / GRID).cast("int"), F.floor(F.col("block") / GRID).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), cells(F.col(n)) - 1))
+    left = [around.filter(f"{n} is not null").select("cluster", "size", F.lit(step).alias("step"), place.alias("x"), every(n).alias("y"), "block", "rows") for step, n in ((0, "blocks"), (1, "above"))]
+    right = [around.filter(f"{n} is not null").select("cluster", (F.col("size") - step).alias("size"), F.lit(step).alias("step"), every(n).alias("x"), place.alias("y"), F.col("block").alias("block2"), F.col("rows").alias("rows2")) for step, n in ((0, "blocks"), (1, "below"))]
+    met = left[0].unionByName(left[1]).join(right[0].unionByName(right[1]), ["cluster", "size", "step", "x", "y"]).filter("step = 1 or block <= block2").select("rows", "rows2")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -220,31 +250,36 @@ def ngram_links(docs: DataFrame, id_column: str, text_column: str, width: int =
     """
     if not 0 < percent <= 100 or width < 1:
         raise ValueError("percent must be in 1..100 and width at least 1")
-    docs = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    docs = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
     members = stage(_features(docs, width), "members")
-    owned = _members(docs, width, sampled=True).groupBy("h").agg(F.min("cid").alias("cid"), F.max("cid").alias("other")).filter("cid = other").groupBy("cid").agg(F.count("*").alias("owned"))
+    owned = _members(docs, width, "quarter").groupBy("h").agg(F.min("cid").alias("cid"), F.max("cid").alias("other")).filter("cid = other").groupBy("cid").agg(F.count("*").alias("owned"))
     per_class = members.filter("n > 0").groupBy("cid").agg(F.max("n").alias("n"), F.min("th").alias("th"))
     open_classes = stage(per_class.join(owned, "cid", "left").filter(f"coalesce(owned, 0) <= floor(n * {100 - percent} / 100)").select("th"), "open")
     wanted = docs.sparkSession.sparkContext.broadcast(build(open_classes, filter_bits(open_classes.count()), 1))
-    grams = _members(docs, width, sampled=False, wanted=wanted).repartition("h").dropDuplicates(["h", "cid"])
-    shared = grams.withColumn("df", F.count("*").over(Window.partitionBy("h"))).filter("df > 1")
+    often = _frequent(docs, width, members.count(), wanted)
+    grams = _members(docs, width, "all", wanted, often).repartition("h", "salt").dropDuplicates(["h", "salt", "cid"])
+    counted = grams.withColumn("df", F.count("*").over(Window.partitionBy("h", "salt")))
+    if often:  # the parts of a frequent n-gram's rows are added up
+        counted = stage(counted, "counted")
+        whole = counted.filter(F.col("h").isin(*often)).groupBy("h").agg(F.count("*").alias("whole"))
+        counted = counted.join(F.broadcast(whole), "h", "left").withColumn("df", F.coalesce("whole", "df"))
+    shared = counted.filter("df > 1")
     listed = shared.groupBy("cid").agg(F.max("n").alias("n"), F.collect_list(F.struct("df", "h")).alias("own"))
     classes = stage(_prefixes(listed, percent), "classes")
     groups = classes.groupBy("gid").agg(F.min("n").alias("n"), F.min("first").alias("first"), F.min(F.struct("cid", "prefix")).alias("one"))
     postings = stage(groups.select("gid", "n", "first", F.posexplode("one.prefix").alias("at", "h")).select("h", "gid", "n", (F.col("first") + F.col("at")).alias("at")), "postings")
 
-    in_list, in_group = Window.partitionBy("h").orderBy("n", "gid"), Window.partitionBy("gid").orderBy("cid")
-    near = postings.select("gid", "n", "at", *(F.lag(c).over(in_list).alias(f"{c}0") for c in ("gid", "n", "at"))).filter("gid0 is not null").filter(_possible("n0", "n", "at0", "at", percent))
     one = small(stage(groups.select("gid", F.col("one.cid").alias("cid")), "groups"))
-    near = near.select("gid0", "gid").distinct().join(one.toDF("gid0", "a"), "gid0").join(one.toDF("gid", "b"), "gid").select("a", "b")
-    inside = classes.select(F.lag("cid").over(in_group).alias("a"), F.col("cid").alias("b")).filter("a is not null")
+    near = _neighbours(postings).filter(_possible("n0", "n", "at0", "at", percent)).select("gid0", "gid").distinct()
+    near = near.join(one.toDF("gid0", "a"), "gid0").join(one.toDF("gid", "b"), "gid").select("a", "b")
+    inside = classes.select(F.lag("cid").over(Window.partitionBy("gid").orderBy("cid")).alias("a"), F.col("cid").alias("b")).filter("a is not null")
     first = _verified(near.unionByName(inside), classes, percent)
     labels = components(first)
 
     placed = stage(classes.select("gid", "cid").join(small(labels).withColumnRenamed("node", "cid"), "cid", "left"), "placed")
-    expanded = postings.join(small(placed), "gid").select("h", "cid", F.coalesce("comp", "cid").alias("comp"), "n", "at")
+    expanded = stage(postings.join(small(placed), "gid").select("h", "cid", F.coalesce("comp", "cid").alias("comp"), "n", "at"), "expanded")
     lists = expanded.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("classes"), F.min("cid").alias("lead")).filter("x < y").select("h", "classes", "lead")
-    mixed = stage(expanded.join(lists, "h"), "mixed")
+    mixed = stage(join_groups(expanded, stage(lists, "lists"), "h", "classes", expanded.count()).filter("classes is not null"), "mixed")
     left = mixed.filter(F.col("classes") <= LIST).drop("classes", "lead")
     right = left.select("h", *(F.col(c).alias(f"{c}0") for c in ("cid", "comp", "n", "at")))
     across = left.join(right, "h").filter("comp0 < comp").filter(_possible("n0", "n", "at0", "at", percent)).select(F.col("cid0").alias("a"), F.col("cid").alias("b")).distinct()
@@ -256,6 +291,31 @@ def ngram_links(docs: DataFrame, id_column: str, text_column: str, width: int =
     return members, merged(labels, more) if not more.isEmpty() else labels
 
 
+def _neighbours(postings: DataFrame) -> DataFrame:
+    """(gid0, n0, at0, gid, n, at): groups that follow each other in an n-gram's list by size; long lists are cut into parts, whose first rows follow each other too."""
+    long = stage(postings.groupBy("h").agg(F.count("*").alias("rows")).filter(F.col("rows") > NEIGHBOURS), "long")
+    dealt = join_groups(postings, long, "h", "rows", postings.count())
+    dealt = dealt.withColumn("part", F.when(F.col("rows").isNull(), 0).otherwise(F.pmod(F.xxhash64("gid"), F.ceil(F.col("rows") / NEIGHBOURS))).cast("int"))
+
+    def follow(rows: DataFrame, *key: str) -> DataFrame:
+        order = Window.partitionBy(*key).orderBy("n", "gid")
+        return rows.select("gid", "n", "at", *(F.lag(c).over(order).alias(f"{c}0") for c in ("gid", "n", "at"))).filter("gid0 is not null")
+
+    heads = dealt.filter("rows is not null").groupBy("h", "part").agg(F.min(F.struct("n", "gid", "at")).alias("head")).select("h", "head.*")
+    return follow(dealt, "h", "part").unionByName(follow(heads, "h"))
+
+
+def _in_classes(members: DataFrame, labels: DataFrame, best: Column) -> DataFrame:
+    """(cid, class_rows, comp_rows, best) for the classes with words: sizes of class and component in rows, and the least `best` of the component's rows.
+
+    Rows are added up by class before components are, so a hot class or component is a few rows wherever it meets others.
+    """
+    own = stage(members.filter("n > 0").groupBy("cid").agg(F.count("*").alias("class_rows"), F.min(best).alias("low")), "own")
+    own = stage(own.join(small(labels).withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid")), "labelled")
+    comps = stage(own.groupBy("comp").agg(F.count("*").alias("of_classes"), F.sum("class_rows").alias("comp_rows"), F.min("low").alias("best")), "comps")
+    return stage(join_groups(own, comps, "comp", "of_classes", own.count()).select("cid", "class_rows", "comp_rows", "best"), "known")
+
+
 def ngram_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """A row for each row of docs: the id, n_shingles and component_id, the least id reachable by links, its own included.
 
@@ -263,10 +323,9 @@ def ngram_components(docs: DataFrame, id_column: str = "doc_id", text_column: st
     whole component has none; an empty table gives an empty result. Other columns aren't carried.
     """
     members, labels = ngram_links(docs, id_column, text_column, width, percent)
-    labelled = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    least = labelled.filter("n > 0").groupBy("comp").agg(F.min("id").alias("low"), F.count("*").alias("rows"))
-    several = least.filter("rows > 1").select("comp", "low")
-    return labelled.join(several, "comp", "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("low", "id")).otherwise(F.col("id")).alias("component_id"))
+    known = _in_classes(members, labels, F.col("id")).select("cid", "class_rows", F.col("best").alias("low"))
+    met = join_groups(members, known, "cid", "class_rows", members.count())
+    return met.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("low", "id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -276,19 +335,19 @@ def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: st
     Texts without words link with nothing, so all rows that have none stay.
     """
     members, labels = ngram_links(docs, id_column, text_column, width, percent)
-    labelled = members.filter("n > 0").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("id", "cid", "th", F.coalesce("comp", "cid").alias("comp"))
-    several = labelled.groupBy("comp").agg(F.count("*").alias("rows"), F.min(F.struct(F.col("id").isNull(), F.col("id"), "th")).alias("stay")).filter("rows > 1")
+    key, maybe_gone, stays, rows = (fresh(docs, n) for n in ("tl_key", "tl_maybe", "tl_stays", "tl_rows"))
+    known = _in_classes(members, labels, F.struct(F.col("id").isNull(), F.col("id"), "th"))
+    several = stage(known.filter("comp_rows > 1").select("cid", "class_rows", F.col("best.id").alias("stay_id"), F.col("best.th").alias("stay_th")), "several")
     # what goes is told by id and text hash; the row that stays is kept from going, and of its repetitions one stays
-    going = labelled.join(several.select("comp", "stay"), "comp").select("id", "th", F.col("stay.id").alias("stay_id"), F.col("stay.th").alias("stay_th"))
-    same = going["id"].eqNullSafe(going["stay_id"]) & (going["th"] == going["stay_th"])
-    marked = stage(going.select(F.xxhash64("id", "th").alias("tl_key"), same.alias("tl_stays")).groupBy("tl_key").agg(F.max("tl_stays").alias("tl_stays"), F.count("*").alias("tl_rows")), "going")
-    gone = stage(marked.filter("not tl_stays or tl_rows > 1").select("tl_key"), "gone")
+    going = join_groups(members, several, "cid", "class_rows", members.count()).filter("class_rows is not null")
+    same = F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("th") == F.col("stay_th"))
+    marked = stage(going.select(F.xxhash64("id", "th").alias(key), same.alias(stays)).groupBy(key).agg(F.max(stays).alias(stays), F.count("*").alias(rows)), "going")
+    gone = stage(marked.filter(~F.col(stays) | (F.col(rows) > 1)).select(key), "gone")
     wanted = docs.sparkSession.sparkContext.broadcast(build(gone, filter_bits(gone.count()), 1))
-    key = fresh(docs, "tl_key")
-    keyed = flagged(docs.withColumn(key, F.xxhash64(id_column, F.xxhash64(text_column))), key, fresh(docs, "tl_maybe"), wanted)
-    maybe_gone = fresh(docs, "tl_maybe")
-    sure = keyed.filter(~F.col(maybe_gone)).select(*docs.columns)
-    asked = keyed.filter(F.col(maybe_gone)).join(marked.withColumnRenamed("tl_key", key), key, "left")
-    stays = asked.filter("tl_stays is null or (tl_stays and tl_rows = 1)").select(*docs.columns)
-    repeated = asked.filter("tl_stays and tl_rows > 1").dropDuplicates([key]).select(*docs.columns)
-    return sure.unionByName(stays).unionByName(repeated)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = flagged(docs.withColumn(key, F.xxhash64(F.col(f"`{id_column}`"), F.xxhash64(F.col(f"`{text_column}`")))), key, maybe_gone, wanted)
+    sure = keyed.filter(~F.col(maybe_gone)).select(*own)
+    asked = join_groups(keyed.filter(F.col(maybe_gone)), marked, key, rows, members.count())
+    left = asked.filter(F.col(stays).isNull() | (F.col(stays) & (F.col(rows) == 1))).select(*own)
+    repeated = asked.filter(F.col(stays) & (F.col(rows) > 1)).dropDuplicates([key]).select(*own)
+    return sure.unionByName(left).unionByName(repeated)

@@ -491,13 +491,17 @@ def test_bpe(spark, words):
     alphabet = list("ab'sStremvlld  \n\t 12.,!?éñß漢字  ́²Ⅷ_😀 \r​　") + ["<|endoftext|>"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(400)] + fixture_texts()
     df = docs(spark, texts)
-    got = encode(df, table_words=words, decoded="text_back")
+    got = decode(encode(df.repartition(3), table_words=words), name="text_back")
     expected = collections.Counter((r.doc_id, np.array(tok.encode(r.text or "", add_special_tokens=False).ids, "<u4").tobytes(), r.text or "") for r in df.collect())
     assert collections.Counter((i, bytes(x), t) for i, x, t in rows_of(got, "doc_id", "ids", "text_back")) == expected
     counts = collections.Counter((i, len(x) // 4) for i, x, _ in expected.elements())
     assert collections.Counter(rows_of(count_tokens(df, table_words=words), "doc_id", "n_tokens")) == counts
-    assert rows_of(decode(got.filter("doc_id = 5")), "decoded") == [(texts[5],)]
-    assert encode(df.limit(0)).count() == 0
+    twice = decode(got.filter("doc_id = 5").withColumn("row", F.lit(1)).withColumn("dotted.name", F.lit("x")), name="text_back")
+    assert twice.columns == ["doc_id", "ids", "text_back", "row", "dotted.name", "text_back_"]
+    assert rows_of(twice, "text_back_") == [(texts[5],)]
+    odd = spark.createDataFrame([(1, None), (2, b""), (3, b"\xff\xff\xff\x7f\x41\x00\x00\x00\x01")], "k int, ids binary")
+    assert sorted(rows_of(decode(odd), "k", "decoded")) == [(1, ""), (2, ""), (3, tok.decode([65], skip_special_tokens=False))]
+    assert encode(df.limit(0)).count() == 0 and decode(encode(df.limit(0))).count() == 0
 
 
 # -- the pipeline

@@ -6,8 +6,9 @@ result. Positions of all other words are sent by word, so that each distinct wor
 words, and its ids join back to the documents by position. What is sent of a document is a code for each word of
 the table, in about two bytes.
 
-Decoding. Each row's ids are looked up in arrays of the vocabulary's pieces, which every Python worker has loaded for
-encoding, and the pieces' bytes are put together in order. There is no table of pieces and no join.
+Decoding. Each row's ids are exploded in order and join the table of (id, piece), which is broadcast, as a vocabulary's
+size doesn't grow with the data. A broadcast join keeps the order of rows, so a task puts the pieces of a row together
+as they come, without a shuffle; that they do come in order is checked at each of them.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from functools import cached_property, lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm._arrays import blocks, hash_spans, lean
 from textloom.llm._codepoints import bpe_words, code_points
+from textloom.llm._staging import fresh, stage
 
 #: Rows of the sample that proposes words for the broadcast table, and the most words that it may hold.
 SAMPLE_ROWS = 32_768
@@ -64,12 +66,8 @@ class Vocabulary:
         self.pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if added else None
         self._to = _byte_characters()
         back = {c: bytes([b]) for b, c in enumerate(self._to)}
-        by_id = {i: b"".join(back[c] for c in piece) for piece, i in spec["model"]["vocab"].items()}
-        by_id |= {i: content.encode() for content, i in self.special.items()}
-        pieces = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
-        self.piece_lengths = np.array([*map(len, pieces)], np.int64)
-        self.piece_starts = np.cumsum(self.piece_lengths) - self.piece_lengths
-        self.piece_bytes = np.frombuffer(b"".join(pieces), np.uint8)
+        #: Bytes by id, special tokens included.
+        self.pieces = {i: b"".join(back[c] for c in piece) for piece, i in spec["model"]["vocab"].items()} | {i: content.encode() for content, i in self.special.items()}
 
     @cached_property
     def _model(self):
@@ -168,7 +166,7 @@ def _sample_words(docs: DataFrame, path: str) -> DataFrame:
     """(word, n) of a bounded sample of the rows."""
     rows = max(1, docs.count())
     if rows > SAMPLE_ROWS:
-        docs = docs.filter(F.pmod("k1", F.lit(1 << 20)) < int((1 << 20) * SAMPLE_ROWS / rows))
+        docs = docs.filter(F.pmod(F.xxhash64("k1", "k2"), F.lit(1 << 20)) < int((1 << 20) * SAMPLE_ROWS / rows))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pandas as pd
@@ -208,8 +206,6 @@ def _encode_words(words: DataFrame, path: str) -> DataFrame:
 
 
 def _word_table(docs: DataFrame, path: str, most: int) -> WordTable:
-    from textloom.llm._staging import stage
-
     words = stage(_sample_words(docs, path), "words")
     sizes = sorted(words.groupBy(F.floor(F.log2("n")).alias("size")).count().collect(), reverse=True)
     least, total = 1 << 62, 0
@@ -226,12 +222,12 @@ class _Split:
     """The rows of a table keyed for encoding, the broadcast word table, and the positions of words that it lacks."""
 
     def __init__(self, docs: DataFrame, id_column: str, text_column: str, path: str, table_words: int):
-        text = F.coalesce(F.col(text_column), F.lit(""))
+        id_, text = F.col(f"`{id_column}`"), F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
         # rows find their rare words again by id and text hash: 44 bits of it beside an integer id, else all of it
         whole = isinstance(docs.schema[id_column].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
-        k1 = F.coalesce(F.col(id_column).cast("long"), F.lit(-1)) if whole else F.xxhash64(id_column)
-        k2 = F.when(F.col(id_column).isNotNull() & F.lit(whole), F.shiftrightunsigned(F.xxhash64(text), 20)).otherwise(F.xxhash64(text))
-        self.docs = docs.select(F.col(id_column).alias("id"), text.alias("text"), k1.alias("k1"), k2.alias("k2"))
+        k1 = F.coalesce(id_.cast("long"), F.lit(-1)) if whole else F.xxhash64(id_)
+        k2 = F.when(id_.isNotNull() & F.lit(whole), F.shiftrightunsigned(F.xxhash64(text), 20)).otherwise(F.xxhash64(text))
+        self.docs = docs.select(id_.alias("id"), text.alias("text"), k1.alias("k1"), k2.alias("k2"))
         self.kind = self.docs.schema["id"].dataType.simpleString()
         table: Broadcast[WordTable] = docs.sparkSession.sparkContext.broadcast(_word_table(self.docs, path, table_words))
         self.table = table
@@ -258,11 +254,9 @@ class _Split:
         self.rare = _encode_words(lone, path)
 
 
-def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str | None = None, table_words: int = TABLE_WORDS, decoded: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str | None = None, table_words: int = TABLE_WORDS) -> DataFrame:
     """A row for each row of docs: the id and `ids`, the token ids as little-endian unsigned 32-bit integers.
 
-    With `decoded`, a column of that name has the ids' text as well, as from decode().
-
     Ids are those of the tokenizers library's encode with add_special_tokens=False: special tokens that a text
     holds are found in it. Null and empty texts have no ids (empty bytes). Null, tied and repeated ids and
     repeated rows are encoded like others; other columns aren't carried; an empty table gives an empty result.
@@ -279,24 +273,25 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
                 packed += [_pack(found[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(packed, pa.binary())], ["k1", "k2", "id", "codes"])
 
-    joined = split.rare.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "ids")).alias("rare"))
+    # rows that are wholly alike have one key, so what is collected is a set
+    joined = split.rare.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "ids")).alias("rare"))
     base = docs.select("k1", "k2", "id", "text").mapInArrow(lean(coded), f"k1 bigint, k2 bigint, id {kind}, codes binary")
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
             for b in (whole_batch.slice(k, _ROWS) for k in range(0, whole_batch.num_rows, _ROWS)):
                 ids = [_join(table.value, codes, extra or ()) for codes, extra in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-                columns = [b.column(0), pa.array([x.tobytes() for x in ids], pa.binary())]
-                if decoded:
-                    columns.append(pa.array([_text_of(vocabulary(path), x) for x in ids], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, [id_column, "ids", *[decoded] * bool(decoded)])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in ids], pa.binary())], [id_column, "ids"])
 
-    schema = f"`{id_column}` {kind}, ids binary" + (f", `{decoded}` string" if decoded else "")
-    return base.join(joined, ["k1", "k2"], "left").select("id", "codes", "rare").mapInArrow(lean(filled), schema)
+    return base.join(joined, ["k1", "k2"], "left").select("id", "codes", "rare").mapInArrow(lean(filled), f"`{id_column}` {kind}, ids binary")
 
 
 def count_tokens(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str | None = None, table_words: int = TABLE_WORDS) -> DataFrame:
-    """(id, n_tokens) for each row of docs: how many ids encode() gives its text, without putting them in order."""
+    """(id, n_tokens) for each row of docs: how many ids encode() gives its text, without putting them in order.
+
+    Null and empty texts have 0. Null, tied and repeated ids and repeated rows are counted like others; other columns
+    aren't carried; an empty table gives an empty result.
+    """
     split = _Split(docs, id_column, text_column, tokenizer or default_path(), table_words)
     table, codes = split.table, split.codes
 
@@ -313,8 +308,9 @@ def count_tokens(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     base = split.docs.select("k1", "k2", "id", "text").mapInArrow(lean(known), f"k1 bigint, k2 bigint, id {split.kind}, known bigint")
     rare = split.rare.select("k1", "k2", F.expr("octet_length(ids) div 4").alias("n")).groupBy("k1", "k2").agg(F.sum("n").alias("more"))
     # rows that are alike have one key, under which the rare words of all of them were added up
-    alike = F.count("*").over(Window.partitionBy("k1", "k2"))
-    return base.join(rare, ["k1", "k2"], "left").withColumn("alike", alike).select(F.col("id").alias(id_column), F.expr("known + coalesce(more div alike, 0L)").alias("n_tokens"))
+    alike = split.docs.groupBy("k1", "k2").agg(F.count("*").alias("alike")).filter("alike > 1")
+    each = rare.join(alike, ["k1", "k2"], "left").select("k1", "k2", F.expr("more div coalesce(alike, 1L)").alias("more"))
+    return base.join(each, ["k1", "k2"], "left").select(F.col("id").alias(id_column), F.expr("known + coalesce(more, 0L)").alias("n_tokens"))
 
 
 def _join(table: WordTable, codes: bytes, rare) -> np.ndarray:
@@ -338,23 +334,71 @@ def _join(table: WordTable, codes: bytes, rare) -> np.ndarray:
     return out
 
 
-def _text_of(vocab: Vocabulary, ids: np.ndarray) -> str:
-    """The text of ids: each joins its piece, ids outside the vocabulary none."""
-    ids = ids[ids < len(vocab.piece_lengths)]
-    return _gather(vocab.piece_bytes, vocab.piece_starts[ids], vocab.piece_lengths[ids]).tobytes().decode("utf-8", "replace")
+#: The most bytes of a vocabulary's pieces that are broadcast.
+PIECE_BYTES = 64 << 20
+
+
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """(token, piece): the bytes of each id of a vocabulary."""
+    pieces = vocabulary(path).pieces
+    if sum(map(len, pieces.values())) > PIECE_BYTES:
+        raise ValueError(f"the vocabulary's pieces have more than {PIECE_BYTES} bytes")
+    return spark.createDataFrame(pa.table({"token": pa.array(pieces.keys(), pa.int64()), "piece": pa.array(pieces.values(), pa.binary())}))
 
 
 def decode(encoded: DataFrame, ids_column: str = "ids", name: str = "decoded", tokenizer: str | None = None) -> DataFrame:
-    """The table with the text that each row's ids stand for, special tokens included; null ids give an empty text.
+    """The table with the text that each row's ids stand for, special tokens included, in a column `name`.
 
-    Ids outside the vocabulary stand for nothing. Bytes that make no UTF-8 decode to U+FFFD.
+    Null and no ids give an empty text; ids outside the vocabulary stand for nothing. Bytes that make no UTF-8 decode
+    to U+FFFD. Repeated rows and null ids are rows like others; an empty table gives an empty result. A name that the
+    table has already gets underscores appended.
     """
-    path = tokenizer or default_path()
+    name = fresh(encoded, name)
+    every = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(encoded.columns)))
+    packed = F.coalesce(F.col(f"`{ids_column}`"), F.lit(b""))
+    rows = encoded.select(every.alias("row"), packed.alias("packed"))
 
-    @F.pandas_udf("string")
-    def pieces(packed):
-        import pandas as pd
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(k, _ROWS) for k in range(0, whole.num_rows, _ROWS)):
+                ids = [np.frombuffer(x[: len(x) // 4 * 4], "<u4") for x in b.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0), tokens], ["row", "tokens"])
+
+    tokens = rows.mapInArrow(lean(listed), T.StructType([rows.schema["row"], T.StructField("tokens", T.ArrayType(T.LongType()))]))
+    # a row's columns go with its first token only
+    tokens = tokens.select("row", F.posexplode_outer("tokens").alias("at", "token")).select(F.when(F.coalesce("at", F.lit(0)) == 0, F.col("row")).alias("row"), F.coalesce("at", F.lit(0)).alias("at"), "token")
+    pieces = tokens.join(F.broadcast(piece_table(encoded.sparkSession, tokenizer or default_path())), "token", "left").select("row", "at", "piece")
 
-        return pd.Series([_text_of(vocabulary(path), np.frombuffer(p or b"", "<u4")) for p in packed], dtype=object)
+    names = [*encoded.columns, name]
 
-    return encoded.withColumn(name, pieces(F.col(ids_column)))
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, text, last = None, [], -1
+
+        def out(rows: pa.StructArray, texts: list[str]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*rows.flatten(), pa.array(texts, pa.string())], names)
+
+        for b in batches:
+            row, at, piece = b.column(0), b.column(1).to_numpy(), b.column(2).fill_null(b"").cast(pa.large_binary())
+            if not len(at):
+                continue
+            if not np.all((at == 0) | (at == np.concatenate(([last], at[:-1])) + 1)):
+                raise RuntimeError("tokens came out of order")
+            last = int(at[-1])
+            offsets = np.frombuffer(piece.buffers()[1], np.int64)[piece.offset : piece.offset + len(piece) + 1]
+            data = memoryview(piece.buffers()[2] or b"")
+            first = np.flatnonzero(at == 0)
+            text.append(bytes(data[offsets[0] : offsets[first[0] if len(first) else len(at)]]))
+            if not len(first):
+                continue
+            if held is not None:
+                yield out(held, [b"".join(text).decode("utf-8", "replace")])
+            cuts = offsets[first].tolist()
+            if len(first) > 1:
+                yield out(row.take(pa.array(first[:-1])), [str(data[a:e], "utf-8", "replace") for a, e in zip(cuts[:-1], cuts[1:], strict=True)])
+            held, text = row.take(pa.array(first[-1:])), [bytes(data[cuts[-1] : offsets[len(at)]])]
+        if held is not None:
+            yield out(held, [b"".join(text).decode("utf-8", "replace")])
+
+    return pieces.mapInArrow(lean(joined), T.StructType([*encoded.schema.fields, T.StructField(name, T.StringType())]))

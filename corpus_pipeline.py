@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm._staging import stage
-from textloom.llm.bpe import encode
+from textloom.llm.bpe import decode, encode
 from textloom.llm.decontaminate import remove_leaks
 from textloom.llm.exact_dedup import mark_duplicates
 from textloom.llm.language_id import predict, train
@@ -54,7 +54,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded): ids as little-endian unsigned 32-bit integers, decoded their text."""
-    coded = encode(docs, "doc_id", "text", decoded="decoded")
+    coded = decode(encode(docs, "doc_id", "text"))
     return coded.select("doc_id", F.expr("cast(octet_length(ids) / 4 as bigint)").alias("n_tokens"), "ids", "decoded")
 
 

@@ -31,6 +31,13 @@ def docs(spark, texts=None):
     return spark.createDataFrame(rows, DOCS)
 
 
+def clashing(df, *names):
+    """The table with columns of the names that operators give their own helpers."""
+    for n in names:
+        df = df.withColumn(n, F.lit("own"))
+    return df
+
+
 def rows_of(df, *columns):
     return [tuple(r) for r in df.select(*columns).collect()]
 
@@ -71,44 +78,62 @@ def test_chat_round_trip(spark):
 # -- 2: sharding
 
 
+def brute_capacity(sizes, shards):
+    cap = max(max(sizes), -(-sum(sizes) // shards))
+    while True:
+        n, load = 1, 0
+        for x in sizes:
+            n, load = (n + 1, x) if load + x > cap else (n, load + x)
+        if n <= shards:
+            return cap
+        cap += 1
+
+
 def test_minimax_capacity(spark):
-    from textloom.llm.sharding import minimax_capacity
-
-    def brute(sizes, shards):
-        cap = max(sizes)
-        while True:
-            n, load = 1, 0
-            for x in sizes:
-                n, load = (n + 1, x) if load + x > cap else (n, load + x)
-            if n <= shards:
-                return cap
-            cap += 1
+    from textloom.llm.sharding import _even_starts, minimax_capacity
 
     rng = random.Random(1)
     cases = [([rng.randrange(1, 60) for _ in range(rng.randrange(1, 40))], rng.randrange(1, 9)) for _ in range(25)]
-    df = spark.createDataFrame([(i, s, k) for i, (s, k) in enumerate(cases)], "i int, s array<long>, k int")
-    got = dict(rows_of(df, "i", minimax_capacity(F.col("s"), F.col("k"))))
-    assert got == {i: brute(s, k) for i, (s, k) in enumerate(cases)}
-
-
-def test_sharding(spark):
-    from textloom.llm.sharding import shard_by_bytes
-
-    df = docs(spark, fixture_texts() + ["hot text " * 20] * 40)
-    out = shard_by_bytes(df, 5).collect()
+    df = spark.createDataFrame([(i, np.cumsum(s).tolist(), k) for i, (s, k) in enumerate(cases)], "i int, t array<long>, k int")
+    got = dict(rows_of(df, "i", minimax_capacity(F.col("t"), F.lit(0), F.col("k"))))
+    assert got == {i: brute_capacity(s, k) for i, (s, k) in enumerate(cases)}
+    for i, starts in rows_of(df, "i", _even_starts(F.col("t"), 4)):
+        sizes = cases[i][0]
+        loads = [sum(sizes[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        assert sum(loads) == sum(sizes) and max(loads) == brute_capacity(sizes, 4)
+
+
+@pytest.mark.parametrize(("bits", "hot"), [(16, 0), (7, 0), (7, 40), (6, 400)])
+def test_sharding(spark, monkeypatch, bits, hot):
+    from textloom.llm import sharding
+
+    monkeypatch.setattr(sharding, "UNIT_BITS", bits)  # few bits: first units hold many groups and are split
+    df = clashing(docs(spark, fixture_texts() + ["hot text " * 20] * hot), "id", "size", "crc", "key", "part")
+    out = sharding.shard_by_bytes(df, 5).collect()
     assert len(out) == df.count()
     texts = collections.defaultdict(set)
-    by = collections.defaultdict(list)
+    by, loads = collections.defaultdict(list), collections.Counter()
     size = lambda t: len((t or "").encode()) + 16
     expected = collections.Counter((r.doc_id, size(r.text), zlib.crc32((r.text or "").encode())) for r in df.collect())
-    assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in out) == expected
+    assert collections.Counter((r.doc_id, r["size"], r.text_crc32) for r in out) == expected
     for r in out:
-        texts[r.text_crc32, r.size].add(r.shard)
+        texts[r.text_crc32, r["size"]].add(r.shard)
         by[r.shard].append(r.slot)
+        loads[r.shard] += r["size"]
     assert all(len(s) == 1 for s in texts.values())
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
-    assert set(by) <= set(range(5))
-    assert shard_by_bytes(df.limit(0), 5).count() == 0
+    assert set(by) == set(range(5))
+
+    groups = collections.Counter()
+    text = F.coalesce("text", F.lit(""))
+    for key, n in rows_of(df, sharding._key((F.octet_length(text) + 16).cast("long"), text), (F.octet_length(text) + 16)):
+        groups[key] += n
+    total = sum(groups.values())
+    ordered = sorted(groups.items(), key=lambda kv: (0, -kv[1], kv[0]) if kv[1] * 10 > total else (1, kv[0], 0))
+    assert max(loads.values()) == brute_capacity([n for _, n in ordered], 5)
+    rest = [loads[k] for k in range(5) if k or not hot]
+    assert min(rest) > 0.9 * sum(rest) / len(rest)
+    assert sharding.shard_by_bytes(df.limit(0), 5).count() == 0
 
 
 # -- 3: language ID
@@ -244,13 +269,6 @@ def test_exact_dedup(spark, monkeypatch, bits, few):
     assert mark_duplicates(df.limit(0)).count() == 0
 
 
-def clashing(df, *names):
-    """The table with columns of the names that operators give their own helpers."""
-    for n in names:
-        df = df.withColumn(n, F.lit("own"))
-    return df
-
-
 def test_exact_dedup_clashing_names(spark):
     from textloom.llm.exact_dedup import mark_duplicates
 

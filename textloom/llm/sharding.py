@@ -7,11 +7,10 @@ such cut allows.
 
 The sizes of all groups needn't be in one place for that. Units are ranges of the order, at first 65,536 at most; over
 their running totals, a table of bounded size, SQL functions binary-search the smallest capacity for which a greedy
-pass, which fills a shard until the next unit would overflow it, needs no more shards than there are. Units at which
-that pass, or that with a byte less, starts a shard are split into smaller ranges, and so on until these are single
-groups. Then a finer split can't move a cut any more, so the capacity is the smallest over groups.
-
-Under that capacity the cuts are evened out: each shard gets the smallest capacity that is feasible for what is left.
+pass, which fills a shard until the next unit would overflow it, needs no more shards than there are. Under that
+capacity the cuts are evened out: each shard gets the smallest capacity that is feasible for what is left. Units at
+which any of these passes, or that with a byte less, starts a shard are split into smaller ranges, and so on until
+these are single groups. Then a finer split can't move a cut any more, so the capacity is the smallest over groups.
 
 A row's shard follows from its key. Its slot in the shard is its rank in a part of the shard plus the sizes of the
 parts before it; parts are chosen by a hash of the row, so a hot group's rows spread over many.
@@ -122,8 +121,8 @@ def _cuts(rows: DataFrame, shards: int) -> tuple[list[int], list[tuple[int, int]
     units = stage(_units(rest, UNIT_BITS), "cells") if not large.isEmpty() else units
     while True:
         ordered = _ordered(first.unionByName(units))
-        bounds = stage(ordered.withColumn("capacity", minimax_capacity(F.col("totals"), F.lit(0), F.lit(shards))), "capacity")
-        at = F.array_union(*(_starts(F.col("totals"), F.lit(0), F.col("capacity") - less, F.lit(shards)) for less in (0, 1)))
+        bounds = stage(ordered.select("*", minimax_capacity(F.col("totals"), F.lit(0), F.lit(shards)).alias("capacity"), _even_starts(F.col("totals"), shards).alias("even")), "capacity")
+        at = F.array_union(F.array_union(*(_starts(F.col("totals"), F.lit(0), F.col("capacity") - less, F.lit(shards)) for less in (0, 1))), "even")
         coarse = bounds.select(F.explode(F.filter(F.transform(at, lambda i: F.get("units", i)), lambda u: u["several"])).alias("u")).select("u.lo", "u.bits").collect()
         if not coarse:
             break
@@ -133,7 +132,7 @@ def _cuts(rows: DataFrame, shards: int) -> tuple[list[int], list[tuple[int, int]
         finer = _units(rest.filter(held), bits)
         same = reduce(Column.__or__, ((F.col("lo") == r["lo"]) & (F.col("bits") == r["bits"]) for r in coarse))
         units = stage(units.filter(~same).unionByName(finer), "cells")
-    row = bounds.select(F.transform(F.filter(_even_starts(F.col("totals"), shards), lambda i: i < F.size("units")), lambda i: F.get("units", i)).alias("starts")).first()
+    row = bounds.select(F.transform(F.filter("even", lambda i: i < F.size("units")), lambda i: F.get("units", i)).alias("starts")).first()
     starts = [(r["pos"], r["lo"]) for r in row["starts"]]
     groups = [((r["pos"], r["lo"]), r["lo"]) for r in first.collect()]
     return [lo for pos, lo in starts if pos >= 0], [(lo, sum(s <= place for s in starts) - 1) for place, lo in groups]

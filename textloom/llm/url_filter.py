@@ -99,7 +99,7 @@ def mine_rules(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     certain = F.col("confidence") >= base + mining.deviations * F.sqrt(F.lit(base * (1 - base)) / F.col("covers"))
     rules = stage(rules.join(freq, "antecedent").filter((F.col("covers") >= support * n - 1e-6) & certain).select("antecedent", "confidence"), "rules")
     # a rule meets the rules within it by its own subsets, of which there are fewer than 2 ** tokens
-    subsets = F.transform(F.sequence(F.lit(1), F.shiftleft(F.lit(1), F.size("antecedent")) - 2), lambda m: F.filter("antecedent", lambda _, i: F.expr("1L").bitwiseAND(F.call_function("shiftright", m.cast("long"), i)) == 1))
+    subsets = F.transform(F.expr("sequence(1, shiftleft(1, size(antecedent)) - 2)"), lambda m: F.filter("antecedent", lambda _, i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1)) == 1))
     inner = rules.filter(F.size("antecedent") > 1).select("antecedent", "confidence", F.explode(subsets).alias("inner"))
     wider = inner.join(rules.select(F.col("antecedent").alias("inner"), F.col("confidence").alias("of_inner")), "inner").filter("of_inner >= confidence").select("antecedent").distinct()
     rules = rules.join(wider, "antecedent", "left_anti")

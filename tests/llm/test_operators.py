@@ -198,6 +198,25 @@ def test_rollup(spark, tmp_path):
     assert set(r.commits()) == {"b1", "b2", "b3"}
 
 
+def test_rollup_snapshots(spark, tmp_path):
+    from textloom.llm.token_rollup import CHANGES, TokenRollup
+
+    r = TokenRollup(spark, str(tmp_path / "r"))
+    change = lambda n, op="insert", old=None: spark.createDataFrame([(op, "a", "en", "v1", n, old)], CHANGES)
+    assert not r.compact()
+    r.commit("b1", change(5))
+    r.commit("b2", change(7))
+    assert r.compact() and not r.compact() and rows_of(r.totals(), "docs", "tokens") == [(2, 12)]
+    assert not r.commit("b1", change(5)) and r.commit("b3", change(9, "revise", 7))
+    assert rows_of(r.totals(), "docs", "tokens") == [(2, 14)]
+    snapshots = tmp_path / "r" / "snapshots"
+    (snapshots / "2").write_text('{"folder": "snap')  # a writer that died
+    assert rows_of(r.totals(), "docs", "tokens") == [(2, 14)]
+    assert r.compact() and sorted(p.name for p in snapshots.iterdir() if p.name.isdigit()) == ["1", "2", "3"]
+    r.commit("b4", change(5, "delete"))
+    assert rows_of(r.totals(), "docs", "tokens") == [(1, 9)] and set(r.commits()) == {"b1", "b2", "b3", "b4"}
+
+
 def test_rollup_half_written_markers(spark, tmp_path):
     from textloom.llm.token_rollup import CHANGES, TokenRollup
 

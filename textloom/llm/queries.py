@@ -45,7 +45,8 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four batches, for a BPE and a word tokenizer: all documents are inserted; those with repeated lines
-    are revised to their text without the repetitions; those labelled toxic are deleted; and that batch is sent again."""
+    are revised to their text without the repetitions; those labelled toxic are deleted; and that batch is sent again.
+    The totals are read from a snapshot of the first two batches and the deltas after it."""
     from textloom.llm._staging import stage, staging_path
     from textloom.llm.bpe import count_tokens
     from textloom.llm.token_rollup import TokenRollup, count_words
@@ -67,6 +68,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup = TokenRollup(spark, staging_path(spark, "rollup"))
     rollup.commit("load", changes(each.filter("not revised"), "insert", "n", "0L"))
     rollup.commit("without-repeats", changes(each.filter("repeats"), "revise", "if(revised, n, 0L)", "if(revised, 0L, n)"))
+    rollup.compact()
     leaving = changes(each.filter("toxic and revised = repeats"), "delete", "n", "0L")
     rollup.commit("toxic", leaving)
     rollup.commit("toxic", leaving)

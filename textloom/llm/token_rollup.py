@@ -2,7 +2,8 @@
 
 A change says that a document's count was inserted, deleted or revised. A batch of changes becomes signed deltas,
 added up by source, language and tokenizer version, before anything is stored; a revision subtracts the old count
-and adds the new. Totals are the sum of the deltas of all committed batches, so a commit costs what its batch holds.
+and adds the new. A commit costs what its batch holds. Totals are a snapshot of the totals at some commits and the
+deltas of those after them; compact() makes a new snapshot, so reading costs what came since.
 
 Commits are idempotent. A batch's deltas are written to a folder of their own attempt; then a marker named by the
 batch is created, which the file system lets only one attempt do, and the attempt's name is written into it. A marker
@@ -13,6 +14,7 @@ ran again, counts once.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 
@@ -47,15 +49,15 @@ class TokenRollup:
     def _hadoop(self, path: str):
         return self._jvm.org.apache.hadoop.fs.Path(path)
 
-    def commits(self) -> dict[str, str]:
-        """The attempt that counts, by batch."""
+    def commits(self, known: dict[str, str] | None = None) -> dict[str, str]:
+        """The attempt that counts, by batch; of `known` batches nothing is read or returned."""
         folder = self._hadoop(f"{self.path}/commits")
         if not self._fs.exists(folder):
             return {}
         names = [s.getPath().getName().partition("~") for s in self._fs.listStatus(folder)]
         out = {}
         for batch, k in sorted((batch, int(k or 0)) for batch, _, k in names):
-            if batch not in out and (attempt := self._named(batch, k)):
+            if batch not in out and batch not in (known or ()) and (attempt := self._named(batch, k)):
                 out[batch] = attempt
         return out
 
@@ -85,26 +87,71 @@ class TokenRollup:
             k += 1
         attempt = f"{batch}-{uuid.uuid4().hex}"
         signed_deltas(changes).write.parquet(f"{self.path}/deltas/{attempt}")
-        while True:
-            try:
-                stream = self._fs.create(self._hadoop(self._marker(batch, k)), False)
-                break
-            except Exception as e:
-                if "AlreadyExists" not in str(e) and "AlreadyBeingCreated" not in str(e):
-                    raise
-                if self._named(batch, k):
-                    return False
-                k += 1
-        stream.write(bytearray(attempt.encode()))
-        stream.close()
+        while not self._write(self._marker(batch, k), attempt):
+            if self._named(batch, k):
+                return False
+            k += 1
         return True
 
-    def totals(self) -> DataFrame:
-        """(source, lang, tokenizer, docs, tokens) of all committed batches; groups that have come to nothing are left out."""
-        paths = [f"{self.path}/deltas/{a}" for a in sorted(self.commits().values())]
+    def _write(self, path: str, text: str) -> bool:
+        """Create a file with this text; False if it is there already."""
+        try:
+            stream = self._fs.create(self._hadoop(path), False)
+        except Exception as e:
+            if "AlreadyExists" not in str(e) and "AlreadyBeingCreated" not in str(e):
+                raise
+            return False
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        return True
+
+    def _snapshot(self) -> dict:
+        """The last whole snapshot: its folder of totals and the batches in it. One whose writer died is passed over."""
+        folder = self._hadoop(f"{self.path}/snapshots")
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        for name in sorted(names, key=int, reverse=True):
+            try:
+                return json.loads(self._read(f"{self.path}/snapshots/{name}")) | {"number": int(name)}
+            except ValueError:
+                continue
+        return {"folder": None, "batches": {}, "number": 0}
+
+    def _sum(self, snapshot: dict, since: dict[str, str]) -> DataFrame:
+        paths = [f"{self.path}/deltas/{a}" for a in [*filter(None, [snapshot["folder"]]), *sorted(since.values())]]
         rows = self.spark.read.schema(DELTAS).parquet(*paths) if paths else self.spark.createDataFrame([], DELTAS)
         return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 or tokens <> 0")
 
+    def totals(self) -> DataFrame:
+        """(source, lang, tokenizer, docs, tokens) of all committed batches.
+
+        Null keys are a key. Groups that have come to nothing are left out, so a rollup without batches, or of empty
+        ones, has no rows.
+        """
+        snapshot = self._snapshot()
+        return self._sum(snapshot, self.commits(snapshot["batches"]))
+
+    def compact(self) -> bool:
+        """Make the totals of all committed batches the snapshot; False if there is nothing new or another did so meanwhile.
+
+        The totals are written first, then a file that names them and their batches, which only one writer can create.
+        A batch that is committed meanwhile isn't in it and counts as a delta. Batches stay known, so they still can't
+        be sent again.
+        """
+        snapshot = self._snapshot()
+        since = self.commits(snapshot["batches"])
+        if not since:
+            return False
+        folder = f"snapshot-{uuid.uuid4().hex}"
+        self._sum(snapshot, since).write.parquet(f"{self.path}/deltas/{folder}")
+        number = snapshot["number"] + 1
+        while not self._write(f"{self.path}/snapshots/{number}", json.dumps({"folder": folder, "batches": snapshot["batches"] | since})):
+            if self._snapshot()["number"] >= number:
+                return False
+            number += 1  # of a writer that died
+        return True
+
 
 def count_words(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """The table with n_tokens: runs of anything but ASCII white space; 0 for null."""

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -365,9 +366,10 @@ def test_ngram_empty(spark):
 
 
 def test_license_scan(spark):
-    from textloom.llm.license_scan import SENTENCES, TRIGGER, scan_licenses
+    from textloom.llm.license_scan import _STARTERS, SENTENCES, TRIGGER, normalised, scan_licenses
 
-    assert all(re.search(TRIGGER, s) for s in SENTENCES.values())
+    assert all(re.search(TRIGGER, s) for s in SENTENCES.values()) and len(set(map(normalised, SENTENCES.values()))) == len(SENTENCES)
+    assert not [(k, x) for k, s in SENTENCES.items() for x in _STARTERS if f" {x} " in s]  # a wrapped line can't start with one
     s = SENTENCES
     cases = [
         (1, f"Some text.\n{s['mit-ref']}\nMore."), (2, f"{s['apache2-long']}\n{s['apache2-obtain']}\n\n{s['apache2-warranty']}"), (3, f"{s['apache2-long']} {s['apache2-warranty']}"),
@@ -387,7 +389,7 @@ LEAD = {"bare": "", "indented": "    ", "hash": "# ", "slashes": "// ", "star":
 def test_license_every_rule(spark, width, end):
     import textwrap
 
-    from textloom.llm.license_scan import RULES, SENTENCES, scan_licenses
+    from textloom.llm.license_scan import RULES, SENTENCES, oracle_sql, scan_licenses
 
     rows, expected = [], set()
 
@@ -395,8 +397,7 @@ def test_license_every_rule(spark, width, end):
         rows.append((len(rows), end.join(lines)))
         expected.add((len(rows) - 1, rule, 1))
 
-    by_sentence = {seq[0]: rule for rule, _, seq in RULES if len(seq) == 1}
-    cases = [(seq, rule) for rule, _, seq in RULES] + [((k,), by_sentence[k]) for k in SENTENCES if k in by_sentence]
+    cases = [(seq, rule) for rule, _, seq in RULES]
     assert set(SENTENCES) == {k for seq, _ in cases for k in seq}
     for seq, rule in cases:
         for lead in LEAD.values():
@@ -410,8 +411,16 @@ def test_license_every_rule(spark, width, end):
             add([f"/* {one}*/", "int x"], rule)
             add([f"<!-- {one}-->", "<p>"], rule)
             add([f'"""{one}"""', "import os"], rule)
-    got = {(r.doc_id, r.rule, r.matches) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == expected
+    rows += [(None, rows[0][1]), (None, rows[0][1]), (7, "word " * 200_000 + rows[-1][1])]  # null and repeated rows, a long text
+    out = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.rule, r.matches) for r in out} == expected | {(None, cases[0][1], 1), (7, cases[-1][1], 1)} and sum(r.doc_id is None for r in out) == 2
+
+    import duckdb
+
+    documents = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": [t for _, t in rows]})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    assert sorted(con.sql(oracle_sql()).fetchall(), key=str) == sorted(map(tuple, out), key=str)
 
 
 def test_license_pieces(spark):

@@ -406,8 +406,8 @@ def test_license_every_rule(spark, width, end):
             for k in seq:
                 lines += ["", *textwrap.wrap(SENTENCES[k], width)]
             add([(lead + x).rstrip() for x in [*lines, "", "import os"]], rule)
-        one = " ".join(SENTENCES[k] for k in seq if k != "apache2-obtain")
-        if "apache2-obtain" not in seq:
+        one = " ".join(SENTENCES[k] for k in seq)
+        if all(SENTENCES[k][-1] in ".:" for k in seq):  # others end at an empty line only
             add([f"/* {one}*/", "int x"], rule)
             add([f"<!-- {one}-->", "<p>"], rule)
             add([f'"""{one}"""', "import os"], rule)

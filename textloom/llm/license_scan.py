@@ -176,8 +176,8 @@ RULES = (
 #: Each known sentence holds one of these, whatever its case and however it is wrapped.
 TRIGGER = r"(?i)licen[cs]e|warrant|copyright|redistribut|permission|acknowledgement|mozilla|liable|unencumbered|compiled|notice|evil|eupl|psf|CC BY"
 _MARK = "\u0001"
-#: The first two words of known sentences, before which a line's end ends a sentence.
-_STARTERS = sorted({" ".join(s.split()[:2]).rstrip(".,;") for s in SENTENCES.values()}, key=lambda x: (-len(x), x))
+#: The first three words of known sentences, before which a line's end ends a sentence.
+_STARTERS = sorted({" ".join(s.split()[:3]).rstrip(".,;") for s in SENTENCES.values()}, key=lambda x: (-len(x), x))
 
 
 #: Marks at a line's start: # // * -- ; > <!-- and whatever else has no letter, digit or end of a sentence; a batch file's ::.
@@ -194,7 +194,7 @@ def normalised(sentence: str) -> str:
 
 
 def sentences_of(text: Column) -> Column:
-    """Sentences end at . ! ? : before white space, at blank lines, and at line ends before two words that start a known one; marks at line starts are left out."""
+    """Sentences end at . ! ? : before white space, at blank lines, and at line ends before three words that start a known one; marks at line starts are left out."""
     text = F.regexp_replace(F.regexp_replace(text, _LEADING, ""), _END, "$1" + _MARK)
     text = F.regexp_replace(text, r"\n[ \t\r]*\n", _MARK)
     return F.split(F.regexp_replace(text, rf"\n[ \t]*({_STARTS})", _MARK + "$1"), _MARK)

@@ -411,7 +411,7 @@ def test_license_every_rule(spark, width, end):
             add([f"/* {one}*/", "int x"], rule)
             add([f"<!-- {one}-->", "<p>"], rule)
             add([f'"""{one}"""', "import os"], rule)
-    rows += [(None, rows[0][1]), (None, rows[0][1]), (7, "word " * 200_000 + rows[-1][1])]  # null and repeated rows, a long text
+    rows += [(None, rows[0][1]), (None, rows[0][1]), (7, "word. " * 200_000 + rows[-1][1])]  # null and repeated rows, a long text
     out = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.rule, r.matches) for r in out} == expected | {(None, cases[0][1], 1), (7, cases[-1][1], 1)} and sum(r.doc_id is None for r in out) == 2
 

@@ -6,9 +6,10 @@ result. Positions of all other words are sent by word, so that each distinct wor
 words, and its ids join back to the documents by position. What is sent of a document is a code for each word of
 the table, in about two bytes.
 
-Decoding. Each row's ids are exploded in order and join the table of (id, piece), which is broadcast, as a vocabulary's
-size doesn't grow with the data. A broadcast join keeps the order of rows, so a task puts the pieces of a row together
-as they come, without a shuffle; that they do come in order is checked at each of them.
+Decoding. Rows are taken in blocks. The distinct ids of a block join the table of (id, piece), which is broadcast, as a
+vocabulary's size doesn't grow with the data. A broadcast join keeps the order of rows, so a task has the pieces of a
+block after its rows, without a shuffle, and puts them together at their positions; that they do come in order, and
+all of them, is checked.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,11 +31,12 @@ from textloom.llm._arrays import blocks, hash_spans, lean
 from textloom.llm._codepoints import bpe_words, code_points
 from textloom.llm._staging import fresh, stage
 
-#: Rows of the sample that proposes words for the broadcast table, and the most words that it may hold.
+#: Rows of the sample that proposes words for the broadcast table, and words that it holds at most, both in expectation.
 SAMPLE_ROWS = 32_768
 TABLE_WORDS = 1 << 19
 _BLOCK = 400_000
 _ROWS = 500  # rows that are put together at once
+_DECODED = 8_000_000  # bytes of ids that are decoded together, or those of one row
 _RARE = -1  # codes: a word of the table, a word that isn't in it, or -2 - id for a special token
 
 
@@ -208,13 +211,15 @@ def _encode_words(words: DataFrame, path: str) -> DataFrame:
 def _word_table(docs: DataFrame, path: str, most: int) -> WordTable:
     words = stage(_sample_words(docs, path), "words")
     sizes = sorted(words.groupBy(F.floor(F.log2("n")).alias("size")).count().collect(), reverse=True)
-    least, total = 1 << 62, 0
+    # the frequent words whole, and of the size that doesn't fit as a whole a share by hash
+    taken, total = F.lit(False), 0
     for size, n in sizes:
+        share = min(n, most - total) / n
+        taken = taken | ((F.floor(F.log2("n")) == size) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20))))
         total += n
-        if total > most:
+        if total >= most:
             break
-        least = 1 << size
-    rows = _encode_words(words.filter(F.col("n") >= least), path).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    rows = _encode_words(words.filter(taken), path).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     return WordTable(rows["word"], rows["ids"])
 
 
@@ -354,51 +359,61 @@ def decode(encoded: DataFrame, ids_column: str = "ids", name: str = "decoded", t
     table has already gets underscores appended.
     """
     name = fresh(encoded, name)
-    every = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(encoded.columns)))
-    packed = F.coalesce(F.col(f"`{ids_column}`"), F.lit(b""))
-    rows = encoded.select(every.alias("row"), packed.alias("packed"))
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in (whole.slice(k, _ROWS) for k in range(0, whole.num_rows, _ROWS)):
-                ids = [np.frombuffer(x[: len(x) // 4 * 4], "<u4") for x in b.column(1).to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0), tokens], ["row", "tokens"])
-
-    tokens = rows.mapInArrow(lean(listed), T.StructType([rows.schema["row"], T.StructField("tokens", T.ArrayType(T.LongType()))]))
-    # a row's columns go with its first token only
-    tokens = tokens.select("row", F.posexplode_outer("tokens").alias("at", "token")).select(F.when(F.coalesce("at", F.lit(0)) == 0, F.col("row")).alias("row"), F.coalesce("at", F.lit(0)).alias("at"), "token")
-    pieces = tokens.join(F.broadcast(piece_table(encoded.sparkSession, tokenizer or default_path())), "token", "left").select("row", "at", "piece")
-
+    every = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(encoded.columns)), F.coalesce(F.col(f"`{ids_column}`"), F.lit(b"")).alias("packed"))
+    rows = encoded.select(every.alias("row"))
     names = [*encoded.columns, name]
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, text, last = None, [], -1
+    def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed = b.column(0).field(b.column(0).type.num_fields - 1)
+            size = np.cumsum(pc.binary_length(packed).to_numpy(zero_copy_only=False).astype(np.int64))
+            cuts = np.unique(np.concatenate((np.arange(0, b.num_rows, _ROWS), np.flatnonzero(np.diff(size // _DECODED)) + 1, [b.num_rows])))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                tokens = np.unique(np.concatenate([_ids(x) for x in packed.slice(lo, hi - lo).to_pylist()]))
+                more = max(0, len(tokens) - 1)  # the first row of a block has its rows
+                held = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), b.column(0).slice(lo, hi - lo))
+                held = pa.concat_arrays([held, pa.nulls(more, held.type)])
+                yield pa.RecordBatch.from_arrays([held, pa.array([len(tokens)] + [0] * more, pa.int64()), pa.array(tokens.astype(np.int64) if len(tokens) else [None], pa.int64())], ["rows", "of", "token"])
+
+    kind = T.StructType([T.StructField("rows", T.ArrayType(rows.schema["row"].dataType)), T.StructField("of", T.LongType()), T.StructField("token", T.LongType())])
+    pieces = rows.mapInArrow(lean(blocked), kind).join(F.broadcast(piece_table(encoded.sparkSession, tokenizer or default_path())), "token", "left").select("rows", "of", "token", "piece")
 
-        def out(rows: pa.StructArray, texts: list[str]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*rows.flatten(), pa.array(texts, pa.string())], names)
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, most, tokens, found = None, 0, [], []
+
+        def out() -> pa.RecordBatch:
+            known = np.concatenate([*tokens, np.zeros(0, np.int64)])
+            if len(known) != most or (known[1:] <= known[:-1]).any():
+                raise RuntimeError("pieces came out of order")
+            data, starts, lengths = _spans(found)
+            fields = block.flatten()
+            at = [np.searchsorted(known, _ids(x)) for x in fields[-1].to_pylist()]
+            texts = [_gather(data, starts[i], lengths[i]).tobytes().decode("utf-8", "replace") for i in at]
+            return pa.RecordBatch.from_arrays([*fields[:-1], pa.array(texts, pa.string())], names)
 
         for b in batches:
-            row, at, piece = b.column(0), b.column(1).to_numpy(), b.column(2).fill_null(b"").cast(pa.large_binary())
-            if not len(at):
-                continue
-            if not np.all((at == 0) | (at == np.concatenate(([last], at[:-1])) + 1)):
-                raise RuntimeError("tokens came out of order")
-            last = int(at[-1])
-            offsets = np.frombuffer(piece.buffers()[1], np.int64)[piece.offset : piece.offset + len(piece) + 1]
-            data = memoryview(piece.buffers()[2] or b"")
-            first = np.flatnonzero(at == 0)
-            text.append(bytes(data[offsets[0] : offsets[first[0] if len(first) else len(at)]]))
-            if not len(first):
-                continue
-            if held is not None:
-                yield out(held, [b"".join(text).decode("utf-8", "replace")])
-            cuts = offsets[first].tolist()
-            if len(first) > 1:
-                yield out(row.take(pa.array(first[:-1])), [str(data[a:e], "utf-8", "replace") for a, e in zip(cuts[:-1], cuts[1:], strict=True)])
-            held, text = row.take(pa.array(first[-1:])), [bytes(data[cuts[-1] : offsets[len(at)]])]
-        if held is not None:
-            yield out(held, [b"".join(text).decode("utf-8", "replace")])
+            first = b.column(0).is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.unique([0, *np.flatnonzero(first), b.num_rows]).tolist()
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if first[lo]:
+                    if block is not None:
+                        yield out()
+                    block, most, tokens, found = b.column(0)[lo].values, b.column(1)[lo].as_py(), [], []
+                own = b.slice(lo, hi - lo)
+                tokens.append(own.column(2).drop_null().to_numpy())
+                found.append(own.column(3).filter(own.column(2).is_valid()))
+        if block is not None:
+            yield out()
 
     return pieces.mapInArrow(lean(joined), T.StructType([*encoded.schema.fields, T.StructField(name, T.StringType())]))
+
+
+def _ids(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed[: len(packed) // 4 * 4], "<u4")
+
+
+def _spans(pieces: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of binary arrays together, and where each of their values starts and how long it is; null is empty."""
+    every = pa.concat_arrays([p.fill_null(b"") for p in pieces]) if pieces else pa.array([], pa.binary())
+    offsets = np.frombuffer(every.buffers()[1], np.int32)[every.offset : every.offset + len(every) + 1].astype(np.int64) if len(every) else np.zeros(1, np.int64)
+    return np.frombuffer(every.buffers()[2] or b"", np.uint8), offsets[:-1], np.diff(offsets)

@@ -293,9 +293,11 @@ def ngram_links(docs: DataFrame, id_column: str, text_column: str, width: int =
 
 def _neighbours(postings: DataFrame) -> DataFrame:
     """(gid0, n0, at0, gid, n, at): groups that follow each other in an n-gram's list by size; long lists are cut into parts, whose first rows follow each other too."""
-    long = stage(postings.groupBy("h").agg(F.count("*").alias("rows")).filter(F.col("rows") > NEIGHBOURS), "long")
-    dealt = join_groups(postings, long, "h", "rows", postings.count())
-    dealt = dealt.withColumn("part", F.when(F.col("rows").isNull(), 0).otherwise(F.pmod(F.xxhash64("gid"), F.ceil(F.col("rows") / NEIGHBOURS))).cast("int"))
+    total = postings.count()
+    most = min(NEIGHBOURS, max(LIST, total // 512))
+    long = stage(postings.groupBy("h").agg(F.count("*").alias("rows")).filter(F.col("rows") > most), "long")
+    dealt = join_groups(postings, long, "h", "rows", total)
+    dealt = dealt.withColumn("part", F.when(F.col("rows").isNull(), 0).otherwise(F.pmod(F.xxhash64("gid"), F.ceil(F.col("rows") / most))).cast("int"))
 
     def follow(rows: DataFrame, *key: str) -> DataFrame:
         order = Window.partitionBy(*key).orderBy("n", "gid")

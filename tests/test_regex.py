@@ -48,6 +48,42 @@ def test_random_patterns(spark, pattern):
     assert [r.m for r in df.select("i", F.col("t").rlike(translate(pattern).java).alias("m")).orderBy("i").collect()] == expected
 
 
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.text("abkt.*+?|()^$[]\\dsb\n ", max_size=8), st.booleans(), st.sampled_from(["", "word", "line"]))
+def test_whole_texts_say_what_lines_say(spark, pattern, fold, how):
+    """A text's condition holds wherever a line matches, and its counts are those of its lines."""
+    from textloom.operators.lines import _counts
+
+    try:
+        translate(pattern)
+    except PatternError:
+        return
+    m = Match((pattern,), case="ignore" if fold else "sensitive", word=how == "word", line=how == "line")
+    texts = [*TEXTS, "ab\nkt\nK a", "a\n\nb", "tab\tkb\n", "\nb", "a b\nab", "KA\nkat b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    lines = F.filter(F.split("t", "\n"), lambda x: m(x))
+    if m.document(F.col("t")) is not None:
+        assert not df.filter((F.size(lines) > 0) & ~m.document(F.col("t"))).collect()
+    if m.in_text() is not None:
+        n, every = _counts(m, F.col("t"))
+        rows = df.select("t", n.alias("n"), every.alias("m"), F.size(lines).alias("lines"), F.aggregate(lines, F.lit(0), lambda s, x: s + F.size(spans(m, x))).alias("spans")).collect()
+        assert [r for r in rows if (r.n, r.m) != (r.lines, r.spans)] == []
+
+
+@pytest.mark.parametrize(("patterns", "fold", "word", "text", "found"), [
+    (("foo", "foobar"), False, True, "foobar", []), (("foobar", "foo"), False, True, "foobar foo", [(0, 6), (7, 10)]), (("k",), True, False, "k K \u212a", [(0, 1), (2, 3)]),
+    (("k", "é"), True, False, "K \u212a", [(0, 1), (2, 5)]), (("b", "a*"), False, False, "a\ufdd0b a", [(0, 1), (4, 5), (6, 7)]), (("a",), False, False, "\ufdd0a\ufdd1a", [(3, 4), (7, 8)]), ((), False, False, "a", []), (("\U0001F600b",), False, False, "\U0001F600\U0001F600b", [(4, 9)]),
+])
+def test_spans_of_modes(spark, patterns, fold, word, text, found):
+    from textloom.functions.matching import first_column
+
+    m = Match(patterns, case="ignore" if fold else "sensitive", word=word)
+    row = spark.createDataFrame([(text,)], "t string").select(spans(m, F.col("t")).alias("x"), m(F.col("t")).alias("hit"), first_column(m, F.col("t")).alias("c")).first()
+    got = [(x.s, x.e) for x in row.x if x.e > x.s]
+    assert got == found and row.hit is bool(found) and all(text.encode()[x.s : x.e].decode() == x.text for x in row.x)
+    assert not found or row.c == found[0][0] + 1
+
+
 @pytest.mark.parametrize(("pattern", "text", "expected"), [("a*", "aaa", [(0, 3)]), ("a*", "baac", [(0, 0), (1, 3), (4, 4)]), ("b", "éb b", [(2, 3), (4, 5)]), ("^a|b", "aab", [(0, 1), (2, 3)]), ("", "ab", [(0, 0), (1, 1), (2, 2)])])
 def test_spans(spark, pattern, text, expected):
     row = spark.createDataFrame([(text,)], "t string").select(spans(Match((pattern,)), F.col("t")).alias("x")).first()

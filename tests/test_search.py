@@ -172,9 +172,107 @@ def test_search_tree(spark, tree):
     assert len(seen) == 2
 
 
-def test_refused_options():
-    with pytest.raises(S.Unsupported):
-        S.Options(refused={"multiline": True})
+def test_options(spark, tmp_path):
+    for name in S.REFUSED:
+        with pytest.raises(S.Unsupported, match=name):
+            S.Options(**{name: True})
+    o = S.Options(unrestricted=3)
+    assert (o.no_ignore, o.hidden, o.binary) == (True, True, "convert") and not S.Options(unrestricted=1).hidden
+    (tmp_path / "patterns").write_bytes(b"foo\r\nb.r\n")
+    (tmp_path / "none").write_bytes(b"")
+    df = texts(spark, "a foo", "bxr", "no")
+    assert {r.k for r in S.search(df, None, S.Options(pattern_files=(f"{tmp_path}/patterns",))).collect()} == {0, 1}
+    assert S.search(df, None, S.Options(pattern_files=(f"{tmp_path}/none",))).count() == 0
+
+
+def test_binary_files(spark, tmp_path):
+    from textloom.operators import sinks as K
+
+    late = b"x needle\n" * 8000 + b"\0" + b"y needle\n"
+    for name, content in {"early.dat": b"x needle\0y needle\n", "late.dat": late, "text.txt": b"z needle\n", "nothing.dat": b"a\0b\n"}.items():
+        (tmp_path / name).write_bytes(content)
+    tree = (spark, [str(tmp_path)])
+    assert {r.path: r.matches for r in S.count_matches(tree, "needle").collect()} == {"text.txt": 1}
+    assert {r.path for r in S.files_with_match(tree, "needle", without=True).collect()} == set()
+    assert {r.path for r in S.files_with_match(tree, "needle").collect()} == {"text.txt", "late.dat"}
+    rows = {r.path: r.row for r in S.printed(tree, "needle").filter("kind = 'notice'").collect()}
+    assert rows == {"late.dat": 'late.dat: WARNING: stopped searching binary file after match (found "\\0" byte around offset 72000)'}
+    shown = S.printed((spark, [f"{tmp_path}/early.dat"]), "needle").collect()
+    assert [(r.kind, r.row) for r in shown] == [("notice", 'binary file matches (found "\\0" byte around offset 8)')]
+    long = S.printed((spark, [f"{tmp_path}/late.dat"]), "needle").collect()
+    assert len(long) == 8001 and long[-1].kind == "notice" and S.count_matches((spark, [f"{tmp_path}/late.dat"]), "needle").first().matches == 8001
+    ends = {r.path: r.json for r in S.json_messages((spark, [f"{tmp_path}/early.dat", f"{tmp_path}/text.txt"]), "needle").filter("json like '{\"type\":\"end%'").collect()}
+    assert '"binary_offset":8,' in ends["early.dat"] and '"bytes_searched":8,' in ends["early.dat"] and '"binary_offset":null,' in ends["text.txt"]
+    assert K.shows_path([str(tmp_path)]) and not K.shows_path([f"{tmp_path}/text.txt"]) and K.shows_path(["a", "b"]) and K.shows_path([f"{tmp_path}/text.txt"], vimgrep=True)
+
+
+def test_printed(spark):
+    from textloom.operators import sinks as K
+
+    df = spark.createDataFrame([("p", "  one needle\ngap\n\nneedle needle tail tail\nx")], "path string, text string")
+    rows = lambda m=Match(("needle",)), **o: [r.row for r in K.printed(df, m, how=K.Printing(**o)).filter("kind <> 'between'").orderBy("seq").collect()]
+    assert rows(column=True) == ["p:1:7:  one needle", "p:4:1:needle needle tail tail"]
+    assert rows(heading=True, null=True) == ["p\0", "1:  one needle", "4:needle needle tail tail"]
+    assert rows(only_matching=True, offset=True) == ["p:1:6:needle", "p:4:18:needle", "p:4:25:needle"]
+    assert rows(vimgrep=True, trim=True) == ["p:1:7:one needle", "p:4:1:needle needle tail tail", "p:4:8:needle needle tail tail"]
+    assert rows(after=1, with_path=False) == ["1:  one needle", "2-gap", "--", "4:needle needle tail tail", "5-x"]
+    assert rows(after=1, gap=None, with_path=False)[2].startswith("4:") and rows(before=1, gap="", with_path=False)[1] == ""
+    assert rows(max_columns=13, with_path=False) == ["1:  one needle", "4:[Omitted long matching line]"]
+    assert rows(max_columns=13, column=True, with_path=False)[1] == "4:1:[Omitted long line with 2 matches]"
+    assert rows(max_columns=13, column=True, preview=True, with_path=False)[1] == "4:1:needle needle [... 0 more matches]"
+    assert rows(max_columns=5, column=True, preview=True, with_path=False)[1] == "4:1:needl [... 1 more match]"
+    assert rows(max_columns=2, after=1, line_number=False, with_path=False)[1] == "[Omitted long context line]"
+    assert rows(color=True)[0] == "\x1b[0m\x1b[35mp\x1b[0m:\x1b[0m\x1b[32m1\x1b[0m:  one \x1b[0m\x1b[1m\x1b[31mneedle\x1b[0m"
+    assert rows(Match(("e",), invert=True), only_matching=True) == ["p:2:gap", "p:3:", "p:5:x"]
+    assert [(r.text, r.column) for r in L.search_spans(df, Match(("e",), invert=True)).collect()] == [("gap", None), ("", None), ("x", None)]
+
+
+def test_json_strings_and_offsets(spark):
+    import json
+
+    from textloom.operators import sinks as K
+
+    text = "".join(map(chr, range(1, 34))).replace("\n", "") + '\\"\x7fé\u2028</b>needle'
+    df = spark.createDataFrame([("p", text), ("p", "needle\r\nlast needle"), ("q", None), ("r", "")], "path string, text string")
+    out = [r.json for r in K.json_events(df, Match(("needle",))).collect()]
+    assert any("\\u001f" in x and "\\u000b" in x and "</b>" in x for x in out) and not any("\\u001F" in x for x in out)
+    messages = [json.loads(x) for x in out]
+    assert [m["type"] for m in messages].count("begin") == [m["type"] for m in messages].count("end") == 2
+    lines = [m["data"]["lines"]["text"] for m in messages if m["type"] == "match"]
+    assert sorted(lines) == sorted([text, "needle\r\n", "last needle"])
+    end = next(m["data"]["stats"] for m in messages if m["type"] == "end" and m["data"]["stats"]["matched_lines"] == 2)
+    own = [x for x, m in zip(out, messages, strict=True) if m["type"] == "match" and m["data"]["lines"]["text"] != text]
+    begin = next(x for x, m in zip(out, messages, strict=True) if m["type"] == "begin")
+    assert end["bytes_printed"] == sum(len(x.encode()) + 1 for x in [begin, *own]) and end["bytes_searched"] == 19
+    summary = json.loads(K.json_summary(df, Match(("needle",)), K.json_events(df, Match(("needle",)))).first().json)
+    assert list(summary) == ["data", "type"] and summary["data"]["stats"]["searches"] == 4 and summary["data"]["stats"]["matches"] == 3
+    turned = [json.loads(r.json) for r in K.json_events(df, Match(("last",), invert=True), after=1).collect()]
+    assert [m["data"]["submatches"] for m in turned if m["type"] == "context"] == [[{"match": {"text": "last"}, "start": 0, "end": 4}]]
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, 2, 3, "l", "k", "x a\nb a")], "k int, line_no int, byte_offset int, line string, tl_text string, text string")
+    m = Match(("a",))
+    for out in (L.number_lines(df), L.search_lines(df, m, column=True), L.search_events(df, m, after=1), L.search_spans(df, m), L.nested_context(df, m)):
+        assert out.columns[:5] == df.columns[:5] and {"line_no_", "byte_offset_", "line_"} <= set(out.columns)
+        row = out.first()
+        assert (row.k, row.line_no, row.line, row.tl_text) == (1, 2, "l", "k") and row.line_ in ("x a", "a")
+    assert L.count_lines(df, m).columns == [*df.columns[:5], "matches"] and L.texts_with_match(df, m).columns == df.columns[:5]
+
+
+def test_ignore_file_with_a_bad_line(spark):
+    from textloom.operators import paths as P
+
+    files = spark.createDataFrame([("ignore", "", "*.a\nfoo\\ \n"), ("gitignore", "", "*.b\n")], "source string, dir string, content string")
+    assert [r.source for r in P.rules_of(files).collect()] == ["gitignore"]
+
+
+def test_sort_by_time(spark, tree):
+    os.utime(f"{tree}/a.txt", (1, 500))
+    os.utime(f"{tree}/c.txt", (2, 400))
+    found = S.files(spark, [tree], S.Options(globs=("a.txt", "c.txt")))
+    order = lambda by, **o: [r.path for r in S.sorted_files(found, by, **o).collect()]
+    assert order("accessed") == order("modified", descending=True) == ["a.txt", "c.txt"] and order("modified") == ["c.txt", "a.txt"]
 
 
 def test_stream(spark, tmp_path):

@@ -77,14 +77,11 @@ def _set(members: str) -> str:
 
 
 def parse_ignore_line(line: str, ignore_case: bool = False) -> Glob | None:
-    """The glob of an ignore file's line; None for blank lines, comments and what can't be read."""
+    """The glob of an ignore file's line; None for blank lines and comments, GlobError for what can't be read."""
     line = line.rstrip("\r\n").strip()
     if not line or line.startswith("#"):
         return None
-    try:
-        return parse_glob(line, ignore_case)
-    except GlobError:
-        return None
+    return parse_glob(line, ignore_case)
 
 
 def parse_glob(text: str, ignore_case: bool = False) -> Glob:

@@ -50,14 +50,48 @@ def _char(code: int) -> str:
     return c if c.isprintable() and code < 0x10000 else f"\\x{{{code:X}}}"
 
 
+def _known(c: str, fold: bool) -> str | None:
+    """The character as a match holds it, in lower case if case is ignored; None for letters with more than two forms or beyond ASCII."""
+    if not fold or c.lower() == c.upper():
+        return c
+    return c.lower() if c.isascii() and c.lower() not in "ks" else None
+
+
+def _longest(runs: list) -> tuple[str, ...] | None:
+    """Of what follows each other in a pattern, texts or choices of texts, that whose shortest text is longest."""
+    choices = [(r,) if isinstance(r, str) else r for r in runs if r]
+    return max(choices, key=lambda c: min(map(len, c)), default=None)
+
+
+def _either(needs: list) -> tuple[str, ...] | None:
+    """Texts one of which any of some alternatives holds; not more than a few."""
+    if None in needs or sum(map(len, needs)) > 16:
+        return None
+    return tuple(dict.fromkeys(x for n in needs for x in n))
+
+
+def _bounded(atoms: list[str]) -> list[str]:
+    """Atoms in a row, with word boundaries beside a plain word character shortened to a look at the other side."""
+    out = list(atoms)
+    for i, a in enumerate(atoms):
+        if a == _BOUNDARY:
+            before, after = atoms[i - 1] if i else "", atoms[i + 1] if i + 1 < len(atoms) else ""
+            if re.fullmatch(r"[0-9A-Za-z_]|\(\?iu:[a-jl-rt-zA-JL-RT-Z]\)", after):
+                out[i] = f"(?<!{_WORD})"
+            elif re.fullmatch(r"[0-9A-Za-z_]|\(\?iu:[a-jl-rt-zA-JL-RT-Z]\)", before):
+                out[i] = f"(?!{_WORD})"
+    return out
+
+
 class _Parser:
     def __init__(self, pattern: str):
         self.p, self.at, self.named = pattern, 0, 0
         #: What the pattern says about literals: for smart case, and for a required literal.
         self.letters: list[str] = []
-        self.can_newline = False
-        #: The least length of a match of what was read last.
-        self.least = 0
+        self.can_newline = self.at_ends = False
+        #: The least length of a match of what was read last, and texts one of which it holds, in lower case if case is ignored.
+        self.least, self.need = 0, None
+        self.folds = False
 
     def fail(self, why: str) -> PatternError:
         return PatternError(f"{why} at {self.at} in {self.p!r}")
@@ -68,19 +102,29 @@ class _Parser:
     def alternation(self, flags: _Flags, depth: int) -> str:
         if depth > 1000:
             raise self.fail("nesting too deep")
-        flags, parts, least = _Flags(**vars(flags)), [[]], [0]
+        flags, parts, least, runs = _Flags(**vars(flags)), [[]], [0], [[""]]
         while self.at < len(self.p) and self.peek() != ")":
             if self.peek() == "|":
                 self.at += 1
                 parts.append([])
                 least.append(0)
+                runs.append([""])
                 continue
+            self.need = None
             atom = self.atom(flags, depth)
             if atom is not None:
+                need, at = self.need, self.at
                 parts[-1].append(self.repeats(atom, flags))
                 least[-1] += self.least
+                if isinstance(need, str) and self.at == at:  # just this text
+                    runs[-1][-1] += need
+                elif self.least:
+                    runs[-1] += [need if isinstance(need, tuple) else (need,) if need else "", ""]
+                else:
+                    runs[-1] += [""] if atom not in (_BOUNDARY, _NO_BOUNDARY) else []
         self.least = min(least)
-        return "|".join("".join(x) for x in parts)
+        self.need = _either([_longest(r) for r in runs])
+        return "|".join("".join(_bounded(x)) for x in parts)
 
     def repeats(self, atom: str, flags: _Flags) -> str:
         """The atom with its repeat; a repeat of a repeat is an error, as in RE2."""
@@ -115,6 +159,7 @@ class _Parser:
         self.at += 1
         if c in "^$":
             self.least = 0
+            self.at_ends |= not flags.m
         if c == ".":
             self.can_newline |= flags.s
             return "(?s:.)" if flags.s else r"[^\n]"
@@ -129,6 +174,8 @@ class _Parser:
     def single(self, code: int, flags: _Flags) -> str:
         self.letters.append(chr(code))
         self.can_newline |= code == 10
+        self.folds |= flags.i
+        self.need = _known(chr(code), flags.i)
         return f"(?iu:{_char(code)})" if flags.i and chr(code).lower() != chr(code).upper() else _char(code)
 
     def group(self, flags: _Flags, depth: int) -> str | None:
@@ -168,6 +215,7 @@ class _Parser:
             raise self.fail("bad Unicode class")
         self.at += len(m[0])
         name, no = m[3] or m[4], (m[1] == "P") != bool(m[2])
+        self.can_newline |= no or name in ("Any", "Common") or (len(name) <= 2 and name[0] == "C")
         if name == "Any":
             return r"\x{0}-\x{10FFFF}" if not no else "&&[^\\x{0}-\\x{10FFFF}]"
         return f"\\{'P' if no else 'p'}{{{name if len(name) <= 2 else 'Is' + name}}}"
@@ -181,9 +229,11 @@ class _Parser:
             text = self.p[self.at + 1 : end if end >= 0 else None]
             self.least = 0 if len(text) < 2 else len(text) - 1  # its last character may be repeated not at all
             self.at = len(self.p) if end < 0 else end + 2
-            return "".join(self.single(ord(x), flags) for x in text) or "(?:)"  # a repeat after it takes its last character, as in RE2
+            out = "".join(self.single(ord(x), flags) for x in text) or "(?:)"
+            known = [_known(x, flags.i) for x in text]
+            self.need = None if None in known else "".join(known)
+            return out  # a repeat after it takes its last character, as in RE2
         if c in "pP":
-            self.can_newline |= True
             inner = self.unicode_class()
             return f"(?iu:[{inner}])" if flags.i else f"[{inner}]"
         if c.lower() in PERL:
@@ -193,6 +243,7 @@ class _Parser:
         if c in "bBAz":
             self.at += 1
             self.least = 0
+            self.at_ends |= c in "Az"
             return {"b": _BOUNDARY, "B": _NO_BOUNDARY, "A": r"\A", "z": r"\z"}[c]
         return self.single(self.escaped(), flags)
 
@@ -223,6 +274,7 @@ class _Parser:
                 if m[2] not in POSIX:
                     raise self.fail("unknown class")
                 self.at += len(m[0])
+                self.can_newline |= bool(m[1]) or m[2] in ("ascii", "cntrl", "space")
                 out.append(f"[{m[1]}{POSIX[m[2]]}]")
                 continue
             if self.peek() == "\\" and self.p[self.at + 1 : self.at + 2] in tuple("pPdDsSwW"):
@@ -232,9 +284,10 @@ class _Parser:
                     out.append(self.unicode_class())
                 else:
                     self.at += 1
+                    self.can_newline |= c in "sDW"
                     out.append(f"[{'^' if c.isupper() else ''}{PERL[c.lower()]}]")
                 continue
-            low = self.member()
+            low = high = self.member()
             if self.peek() == "-" and self.p[self.at + 1 : self.at + 2] not in ("]", ""):
                 self.at += 1
                 high = self.member()
@@ -245,8 +298,9 @@ class _Parser:
             else:
                 out.append(f"\\x{{{low:X}}}")
                 self.letters.append(chr(low))
+            self.can_newline |= low <= 10 <= high
         self.at += 1
-        self.can_newline = True
+        self.can_newline |= no
         body = f"[{'^' if no else ''}{''.join(out)}]"
         return f"(?iu:{body})" if flags.i else body
 
@@ -261,12 +315,17 @@ class _Parser:
 
 @dataclass(frozen=True)
 class Pattern:
-    """A translated pattern: Java syntax, the literal characters it names, whether a match may hold a newline, and its least length."""
+    """A translated pattern: Java syntax, the literal characters it names, whether a match may hold a newline, its least length and what it needs."""
 
     java: str
     letters: tuple[str, ...]
     can_newline: bool
     least: int
+    #: Whether it has anchors at the text's ends, which mean something else in a text of many lines.
+    at_ends: bool = False
+    #: Texts one of which each match holds, if any are known; they are compared in lower case if `folds`.
+    need: tuple[str, ...] = ()
+    folds: bool = False
 
 
 def translate(pattern: str, ignore_case: bool = False) -> Pattern:
@@ -275,7 +334,7 @@ def translate(pattern: str, ignore_case: bool = False) -> Pattern:
     java = p.alternation(_Flags(i=ignore_case), 0)
     if p.at < len(pattern):
         raise p.fail("unmatched )")
-    return Pattern(java, tuple(p.letters), p.can_newline, p.least)
+    return Pattern(java, tuple(p.letters), p.can_newline, p.least, p.at_ends, p.need or (), p.folds)
 
 
 def plain_literal(pattern: str) -> str | None:

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.filetypes import Types
-from textloom.functions.globs import ancestors, overridden, parse_ignore_line
+from textloom.functions.globs import GlobError, ancestors, overridden, parse_ignore_line
 
 #: Sources of ignore rules, the strongest first.
 SOURCES = ("rgignore", "ignore", "gitignore", "exclude", "global", "explicit")
 #: Sources that count only inside a repository.
 GIT_SOURCES = ("gitignore", "exclude", "global")
+#: Ignore rules, and repositories, that are part of the plan at most, so that paths are judged in their rows.
+ROW_RULES = 256
 #: Ignore rules that are broadcast at most; more are joined by directory.
 BROADCAST_RULES = 50_000
 RULES = "source string, dir string, prefix string, idx int, regex string, whitelist boolean, directories_only boolean"
@@ -20,6 +22,7 @@ RULES = "source string, dir string, prefix string, idx int, regex string, whitel
 def rules_of(files: DataFrame) -> DataFrame:
     """Rule rows from (source, dir, prefix, content) rows of ignore files: one for each line that is a glob.
 
+    A file with a line that can't be read has no rules at all.
     dir is the file's directory below the root. For files above the root it is empty and prefix is the way from their
     directory to the root, with a slash at its end; the column may be missing.
     """
@@ -31,9 +34,11 @@ def rules_of(files: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for source, where, prefix, content in zip(b["source"], b["dir"], b["prefix"], b["content"], strict=True):
-                for i, line in enumerate((content or "").removeprefix("\ufeff").split("\n")):
-                    if g := parse_ignore_line(line):
-                        rows.append((source, where, prefix, i, g.regex, g.whitelist, g.directories_only))
+                try:
+                    globs = [parse_ignore_line(line) for line in (content or "").removeprefix("\ufeff").split("\n")]
+                except GlobError:
+                    continue
+                rows += [(source, where, prefix, i, g.regex, g.whitelist, g.directories_only) for i, g in enumerate(globs) if g]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in RULES.split(", ")])
 
     prefix = F.col("prefix") if "prefix" in files.columns else F.lit("").alias("prefix")
@@ -48,6 +53,9 @@ def with_verdicts(files: DataFrame, rules: DataFrame, path_column: str = "path",
     directory is ignored, whatever rules say of the file itself. Given repositories' (dir, prefix), rules of GIT_SOURCES
     count for what is inside one only, and those of directories above the nearest one don't; global ones have no place.
     """
+    few, near = _few(rules.filter(F.col("source").isin(*sources))), None if repositories is None else _few(repositories.select("dir", "prefix").distinct())
+    if few is not None and (repositories is None or near is not None):
+        return _judged(files, path_column, sources, few, near)
     paths = files.select(path_column).distinct()
     entries = paths.select(F.col(path_column).alias("file"), F.posexplode(ancestors(F.col(path_column))).alias("at", "entry"), F.size(F.split(path_column, "/")).alias("n"))
     entries = entries.withColumn("is_dir", F.col("at") + 1 < F.col("n"))
@@ -69,6 +77,39 @@ def with_verdicts(files: DataFrame, rules: DataFrame, path_column: str = "path",
     return out.select(*files.columns, (F.coalesce(F.col("any_ignored"), F.lit(0)) == 1).alias("ignored"), F.coalesce(own_says & F.col("own"), F.lit(False)).alias("whitelisted"))
 
 
+def _few(table: DataFrame) -> list | None:
+    """The rows of a small table, None if it is larger."""
+    rows = table.limit(ROW_RULES + 1).collect()
+    return rows if len(rows) <= ROW_RULES else None
+
+
+def _judged(files: DataFrame, path_column: str, sources: tuple[str, ...], rules: list, repositories: list | None) -> DataFrame:
+    """with_verdicts() for few rules, in order of how strong they are: the first that matches a path or a directory above it decides it."""
+    level = lambda r: len(r["dir"]) - len(r["prefix"])
+    ordered = sorted(rules, key=lambda r: (sources.index(r["source"]), -level(r), -r["idx"]))
+    inside = lambda entry, where: F.lit(True) if where == "" else entry.startswith(where + "/")
+
+    def verdict(entry: Column, is_dir: Column) -> Column:
+        nearest = None
+        if repositories is not None:
+            nearest = F.array_max(F.array(F.lit(None).cast("int"), *(F.when(inside(entry, r["dir"]), level(r)) for r in repositories)))
+        out = []
+        for r in ordered:
+            below = entry if r["dir"] == "" else entry.substr(F.lit(len(r["dir"]) + 2), F.length(entry))
+            hit = inside(entry, r["dir"]) & (F.concat(F.lit(r["prefix"]), below) if r["prefix"] else below).rlike(r["regex"])
+            if r["directories_only"]:
+                hit = hit & is_dir
+            if nearest is not None and r["source"] in GIT_SOURCES:
+                hit = hit & nearest.isNotNull() & (F.lit(r["source"] == "global") | (F.lit(level(r)) >= nearest))
+            out.append(F.when(hit, F.lit(r["whitelist"])))
+        return F.coalesce(*out, F.lit(None).cast("boolean"))
+
+    path = F.col(path_column)
+    verdicts = F.transform(ancestors(path), lambda e, i: verdict(e, i + 1 < F.size(F.split(path, "/"))))
+    rows = files.withColumn("tl_verdicts", verdicts)
+    return rows.select(*files.columns, F.exists("tl_verdicts", lambda v: F.coalesce(~v, F.lit(False))).alias("ignored"), F.coalesce(F.element_at("tl_verdicts", -1), F.lit(False)).alias("whitelisted"))
+
+
 def hidden(path: Column) -> Column:
     """Whether the file or a directory above it has a name that starts with a dot."""
     return F.exists(F.split(path, "/"), lambda p: p.startswith(".") & ~p.isin(".", ".."))

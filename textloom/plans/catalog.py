@@ -107,7 +107,24 @@ _Q["trim"] = lambda spark, sf: L.search_lines(_docs(spark, sf).withColumn("text"
 _SQL["trim"] = _with("SELECT doc_id, line_no, ltrim(line, ' ' || chr(9)) AS text FROM lines WHERE contains(line, 'the')", "(SELECT doc_id, replace(text, chr(10), chr(10) || ' ' || chr(9)) AS text FROM documents)")
 _Q["standard_format"] = lambda spark, sf: S.standard(L.search_events(_docs(spark, sf), Match(("ther",)), before=1, after=2), F.col("doc_id"), offset=F.col("byte_offset")).select("row")
 _SQL["standard_format"] = _with("SELECT concat(doc_id, p, line_no, p, byte_offset, p, line) AS row FROM (SELECT *, CASE WHEN kind = 'match' THEN ':' ELSE '-' END AS p FROM ev)").replace(" SELECT concat", f", {_NEAR} SELECT concat", 1)
-_Q["json_events"] = lambda spark, sf: S.json_events(L.search_events(_docs(spark, sf), _EN), _EN, F.col("doc_id"))
+_Q["json_events"] = lambda spark, sf: S.json_events(_docs(spark, sf), _EN, "doc_id")
+_JSON = f"""{_PIECES}, msgs AS (
+    SELECT s.doc_id, s.line_no, count(*) AS n, concat('{{"type":"match","data":{{"path":{{"text":"', s.doc_id, '"}},"lines":{{"text":', CAST(to_json(s.line || CASE WHEN s.line_offset + strlen(s.line) < strlen(d.text) THEN chr(10) ELSE '' END) AS VARCHAR),
+        '}},"line_number":', s.line_no, ',"absolute_offset":', s.line_offset, ',"submatches":[', string_agg(concat('{{"match":{{"text":', CAST(to_json(s.text) AS VARCHAR), '}},"start":', s.s, ',"end":', s.s + strlen(s.text), '}}'), ',' ORDER BY s.occ), ']}}}}') AS json
+    FROM spans s JOIN documents d USING (doc_id) GROUP BY s.doc_id, s.line_no, s.line, s.line_offset, d.text),
+ends AS (SELECT doc_id, count(*) AS lines, CAST(sum(n) AS BIGINT) AS matches, CAST(sum(strlen(json) + 1) AS BIGINT) + strlen(concat('{{"type":"begin","data":{{"path":{{"text":"', doc_id, '"}}}}}}')) + 1 AS printed FROM msgs GROUP BY doc_id)"""
+_SQL["json_events"] = _with("""SELECT CAST(doc_id AS VARCHAR) AS path, line_no, json FROM msgs
+    UNION ALL SELECT CAST(doc_id AS VARCHAR), 0, concat('{"type":"begin","data":{"path":{"text":"', doc_id, '"}}}') FROM ends
+    UNION ALL SELECT CAST(doc_id AS VARCHAR), 4611686018427387904, concat('{"type":"end","data":{"path":{"text":"', doc_id, '"},"binary_offset":null,"stats":{"elapsed":{"secs":0,"nanos":0,"human":"0.000000s"},"searches":1,"searches_with_match":1,"bytes_searched":',
+        strlen(text), ',"bytes_printed":', printed, ',"matched_lines":', lines, ',"matches":', matches, '}}}') FROM ends JOIN documents USING (doc_id)""").replace(" SELECT CAST(doc_id AS VARCHAR) AS path", f", {_JSON} SELECT CAST(doc_id AS VARCHAR) AS path", 1)
+_Q["json_summary"] = lambda spark, sf: S.json_summary(_docs(spark, sf), _EN, S.json_events(_docs(spark, sf), _EN, "doc_id"))
+_SQL["json_summary"] = _with("""SELECT concat('{"data":{"elapsed_total":{"human":"0.000000s","nanos":0,"secs":0},"stats":{"bytes_printed":', (SELECT CAST(sum(printed) AS BIGINT) FROM ends), ',"bytes_searched":', (SELECT CAST(sum(strlen(text)) AS BIGINT) FROM documents),
+    ',"elapsed":{"human":"0.000000s","nanos":0,"secs":0},"matched_lines":', (SELECT CAST(sum(lines) AS BIGINT) FROM ends), ',"matches":', (SELECT CAST(sum(matches) AS BIGINT) FROM ends), ',"searches":', (SELECT count(*) FROM documents), ',"searches_with_match":', (SELECT count(*) FROM ends), '}},"type":"summary"}') AS json""").replace(" SELECT concat('{\"data\"", f", {_JSON} SELECT concat('{{\"data\"", 1)
+_Q["heading_gaps"] = lambda spark, sf: S.printed(_docs(spark, sf), Match(("ther",)), "doc_id", how=S.Printing(heading=True, column=True, offset=True, before=1, after=2))
+_SQL["heading_gaps"] = _with("""SELECT CAST(doc_id AS VARCHAR) AS path, row_number() OVER (PARTITION BY doc_id ORDER BY n, line_no, k) - 1 AS seq, kind, row FROM (
+    SELECT DISTINCT doc_id, 0 AS n, 0 AS line_no, 0 AS k, 'between' AS kind, '' AS row FROM ev UNION ALL SELECT DISTINCT doc_id, 1, 0, 0, 'heading', CAST(doc_id AS VARCHAR) FROM ev
+    UNION ALL SELECT doc_id, 2, line_no, 0, 'gap', '--' FROM (SELECT *, lag(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) AS last FROM ev) WHERE line_no <> last + 1
+    UNION ALL SELECT doc_id, 2, line_no, 1, kind, concat(line_no, p, CASE WHEN kind = 'match' THEN concat(strlen(left(line, strpos(line, 'ther') - 1)) + 1, p) ELSE '' END, byte_offset, p, line) FROM (SELECT *, CASE WHEN kind = 'match' THEN ':' ELSE '-' END AS p FROM ev))""").replace(" SELECT CAST(doc_id AS VARCHAR) AS path, row_number", f", {_NEAR} SELECT CAST(doc_id AS VARCHAR) AS path, row_number", 1)
 _Q["run_stats"] = lambda spark, sf: L.run_stats(_docs(spark, sf), _EN)
 _SQL["run_stats"] = _with(f"SELECT CAST(sum(len(regexp_extract_all(line, '{_RX}'))) AS BIGINT) AS matches, count(*) FILTER (regexp_matches(line, '{_RX}')) AS matched_lines, count(DISTINCT doc_id) FILTER (regexp_matches(line, '{_RX}')) AS texts_with_match, (SELECT count(*) FROM documents) AS texts_searched, (SELECT CAST(sum(strlen(text)) AS BIGINT) FROM documents) AS bytes_searched FROM lines")
 _Q["crlf_anchor"] = lambda spark, sf: L.search_lines(_docs(spark, sf).withColumn("text", F.regexp_replace("text", "\n", "\r\n")), Match((r"s\.$",), crlf=True))

@@ -6,15 +6,17 @@ Each takes either paths, which are listed and read, or any table with a key and
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.filetypes import Types
 from textloom.functions.matching import Match
+from textloom.functions.scalars import pattern_lines
 from textloom.operators import lines as L
 from textloom.operators import paths as P
+from textloom.operators import sinks as K
 from textloom.sources import files as S
 
 
@@ -28,7 +30,11 @@ REFUSED = ("replace", "multiline", "multiline_dotall", "pcre2", "encoding", "sea
 
 @dataclass(frozen=True)
 class Options:
-    """How to search. Case: smart beats ignore; line beats word. A max_count of None is no limit."""
+    """How to search. Case: smart beats ignore; line beats word. A max_count of None is no limit.
+
+    unrestricted is how often `-u` is given: 1 leaves out ignore files, 2 shows hidden files too, 3 converts binary ones.
+    pattern_files add a pattern for each of their lines. Options of REFUSED raise Unsupported when they are given.
+    """
 
     fixed_strings: bool = False
     ignore_case: bool = False
@@ -51,6 +57,7 @@ class Options:
     no_ignore_files: bool = False
     no_ignore_parent: bool = False
     no_require_git: bool = False
+    unrestricted: int = 0
     ignore_files: tuple[str, ...] = ()
     global_ignore: str | None = None
     globs: tuple[str, ...] = ()
@@ -63,14 +70,29 @@ class Options:
     follow: bool = False
     one_file_system: bool = False
     binary: str = "auto"
-    refused: dict = field(default_factory=dict)
+    pattern_files: tuple[str, ...] = ()
+    replace: str | None = None
+    multiline: bool = False
+    multiline_dotall: bool = False
+    pcre2: bool = False
+    encoding: str | None = None
+    search_zip: bool = False
+    sort_created: bool = False
 
     def __post_init__(self):
-        for name in self.refused:
-            raise Unsupported(f"{name} is not supported" if name in REFUSED else f"unknown option {name}")
-
-    def match(self, pattern: str | list[str] | tuple[str, ...]) -> Match:
-        patterns = (pattern,) if isinstance(pattern, str) else tuple(pattern)
+        for name in REFUSED:
+            if getattr(self, name):
+                raise Unsupported(f"{name} is not supported")
+        for level, name, value in ((1, "no_ignore", True), (2, "hidden", True), (3, "binary", "convert")):
+            if self.unrestricted >= level:
+                object.__setattr__(self, name, value)
+
+    def match(self, pattern: str | list[str] | tuple[str, ...] | None) -> Match:
+        """The line predicate; without any pattern, as of an empty pattern file, nothing matches."""
+        patterns = () if pattern is None else (pattern,) if isinstance(pattern, str) else tuple(pattern)
+        for path in self.pattern_files:
+            with open(path, encoding="utf-8", errors="surrogateescape", newline="") as f:
+                patterns += tuple(pattern_lines(f.read()))
         case = "smart" if self.smart_case else "ignore" if self.ignore_case else "sensitive"
         return Match(patterns, self.fixed_strings, case, self.word_regexp and not self.line_regexp, self.line_regexp, self.invert_match, self.crlf, self.null_data)
 
@@ -88,7 +110,7 @@ class Options:
 
 
 def files(spark: SparkSession, paths: list[str], options: Options = Options()) -> DataFrame:
-    """(root_idx, root, path, depth, explicit, size, mtime): the files that a search of the paths would open."""
+    """(root_idx, root, path, depth, explicit, size, mtime, atime, kind): the files that a search of the paths would open."""
     every = S.list_files(spark, paths, options.follow, options.one_file_system, options.max_depth)
     found = every.filter("kind = 'file'")
     explicit, walked = found.filter("explicit"), found.filter("not explicit")
@@ -102,7 +124,7 @@ def files(spark: SparkSession, paths: list[str], options: Options = Options()) -
             repositories = inside.select("dir", "prefix").unionByName(outer.filter("source = 'repository'").select("dir", "prefix"))
     walked = walked.withColumn("key", S.keyed(F.col("path")))
     walked = P.select_files(walked, "path", options.hidden, list(options.globs), list(options.iglobs), options._types(), None, options.max_filesize, F.col("size"), rules, sources, "key", repositories).drop("key")
-    return walked.unionByName(explicit).select("root_idx", "root", "path", "depth", "explicit", "size", "mtime", "kind")
+    return walked.unionByName(explicit).select("root_idx", "root", "path", "depth", "explicit", "size", "mtime", "atime", "kind")
 
 
 def _sources(options: Options) -> tuple[str, ...]:
@@ -124,21 +146,44 @@ def errors(spark: SparkSession, paths: list[str], options: Options = Options())
 
 
 def sorted_files(found: DataFrame, by: str = "path", descending: bool = False) -> DataFrame:
-    """Files in order: by path, component by component, in the order of roots, or all descending; or by modification time, those without last."""
+    """Files in order: by path, component by component, in the order of roots, or all descending; or by time of modification or access, those without last."""
     if by == "path":
         parts = F.split("path", "/")
         return found.orderBy(parts.desc()) if descending else found.orderBy("root_idx", parts)
-    if by == "modified":
-        return found.orderBy(F.desc_nulls_first("mtime") if descending else F.asc_nulls_last("mtime"), "root_idx", "path")
+    if by in ("modified", "accessed"):
+        time = "mtime" if by == "modified" else "atime"
+        return found.orderBy(F.desc_nulls_first(time) if descending else F.asc_nulls_last(time), "root_idx", "path")
     raise Unsupported(f"no order by {by}")
 
 
-def _texts(source: DataFrame | tuple[SparkSession, list[str]], options: Options) -> DataFrame:
+def _texts(source: DataFrame | tuple[SparkSession, list[str]], options: Options, whole: bool = False, binary: bool = False) -> DataFrame:
+    """The table, or the (path, text) of files. whole: without files whose search stopped at a NUL; binary: with nul and convert."""
     if isinstance(source, DataFrame):
         return source
     spark, paths = source
     mode = "none" if options.null_data else options.binary
-    return S.decoded(S.read_files(files(spark, paths, options)), mode).select("path", "text")
+    rows = S.decoded(S.read_files(files(spark, paths, options)), mode)
+    convert = F.col("explicit") if mode == "auto" else F.lit(mode == "convert")
+    nul = F.lit(None).cast("long") if mode == "none" else F.col("binary_offset")
+    rows = rows.select("path", "text", nul.alias("nul"), convert.alias("convert"))
+    if whole:
+        rows = rows.filter(F.col("nul").isNull() | F.col("convert"))
+    return rows if binary else rows.select("path", "text")
+
+
+def printed(source, pattern, options: Options = Options(), how: K.Printing | None = None) -> DataFrame:
+    """(path, seq, kind, row): what a search prints, with notices of binary files; paths show unless one file is searched."""
+    how = how or K.Printing(with_path=isinstance(source, DataFrame) or K.shows_path(source[1]))
+    how = replace(how, before=options.before_context, after=options.after_context, max_count=options.max_count, passthru=options.passthru)
+    if isinstance(source, DataFrame):
+        return K.printed(source, options.match(pattern), how=how)
+    return K.printed(_texts(source, options, binary=True), options.match(pattern), how=how, binary_offset="nul", convert=F.col("convert"))
+
+
+def json_messages(source, pattern, options: Options = Options()) -> DataFrame:
+    """(path, line_no, json): a search's messages; the run's summary is sinks.json_summary of them."""
+    nul = None if isinstance(source, DataFrame) else "nul"
+    return K.json_events(_texts(source, options, binary=True), options.match(pattern), "path", "text", options.before_context, options.after_context, options.max_count, options.passthru, nul)
 
 
 def search(source: DataFrame | tuple[SparkSession, list[str]], pattern: str | list[str], options: Options = Options()) -> DataFrame:
@@ -152,11 +197,13 @@ def events(source, pattern, options: Options = Options()) -> DataFrame:
 
 
 def files_with_match(source, pattern, options: Options = Options(), without: bool = False) -> DataFrame:
-    return L.texts_with_match(_texts(source, options), options.match(pattern), "text", without)
+    """Texts with a matching line, or without. A file that a NUL stopped is listed for a match before it, and never as without."""
+    return L.texts_with_match(_texts(source, options, whole=without), options.match(pattern), "text", without)
 
 
 def count_matches(source, pattern, options: Options = Options(), include_zero: bool = False, occurrences: bool = False) -> DataFrame:
-    return L.count_lines(_texts(source, options), options.match(pattern), "text", include_zero, occurrences, options.max_count)
+    """Matching lines of each text, or matches in them; files that a NUL stopped are left out."""
+    return L.count_lines(_texts(source, options, whole=True), options.match(pattern), "text", include_zero, occurrences, options.max_count)
 
 
 def search_stream(source, pattern, on_match: Callable[[object], bool], options: Options = Options()) -> None:

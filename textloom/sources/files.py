@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FILES = "root_idx int, root string, path string, depth int, explicit boolean, size bigint, mtime double, kind string, device bigint, message string"
+FILES = "root_idx int, root string, path string, depth int, explicit boolean, size bigint, mtime double, atime double, kind string, device bigint, message string"
 #: Bytes that are read of a file at a time; a NUL takes the whole of such a piece with it.
 CHUNK = 1 << 16
 #: Names of ignore files and the sources of their rules.
@@ -31,14 +31,14 @@ def _row(idx: int, root: str, full: str, follow: bool, device: int | None, expli
     try:
         st = os.stat(full) if follow or explicit or full == root else os.lstat(full)
     except OSError as e:
-        return idx, root, shown, depth, explicit, None, None, "error", device, f"{shown}: {e.strerror}"
+        return idx, root, shown, depth, explicit, None, None, None, "error", device, f"{shown}: {e.strerror}"
     if stat.S_ISDIR(st.st_mode):
         kind, message = "dir", None
         if follow and full != root and (st.st_dev, st.st_ino) in above:
             kind, message = "error", f"{shown}: file system loop found"
     else:
         kind, message = ("file" if stat.S_ISREG(st.st_mode) or (explicit and not stat.S_ISLNK(st.st_mode)) else "other"), None
-    return idx, root, shown, depth, explicit, st.st_size, st.st_mtime, kind, st.st_dev, message
+    return idx, root, shown, depth, explicit, st.st_size, st.st_mtime, st.st_atime, kind, st.st_dev, message
 
 
 def list_files(spark: SparkSession, roots: list[str], follow: bool = False, one_file_system: bool = False, max_depth: int | None = None, show_hidden: bool = True) -> DataFrame:
@@ -67,10 +67,10 @@ def list_files(spark: SparkSession, roots: list[str], follow: bool = False, one_
                 try:
                     names = sorted(os.listdir(here))
                 except OSError as e:
-                    rows = [(i, root, path, path.count("/") + 1, False, None, None, "error", device, f"{path}: {e.strerror}")]
+                    rows = [(i, root, path, path.count("/") + 1, False, None, None, None, "error", device, f"{path}: {e.strerror}")]
                 else:
                     rows = [_row(i, root, os.path.join(here, n), follow, device, False, frozenset(above)) for n in names if show_hidden or not n.startswith(".")]
-                    rows = [r for r in rows if not (one_file_system and r[7] == "dir" and r[8] != device)]
+                    rows = [r for r in rows if not (one_file_system and r[8] == "dir" and r[9] != device)]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in FILES.split(", ")]).astype({"size": "Int64", "device": "Int64"})
 
     from textloom.sources.staging import stage

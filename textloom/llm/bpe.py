@@ -36,7 +36,7 @@ SAMPLE_ROWS = 32_768
 TABLE_WORDS = 1 << 19
 _BLOCK = 400_000
 _ROWS = 500  # rows that are put together at once
-_DECODED = 8_000_000  # bytes of ids that are decoded together, or those of one row
+_DECODED = 1_000_000  # bytes of ids that are decoded together, or those of one row
 _RARE = -1  # codes: a word of the table, a word that isn't in it, or -2 - id for a special token
 
 

@@ -38,8 +38,10 @@ _BLOCK = 1_000_000
 _LONG, _RESCALE = 1024, 8
 #: Units of a window, and of the context on both sides, in which a long run of letters is learned from.
 _WINDOW, _CONTEXT = 256, 64
-#: The fewest letters of a text from which its fit to a language is told.
-FIT_LETTERS = 20
+#: Units of a word up to which training multiplies probabilities, lifted by a constant a unit that cancels; longer ones add logarithms.
+_PLAIN, _LIFT = 40, 1e6
+#: The fewest letters of a text from which its fit to a language is told, and the fitted rows that say what is usual, in expectation.
+FIT_LETTERS, USUAL_ROWS = 20, 2_000
 
 
 def default_path() -> str:
@@ -186,10 +188,11 @@ def word_scores(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, model:
         out[i] = _run_score(units[starts[i] : ends[i]], model.chance, vocab)
     short = np.flatnonzero(~long)
     for own, rows in _groups(units, starts[short], ends[short]):
-        state = np.zeros((len(own), 1, vocab.longest, len(model.langs)))
+        ring = min(vocab.longest, rows.shape[1])
+        state = np.zeros((len(own), 1, ring, len(model.langs)))
         state[:, 0, -1] = 1
         state, scale = _advance(state, _lattice(rows, vocab), model.chance)
-        out[short[own]] = _log(state[:, 0, (rows.shape[1] - 1) % vocab.longest]) + scale
+        out[short[own]] = _log(state[:, 0, (rows.shape[1] - 1) % ring]) + scale
     return out
 
 
@@ -204,32 +207,30 @@ def _learned_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ..
 
 
 def _expected(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray, langs: np.ndarray, chance: np.ndarray, vocab: Pieces) -> np.ndarray:
-    """Expected uses by (piece, language) of words that each have a weight and a language; sums are logarithms, so none underflows."""
+    """Expected uses by (piece, language) of words that each have a weight and a language."""
     out = np.zeros(chance.shape)
     word, first, last, lo, hi = _learned_spans(starts, ends)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        logs = np.vstack([np.log(chance), np.full((1, chance.shape[1]), -np.inf)])
+    with np.errstate(divide="ignore"):
+        logs = np.log(chance)
     for own, rows in _groups(units, first, last):
         lattice, lang, weight = _lattice(rows, vocab), langs[word[own]], weights[word[own]]
         n, length, most = lattice.shape
-        log = logs[lattice, lang[:, None, None]]
-        ahead, behind = np.full((n, length + 1), -np.inf), np.full((n, length + 1), -np.inf)
-        ahead[:, 0] = behind[:, length] = 0
-        for j in range(length):
-            for k in range(1, min(most, j + 1) + 1):
-                has = np.flatnonzero(lattice[:, j, k - 1] >= 0)
-                ahead[has, j + 1] = np.logaddexp(ahead[has, j + 1], ahead[has, j + 1 - k] + log[has, j, k - 1])
-        for j in range(length - 1, -1, -1):
-            for k in range(1, min(most, j + 1) + 1):
-                has = np.flatnonzero(lattice[:, j, k - 1] >= 0)
-                behind[has, j + 1 - k] = np.logaddexp(behind[has, j + 1 - k], behind[has, j + 1] + log[has, j, k - 1])
-        total = ahead[:, length]
-        for k in range(1, most + 1):
-            begins = np.arange(length - k + 1)
-            inside = (first[own][:, None] + begins >= lo[own][:, None]) & (first[own][:, None] + begins < hi[own][:, None])
-            i, b = np.nonzero((lattice[:, k - 1 :, k - 1] >= 0) & inside)
-            use = np.exp(ahead[i, b] + log[i, b + k - 1, k - 1] + behind[i, b + k] - total[i]) * weight[i]
-            np.add.at(out, (lattice[i, b + k - 1, k - 1], lang[i]), use)
+        short = length <= _PLAIN  # products of so few don't leave the range of numbers
+        add, times, one, zero = (np.add, np.multiply, 1.0, 0.0) if short else (np.logaddexp, np.add, 0.0, -np.inf)
+        lift = _LIFT ** np.arange(1, most + 1) if short else np.zeros(most)
+        edges = [(j, k, has, times((chance if short else logs)[lattice[has, j, k - 1], lang[has]], lift[k - 1])) for j in range(length) for k in range(1, min(most, j + 1) + 1) if len(has := np.flatnonzero(lattice[:, j, k - 1] >= 0))]
+        ahead, behind = np.full((n, length + 1), zero), np.full((n, length + 1), zero)
+        ahead[:, 0] = behind[:, length] = one
+        for j, k, has, value in edges:
+            ahead[has, j + 1] = add(ahead[has, j + 1], times(ahead[has, j + 1 - k], value))
+        for j, k, has, value in reversed(edges):
+            behind[has, j + 1 - k] = add(behind[has, j + 1 - k], times(behind[has, j + 1], value))
+        for j, k, has, value in edges:
+            begin = first[own[has]] + j + 1 - k
+            has, value = (x[(begin >= lo[own[has]]) & (begin < hi[own[has]])] for x in (has, value))
+            use = times(times(ahead[has, j + 1 - k], value), behind[has, j + 1])
+            share = use / ahead[has, length] if short else np.exp(use - ahead[has, length])
+            np.add.at(out, (lattice[has, j, k - 1], lang[has]), share * weight[has])
     return out
 
 
@@ -287,7 +288,9 @@ def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
         chance[-1] = _LONE
     prior = np.log(np.array([per_lang[x] for x in langs], float) / max(1, total)) if langs else np.zeros(0)
     model = Model(path, langs, prior, chance)
-    return replace(model, usual=_usual(rows.select("lang", "text"), model)) if langs else model
+    fitted = min(total, fit_rows)
+    some = rows.filter(F.pmod(F.xxhash64("chosen", "text"), F.lit(1 << 20)) < (USUAL_ROWS << 20) // max(1, fitted)) if fitted > USUAL_ROWS else rows
+    return replace(model, usual=_usual(some.select("lang", "text"), model)) if langs else model
 
 
 def _usual(rows: DataFrame, model: Model) -> np.ndarray:

@@ -25,7 +25,7 @@ from textloom.llm.language_id import predict, train
 from textloom.llm.ngram_join import drop_near_copies
 
 #: The least share of probability for a language, and the least fit: deviations from the mean of labelled texts.
-LEAST_SCORE, LEAST_FIT = 0.5, -32
+LEAST_SCORE, LEAST_FIT = 0.5, -40
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -259,12 +259,14 @@ class _Split:
         self.rare = _encode_words(lone, path)
 
 
-def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str | None = None, table_words: int = TABLE_WORDS) -> DataFrame:
+def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str | None = None, table_words: int = TABLE_WORDS, decoded: str | None = None) -> DataFrame:
     """A row for each row of docs: the id and `ids`, the token ids as little-endian unsigned 32-bit integers.
 
     Ids are those of the tokenizers library's encode with add_special_tokens=False: special tokens that a text
     holds are found in it. Null and empty texts have no ids (empty bytes). Null, tied and repeated ids and
     repeated rows are encoded like others; other columns aren't carried; an empty table gives an empty result.
+
+    With `decoded`, a column of that name has what decode() makes of the ids: the same, in fewer Python processes.
     """
     path = tokenizer or default_path()
     split = _Split(docs, id_column, text_column, path, table_words)
@@ -288,7 +290,10 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
                 ids = [_join(table.value, codes, extra or ()) for codes, extra in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in ids], pa.binary())], [id_column, "ids"])
 
-    return base.join(joined, ["k1", "k2"], "left").select("id", "codes", "rare").mapInArrow(lean(filled), f"`{id_column}` {kind}, ids binary")
+    rows, out = base.join(joined, ["k1", "k2"], "left").select("id", "codes", "rare"), T.StructType([T.StructField(id_column, split.docs.schema["id"].dataType), T.StructField("ids", T.BinaryType())])
+    if not decoded:
+        return rows.mapInArrow(lean(filled), out)
+    return _pieced(rows.mapInArrow(lean(lambda batches: _blocked(filled(batches), 1)), _block_type(out)), out, decoded, path)
 
 
 def count_tokens(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str | None = None, table_words: int = TABLE_WORDS) -> DataFrame:
@@ -358,28 +363,39 @@ def decode(encoded: DataFrame, ids_column: str = "ids", name: str = "decoded", t
     to U+FFFD. Repeated rows and null ids are rows like others; an empty table gives an empty result. A name that the
     table has already gets underscores appended.
     """
-    name = fresh(encoded, name)
-    every = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(encoded.columns)), F.coalesce(F.col(f"`{ids_column}`"), F.lit(b"")).alias("packed"))
-    rows = encoded.select(every.alias("row"))
-    names = [*encoded.columns, name]
+    at, path = encoded.columns.index(ids_column), tokenizer or default_path()
+    plain = encoded.toDF(*(f"c{i}" for i in range(len(encoded.columns))))
+    return _pieced(plain.mapInArrow(lean(lambda batches: _blocked(batches, at)), _block_type(encoded.schema)), encoded.schema, fresh(encoded, name), path)
 
-    def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            packed = b.column(0).field(b.column(0).type.num_fields - 1)
-            size = np.cumsum(pc.binary_length(packed).to_numpy(zero_copy_only=False).astype(np.int64))
-            cuts = np.unique(np.concatenate((np.arange(0, b.num_rows, _ROWS), np.flatnonzero(np.diff(size // _DECODED)) + 1, [b.num_rows])))
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                tokens = np.unique(np.concatenate([_ids(x) for x in packed.slice(lo, hi - lo).to_pylist()]))
-                more = max(0, len(tokens) - 1)  # the first row of a block has its rows
-                held = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), b.column(0).slice(lo, hi - lo))
-                held = pa.concat_arrays([held, pa.nulls(more, held.type)])
-                yield pa.RecordBatch.from_arrays([held, pa.array([len(tokens)] + [0] * more, pa.int64()), pa.array(tokens.astype(np.int64) if len(tokens) else [None], pa.int64())], ["rows", "of", "token"])
-
-    kind = T.StructType([T.StructField("rows", T.ArrayType(rows.schema["row"].dataType)), T.StructField("of", T.LongType()), T.StructField("token", T.LongType())])
-    pieces = rows.mapInArrow(lean(blocked), kind).join(F.broadcast(piece_table(encoded.sparkSession, tokenizer or default_path())), "token", "left").select("rows", "of", "token", "piece")
+
+def _block_type(rows: T.StructType) -> T.StructType:
+    row = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(rows)])
+    return T.StructType([T.StructField("rows", T.ArrayType(row)), T.StructField("ids_at", T.IntegerType()), T.StructField("of", T.LongType()), T.StructField("token", T.LongType())])
+
+
+def _blocked(batches: Iterator[pa.RecordBatch], ids_at: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows: (rows, ids_at, of, token), a row for each of the `of` distinct ids of a block, the first with its rows."""
+    for b in batches:
+        row = pa.StructArray.from_arrays(b.columns, [f"c{i}" for i in range(b.num_columns)])
+        packed = b.column(ids_at).fill_null(b"")
+        size = np.cumsum(pc.binary_length(packed).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = np.unique(np.concatenate((np.arange(0, b.num_rows, _ROWS), np.flatnonzero(np.diff(size // _DECODED)) + 1, [b.num_rows])))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            tokens = np.unique(np.concatenate([_ids(x) for x in packed.slice(lo, hi - lo).to_pylist()]))
+            more = max(0, len(tokens) - 1)
+            held = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), row.slice(lo, hi - lo))
+            held = pa.concat_arrays([held, pa.nulls(more, held.type)])
+            n = 1 + more
+            yield pa.RecordBatch.from_arrays([held, pa.array([ids_at] * n, pa.int32()), pa.array([len(tokens)] + [0] * more, pa.int64()), pa.array(tokens.astype(np.int64) if len(tokens) else [None], pa.int64())], ["rows", "ids_at", "of", "token"])
+
+
+def _pieced(blocks: DataFrame, rows: T.StructType, name: str, path: str) -> DataFrame:
+    """The rows of blocks with their texts, once the blocks' ids have met their pieces."""
+    names = [*rows.names, name]
+    pieces = blocks.join(F.broadcast(piece_table(blocks.sparkSession, path)), "token", "left").select("rows", "of", "token", "piece", "ids_at")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, most, tokens, found = None, 0, [], []
+        block, ids_at, most, tokens, found = None, 0, 0, [], []
 
         def out() -> pa.RecordBatch:
             known = np.concatenate([*tokens, np.zeros(0, np.int64)])
@@ -387,9 +403,9 @@ def decode(encoded: DataFrame, ids_column: str = "ids", name: str = "decoded", t
                 raise RuntimeError("pieces came out of order")
             data, starts, lengths = _spans(found)
             fields = block.flatten()
-            at = [np.searchsorted(known, _ids(x)) for x in fields[-1].to_pylist()]
+            at = [np.searchsorted(known, _ids(x or b"")) for x in fields[ids_at].to_pylist()]
             texts = [_gather(data, starts[i], lengths[i]).tobytes().decode("utf-8", "replace") for i in at]
-            return pa.RecordBatch.from_arrays([*fields[:-1], pa.array(texts, pa.string())], names)
+            return pa.RecordBatch.from_arrays([*fields, pa.array(texts, pa.string())], names)
 
         for b in batches:
             first = b.column(0).is_valid().to_numpy(zero_copy_only=False)
@@ -398,14 +414,14 @@ def decode(encoded: DataFrame, ids_column: str = "ids", name: str = "decoded", t
                 if first[lo]:
                     if block is not None:
                         yield out()
-                    block, most, tokens, found = b.column(0)[lo].values, b.column(1)[lo].as_py(), [], []
+                    block, ids_at, most, tokens, found = b.column(0)[lo].values, b.column(4)[lo].as_py(), b.column(1)[lo].as_py(), [], []
                 own = b.slice(lo, hi - lo)
                 tokens.append(own.column(2).drop_null().to_numpy())
                 found.append(own.column(3).filter(own.column(2).is_valid()))
         if block is not None:
             yield out()
 
-    return pieces.mapInArrow(lean(joined), T.StructType([*encoded.schema.fields, T.StructField(name, T.StringType())]))
+    return pieces.mapInArrow(lean(joined), T.StructType([*rows.fields, T.StructField(name, T.StringType())]))
 
 
 def _ids(packed: bytes) -> np.ndarray:

@@ -17,7 +17,7 @@ set are one class. Two classes can only be similar if each owns few n-grams that
 
 Shuffles move n-gram hashes of a quarter of the space once, and of the left-over classes once; text never moves.
 
-No task gets a hot key. N-grams that are frequent in a bounded sample of classes are counted in parts; lists of a
+No task gets a hot key. N-grams that are frequent in a bounded sample of classes are dealt into parts; lists of a
 common prefix n-gram are cut into parts whose ends are linked; blocks meet in a grid; and rows of hot classes and
 components meet what is known of them by broadcast. The sample changes no result, only where rows go.
 """
@@ -82,7 +82,7 @@ def _members(docs: DataFrame, width: int, part: str, wanted=None, frequent: froz
     """(h, cid, n, salt) for the n-grams of each class, once a task.
 
     part: "quarter" has a quarter of the n-grams, of h and cid only; "all" has those of the classes that `wanted`, a
-    filter of text hashes, may hold. salt deals the classes of frequent n-grams into parts.
+    filter of text hashes, may hold. salt deals the classes of frequent n-grams into parts, from 1 on; it is 0 for others.
     """
     quarter = part == "quarter"
 
@@ -112,7 +112,7 @@ def _members(docs: DataFrame, width: int, part: str, wanted=None, frequent: froz
         h, cid = np.concatenate(hs).view(np.int64), np.concatenate(cids)
         if quarter:
             return pa.RecordBatch.from_pydict({"h": h, "cid": cid})
-        salt = np.where(np.isin(h, often), cid % PARTS, 0) if len(often) else np.zeros(len(h), np.int64)
+        salt = np.where(np.isin(h, often), 1 + cid % PARTS, 0) if len(often) else np.zeros(len(h), np.int64)
         return pa.RecordBatch.from_pydict({"h": h, "cid": cid, "n": np.concatenate(ns), "salt": salt.astype(np.int32)})
 
     return docs.select("text", F.xxhash64("text").alias("th")).mapInArrow(lean(f), "h bigint, cid bigint" + ("" if quarter else ", n int, salt int"))
@@ -258,12 +258,9 @@ def ngram_links(docs: DataFrame, id_column: str, text_column: str, width: int =
     wanted = docs.sparkSession.sparkContext.broadcast(build(open_classes, filter_bits(open_classes.count()), 1))
     often = _frequent(docs, width, members.count(), wanted)
     grams = _members(docs, width, "all", wanted, often).repartition("h", "salt").dropDuplicates(["h", "salt", "cid"])
-    counted = grams.withColumn("df", F.count("*").over(Window.partitionBy("h", "salt")))
-    if often:  # the parts of a frequent n-gram's rows are added up
-        counted = stage(counted, "counted")
-        whole = counted.filter(F.col("h").isin(*often)).groupBy("h").agg(F.count("*").alias("whole"))
-        counted = counted.join(F.broadcast(whole), "h", "left").withColumn("df", F.coalesce("whole", "df"))
-    shared = counted.filter("df > 1")
+    # any order of n-grams serves that is the same for all classes: frequent ones come last, without being counted
+    df = F.when(F.col("salt") > 0, F.lit(1 << 40)).otherwise(F.count("*").over(Window.partitionBy("h", "salt")))
+    shared = grams.withColumn("df", df).filter("df > 1")
     listed = shared.groupBy("cid").agg(F.max("n").alias("n"), F.collect_list(F.struct("df", "h")).alias("own"))
     classes = stage(_prefixes(listed, percent), "classes")
     groups = classes.groupBy("gid").agg(F.min("n").alias("n"), F.min("first").alias("first"), F.min(F.struct("cid", "prefix")).alias("one"))

@@ -588,7 +588,9 @@ def test_bpe(spark, words):
     assert collections.Counter((i, bytes(x), t) for i, x, t in rows_of(got, "doc_id", "ids", "text_back")) == expected
     counts = collections.Counter((i, len(x) // 4) for i, x, _ in expected.elements())
     assert collections.Counter(rows_of(count_tokens(df, table_words=words), "doc_id", "n_tokens")) == counts
-    assert sorted(rows_of(encode(df, table_words=words, decoded="text_back"), "doc_id", "ids", "text_back"), key=str) == sorted(rows_of(got, "doc_id", "ids", "text_back"), key=str)
+    for lookup in (False, True):
+        same = encode(df, table_words=words, decoded="text_back", lookup=lookup)
+        assert sorted(rows_of(same, "doc_id", "ids", "text_back"), key=str) == sorted(rows_of(got, "doc_id", "ids", "text_back"), key=str)
     twice = decode(got.filter("doc_id = 5").withColumn("row", F.lit(1)).withColumn("dotted.name", F.lit("x")), name="text_back")
     assert twice.columns == ["doc_id", "ids", "text_back", "row", "dotted.name", "text_back_"]
     assert rows_of(twice, "text_back_") == [(texts[5],)]

@@ -78,6 +78,10 @@ class Vocabulary:
 
         return Tokenizer.from_str(self._text).model
 
+    def text_of(self, ids: np.ndarray) -> str:
+        """The text of ids; those that it doesn't have stand for nothing."""
+        return b"".join([self.pieces.get(i, b"") for i in ids.tolist()]).decode("utf-8", "replace")
+
     def encode_word(self, word: str) -> np.ndarray:
         return np.array([t.id for t in self._model.tokenize("".join([self._to[b] for b in word.encode()]))], "<u4")
 
@@ -259,14 +263,15 @@ class _Split:
         self.rare = _encode_words(lone, path)
 
 
-def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str | None = None, table_words: int = TABLE_WORDS, decoded: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str | None = None, table_words: int = TABLE_WORDS, decoded: str | None = None, lookup: bool = False) -> DataFrame:
     """A row for each row of docs: the id and `ids`, the token ids as little-endian unsigned 32-bit integers.
 
     Ids are those of the tokenizers library's encode with add_special_tokens=False: special tokens that a text
     holds are found in it. Null and empty texts have no ids (empty bytes). Null, tied and repeated ids and
     repeated rows are encoded like others; other columns aren't carried; an empty table gives an empty result.
 
-    With `decoded`, a column of that name has what decode() makes of the ids: the same, in fewer Python processes.
+    With `decoded`, a column of that name has what decode() makes of the ids: the same, in fewer Python processes. With
+    `lookup` as well the pieces are looked up in the vocabulary that a process has at hand, which takes one less again.
     """
     path = tokenizer or default_path()
     split = _Split(docs, id_column, text_column, path, table_words)
@@ -288,11 +293,14 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         for whole_batch in batches:
             for b in (whole_batch.slice(k, _ROWS) for k in range(0, whole_batch.num_rows, _ROWS)):
                 ids = [_join(table.value, codes, extra or ()) for codes, extra in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in ids], pa.binary())], [id_column, "ids"])
+                columns = [b.column(0), pa.array([x.tobytes() for x in ids], pa.binary())]
+                if lookup:
+                    columns.append(pa.array([vocabulary(path).text_of(x) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, [id_column, "ids", *[decoded] * lookup])
 
     rows, out = base.join(joined, ["k1", "k2"], "left").select("id", "codes", "rare"), T.StructType([T.StructField(id_column, split.docs.schema["id"].dataType), T.StructField("ids", T.BinaryType())])
-    if not decoded:
-        return rows.mapInArrow(lean(filled), out)
+    if not decoded or lookup:
+        return rows.mapInArrow(lean(filled), out.add(decoded, T.StringType()) if lookup else out)
     return _pieced(rows.mapInArrow(lean(lambda batches: _blocked(filled(batches), 1)), _block_type(out)), out, decoded, path)
 
 

@@ -54,7 +54,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded): ids as little-endian unsigned 32-bit integers, decoded their text."""
-    coded = encode(docs, "doc_id", "text", decoded="decoded")
+    coded = encode(docs, "doc_id", "text", decoded="decoded", lookup=True)
     return coded.select("doc_id", F.expr("cast(octet_length(ids) / 4 as bigint)").alias("n_tokens"), "ids", "decoded")
 
 

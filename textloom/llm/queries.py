@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm.filter_audit import oracle_sql as _audit_sql
 from textloom.llm.license_scan import oracle_sql as _license_sql
 
 
@@ -111,11 +112,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.expr("cast(octet_length(ids) / 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.filter_audit import audit_orders, flag_failures
+
+    return audit_orders(flag_failures(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_sharding, op3_language_id, op4_token_counts, op5_exact_dedup, op6_ngram_jaccard_join, op7_license_scan, op8_url_filter, op9_decontaminate, op10_bpe)}
+    return {f.__name__: f for f in (op1_chat_format, op2_sharding, op3_language_id, op4_token_counts, op5_exact_dedup, op6_ngram_jaccard_join, op7_license_scan, op8_url_filter, op9_decontaminate, op10_bpe, op13_filter_audit)}
 
 
 ORACLE = {
+    "op13_filter_audit": _audit_sql(),
     "op7_license_scan": _license_sql(),
     "op5_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)

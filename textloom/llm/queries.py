@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.filter_audit import oracle_sql as _audit_sql
 from textloom.llm.license_scan import oracle_sql as _license_sql
+from textloom.llm.phrases import oracle_sql as _phrases_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,6 +113,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.expr("cast(octet_length(ids) / 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.phrases import mine_phrases
+
+    return mine_phrases(_table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.filter_audit import audit_orders, flag_failures
 
@@ -119,10 +126,11 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_sharding, op3_language_id, op4_token_counts, op5_exact_dedup, op6_ngram_jaccard_join, op7_license_scan, op8_url_filter, op9_decontaminate, op10_bpe, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_chat_format, op2_sharding, op3_language_id, op4_token_counts, op5_exact_dedup, op6_ngram_jaccard_join, op7_license_scan, op8_url_filter, op9_decontaminate, op10_bpe, op12_phrases, op13_filter_audit)}
 
 
 ORACLE = {
+    "op12_phrases": _phrases_sql(),
     "op13_filter_audit": _audit_sql(),
     "op7_license_scan": _license_sql(),
     "op5_exact_dedup": """

@@ -38,15 +38,15 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, weight: str, total: int, few: int = BROADCAST_ROWS) -> DataFrame:
     """rows LEFT JOIN groups on a key that groups has once; `weight` is how many of the `total` rows have the key.
 
-    No task gets a hot key: all groups are broadcast if they are few, else those that hold many rows, which are few:
-    at most BROADCAST_ROWS, as each holds a share of the total.
+    No task gets a hot key: all groups are broadcast if they are few, else those that hold many rows, which are few
+    (or 512), as each holds a share of the total. Give a lower `few` where a group's row is large.
     """
-    if groups.count() <= BROADCAST_ROWS:
+    if groups.count() <= few:
         return rows.join(F.broadcast(groups), key, "left")
-    most = min(max(1, total // 512), max(10_000, total // BROADCAST_ROWS))
+    most = min(max(1, total // 512), max(10_000, total // few))
     met = rows.join(F.broadcast(groups.filter(F.col(weight) > most)), key, "left")
     rest = met.filter(F.col(weight).isNull()).select(*(F.col(f"`{c}`") for c in rows.columns)).join(groups.filter(F.col(weight) <= most), key, "left")
     return met.filter(F.col(weight).isNotNull()).unionByName(rest)

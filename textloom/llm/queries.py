@@ -113,6 +113,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.expr("cast(octet_length(ids) / 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.html_extract import extract_main_text
+
+    return extract_main_text(_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.phrases import mine_phrases
 
@@ -126,7 +132,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_sharding, op3_language_id, op4_token_counts, op5_exact_dedup, op6_ngram_jaccard_join, op7_license_scan, op8_url_filter, op9_decontaminate, op10_bpe, op12_phrases, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_chat_format, op2_sharding, op3_language_id, op4_token_counts, op5_exact_dedup, op6_ngram_jaccard_join, op7_license_scan, op8_url_filter, op9_decontaminate, op10_bpe, op11_html_extract, op12_phrases, op13_filter_audit)}
 
 
 ORACLE = {

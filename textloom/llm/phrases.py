@@ -8,8 +8,8 @@ phrase that is frequent has frequent parts, so nothing frequent is lost where a
 (left, right, id, n): left and right name the phrase without its last and without its first word, and by them each
 phrase finds the counts of the parts of its cuts, and the phrases that contain it.
 
-What shuffles are each block's distinct pairs, at most one row a block for a pair however common, and the blocks'
-numbers. Blocks have some 2^20 words; only a piece (words between marks), which may be longer, is never cut.
+What shuffles are each block's distinct pairs to be counted, at most one row a block for a pair however common; of
+these again the frequent ones, which a Bloom filter of bounded size tells beforehand; and the blocks' numbers. Blocks have some 2^20 words; only a piece (words between marks), which may be longer, is never cut.
 """
 
 from __future__ import annotations
@@ -19,14 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm._arrays import lean
+from textloom.llm._arrays import lean, mix
+from textloom.llm._bloom import build, filter_bits, maybe
 from textloom.llm._staging import small, stage
 
 #: Words of a block, bytes of text worked on at a time, and words of all blocks begun (one a language) before they are written.
-BLOCK_WORDS, SLICE, OPEN_WORDS = 1 << 20, 1 << 22, 1 << 21
+BLOCK_WORDS, SLICE, OPEN_WORDS = 1 << 20, 1 << 20, 1 << 22
 #: Parts of a language whose best phrases are found apart before they meet.
 PARTS = 64
 #: Marks that end a piece, all read as ".", which then is in no word.
@@ -124,6 +126,38 @@ def _paired(blocks: pa.Table, known: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([blocks.column("block")[0].as_py()]), pa.array([out.tobytes()], pa.binary()), _lists(pa.array(left)), _lists(pa.array(right)), _lists(pa.array(counts.astype(np.int32)))], schema=schema)
 
 
+def _pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(mix(left.astype(np.uint64)) + right.astype(np.uint64))
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        h = _pair_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64))], ["h"])
+
+
+def _extending(frequent: Broadcast):
+    """Of each block, the pairs that may be frequent and that stand next to another such somewhere: (block, at, left, right)."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                left, right = (batch.column(c)[k].values.to_numpy() for c in ("left", "right"))
+                some = np.concatenate(([False], maybe(frequent.value, _pair_hash(left, right))))
+                seq = np.frombuffer(batch.column("seq")[k].as_buffer(), np.int32)
+                ok = some[seq]
+                both = ok[:-1] & ok[1:]
+                used = np.zeros(len(some), bool)
+                used[seq[:-1][both]] = used[seq[1:][both]] = True
+                at = np.flatnonzero(used) - 1
+                block = np.full(len(at), batch.column("block")[k].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(at.astype(np.int32)), pa.array(left[at]), pa.array(right[at])], ["block", "at", "left", "right"])
+
+    return run
+
+
 def mine_phrases(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", longest: int = 4, least: int = 30, overlap: int = 80, top: int = 2000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first `top` phrases of 2 to `longest` words.
 
@@ -142,25 +176,28 @@ def mine_phrases(docs: DataFrame, text_column: str = "text", lang_column: str =
     counted = blocks.select("lang", F.inline(F.arrays_zip("word", "n"))).groupBy("lang", "word").agg(F.sum("n").alias("a"))
     none = F.array().cast("array<long>")
     names = stage(counted.filter(F.col("a") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", none.alias("heads"), none.alias("tails")), "names")
-    known = blocks.select("block", "lang", F.posexplode("word").alias("at", "phrase")).join(small(names.select("lang", "phrase", "id")), ["lang", "phrase"])
+    known = blocks.select("block", "lang", F.posexplode("word").alias("at", "phrase")).join(names.select("lang", "phrase", "id"), ["lang", "phrase"])
 
-    found = []
+    found, asked = [], []
     for size in range(2, longest + 1):
         known = known.select(F.col("block").alias("of"), (F.col("at") + 1).alias("at"), "id")
         blocks = stage(blocks.select("block", "seq").groupBy("block").cogroup(known.groupBy("of")).applyInArrow(_paired, _PAIRS), "pairs")
         pairs = blocks.select(F.inline(F.arrays_zip("left", "right", "n"))).groupBy("left", "right").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
         pairs = stage(pairs.withColumn("id", F.monotonically_increasing_id()), "frequent")
-        parts = small(names)
-        left = parts.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), F.concat("heads", F.array("a")).alias("heads"))
-        right = parts.select(F.col("id").alias("right"), "last", F.concat("tails", F.array("a")).alias("tails"))
+        for sketch in asked:
+            sketch.destroy()
+        left = names.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), F.concat("heads", F.array("a")).alias("heads"))
+        right = names.select(F.col("id").alias("right"), "last", F.concat("tails", F.array("a")).alias("tails"))
         longer = pairs.join(left, "left").join(right, "right")
         longer = stage(longer.select("id", "left", "right", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "a", "heads", "tails"), "names")
         if size > 2:
             found.append(_outlasting(names, longer, overlap))
         names = longer
         if size < longest:
-            pair = F.posexplode(F.arrays_zip("left", "right")).alias("at", "pair")
-            known = blocks.select("block", pair).select("block", "at", "pair.*").join(small(pairs.select("left", "right", "id")), ["left", "right"])
+            sketch = build(pairs.select("left", "right").mapInArrow(_hashes, "h long"), filter_bits(pairs.count()), 1)
+            asked = [docs.sparkSession.sparkContext.broadcast(sketch)]
+            extending = blocks.select("block", "seq", "left", "right").mapInArrow(_extending(asked[0]), "block long, at int, left long, right long")
+            known = extending.join(pairs.select("left", "right", "id"), ["left", "right"])
     found.append(names)
 
     phrases = found[0].select("lang", "phrase", "a", "heads", "tails")

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.filetypes import DEFAULT_TYPES, Types
+from textloom.functions.filetypes import Types
 from textloom.functions.matching import Match
 from textloom.operators import lines as L
 from textloom.operators import paths as P
 from textloom.operators import sinks as S
+from textloom.operators import splits as X
 
 _LINES = """lines AS (
     SELECT doc_id, line_no, line, CAST(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset
@@ -92,6 +93,13 @@ ev AS (SELECT doc_id, line_no, byte_offset, line, CASE WHEN hit THEN 'match' ELS
     FROM near WHERE hit OR line_no - prev <= 2 OR next - line_no <= 1)"""
 _Q["context_before_after"] = lambda spark, sf: L.search_events(_docs(spark, sf), Match(("ther",)), before=1, after=2).drop("group_id")
 _SQL["context_before_after"] = _with("SELECT * FROM ev").replace(" SELECT * FROM ev", f", {_NEAR} SELECT * FROM ev")
+# texts cut into pieces of 1,000 characters or the line that is longer, each searched by itself
+_Q["split_search"] = lambda spark, sf: X.search_pieces(X.cut_lines(_docs(spark, sf), chunk=1000), _EN, ["doc_id"]).select("doc_id", "line_no", "byte_offset", "line")
+_SQL["split_search"] = _with(f"SELECT doc_id, line_no, byte_offset, line FROM lines WHERE regexp_matches(line, '{_RX}')")
+_Q["split_context"] = lambda spark, sf: X.search_pieces(X.cut_lines(_docs(spark, sf), chunk=1000), Match(("ther",)), ["doc_id"], before=1, after=2).drop("group_id")
+_SQL["split_context"] = _SQL["context_before_after"]
+_Q["split_counts"] = lambda spark, sf: X.count_pieces(X.cut_lines(_docs(spark, sf), chunk=1000), _EN, ["doc_id"], occurrences=True)
+_SQL["split_counts"] = _SQL["count_matches"]
 _Q["context_gap_groups"] = lambda spark, sf: L.search_events(_docs(spark, sf), Match(("ther",)), before=1, after=2).groupBy("doc_id", "group_id").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.sum((F.col("kind") == "match").cast("long")).alias("matches"))
 _SQL["context_gap_groups"] = _with("SELECT doc_id, group_id, min(line_no) AS first_line, max(line_no) AS last_line, count(*) FILTER (kind = 'match') AS matches FROM (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS group_id FROM ev) GROUP BY ALL").replace(" SELECT doc_id, group_id", f", {_NEAR} SELECT doc_id, group_id", 1)
 _Q["passthru"] = lambda spark, sf: L.search_events(_docs(spark, sf), _THE, passthru=True).select("doc_id", "line_no", "byte_offset", "line", "kind")
@@ -193,7 +201,6 @@ _files("glob_filter", _BARE + " AND (path LIKE '%.md' OR path LIKE '%/en/%.py')
 _files("iglob_filter", _BARE + " AND path LIKE '%.LOG'", iglobs=["*.log"])
 _files("type_filter", _BARE + " AND (path LIKE '%.py' OR path LIKE '%.rs')", types=lambda _: Types().select("py").select("rust"))
 _files("type_not", _BARE + " AND NOT path LIKE '%.md'", types=lambda _: Types().negate("markdown"))
-_files("max_depth", "false", max_depth=2)
 _Q["max_depth_mixed"] = lambda spark, sf: P.select_files(_mixed_depths(spark, sf), max_depth=2).select("doc_id", "path")
 _SQL["max_depth_mixed"] = f"WITH {_PATH_SQL}, q AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN string_split(path, '/')[3] WHEN 1 THEN regexp_replace(path, '^[^/]*/', '') ELSE path END AS path FROM p) SELECT doc_id, path FROM q WHERE {_BARE} AND doc_id % 3 < 2"
 _files("max_filesize", _BARE + " AND strlen(text) <= 1024", max_size=1024)
@@ -225,8 +232,6 @@ def _sorted(name: str, sql: str, descending: bool) -> None:
 _sorted("sort_path", "string_split(path, '/')", False)
 _sorted("sortr_path", "string_split(path, '/') DESC", True)
 
-_Q["type_list"] = lambda spark, sf: Types().listing(spark)
-_SQL["type_list"] = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{', '.join(sorted(v, key=lambda g: g.encode()))}')" for k, v in DEFAULT_TYPES.items()) + ") t(name, globs)"
 
 
 def _other(name: str, table: str, key: str, text: str, match: Match, condition: str) -> None:

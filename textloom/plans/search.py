@@ -17,13 +17,17 @@ from textloom.functions.scalars import pattern_lines
 from textloom.operators import lines as L
 from textloom.operators import paths as P
 from textloom.operators import sinks as K
+from textloom.operators.splits import count_pieces
 from textloom.sources import files as S
+from textloom.sources import ranges as R
 
 
 class Unsupported(ValueError):
     """An option that this library doesn't have, on purpose."""
 
 
+#: Files from this size on are read in ranges, by as many tasks, where what is asked for allows it.
+LARGE_BYTES = 1 << 26
 #: Options that are refused with a message instead of being ignored.
 REFUSED = ("replace", "multiline", "multiline_dotall", "pcre2", "encoding", "search_zip", "sort_created")
 
@@ -156,13 +160,23 @@ def sorted_files(found: DataFrame, by: str = "path", descending: bool = False) -
     raise Unsupported(f"no order by {by}")
 
 
-def _texts(source: DataFrame | tuple[SparkSession, list[str]], options: Options, whole: bool = False, binary: bool = False) -> DataFrame:
-    """The table, or the (path, text) of files. whole: without files whose search stopped at a NUL; binary: with nul and convert."""
+def _large(source: DataFrame | tuple[SparkSession, list[str]], options: Options) -> DataFrame | None:
+    """The files that are read in ranges, None if there are none."""
+    if isinstance(source, DataFrame) or options.null_data:
+        return None
+    large = files(*source, options).filter(F.col("size") >= LARGE_BYTES)
+    return None if large.isEmpty() else large
+
+
+def _texts(source: DataFrame | tuple[SparkSession, list[str]], options: Options, whole: bool = False, binary: bool = False, small: bool = False) -> DataFrame:
+    """The table, or the (path, text) of files. whole: without files whose search stopped at a NUL; binary: with nul and
+    convert; small: without those that are read in ranges."""
     if isinstance(source, DataFrame):
         return source
     spark, paths = source
     mode = "none" if options.null_data else options.binary
-    rows = S.decoded(S.read_files(files(spark, paths, options)), mode)
+    found = files(spark, paths, options)
+    rows = S.decoded(S.read_files(found.filter(F.col("size") < LARGE_BYTES) if small else found), mode)
     convert = F.col("explicit") if mode == "auto" else F.lit(mode == "convert")
     nul = F.lit(None).cast("long") if mode == "none" else F.col("binary_offset")
     rows = rows.select("path", "text", nul.alias("nul"), convert.alias("convert"))
@@ -192,8 +206,12 @@ def search(source: DataFrame | tuple[SparkSession, list[str]], pattern: str | li
 
 
 def events(source, pattern, options: Options = Options()) -> DataFrame:
-    """A row for each line that would be printed."""
-    return L.search_events(_texts(source, options), options.match(pattern), "text", options.before_context, options.after_context, options.max_count, options.passthru)
+    """A row for each line that would be printed; files may be of any size, and large ones are searched by many tasks."""
+    large, how = _large(source, options), (options.before_context, options.after_context, options.max_count, options.passthru)
+    out = L.search_events(_texts(source, options, small=large is not None), options.match(pattern), "text", *how)
+    if large is None:
+        return out
+    return out.unionByName(R.search_files(large, options.match(pattern), options.binary, *how).select(*out.columns))
 
 
 def files_with_match(source, pattern, options: Options = Options(), without: bool = False) -> DataFrame:
@@ -202,8 +220,14 @@ def files_with_match(source, pattern, options: Options = Options(), without: boo
 
 
 def count_matches(source, pattern, options: Options = Options(), include_zero: bool = False, occurrences: bool = False) -> DataFrame:
-    """Matching lines of each text, or matches in them; files that a NUL stopped are left out."""
-    return L.count_lines(_texts(source, options, whole=True), options.match(pattern), "text", include_zero, occurrences, options.max_count)
+    """Matching lines of each text, or matches in them; files that a NUL stopped are left out. Large files are counted by many tasks."""
+    large = _large(source, options) if options.max_count is None else None
+    out = L.count_lines(_texts(source, options, whole=True, small=large is not None), options.match(pattern), "text", include_zero, occurrences, options.max_count)
+    if large is None:
+        return out
+    ranges = R.with_limits(R.byte_ranges(large), options.binary).filter(F.col("limit").isNull())
+    counts = count_pieces(R.read_ranges(ranges), options.match(pattern), ["root_idx", "path"], "text", include_zero, occurrences)
+    return out.unionByName(counts.select(*out.columns))
 
 
 def search_stream(source, pattern, on_match: Callable[[object], bool], options: Options = Options()) -> None:

@@ -184,8 +184,10 @@ def decoded(files: DataFrame, mode: str = "auto", content: str = "content") -> D
 
     Modes: "none" takes NULs as they are; "convert" makes each a line end; "quit" drops the piece of CHUNK bytes with
     the first NUL and all after it, back to the last whole line; "auto" converts explicit files and quits the others.
+    "slice" and "slice_convert" ask the first CHUNK bytes only and leave all other NULs: a NUL there drops the whole
+    text, or, converting, is told but stays what it is.
     """
-    if mode not in ("auto", "none", "convert", "quit"):
+    if mode not in ("auto", "none", "convert", "quit", "slice", "slice_convert"):
         raise ValueError(f"unknown mode {mode!r}")
     raw = without_bom(F.col(content)).cast("string")
     out = files.withColumn("text", raw)
@@ -194,6 +196,9 @@ def decoded(files: DataFrame, mode: str = "auto", content: str = "content") -> D
     out = out.withColumn("binary_offset", F.when(at > 0, before.cast("long")))
     if mode == "none":
         return out
+    if mode.startswith("slice"):
+        out = out.withColumn("binary_offset", F.when(F.col("binary_offset") < CHUNK, F.col("binary_offset")))
+        return out if mode == "slice_convert" else out.withColumn("text", F.when(F.col("binary_offset").isNull(), F.col("text")).otherwise(""))
     converted = F.replace("text", F.lit("\0"), F.lit("\n"))
     kept = F.decode(F.substring(F.encode("text", "UTF-8"), F.lit(1), (F.floor(F.col("binary_offset") / CHUNK) * CHUNK).cast("int")), "UTF-8")
     quit_ = F.when(F.instr(kept, "\n") > 0, F.concat(F.regexp_replace(kept, r"\n[^\n]*\z", ""), F.lit("\n"))).otherwise("")

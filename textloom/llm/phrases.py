@@ -2,14 +2,14 @@
 
 Phrases are counted by naming pairs, level by level. Texts are packed into blocks, each a sequence of numbers with the
 table of what they stand for. Level 1 counts the distinct words of each block, and frequent words get ids. From then on
-each level joins the ids back to the blocks, replaces two adjacent ids by the number of their pair, and counts the
-distinct pairs of each block; pairs that are frequent over all blocks get ids of their own, by a join over all. A
+each level counts the distinct pairs of adjacent ids of each block; pairs that are frequent over all blocks get ids of their
+own, which are joined back to the blocks, where they replace the pairs. A
 phrase that is frequent has frequent parts, so nothing frequent is lost where a part is not. A name is thus a row
 (left, right, id, n): left and right name the phrase without its last and without its first word, and by them each
 phrase finds the counts of the parts of its cuts, and the phrases that contain it.
 
 What shuffles are each block's distinct pairs to be counted, at most one row a block for a pair however common; of
-these again the frequent ones, which a Bloom filter of bounded size tells beforehand; and the blocks' numbers. Blocks have some 2^20 words; only a piece (words between marks), which may be longer, is never cut.
+these again the frequent ones, which a Bloom filter of bounded size tells beforehand; and the blocks' numbers. Blocks have some 2^21 words; only a piece (words between marks), which may be longer, is never cut.
 """
 
 from __future__ import annotations
@@ -28,14 +28,15 @@ from textloom.llm._bloom import build, filter_bits, maybe
 from textloom.llm._staging import small, stage
 
 #: Words of a block, bytes of text worked on at a time, and words of all blocks begun (one a language) before they are written.
-BLOCK_WORDS, SLICE, OPEN_WORDS = 1 << 20, 1 << 20, 1 << 22
+BLOCK_WORDS, SLICE, OPEN_WORDS = 1 << 21, 1 << 20, 1 << 22
 #: Parts of a language whose best phrases are found apart before they meet.
 PARTS = 64
 #: Marks that end a piece, all read as ".", which then is in no word.
 _MARKS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
 
-_WORDS = "block long, lang string, total long, seq binary, word array<string>, n array<int>"
-_PAIRS = "block long, seq binary, left array<long>, right array<long>, n array<int>"
+_WORDS = "block long, lang string, total long, size int, seq binary, word array<string>, n array<int>"
+_NAMED = pa.schema([("block", pa.int64()), ("size", pa.int32()), ("seq", pa.binary()), ("ids", pa.list_(pa.int64()))])
+_NAMED_DDL = "block long, size int, seq binary, ids array<long>"
 
 
 class _Numbers(dict):
@@ -77,10 +78,10 @@ def _words(block_words: int, open_words: int):
                 counts = np.bincount(seq, minlength=len(numbers)).astype(np.int32)[1:]
                 if len(counts):
                     words = pa.array(list(numbers)[1:], pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array([made]), pa.array([lang]), pa.array([int(counts.sum(dtype=np.int64))]), pa.array([seq.tobytes()], pa.binary()), _lists(words), _lists(pa.array(counts))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array([made]), pa.array([lang]), pa.array([int(counts.sum(dtype=np.int64))]), *_packed(seq), _lists(words), _lists(pa.array(counts))], schema=schema)
                     made += 1
 
-        schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("total", pa.int64()), ("seq", pa.binary()), ("word", pa.list_(pa.string())), ("n", pa.list_(pa.int32()))])
+        schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("total", pa.int64()), ("size", pa.int32()), ("seq", pa.binary()), ("word", pa.list_(pa.string())), ("n", pa.list_(pa.int32()))])
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 # bytes.lower changes A-Z only, and after the marks only blanks and tabs are white space to bytes.split
@@ -104,26 +105,50 @@ def _lists(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _paired(blocks: pa.Table, known: pa.Table) -> pa.Table:
-    """A block's sequence with each two adjacent known numbers replaced by the number of their pair, and the pairs."""
-    schema = pa.schema([("block", pa.int64()), ("seq", pa.binary()), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64())), ("n", pa.list_(pa.int32()))])
-    if not blocks.num_rows or not known.num_rows:
-        return schema.empty_table()
-    seq = np.frombuffer(blocks.column("seq")[0].as_buffer(), np.int32)
-    at, ids = known.column("at").to_numpy(), known.column("id").to_numpy()
-    rank = np.zeros(max(int(seq.max()), int(at.max())) + 1, np.int64)
-    rank[at] = np.arange(1, len(at) + 1)
-    ranks = rank[seq]
-    both = np.flatnonzero((ranks[:-1] > 0) & (ranks[1:] > 0))
-    if not len(both):
-        return schema.empty_table()
-    base = len(at) + 1
-    pairs, number, counts = np.unique(ranks[both] * base + ranks[both + 1], return_inverse=True, return_counts=True)
-    out = np.zeros(len(seq), np.int32)
-    out[both] = number.reshape(-1) + 1
-    out = out[(out > 0) | np.concatenate(([False], out[:-1] > 0))]  # one 0 is as good as many
-    left, right = ids[pairs // base - 1], ids[pairs % base - 1]
-    return pa.Table.from_arrays([pa.array([blocks.column("block")[0].as_py()]), pa.array([out.tobytes()], pa.binary()), _lists(pa.array(left)), _lists(pa.array(right)), _lists(pa.array(counts.astype(np.int32)))], schema=schema)
+def _packed(seq: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """A sequence of numbers as (its length, its compressed bytes), a row."""
+    return pa.array([len(seq)], pa.int32()), pa.array([pa.compress(seq.tobytes(), codec="zstd", asbytes=True)], pa.binary())
+
+
+def _unpacked(rows: pa.RecordBatch | pa.Table, k: int = 0) -> np.ndarray:
+    size = rows.column("size")[k].as_py()
+    return np.frombuffer(pa.decompress(rows.column("seq")[k].as_buffer(), 4 * size, codec="zstd"), np.int32)
+
+
+def _codes(seq: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, code) of the pairs of adjacent numbers; 0 is in no pair, and a code is left * base + right."""
+    both = np.flatnonzero((seq[:-1] > 0) & (seq[1:] > 0))
+    return both, seq[both].astype(np.int64) * base + seq[both + 1]
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct pairs of each block: (left, right, n)."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            ids = batch.column("ids")[k].values.to_numpy()
+            base = len(ids) + 1
+            pairs, n = np.unique(_codes(_unpacked(batch, k), base)[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[pairs // base - 1]), pa.array(ids[pairs % base - 1]), pa.array(n)], ["left", "right", "n"])
+
+
+def _renamed(pairs: bool):
+    """A block's sequence with known codes, of pairs or of the numbers themselves, replaced by numbers of their ids."""
+
+    def run(blocks: pa.Table, known: pa.Table) -> pa.Table:
+        if not blocks.num_rows or not known.num_rows:
+            return _NAMED.empty_table()
+        seq = _unpacked(blocks)
+        order = np.argsort(known.column("code").to_numpy())
+        codes, ids = known.column("code").to_numpy()[order], known.column("id").to_numpy()[order]
+        place, own = _codes(seq, len(blocks.column("ids")[0].values) + 1) if pairs else (np.arange(len(seq)), seq)
+        at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+        hit = codes[at] == own
+        out = np.zeros(len(seq), np.int32)
+        out[place[hit]] = at[hit] + 1
+        out = out[(out > 0) | np.concatenate(([False], out[:-1] > 0))]  # one 0 is as good as many
+        return pa.Table.from_arrays([blocks.column("block"), *_packed(out), _lists(pa.array(ids))], schema=_NAMED)
+
+    return run
 
 
 def _pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -138,22 +163,22 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extending(frequent: Broadcast):
-    """Of each block, the pairs that may be frequent and that stand next to another such somewhere: (block, at, left, right)."""
+    """Of each block, the pairs that may be frequent and that stand next to another such somewhere: (block, code, left, right)."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                left, right = (batch.column(c)[k].values.to_numpy() for c in ("left", "right"))
-                some = np.concatenate(([False], maybe(frequent.value, _pair_hash(left, right))))
-                seq = np.frombuffer(batch.column("seq")[k].as_buffer(), np.int32)
-                ok = some[seq]
-                both = ok[:-1] & ok[1:]
-                used = np.zeros(len(some), bool)
-                used[seq[:-1][both]] = used[seq[1:][both]] = True
-                at = np.flatnonzero(used) - 1
-                block = np.full(len(at), batch.column("block")[k].as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(at.astype(np.int32)), pa.array(left[at]), pa.array(right[at])], ["block", "at", "left", "right"])
+                ids, seq = batch.column("ids")[k].values.to_numpy(), _unpacked(batch, k)
+                base = len(ids) + 1
+                place, codes = _codes(seq, base)
+                pairs, number = np.unique(codes, return_inverse=True)
+                some = maybe(frequent.value, _pair_hash(ids[pairs // base - 1], ids[pairs % base - 1]))[number]
+                place, codes = place[some], codes[some]
+                next_ = np.flatnonzero(place[1:] == place[:-1] + 1)
+                pairs = np.unique(np.concatenate((codes[next_], codes[next_ + 1])))
+                block = np.full(len(pairs), batch.column("block")[k].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(pairs), pa.array(ids[pairs // base - 1]), pa.array(ids[pairs % base - 1])], ["block", "code", "left", "right"])
 
     return run
 
@@ -177,15 +202,14 @@ def mine_phrases(docs: DataFrame, text_column: str = "text", lang_column: str =
     none = F.array().cast("array<long>")
     names = stage(counted.filter(F.col("a") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", none.alias("heads"), none.alias("tails")), "names")
     known = blocks.select("block", "lang", F.posexplode("word").alias("at", "phrase")).join(names.select("lang", "phrase", "id"), ["lang", "phrase"])
+    blocks, known = blocks.select("block", "size", "seq"), known.select(F.col("block").alias("of"), (F.col("at") + 1).cast("long").alias("code"), "id")
 
-    found, asked = [], []
+    found = []
     for size in range(2, longest + 1):
-        known = known.select(F.col("block").alias("of"), (F.col("at") + 1).alias("at"), "id")
-        blocks = stage(blocks.select("block", "seq").groupBy("block").cogroup(known.groupBy("of")).applyInArrow(_paired, _PAIRS), "pairs")
-        pairs = blocks.select(F.inline(F.arrays_zip("left", "right", "n"))).groupBy("left", "right").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+        blocks = stage(blocks.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(_renamed(size > 2), _NAMED_DDL), "named")
+        counts = blocks.select("size", "seq", "ids").mapInArrow(lean(_count_pairs), "left long, right long, n long")
+        pairs = counts.groupBy("left", "right").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
         pairs = stage(pairs.withColumn("id", F.monotonically_increasing_id()), "frequent")
-        for sketch in asked:
-            sketch.destroy()
         left = names.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), F.concat("heads", F.array("a")).alias("heads"))
         right = names.select(F.col("id").alias("right"), "last", F.concat("tails", F.array("a")).alias("tails"))
         longer = pairs.join(left, "left").join(right, "right")
@@ -194,10 +218,9 @@ def mine_phrases(docs: DataFrame, text_column: str = "text", lang_column: str =
             found.append(_outlasting(names, longer, overlap))
         names = longer
         if size < longest:
-            sketch = build(pairs.select("left", "right").mapInArrow(_hashes, "h long"), filter_bits(pairs.count()), 1)
-            asked = [docs.sparkSession.sparkContext.broadcast(sketch)]
-            extending = blocks.select("block", "seq", "left", "right").mapInArrow(_extending(asked[0]), "block long, at int, left long, right long")
-            known = extending.join(pairs.select("left", "right", "id"), ["left", "right"])
+            sketch = docs.sparkSession.sparkContext.broadcast(build(pairs.select("left", "right").mapInArrow(_hashes, "h long"), filter_bits(pairs.count()), 1))
+            extending = blocks.mapInArrow(_extending(sketch), "block long, code long, left long, right long")
+            known = extending.join(pairs.select("left", "right", "id"), ["left", "right"]).select(F.col("block").alias("of"), "code", "id")
     found.append(names)
 
     phrases = found[0].select("lang", "phrase", "a", "heads", "tails")

@@ -277,15 +277,27 @@ class Types:
             raise ValueError(f"unknown type {name!r}")
         return self.types[name]
 
-    def keeps(self, path: Column) -> Column:
-        """Whether a file passes the selections: its name's last match wins; with a selection, a file that none matches doesn't pass."""
+    def globs(self) -> list[tuple[str, bool, bool]]:
+        """(regular expression of a name, whether it is taken in, false) of the selections' globs in their order."""
+        return [(glob_regex(f"**/{g}"), take, False) for take, kind in self.choices for g in self._globs(kind)]
+
+    def requires(self) -> bool:
+        """Whether a file that no selection matches doesn't pass."""
+        return any(take for take, _ in self.choices)
+
+    def says(self, path: Column) -> Column:
+        """What selections say of a file: its name's last match, null if none matches."""
         name = F.element_at(F.split(path, "/"), -1)
-        out = F.lit(not any(take for take, _ in self.choices))
+        out = F.lit(None).cast("boolean")
         for take, kind in self.choices:
             for g in self._globs(kind):
                 out = F.when(name.rlike(glob_regex(g)), F.lit(take)).otherwise(out)
         return out
 
+    def keeps(self, path: Column) -> Column:
+        """Whether a file passes the selections: its name's last match wins; with a selection, a file that none matches doesn't pass."""
+        return F.coalesce(self.says(path), F.lit(not self.requires()))
+
     def listing(self, spark: SparkSession) -> DataFrame:
         """(name, globs): the globs of each type, sorted and joined by a comma and a blank."""
         rows = spark.createDataFrame([(k, g) for k, v in self.types.items() for g in v] or [], "name string, glob string")

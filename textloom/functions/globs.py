@@ -107,29 +107,15 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
 
 
-def verdict(path: Column, globs: list[Glob], is_dir: Column) -> Column:
-    """"ignore", "whitelist" or null: what the last glob that matches the path says."""
-    out = F.lit(None).cast("string")
+def override(path: Column, globs: list[Glob], is_dir: Column) -> Column:
+    """What `-g` globs say of an entry: true takes it in, false (globs with `!`) leaves it out; the last match decides, null if none matches."""
+    out = F.lit(None).cast("boolean")
     for g in globs:
         hit = path.rlike(g.regex)
-        out = F.when(hit & is_dir if g.directories_only else hit, F.lit("whitelist" if g.whitelist else "ignore")).otherwise(out)
+        out = F.when(hit & is_dir if g.directories_only else hit, F.lit(not g.whitelist)).otherwise(out)
     return out
 
 
-def _is_named(glob: Glob):
-    return lambda path: path.rlike(glob.regex)
-
-
-def overridden(path: Column, globs: list[str], ignore_case: bool = False) -> Column:
-    """Whether files pass `-g` globs: plain ones are a list of what is taken, `!` ones of what isn't; the last match wins."""
-    if not globs:
-        return F.lit(True)
-    parsed = [parse_glob(g, ignore_case) for g in globs]
-    takes = any(not g.whitelist for g in parsed)
-    out = F.lit(not takes)
-    for g in parsed:
-        if g.whitelist:  # `!`: also what lies under a directory that it names
-            out = F.when(F.exists(ancestors(path), _is_named(g)), F.lit(False)).otherwise(out)
-        else:
-            out = F.when(path.rlike(g.regex), F.lit(not g.directories_only)).otherwise(out)
-    return out
+def choice(globs: list[str], iglobs: list[str] = ()) -> list[Glob]:
+    """The globs of a user's choice in their order, those that ignore case last."""
+    return [parse_glob(g) for g in globs] + [parse_glob(g, ignore_case=True) for g in iglobs]

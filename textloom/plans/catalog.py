@@ -197,9 +197,10 @@ def _files(name: str, condition: str, **options) -> None:
 
 _files("files_listing", _BARE)
 _files("hidden", "true", show_hidden=True)
-_files("glob_filter", _BARE + " AND (path LIKE '%.md' OR path LIKE '%/en/%.py') AND NOT path LIKE 'src1/%'", globs=["*.md", "**/en/*.py", "!/src1/"])
-_files("iglob_filter", _BARE + " AND path LIKE '%.LOG'", iglobs=["*.log"])
-_files("type_filter", _BARE + " AND (path LIKE '%.py' OR path LIKE '%.rs')", types=lambda _: Types().select("py").select("rust"))
+# what a glob or a type takes in is shown though hidden
+_files("glob_filter", "(path LIKE '%.md' OR path LIKE '%/en/%.py') AND NOT path LIKE 'src1/%'", globs=["*.md", "**/en/*.py", "!/src1/"])
+_files("iglob_filter", "path LIKE '%.LOG'", iglobs=["*.log"])
+_files("type_filter", "(path LIKE '%.py' OR path LIKE '%.rs')", types=lambda _: Types().select("py").select("rust"))
 _files("type_not", _BARE + " AND NOT path LIKE '%.md'", types=lambda _: Types().negate("markdown"))
 _Q["max_depth_mixed"] = lambda spark, sf: P.select_files(_mixed_depths(spark, sf), max_depth=2).select("doc_id", "path")
 _SQL["max_depth_mixed"] = f"WITH {_PATH_SQL}, q AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN string_split(path, '/')[3] WHEN 1 THEN regexp_replace(path, '^[^/]*/', '') ELSE path END AS path FROM p) SELECT doc_id, path FROM q WHERE {_BARE} AND doc_id % 3 < 2"

@@ -8,10 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.filetypes import Types
+from textloom.functions.globs import choice
 from textloom.functions.matching import Match
 from textloom.functions.scalars import pattern_lines
 from textloom.operators import lines as L
@@ -113,22 +115,25 @@ class Options:
         return out
 
 
-def files(spark: SparkSession, paths: list[str], options: Options = Options()) -> DataFrame:
-    """(root_idx, root, path, depth, explicit, size, mtime, atime, kind): the files that a search of the paths would open."""
-    every = S.list_files(spark, paths, options.follow, options.one_file_system, options.max_depth)
+def files(spark: SparkSession, paths: list[str], options: Options = Options(), listed: Accumulator | None = None) -> DataFrame:
+    """(root_idx, root, path, depth, explicit, size, mtime, atime, kind): the files that a search of the paths would open.
+
+    Globs go before ignore rules, these before types, and what one of them takes in is shown though hidden. Directories
+    that are left out aren't listed; `listed` counts those that are.
+    """
+    every = S.list_files(spark, paths, options.follow, options.one_file_system, options.max_depth, _pruning(options), listed)
     found = every.filter("kind = 'file'")
-    explicit, walked = found.filter("explicit"), found.filter("not explicit")
-    sources = _sources(options)
-    rules = repositories = None
-    if sources:
-        outer = S.outer_ignore_files(spark, paths, not options.no_ignore_parent and not options.no_ignore, options.ignore_files, options.global_ignore)
-        inside = S.repositories(every)
-        rules = P.rules_of(S.ignore_files(walked, inside).unionByName(outer.filter("source <> 'repository'")))
-        if not options.no_require_git:
-            repositories = inside.select("dir", "prefix").unionByName(outer.filter("source = 'repository'").select("dir", "prefix"))
-    walked = walked.withColumn("key", S.keyed(F.col("path")))
-    walked = P.select_files(walked, "path", options.hidden, list(options.globs), list(options.iglobs), options._types(), None, options.max_filesize, F.col("size"), rules, sources, "key", repositories).drop("key")
-    return walked.unionByName(explicit).select("root_idx", "root", "path", "depth", "explicit", "size", "mtime", "atime", "kind")
+    if options.max_filesize is not None:
+        found = found.filter(F.col("explicit") | (F.col("size") <= options.max_filesize))
+    return found.select("root_idx", "root", "path", "depth", "explicit", "size", "mtime", "atime", "kind")
+
+
+def _pruning(options: Options) -> S.Pruning:
+    types, own = options._types(), options.global_ignore
+    return S.Pruning(
+        _sources(options), not options.no_require_git, not options.no_ignore_parent and not options.no_ignore, tuple(t for t in map(S.content_of, options.ignore_files) if t is not None), S.content_of(own) if own else None,
+        tuple((g.regex, not g.whitelist, g.directories_only) for g in choice(list(options.globs), list(options.iglobs))), tuple(types.globs()) if types else (), bool(types and types.requires()), options.hidden,
+    )
 
 
 def _sources(options: Options) -> tuple[str, ...]:
@@ -146,7 +151,7 @@ def _sources(options: Options) -> tuple[str, ...]:
 
 def errors(spark: SparkSession, paths: list[str], options: Options = Options()) -> DataFrame:
     """(path, message) of what couldn't be listed."""
-    return S.list_files(spark, paths, options.follow, options.one_file_system, options.max_depth).filter("kind = 'error'").select("path", "message")
+    return S.list_files(spark, paths, options.follow, options.one_file_system, options.max_depth, _pruning(options)).filter("kind = 'error'").select("path", "message")
 
 
 def sorted_files(found: DataFrame, by: str = "path", descending: bool = False) -> DataFrame:

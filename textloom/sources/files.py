@@ -10,11 +10,17 @@ from __future__ import annotations
 import os
 import stat
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions.globs import GlobError, parse_ignore_line
+from textloom.functions.rules import REMEMBERED, SOURCES, Place, RuleSet, verdict
+from textloom.sources.staging import staging_path
+
 FILES = "root_idx int, root string, path string, depth int, explicit boolean, size bigint, mtime double, atime double, kind string, device bigint, message string"
 #: Bytes that are read of a file at a time; a NUL takes the whole of such a piece with it.
 CHUNK = 1 << 16
@@ -41,22 +47,109 @@ def _row(idx: int, root: str, full: str, follow: bool, device: int | None, expli
     return idx, root, shown, depth, explicit, st.st_size, st.st_mtime, st.st_atime, kind, st.st_dev, message
 
 
-def list_files(spark: SparkSession, roots: list[str], follow: bool = False, one_file_system: bool = False, max_depth: int | None = None, show_hidden: bool = True) -> DataFrame:
+@dataclass(frozen=True)
+class Pruning:
+    """What a walk leaves out, a directory with all that is in it before it is listed.
+
+    sources: of ignore rules that count; parents: also of directories above the roots; explicit and global_text: the
+    contents of given ignore files and of the user's own; globs, types: (regular expression, whether it takes in,
+    directories only), and whether entries that none matches stay out; hidden: whether hidden entries are shown.
+    """
+
+    sources: tuple[str, ...] = SOURCES
+    require_git: bool = True
+    parents: bool = True
+    explicit: tuple[str, ...] = ()
+    global_text: str | None = None
+    globs: tuple[tuple[str, bool, bool], ...] = ()
+    types: tuple[tuple[str, bool, bool], ...] = ()
+    requires_type: bool = False
+    hidden: bool = False
+
+
+class _Walk:
+    """A task's view of a walk: the rules of each directory are read once."""
+
+    def __init__(self, pruning: Pruning):
+        self.pruning = pruning
+        self.globs, self.types = RuleSet(pruning.globs), RuleSet(pruning.types)
+        self.requires_glob = any(take for _, take, _ in pruning.globs)
+        given = {"explicit": _rule_set("\n".join(pruning.explicit)), "global": _rule_set(pruning.global_text or "")}
+        self.given = {k: v for k, v in given.items() if v is not None}
+        self.places: dict[str, Place] = {}
+
+    def place(self, directory: str) -> Place:
+        if directory not in self.places:
+            if len(self.places) > REMEMBERED:
+                self.places.clear()
+            out = Place(directory.rstrip("/"), repository=any(os.path.lexists(os.path.join(directory, name)) for name in REPOSITORY))
+            texts = {source: content_of(os.path.join(directory, name)) for name, source in IGNORE_FILES.items()}
+            texts["exclude"] = exclude_of(directory) if out.repository else None
+            out.sets = {source: rules for source, text in texts.items() if text is not None and (rules := _rule_set(text)) is not None}
+            self.places[directory] = out
+        return self.places[directory]
+
+    def chosen(self, root: str, nodes: list[str], path: str, name: str, is_dir: bool) -> bool:
+        """Whether an entry is searched, or listed; nodes are the directories above it that matter, the outermost first."""
+        white = False
+        shown = os.path.relpath(path, root)
+        said = self.globs.match(shown, is_dir)
+        if said is None and self.requires_glob and not is_dir:
+            return False
+        if said is None:
+            places = [*(self.place(d) for d in reversed(nodes)), Place(root.rstrip("/"), sets=self.given)]
+            said = verdict(places, path, is_dir, self.pruning.sources, self.pruning.require_git)
+            white = said is True
+            if said is not False and not is_dir and self.pruning.types:
+                kind = self.types.match(shown, False)
+                said = kind if kind is not None else False if self.pruning.requires_type else said
+                white = white or kind is True
+        else:
+            white = said
+        return said is not False and (white or self.pruning.hidden or not name.startswith("."))
+
+
+def _rule_set(text: str) -> RuleSet | None:
+    """The rules of an ignore file, None if it has none or a line of it can't be read."""
+    try:
+        globs = [parse_ignore_line(line) for line in text.removeprefix("\ufeff").split("\n")]
+    except GlobError:
+        return None
+    return RuleSet((g.regex, g.whitelist, g.directories_only) for g in globs if g) if any(globs) else None
+
+
+def _nodes_above(root: str) -> list[str]:
+    """The directories above a root that have rules or are repositories, the outermost first."""
+    out, here = [], os.path.dirname(root)
+    while root != here:
+        if any(os.path.lexists(os.path.join(here, name)) for name in (*IGNORE_FILES, *REPOSITORY)):
+            out.append(here)
+        root, here = here, os.path.dirname(here)
+    return out[::-1]
+
+
+def list_files(spark: SparkSession, roots: list[str], follow: bool = False, one_file_system: bool = False, max_depth: int | None = None, pruning: Pruning | None = None, listed: Accumulator | None = None) -> DataFrame:
     """A row for each entry under the roots; a root that is a file is explicit, a missing one an error row.
 
     Roots that overlap list their files twice. Symbolic links are `other` unless followed; broken ones and loops are
-    errors. Hidden directories are left out early if hidden files aren't shown.
+    errors. With pruning, what is left out has no row, and a directory that is left out isn't listed; each directory's
+    row has the few directories above it whose rules its task reads. `listed` counts the directories that were listed.
     """
-    first = [(i, r, r) for i, r in enumerate(map(os.path.normpath, roots))]
+    first = [(i, r, r, _nodes_above(os.path.abspath(r)) if pruning and pruning.parents else []) for i, r in enumerate(map(os.path.normpath, roots))]
+    names = [c.split()[0] for c in FILES.split(", ")]
+    schema = FILES + ", nodes array<string>"
+
+    def table(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[*names, "nodes"]).astype({"size": "Int64", "device": "Int64"})
 
     def roots_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [_row(i, r, r, True, None, not os.path.isdir(r), frozenset()) for i, r in zip(b["root_idx"], b["root"], strict=True)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FILES.split(", ")]).astype({"size": "Int64", "device": "Int64"})
+            yield table([(*_row(i, r, r, True, None, not os.path.isdir(r), frozenset()), n) for i, r, n in zip(b["root_idx"], b["root"], b["nodes"], strict=True)])
 
     def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        walk = _Walk(pruning) if pruning else None
         for b in batches:
-            for i, root, path, device in zip(b["root_idx"], b["root"], b["path"], b["device"], strict=True):
+            for i, root, path, device, nodes in zip(b["root_idx"], b["root"], b["path"], b["device"], b["nodes"], strict=True):
                 here = os.path.join(root, path) if path else root
                 above = set()
                 at = here
@@ -64,27 +157,45 @@ def list_files(spark: SparkSession, roots: list[str], follow: bool = False, one_
                     st = os.stat(at)
                     above.add((st.st_dev, st.st_ino))
                     at = os.path.dirname(at)
+                nodes = list(nodes)
+                if listed is not None:
+                    listed.add(1)
                 try:
-                    names = sorted(os.listdir(here))
+                    with os.scandir(here) as found:
+                        entries = sorted(found, key=lambda e: e.name)
                 except OSError as e:
-                    rows = [(i, root, path, path.count("/") + 1, False, None, None, None, "error", device, f"{path}: {e.strerror}")]
+                    rows = [(i, root, path, path.count("/") + 1, False, None, None, None, "error", device, f"{path}: {e.strerror}", [])]
                 else:
-                    rows = [_row(i, root, os.path.join(here, n), follow, device, False, frozenset(above)) for n in names if show_hidden or not n.startswith(".")]
+                    if walk:
+                        top = os.path.abspath(root)
+                        full = os.path.join(top, path) if path else top
+                        if any(e.name in IGNORE_FILES or e.name in REPOSITORY for e in entries):
+                            nodes.append(full)
+                        entries = [e for e in entries if walk.chosen(top, nodes, os.path.join(full, e.name), e.name, _is_dir(e, follow))]
+                    rows = [(*_row(i, root, os.path.join(here, e.name), follow, device, False, frozenset(above)), nodes) for e in entries]
                     rows = [r for r in rows if not (one_file_system and r[8] == "dir" and r[9] != device)]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in FILES.split(", ")]).astype({"size": "Int64", "device": "Int64"})
+                yield table(rows)
 
-    from textloom.sources.staging import stage
+    path = staging_path(spark, "tree")
 
-    level = stage(spark.createDataFrame(first, "root_idx int, root string, path string").mapInPandas(roots_of, FILES), "tree")
-    every, depth = [level], 0
-    while (max_depth is None or depth < max_depth) and not (dirs := level.filter("kind = 'dir'")).isEmpty():
-        level = stage(dirs.repartition(spark.sparkContext.defaultParallelism, "root_idx", "path").mapInPandas(inside, FILES), "tree")
-        every.append(level)
+    def level(rows: DataFrame, depth: int) -> DataFrame:
+        rows.write.parquet(f"{path}/level={depth}")
+        return spark.read.schema(schema).parquet(f"{path}/level={depth}")
+
+    depth = 0
+    rows = level(spark.createDataFrame(first, "root_idx int, root string, path string, nodes array<string>").mapInPandas(roots_of, schema), 0)
+    while (max_depth is None or depth < max_depth) and not (dirs := rows.filter("kind = 'dir'")).isEmpty():
         depth += 1
-    out = every[0]
-    for more in every[1:]:
-        out = out.unionAll(more)
-    return out.filter("depth > 0 or kind <> 'dir'")
+        rows = level(dirs.repartition(spark.sparkContext.defaultParallelism, "root_idx", "path").mapInPandas(inside, schema), depth)
+    every = spark.read.schema(schema).option("basePath", path).parquet(*(f"{path}/level={k}" for k in range(depth + 1)))
+    return every.select(*names).filter("depth > 0 or kind <> 'dir'")
+
+
+def _is_dir(entry: os.DirEntry, follow: bool) -> bool:
+    try:
+        return entry.is_dir(follow_symlinks=follow)
+    except OSError:
+        return False
 
 
 def read_files(files: DataFrame, content: str = "content") -> DataFrame:
@@ -104,19 +215,7 @@ def read_files(files: DataFrame, content: str = "content") -> DataFrame:
     return files.filter("kind = 'file'").withColumn(content, read("root", "path", "explicit"))
 
 
-def keyed(path: Column) -> Column:
-    """The path with its root's number as its first directory, so that rules of one root don't meet paths of another."""
-    return F.concat(F.col("root_idx").cast("string"), F.when(path == "", "").otherwise(F.concat(F.lit("/"), path)))
-
-
-def repositories(every: DataFrame) -> DataFrame:
-    """(root_idx, root, path, dir, prefix) of the directories in the trees that hold a .git or .jj of any kind."""
-    marks = every.filter("not explicit").filter(F.element_at(F.split("path", "/"), -1).isin(*REPOSITORY))
-    where = F.regexp_replace("path", "/?[^/]*$", "")
-    return marks.select("root_idx", "root", where.alias("path")).distinct().select("*", keyed(F.col("path")).alias("dir"), F.lit("").alias("prefix"))
-
-
-def _content(path: str) -> str | None:
+def content_of(path: str) -> str | None:
     try:
         with open(path, encoding="utf-8", errors="replace") as f:
             return f.read()
@@ -128,50 +227,11 @@ def exclude_of(directory: str) -> str | None:
     """A repository's info/exclude; where .git is a file, as in a worktree, that of the directory that it names."""
     git = os.path.join(directory, ".git")
     if os.path.lexists(git) and not os.path.isdir(git):
-        text = (_content(git) or "").strip()
+        text = (content_of(git) or "").strip()
         if not text.startswith("gitdir:"):
             return None
         git = os.path.join(directory, text.removeprefix("gitdir:").strip())
-    return _content(os.path.join(git, "info", "exclude"))
-
-
-def ignore_files(files: DataFrame, repositories: DataFrame) -> DataFrame:
-    """(source, dir, prefix, content) of the ignore files in the trees and of repositories' exclude files, for rules_of()."""
-    name = F.element_at(F.split("path", "/"), -1)
-    named = files.filter(name.isin(*IGNORE_FILES)).withColumn("name", name)
-    source = F.try_element_at(F.create_map(*(F.lit(x) for kv in IGNORE_FILES.items() for x in kv)), F.col("name"))
-    inside = read_files(named).select(source.alias("source"), keyed(F.regexp_replace("path", "/?[^/]*$", "")).alias("dir"), F.lit("").alias("prefix"), F.col("content").cast("string").alias("content"))
-
-    @F.pandas_udf("string")
-    def exclude(roots: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series([exclude_of(os.path.join(r, p) if p else r) for r, p in zip(roots, paths, strict=True)], dtype=object)
-
-    excluded = repositories.select(F.lit("exclude").alias("source"), "dir", "prefix", exclude("root", "path").alias("content")).filter("content is not null")
-    return inside.unionByName(excluded)
-
-
-def outer_ignore_files(spark: SparkSession, roots: list[str], parents: bool = True, explicit: tuple[str, ...] = (), global_file: str | None = None) -> DataFrame:
-    """Such rows of the few ignore files that lie outside the trees: of directories above the roots, given ones, and the user's own.
-
-    Given files are one list in their order; those that can't be read are left out. Repositories above the roots are
-    rows of source "repository", without content.
-    """
-    rows = []
-    given = [t for t in map(_content, explicit) if t is not None]
-    for i, root in enumerate(map(os.path.abspath, roots)):
-        here, above = root, os.path.dirname(root)
-        while parents and above != here:
-            found = [(source, _content(os.path.join(above, name))) for name, source in IGNORE_FILES.items()]
-            if any(os.path.lexists(os.path.join(above, name)) for name in REPOSITORY):
-                rows.append(("repository", str(i), os.path.relpath(root, above) + "/", None))
-                found.append(("exclude", exclude_of(above)))
-            rows += [(source, str(i), os.path.relpath(root, above) + "/", text) for source, text in found if text is not None]
-            here, above = above, os.path.dirname(above)
-        if given:
-            rows.append(("explicit", str(i), "", "\n".join(given)))
-        if global_file and (text := _content(global_file)) is not None:
-            rows.append(("global", str(i), "", text))
-    return spark.createDataFrame(rows, "source string, dir string, prefix string, content string")
+    return content_of(os.path.join(git, "info", "exclude"))
 
 
 def without_bom(content: Column) -> Column:

@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write the rows as Parquet to the shared folder and read them back."""
-    path = f"{_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = staging_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staging_path(spark: SparkSession, label: str) -> str:
+    return f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def _folder(spark: SparkSession) -> str:
     """This application's part of ``spark.checkpoint.dir``; where that is unset, a folder of our own if Spark runs on this machine only."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

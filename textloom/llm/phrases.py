@@ -23,12 +23,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm._arrays import lean, mix
+from textloom.llm._arrays import distinct, lean, mix
 from textloom.llm._bloom import build, filter_bits, maybe
 from textloom.llm._staging import small, stage
 
 #: Words of a block, bytes of text worked on at a time, and words of all blocks begun (one a language) before they are written.
 BLOCK_WORDS, SLICE, OPEN_WORDS = 1 << 21, 1 << 20, 1 << 22
+#: Pairs of a block that are worked on, and sent, at a time.
+ROWS = 1 << 16
 #: Parts of a language whose best phrases are found apart before they meet.
 PARTS = 64
 #: Marks that end a piece, all read as ".", which then is in no word.
@@ -127,8 +129,12 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(batch.num_rows):
             ids = batch.column("ids")[k].values.to_numpy()
             base = len(ids) + 1
-            pairs, n = np.unique(_codes(_unpacked(batch, k), base)[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[pairs // base - 1]), pa.array(ids[pairs % base - 1]), pa.array(n)], ["left", "right", "n"])
+            codes = _codes(_unpacked(batch, k), base)[1]
+            codes.sort()
+            first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, np.int64)
+            for a in range(0, len(first), ROWS):
+                pairs, n = codes[first[a : a + ROWS]], np.diff(first[a : a + ROWS + 1], append=[len(codes)] if a + ROWS >= len(first) else [])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[pairs // base - 1]), pa.array(ids[pairs % base - 1]), pa.array(n.astype(np.int64))], ["left", "right", "n"])
 
 
 def _renamed(pairs: bool):
@@ -140,11 +146,12 @@ def _renamed(pairs: bool):
         seq = _unpacked(blocks)
         order = np.argsort(known.column("code").to_numpy())
         codes, ids = known.column("code").to_numpy()[order], known.column("id").to_numpy()[order]
-        place, own = _codes(seq, len(blocks.column("ids")[0].values) + 1) if pairs else (np.arange(len(seq)), seq)
-        at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
-        hit = codes[at] == own
+        base = len(blocks.column("ids")[0].values) + 1 if pairs else 1
         out = np.zeros(len(seq), np.int32)
-        out[place[hit]] = at[hit] + 1
+        for a in range(0, len(seq), ROWS):
+            place, own = _codes(seq[a : a + ROWS + 1], base) if pairs else (slice(None), seq[a : a + ROWS])
+            at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+            out[a : a + ROWS + pairs][place] = np.where(codes[at] == own, at + 1, 0)
         out = out[(out > 0) | np.concatenate(([False], out[:-1] > 0))]  # one 0 is as good as many
         return pa.Table.from_arrays([blocks.column("block"), *_packed(out), _lists(pa.array(ids))], schema=_NAMED)
 
@@ -172,13 +179,17 @@ def _extending(frequent: Broadcast):
                 ids, seq = batch.column("ids")[k].values.to_numpy(), _unpacked(batch, k)
                 base = len(ids) + 1
                 place, codes = _codes(seq, base)
-                pairs, number = np.unique(codes, return_inverse=True)
-                some = maybe(frequent.value, _pair_hash(ids[pairs // base - 1], ids[pairs % base - 1]))[number]
+                some = np.zeros(len(codes), bool)
+                for a in range(0, len(codes), ROWS):
+                    part = codes[a : a + ROWS]
+                    some[a : a + ROWS] = maybe(frequent.value, _pair_hash(ids[part // base - 1], ids[part % base - 1]))
                 place, codes = place[some], codes[some]
                 next_ = np.flatnonzero(place[1:] == place[:-1] + 1)
-                pairs = np.unique(np.concatenate((codes[next_], codes[next_ + 1])))
-                block = np.full(len(pairs), batch.column("block")[k].as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(pairs), pa.array(ids[pairs // base - 1]), pa.array(ids[pairs % base - 1])], ["block", "code", "left", "right"])
+                every = distinct(np.concatenate((codes[next_], codes[next_ + 1])))
+                for a in range(0, len(every), ROWS):
+                    pairs = every[a : a + ROWS]
+                    block = np.full(len(pairs), batch.column("block")[k].as_py(), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(pairs), pa.array(ids[pairs // base - 1]), pa.array(ids[pairs % base - 1])], ["block", "code", "left", "right"])
 
     return run
 

@@ -31,9 +31,9 @@ def test_query(spark, duck, name):
 
 @pytest.mark.parametrize("block", [4096, 2])
 def test_short_patterns(spark, duck, tmp_path, monkeypatch, block):
-    from textloom.plans import catalog
+    from textloom.operators import patterns
 
-    monkeypatch.setattr(catalog, "SHORT_PATTERNS", block)
+    monkeypatch.setattr(patterns, "INDEX_PATTERNS", block)
     items = ["Thing.\nmore", "foo ba", "one two three\nx", "42 %", "\nno first line", None, "  ", "é", "a.b.c"]
     texts = ["Something. Thing.", "foo bar", "so foo ba", "someone two threefold", "one twos three", "at 42 %", "no first line", "", None, "a  b", "café", "a.b c", "xa.b.cd"]
     spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

@@ -11,6 +11,7 @@ from textloom.functions.filetypes import Types
 from textloom.functions.matching import Match
 from textloom.operators import lines as L
 from textloom.operators import paths as P
+from textloom.operators import patterns as N
 from textloom.operators import sinks as S
 from textloom.operators import splits as X
 
@@ -141,34 +142,17 @@ _Q["null_records"] = lambda spark, sf: L.search_lines(_docs(spark, sf).withColum
 _SQL["null_records"] = "SELECT doc_id, line_no, line FROM (SELECT doc_id, unnest(string_split(text, '.')) AS line, CAST(generate_subscripts(string_split(text, '.'), 1) AS BIGINT) AS line_no FROM documents) WHERE regexp_matches(line, '(?m)^The')"
 
 
-#: Patterns of fewer than three words that are broadcast together, in expectation.
-SHORT_PATTERNS = 4096
+def _first_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The first lines of test items, as a table of patterns."""
+    return spark.read.parquet(f"{sf}/benchmark.parquet").select(F.substring_index("text", "\n", 1).alias("p")).filter("p <> ''")
 
 
-def _patterns(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that hold one of the test items' first lines, as a set of patterns.
-
-    A word inside a pattern has marks on both sides, so a text that holds the pattern holds it as a whole word: patterns
-    of three words or more are looked up by their second. The others, whose words may be parts of a text's words, are
-    tried on each text, in broadcast blocks of about SHORT_PATTERNS.
-    """
-    firsts = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.substring_index("text", "\n", 1).alias("p")).filter("p <> ''").distinct()
-    docs = _docs(spark, sf)
-    words = lambda c: F.split(F.regexp_replace(c, "[^\\p{L}]+", " "), " ")
-    found = F.filter(words(F.col("p")), lambda w: w != "")
-    long = firsts.filter(F.size(found) > 2).select("p", F.get(found, 1).alias("w"))
-    rare = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("w")).join(long.select("w").distinct(), "w", "left_semi")
-    hits = rare.join(long, "w").select("doc_id", "p").join(docs, "doc_id").filter(F.contains("text", F.col("p"))).select("doc_id")
-    short = firsts.filter(F.size(found) < 3)
-    blocks = -(-short.count() // SHORT_PATTERNS)
-    for k in range(blocks):
-        block = short.filter(F.pmod(F.xxhash64("p"), F.lit(blocks)) == k)
-        hits = hits.unionAll(docs.join(F.broadcast(block), F.contains("text", F.col("p")), "left_semi").select("doc_id"))
-    return hits.distinct()
-
-
-_Q["pattern_table_semi"] = _patterns
+_Q["pattern_table_semi"] = lambda spark, sf: N.texts_with_pattern(_docs(spark, sf), _first_lines(spark, sf)).select("doc_id")
 _SQL["pattern_table_semi"] = "SELECT DISTINCT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT string_split(text, chr(10))[1] AS p FROM benchmark) b WHERE p <> '' AND contains(d.text, p))"
+_Q["pattern_table_hits"] = lambda spark, sf: N.pattern_hits(_docs(spark, sf), _first_lines(spark, sf))
+_SQL["pattern_table_hits"] = "SELECT doc_id, p AS pattern FROM documents d JOIN (SELECT DISTINCT string_split(text, chr(10))[1] AS p FROM benchmark) b ON p <> '' AND contains(d.text, p)"
+_Q["pattern_table_lines"] = lambda spark, sf: N.lines_with_pattern(_docs(spark, sf), _first_lines(spark, sf).select(F.substring("p", 1, 12)))
+_SQL["pattern_table_lines"] = _with("SELECT doc_id, line_no, byte_offset, line FROM lines WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT left(string_split(text, chr(10))[1], 12) AS p FROM benchmark) b WHERE p <> '' AND contains(line, p))")
 
 
 def _paths(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions.rawbytes import has_standins, raw_length, restored
 from textloom.functions.regex import literal, plain_literal, translate
 
 _WORD = r"[\p{L}\p{Nd}_]"
@@ -136,14 +137,25 @@ _NO_SPANS = "array<struct<s:int,e:int,text:string>>"
 def spans(match: Match, line: Column) -> Column:
     """array<struct<s, e, text>>: the line's matches left to right, as half-open byte ranges.
 
-    Matches don't overlap; an empty match where the one before ends is left out. Inverted lines have none.
+    Matches don't overlap; an empty match where the one before ends is left out. Inverted lines have none. Of a line
+    with stand-ins for bytes that aren't UTF-8 the ranges and texts are those of the bytes.
     """
     if match.invert or not match.patterns:
         return F.array().cast(_NO_SPANS)
+    raw = F.encode(line, "UTF-8")
+    place = lambda at: raw_length(F.decode(F.substring(raw, F.lit(1), at), "UTF-8")).cast("int")
+    return F.transform(
+        F.array(_spans(match, line)),
+        lambda found: F.when(has_standins(line), F.transform(found, lambda m: F.struct(place(m["s"]).alias("s"), place(m["e"]).alias("e"), restored(m["text"]).alias("text")))).otherwise(found),
+    )[0]
+
+
+def _spans(match: Match, line: Column) -> Column:
+    """spans() in the line as it stands."""
     if match.never_empty():
         return _spans_between(match, line)
-    # empty matches leave nothing to cut at, so matches are marked, in a line without such marks
-    marked = F.regexp_replace(F.translate(line, _MARKS, _STANDINS), f"(?:{match.java()})", f"{_OPEN}$0{_CLOSE}")
+    # empty matches leave nothing to cut at, so matches are marked, in a line without such marks; none is inside a character of two units
+    marked = F.regexp_replace(F.translate(line, _MARKS, _STANDINS), rf"(?![\uDC00-\uDFFF])(?:{match.java()})", f"{_OPEN}$0{_CLOSE}")
     state = lambda at, out: F.struct(at.cast("int").alias("at"), out.alias("out"))
     size = len(_CLOSE.encode())
 
@@ -179,7 +191,7 @@ def count_of(match: Match, line: Column) -> Column:
     """The number of a line's matches; 0 for inverted lines."""
     if match.never_empty() and not match.invert:
         return F.regexp_count(line, F.lit(match.java()))
-    return F.size(spans(match, line))
+    return F.size(_spans(match, line)) if match.patterns and not match.invert else F.lit(0)
 
 
 def first_column(match: Match, line: Column) -> Column:
@@ -190,4 +202,4 @@ def first_column(match: Match, line: Column) -> Column:
         before = F.substring(line, F.lit(1), F.instr(line, match.literals()[0]) - 1)
     else:
         before = F.regexp_extract(line, rf"(?s)\A(.*?)(?-s:{match.java()})", 1)
-    return (F.octet_length(before) + 1).cast("int")
+    return (raw_length(before) + 1).cast("int")

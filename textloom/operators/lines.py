@@ -1,7 +1,8 @@
 """Lines of texts, and the lines that a search emits, without a shuffle: everything about a text happens in its row.
 
 Results have the table's columns but the text, and columns of their own. Names of these that the table has already get
-underscores appended.
+underscores appended. Bytes that aren't UTF-8 are characters of their own to a search (functions/rawbytes.py), and lines
+come back with the bytes they had.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.matching import Match, count_of, first_column, spans
+from textloom.functions.rawbytes import armoured, raw_length, restored
 
 
 def line_array(text: Column, null_data: bool = False) -> Column:
@@ -23,7 +25,7 @@ def byte_offset(text: Column, line_no: Column, null_data: bool = False) -> Colum
     """The offset in bytes of a line: computed where it is asked for, so only for the lines that are left."""
     end = "\0" if null_data else "\n"
     count = (line_no - 1).cast("int")
-    return F.when(count == 0, F.lit(0).cast("long")).otherwise(F.octet_length(F.call_function("substring_index", text, F.lit(end), count)).cast("long") + 1)
+    return F.when(count == 0, F.lit(0).cast("long")).otherwise(raw_length(F.call_function("substring_index", text, F.lit(end), count)).cast("long") + 1)
 
 
 def trimmed_end(line: Column, crlf: bool) -> Column:
@@ -44,7 +46,7 @@ def exploded(rows: DataFrame, kept: list[str], array: Column | str, at: str, nam
 def started(docs: DataFrame, text_column: str) -> DataFrame:
     """The text as tl_text, and the other columns under names that nothing here has."""
     keep = [c for c in docs.columns if c != text_column]
-    return docs.select(*(F.col(f"`{c}`").alias(f"tl_{i}") for i, c in enumerate(keep)), F.col(f"`{text_column}`").alias("tl_text"))
+    return docs.select(*(F.col(f"`{c}`").alias(f"tl_{i}") for i, c in enumerate(keep)), armoured(F.col(f"`{text_column}`")).alias("tl_text"))
 
 
 def own(rows: DataFrame) -> list[str]:
@@ -66,8 +68,11 @@ def finished(docs: DataFrame, text_column: str, rows: DataFrame, *columns: Colum
 
 def candidates(docs: DataFrame, match: Match, text_column: str, every: bool = False) -> DataFrame:
     """The started rows, without texts that surely have no matching line unless every one is asked for."""
-    rows = started(docs, text_column)
-    return rows if every or (whole := match.document(F.col("tl_text"))) is None else rows.filter(whole)
+    if every or match.document(F.lit("")) is None:
+        return started(docs, text_column)
+    if match.literals() is not None:  # bytes are compared, at the scan
+        return started(docs.filter(match.document(F.col(f"`{text_column}`"))), text_column)
+    return started(docs, text_column).filter(match.document(F.col("tl_text")))
 
 
 def number_lines(docs: DataFrame, text_column: str = "text", null_data: bool = False, offsets: bool = True) -> DataFrame:
@@ -75,7 +80,7 @@ def number_lines(docs: DataFrame, text_column: str = "text", null_data: bool = F
     rows = started(docs, text_column)
     rows = exploded(rows, [*own(rows), "tl_text"], line_array(F.col("tl_text"), null_data), "at", "line")
     number = (F.col("at") + 1).cast("long")
-    return finished(docs, text_column, rows, number.alias("line_no"), *[byte_offset(F.col("tl_text"), number, null_data).alias("byte_offset")] * offsets, F.col("line"))
+    return finished(docs, text_column, rows, number.alias("line_no"), *[byte_offset(F.col("tl_text"), number, null_data).alias("byte_offset")] * offsets, restored(F.col("line")).alias("line"))
 
 
 def _found(docs: DataFrame, match: Match, text_column: str) -> DataFrame:
@@ -91,7 +96,7 @@ def search_lines(docs: DataFrame, match: Match, text_column: str = "text", offse
     rows = _found(docs, match, text_column)
     at = byte_offset(F.col("tl_text"), F.col("line_no"), match.null_data).alias("byte_offset")
     first = first_column(match, trimmed_end(F.col("line"), match.crlf)).alias("column")
-    return finished(docs, text_column, rows, F.col("line_no"), *[at] * offsets, F.col("line"), *[first] * column)
+    return finished(docs, text_column, rows, F.col("line_no"), *[at] * offsets, restored(F.col("line")).alias("line"), *[first] * column)
 
 
 def _matched(lines: Column, match: Match, most: int | None) -> Column:
@@ -130,7 +135,7 @@ def search_events(docs: DataFrame, match: Match, text_column: str = "text", befo
     rows = with_events(candidates(docs, match, text_column, passthru), match, before, after, max_count, passthru)
     rows = exploded(rows, [*own(rows), "tl_text", "tl_lines"], "tl_events", "tl_at", "e")
     number = F.col("e.line_no")
-    return finished(docs, text_column, rows, number.alias("line_no"), byte_offset(F.col("tl_text"), number, match.null_data).alias("byte_offset"), F.get("tl_lines", number.cast("int") - 1).alias("line"), F.col("e.kind").alias("kind"), F.col("e.after").alias("after"), (number - F.col("tl_at") - 1).alias("group_id"))
+    return finished(docs, text_column, rows, number.alias("line_no"), byte_offset(F.col("tl_text"), number, match.null_data).alias("byte_offset"), restored(F.get("tl_lines", number.cast("int") - 1)).alias("line"), F.col("e.kind").alias("kind"), F.col("e.after").alias("after"), (number - F.col("tl_at") - 1).alias("group_id"))
 
 
 def with_events(rows: DataFrame, match: Match, before: int, after: int, max_count: int | None, passthru: bool) -> DataFrame:
@@ -158,11 +163,11 @@ def search_spans(docs: DataFrame, match: Match, text_column: str = "text", max_c
         rows = with_events(candidates(docs, match, text_column), match, 0, 0, max_count, False)
         rows = exploded(rows, [*own(rows), "tl_text", "tl_lines"], "tl_events.line_no", "at", "line_no").withColumn("line", F.get("tl_lines", F.col("line_no").cast("int") - 1))
     body = trimmed_end(F.col("line"), match.crlf)
-    found = spans(match, body) if not match.invert else F.array(F.struct(F.lit(0).alias("s"), F.octet_length(body).alias("e"), body.alias("text")))
+    found = spans(match, body) if not match.invert else F.array(F.struct(F.lit(0).alias("s"), raw_length(body).alias("e"), restored(body).alias("text")))
     rows = rows.select(*own(rows), "line_no", byte_offset(F.col("tl_text"), F.col("line_no"), match.null_data).alias("line_offset"), "line", found.alias("found"))
     rows = exploded(rows, [*own(rows), "line_no", "line_offset", "line"], "found", "at", "m")
     column = F.lit(None).cast("int") if match.invert else F.col("m.s") + 1
-    return finished(docs, text_column, rows, F.col("line_no"), (F.col("at") + 1).alias("occ"), F.col("m.s").alias("s"), F.col("m.e").alias("e"), F.col("m.text").alias("text"), column.alias("column"), (F.col("line_offset") + F.col("m.s")).alias("byte_offset"), F.col("line_offset"), F.col("line"))
+    return finished(docs, text_column, rows, F.col("line_no"), (F.col("at") + 1).alias("occ"), F.col("m.s").alias("s"), F.col("m.e").alias("e"), F.col("m.text").alias("text"), column.alias("column"), (F.col("line_offset") + F.col("m.s")).alias("byte_offset"), F.col("line_offset"), restored(F.col("line")).alias("line"))
 
 
 def nested_context(docs: DataFrame, match: Match, text_column: str = "text", before: int = 0, after: int = 0, max_count: int | None = None) -> DataFrame:
@@ -174,7 +179,7 @@ def nested_context(docs: DataFrame, match: Match, text_column: str = "text", bef
     keep = own(rows)
     rows = rows.select(*keep, "tl_text", line_array(F.col("tl_text"), match.null_data).alias("tl_lines"))
     rows = rows.select("*", _matched(F.col("tl_lines"), match, max_count).alias("tl_hits"))
-    strip = lambda x: F.regexp_replace(x, r"\r\z", "")
+    strip = lambda x: restored(F.regexp_replace(x, r"\r\z", ""))
 
     def around(hit: Column, k: Column) -> Column:
         last = F.when(k > 0, F.get("tl_hits", k - 1) + after).otherwise(0)
@@ -224,7 +229,7 @@ def texts_with_match(docs: DataFrame, match: Match, text_column: str = "text", w
 
 def run_stats(docs: DataFrame, match: Match, text_column: str = "text") -> DataFrame:
     """One row: matches, matched_lines, texts_with_match, texts_searched, bytes_searched. Inverted lines add no matches."""
-    lines, matches = _counts(match, F.col(f"`{text_column}`"))
+    lines, matches = _counts(match, armoured(F.col(f"`{text_column}`")))
     per = docs.select(lines.alias("n"), (F.lit(0).cast("long") if match.invert else matches).alias("m"), F.coalesce(F.octet_length(F.col(f"`{text_column}`")), F.lit(0)).cast("long").alias("b"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     return per.agg(zero(F.sum("m")).alias("matches"), zero(F.sum("n")).alias("matched_lines"), zero(F.sum((F.col("n") > 0).cast("long"))).alias("texts_with_match"), F.count("*").alias("texts_searched"), zero(F.sum("b")).alias("bytes_searched"))

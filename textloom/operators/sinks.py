@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.matching import Match, spans
+from textloom.functions.rawbytes import raw_length, restored
 from textloom.operators.lines import byte_offset, candidates, exploded, let, trimmed_end, with_events
 
 #: Bytes of a text of which a NUL makes all of it binary.
@@ -93,8 +94,8 @@ def _painted(text: Column, color: str, on: bool) -> Column:
 
 def _painted_matches(line: Column, found: Column) -> Column:
     """The line with its matches in colour."""
-    raw = F.encode(line, "UTF-8")
-    part = lambda lo, hi: F.decode(F.substring(raw, lo + 1, hi - lo), "UTF-8")
+    raw = line.cast("binary")
+    part = lambda lo, hi: F.substring(raw, lo + 1, hi - lo).cast("string")
     step = lambda acc, m: F.struct(m["e"].alias("at"), F.concat(acc["out"], part(acc["at"], m["s"]), F.when(m["e"] > m["s"], _painted(m["text"], MATCH, True)).otherwise("")).alias("out"))
     return F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], part(acc["at"], F.octet_length(line))))
 
@@ -119,7 +120,7 @@ def printed(docs: DataFrame, match: Match, path_column: str = "path", text_colum
         body = trimmed_end(line, match.crlf)
         hit = e["kind"] == "match"
         found = F.when(hit, spans(match, body)).otherwise(spans(Match(()), body)) if look and not match.invert else F.array().cast("array<struct<s:int,e:int,text:string>>")
-        return F.struct(e["line_no"].alias("line_no"), hit.alias("hit"), line.alias("line"), byte_offset(F.col("text"), e["line_no"], match.null_data).alias("at"), found.alias("found"))
+        return F.struct(e["line_no"].alias("line_no"), hit.alias("hit"), restored(line).alias("line"), byte_offset(F.col("text"), e["line_no"], match.null_data).alias("at"), found.alias("found"))
 
     def row_of(x: Column, m: Column | None) -> Column:
         """The row of a line, or of one of its matches."""
@@ -195,7 +196,7 @@ def json_text(text: Column) -> Column:
 
 def _data(text: Column) -> Column:
     """A JSON object of a text, or of its bytes in base64 if it isn't UTF-8."""
-    return F.when(F.is_valid_utf8(text), F.concat(F.lit('{"text":'), json_text(text), F.lit("}"))).otherwise(F.concat(F.lit('{"bytes":"'), F.base64(text.cast("binary")), F.lit('"}')))
+    return F.when(F.is_valid_utf8(text), F.concat(F.lit('{"text":'), json_text(text), F.lit("}"))).otherwise(F.concat(F.lit('{"bytes":"'), F.replace(F.base64(text.cast("binary")), F.lit("\r\n"), F.lit("")), F.lit('"}')))
 
 
 _ELAPSED = '{"secs":0,"nanos":0,"human":"0.000000s"}'
@@ -217,7 +218,7 @@ def json_events(docs: DataFrame, match: Match, path_column: str = "path", text_c
     def message(lines: Column, e: Column) -> Column:
         line = F.get(lines, e["line_no"].cast("int") - 1)
         at = byte_offset(F.col("text"), e["line_no"], match.null_data)
-        full = F.concat(line, F.when(at + F.octet_length(line) < F.octet_length("text"), end).otherwise(""))
+        full = F.concat(restored(line), F.when(at + raw_length(line) < raw_length(F.col("text")), end).otherwise(""))
         hit = e["kind"] == "match"
         none = F.array().cast("array<struct<s:int,e:int,text:string>>")
         found = F.when(hit != F.lit(match.invert), spans(lookup, trimmed_end(line, match.crlf))).otherwise(none)
@@ -229,7 +230,7 @@ def json_events(docs: DataFrame, match: Match, path_column: str = "path", text_c
         return F.struct(x["line_no"].alias("line_no"), F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("json"))
 
     total = lambda array, each: F.aggregate(array, F.lit(0).cast("long"), lambda n, x: n + each(x))
-    rows = rows.select("path", "nul", F.octet_length("text").cast("long").alias("size"), _data(F.col("path")).alias("shown"), let(F.struct("lines", "events"), lambda b: F.transform(b["events"], lambda e: message(b["lines"], e))).alias("found"))
+    rows = rows.select("path", "nul", raw_length(F.col("text")).cast("long").alias("size"), _data(F.col("path")).alias("shown"), let(F.struct("lines", "events"), lambda b: F.transform(b["events"], lambda e: message(b["lines"], e))).alias("found"))
     rows = rows.select("path", "nul", "size", "shown", total("found", lambda x: x["hit"].cast("long")).alias("lines"), total("found", lambda x: F.when(x["hit"], F.size(x["found"])).otherwise(0)).alias("matches"), F.transform("found", text_of).alias("json"))
     begin = F.concat(F.lit('{"type":"begin","data":{"path":'), F.col("shown"), F.lit("}}"))
     bytes_printed = F.octet_length(begin) + 1 + total("json", lambda x: F.octet_length(x["json"]) + 1)

@@ -8,8 +8,10 @@ phrase that is frequent has frequent parts, so nothing frequent is lost where a
 (left, right, id, n): left and right name the phrase without its last and without its first word, and by them each
 phrase finds the counts of the parts of its cuts, and the phrases that contain it.
 
-What shuffles are each block's distinct pairs to be counted, at most one row a block for a pair however common; of
-these again the frequent ones, which a Bloom filter of bounded size tells beforehand; and the blocks' numbers. Blocks have some 2^21 words; only a piece (words between marks), which may be longer, is never cut.
+What shuffles are each block's distinct pairs to be counted, at most one row a block for a pair however common; hashes
+of what two frequent pairs in a row make, to be counted as well; of the pairs again those that Bloom filters of bounded
+size say may be frequent and part of something longer that is; and the blocks' numbers. Filters and hashes only save
+rows: names are given, and phrases counted, by what the pairs are. Blocks have some 2^21 words; only a piece (words between marks), which may be longer, is never cut.
 """
 
 from __future__ import annotations
@@ -169,23 +171,47 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64))], ["h"])
 
 
-def _extending(frequent: Broadcast):
-    """Of each block, the pairs that may be frequent and that stand next to another such somewhere: (block, code, left, right)."""
+def _adjacent(rows: pa.RecordBatch, k: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, codes, codes of the next pairs, hashes of both) where two pairs that may be frequent stand one after the other."""
+    ids, seq = rows.column("ids")[k].values.to_numpy(), _unpacked(rows, k)
+    base = len(ids) + 1
+    place, codes = _codes(seq, base)
+    hashes, some = np.zeros(len(codes), np.uint64), np.zeros(len(codes), bool)
+    for a in range(0, len(codes), ROWS):
+        part = codes[a : a + ROWS]
+        hashes[a : a + ROWS] = h = _pair_hash(ids[part // base - 1], ids[part % base - 1])
+        some[a : a + ROWS] = maybe(frequent, h)
+    next_ = np.flatnonzero(some[1:] & some[:-1] & (place[1:] == place[:-1] + 1))
+    return ids, codes[next_], codes[next_ + 1], _pair_hash(hashes[next_], hashes[next_ + 1])
+
+
+def _count_longer(frequent: Broadcast):
+    """Of each block, the hashes of phrases of one word more whose two parts may be frequent: (h, n)."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                h, n = np.unique(_adjacent(batch, k, frequent.value)[3].astype(np.int64), return_counts=True)
+                for a in range(0, len(h), ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(h[a : a + ROWS]), pa.array(n[a : a + ROWS])], ["h", "n"])
+
+    return run
+
+
+def _extending(frequent: Broadcast, longer: Broadcast):
+    """Of each block, the pairs that may be part of a frequent phrase of one word more: (block, code, left, right)."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, seq = batch.column("ids")[k].values.to_numpy(), _unpacked(batch, k)
+                ids, first, second, hashes = _adjacent(batch, k, frequent.value)
                 base = len(ids) + 1
-                place, codes = _codes(seq, base)
-                some = np.zeros(len(codes), bool)
-                for a in range(0, len(codes), ROWS):
-                    part = codes[a : a + ROWS]
-                    some[a : a + ROWS] = maybe(frequent.value, _pair_hash(ids[part // base - 1], ids[part % base - 1]))
-                place, codes = place[some], codes[some]
-                next_ = np.flatnonzero(place[1:] == place[:-1] + 1)
-                every = distinct(np.concatenate((codes[next_], codes[next_ + 1])))
+                some = np.zeros(len(hashes), bool)
+                for a in range(0, len(hashes), ROWS):
+                    some[a : a + ROWS] = maybe(longer.value, hashes[a : a + ROWS])
+                every = distinct(np.concatenate((first[some], second[some])))
                 for a in range(0, len(every), ROWS):
                     pairs = every[a : a + ROWS]
                     block = np.full(len(pairs), batch.column("block")[k].as_py(), np.int64)
@@ -215,7 +241,7 @@ def mine_phrases(docs: DataFrame, text_column: str = "text", lang_column: str =
     known = blocks.select("block", "lang", F.posexplode("word").alias("at", "phrase")).join(names.select("lang", "phrase", "id"), ["lang", "phrase"])
     blocks, known = blocks.select("block", "size", "seq"), known.select(F.col("block").alias("of"), (F.col("at") + 1).cast("long").alias("code"), "id")
 
-    found = []
+    found, send = [], docs.sparkSession.sparkContext.broadcast
     for size in range(2, longest + 1):
         blocks = stage(blocks.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(_renamed(size > 2), _NAMED_DDL), "named")
         counts = blocks.select("size", "seq", "ids").mapInArrow(lean(_count_pairs), "left long, right long, n long")
@@ -229,8 +255,11 @@ def mine_phrases(docs: DataFrame, text_column: str = "text", lang_column: str =
             found.append(_outlasting(names, longer, overlap))
         names = longer
         if size < longest:
-            sketch = docs.sparkSession.sparkContext.broadcast(build(pairs.select("left", "right").mapInArrow(_hashes, "h long"), filter_bits(pairs.count()), 1))
-            extending = blocks.mapInArrow(_extending(sketch), "block long, code long, left long, right long")
+            sketch = send(build(pairs.select("left", "right").mapInArrow(_hashes, "h long"), filter_bits(pairs.count()), 1))
+            promising = blocks.select("size", "seq", "ids").mapInArrow(_count_longer(sketch), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+            promising = stage(promising.select("h"), "promising")
+            longer_sketch = send(build(promising, filter_bits(promising.count()), 1))
+            extending = blocks.mapInArrow(_extending(sketch, longer_sketch), "block long, code long, left long, right long")
             known = extending.join(pairs.select("left", "right", "id"), ["left", "right"]).select(F.col("block").alias("of"), "code", "id")
     found.append(names)
 

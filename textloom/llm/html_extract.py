@@ -212,7 +212,7 @@ def _by_host(classes: DataFrame, *columns: str) -> DataFrame:
 def _candidates(pages: DataFrame, total: int) -> DataFrame:
     """(host, pages, class, members, constant): equivalence classes of tokens that many of a host's pages have."""
     hosts = stage(pages.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= LEAST_PAGES), "hosts")
-    tokens = pages.select("host", F.monotonically_increasing_id().alias("page"), F.inline(F.arrays_zip("kinds", "times")))
+    tokens = pages.select("host", "page", F.inline(F.arrays_zip("kinds", "times")))
     vectors = tokens.groupBy("host", "kinds").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("page", "times")).alias("x"), F.bit_xor(F.xxhash64("times", F.lit(1), "page")).alias("y"))
     shared = stage(vectors.filter(F.col("n") >= LEAST_PAGES / SHARE), "vectors")
     many = join_groups(shared, hosts, "host", "pages", total).filter(F.col("n") * SHARE >= F.col("pages"))
@@ -233,7 +233,7 @@ def extract_main_text(pages: DataFrame, html_column: str = "html", url_column: s
     keep = pages.columns if keep is None else keep
     host = host_and_path(F.col(f"`{url_column}`"))[0]
     carried = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.struct(F.lit(None).cast("string").alias("none"))
-    rows = pages.select(carried.alias("row"), F.when(host != "", host).alias("host"), F.coalesce(F.col(f"`{html_column}`"), F.lit("")).alias("html"))
+    rows = pages.select(carried.alias("row"), F.when(host != "", host).alias("host"), F.monotonically_increasing_id().alias("page"), F.coalesce(F.col(f"`{html_column}`"), F.lit("")).alias("html"))
     schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL(_PAGE).fields])
     read = stage(rows.mapInArrow(lean(_read), schema), "pages")
     total = read.count()
@@ -254,6 +254,6 @@ def extract_main_text(pages: DataFrame, html_column: str = "html", url_column: s
     judged = stage(template.join(slots, "host").select("host", "pages", F.struct("classes", "slots", "drops").alias("template")), "judged")
 
     names = fresh(pages.select(*(f"`{c}`" for c in keep)), "text"), fresh(pages.select(*(f"`{c}`" for c in keep)), "n_chars")
-    met = join_groups(read.drop("kinds", "times"), judged, "host", "pages", total, FEW_HOSTS)
+    met = join_groups(read.drop("kinds", "times", "page"), judged, "host", "pages", total, FEW_HOSTS)
     out = met.mapInArrow(lean(_extract), StructType([read.schema["row"], StructField("text", StringType())]))
     return out.select(*([F.col(f"row.`{c}`") for c in keep]), F.col("text").alias(names[0]), F.length("text").cast("long").alias(names[1]))

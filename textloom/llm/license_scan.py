@@ -28,6 +28,7 @@ SENTENCES = {
     "mit-ref": "Released under the MIT License.",
     "mit-ref2": "Licensed under the MIT License.",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "mit0-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.",
     "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "mit-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
     "json-good": "The Software shall be used for Good, not Evil.",
@@ -95,6 +96,18 @@ SENTENCES = {
     "cc-by-nc-nd4-work": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
     "all-rights": "All rights reserved, no license is granted.",
 }
+#: Other wordings of known sentences, by identifier.
+VARIANTS = (
+    ("mit-notice", "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software."),
+    ("mit-notice", "The above copyright notice and this permission notice shall be included in all copies of the Software."),
+    ("mit-notice", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of this Software."),
+    ("mit-notice", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software and its documentation."),
+    ("mit-warranty", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NONINFRINGEMENT."),
+    ("bsd-names", "Neither the names of the copyright holders nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd-names", "Neither the name of the copyright holders nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+)
+#: Unknown sentences that may stand between two sentences of a rule at most, as lines of copyright or addresses do.
+MOST_SKIPPED = 8
 #: Rules in order, as (rule, license, sequence of sentences).
 RULES = (
     ("apache-2.0-asf-header", "Apache-2.0", ("apache2-asf", "apache2-notice", "apache2-asf-grant", "apache2-obtain", "apache2-warranty", "apache2-limits")),
@@ -113,7 +126,8 @@ RULES = (
     ("zlib-text", "Zlib", ("zlib-warranty", "zlib-liability", "zlib-grant")),
     ("ms-pl-text", "MS-PL", ("mspl-governs", "mspl-accept", "mspl-reject")),
     ("mit-text", "MIT", ("mit-grant", "mit-notice")),
-    ("mit-0-text", "MIT-0", ("mit-grant", "mit-warranty")),
+    ("mit-0-text", "MIT-0", ("mit0-grant", "mit-warranty")),
+    ("mit-terms", "MIT", ("mit-grant", "mit-warranty")),
     ("isc-text", "ISC", ("isc-grant", "isc-warranty")),
     ("0bsd-text", "0BSD", ("0bsd-grant", "isc-warranty")),
     ("gpl-3.0-header", "GPL-3.0-or-later", ("gpl-grant", "gpl-warranty")),
@@ -133,6 +147,7 @@ RULES = (
     ("lgpl-2.1-grant", "LGPL-2.1-or-later", ("lgpl21-grant",)),
     ("lgpl-3.0-grant", "LGPL-3.0-or-later", ("lgpl3-grant",)),
     ("mit-grant", "MIT", ("mit-grant",)),
+    ("mit-0-grant", "MIT-0", ("mit0-grant",)),
     ("isc-grant", "ISC", ("isc-grant",)),
     ("0bsd-grant", "0BSD", ("0bsd-grant",)),
     ("bsd-conditions", "BSD", ("bsd-redistribute",)),
@@ -200,22 +215,28 @@ def sentences_of(text: Column) -> Column:
     return F.split(F.regexp_replace(text, rf"\n[ \t]*({_STARTS})", _MARK + "$1"), _MARK)
 
 
-def _pieces() -> tuple[dict[str, str], dict[str, str]]:
-    """Identifiers of the normalised pieces that texts are cut into, and, by identifier, the runs of pieces that are sentences cut inside.
+def _pieces() -> tuple[dict[str, str], list[tuple[str, str]]]:
+    """Identifiers of the normalised pieces that texts are cut into, and (identifier, run of pieces) of the sentences that are cut inside.
 
     A sentence that isn't cut is a piece with its own identifier; pieces of others are numbered, as some share one.
     """
-    cut = {k: [normalised(p) for p in re.split(_END.replace("(", "(?:", 1), s)] for k, s in SENTENCES.items()}
-    known = {p[0]: f"<{k}>" for k, p in cut.items() if len(p) == 1}
-    for pieces in cut.values():
+    cut = [(k, [normalised(p) for p in re.split(_END.replace("(", "(?:", 1), s)]) for k, s in [*SENTENCES.items(), *VARIANTS]]
+    known = {p[0]: f"<{k}>" for k, p in cut if len(p) == 1}
+    for _, pieces in cut:
         for p in pieces if len(pieces) > 1 else ():
             known.setdefault(p, f"<{len(known)}>")
-    return known, {f"<{k}>": "".join(known[p] for p in pieces) for k, pieces in cut.items() if len(pieces) > 1}
+    return known, [(f"<{k}>", "".join(known[p] for p in pieces)) for k, pieces in cut if len(pieces) > 1]
+
+
+#: Pieces of no sentence are unknown; runs of too many unknown sentences are a bar, others nothing.
+_GAPS = ((r"<\d+>", "|"), (rf"\|{{{MOST_SKIPPED + 1},}}", "!"), (r"\|", ""))
 
 
 def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, rule, license, matches): a row for each document and rule that matches, matches being how often.
 
+    Between two sentences of a rule up to MOST_SKIPPED others may stand.
+
     Null and empty texts have none. Rows of one id, null included, are scanned and reported each for itself; other
     columns aren't carried; an empty table gives an empty result.
     """
@@ -225,10 +246,12 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     plain = F.transform(sentences_of(text), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
     # other sentences are bars, until pieces side by side have become their sentence
     ids = F.array_join(F.transform(plain, lambda s: F.when(s == "", "").otherwise(F.coalesce(F.try_element_at(known, s), F.lit("|")))), "")
-    for sentence, run in cut.items():
+    for sentence, run in cut:
         ids = F.replace(ids, F.lit(run), F.lit(sentence))
-    ids = F.regexp_replace(ids, r"\||<\d+>", "")
-    rows = docs.filter(text.rlike(TRIGGER)).select(id_, ids.alias("ids")).filter("ids <> ''")
+    # a few other sentences don't part a rule's, more do
+    for found, instead in _GAPS:
+        ids = F.regexp_replace(ids, found, instead)
+    rows = docs.filter(text.rlike(TRIGGER)).select(id_, ids.alias("ids")).filter(F.contains("ids", F.lit("<")))
 
     rules = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(lic).alias("license"), F.lit("".join(f"<{k}>" for k in seq)).alias("seq")) for r, lic, seq in RULES))
     found = "array<struct<rule:string,license:string,matches:bigint>>"
@@ -252,10 +275,12 @@ def oracle_sql() -> str:
     text = f"regexp_replace(regexp_replace({text}, '\\n[ \\t\\r]*\\n', chr(1), 'g'), {quote(rf'\n[ \t]*({_STARTS})')}, chr(1) || '\\1', 'g')"
     plain = "trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))"
     ids = f"array_to_string(list_transform(s, lambda x: CASE WHEN {plain} = '' THEN '' ELSE coalesce(map([{keys}], [{values}])[{plain}], '|') END), '')"
-    for sentence, run in cut.items():
+    for sentence, run in cut:
         ids = f"replace({ids}, '{run}', '{sentence}')"
+    for found, instead in _GAPS:
+        ids = f"regexp_replace({ids}, {quote(found)}, '{instead}', 'g')"
     sql = f"""WITH cut AS (SELECT doc_id, string_split({text}, chr(1)) AS s FROM documents WHERE regexp_matches(text, '{TRIGGER}')),
-    r0 AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, regexp_replace({ids}, '\\||<[0-9]+>', '', 'g') AS ids FROM cut)"""
+    r0 AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, {ids} AS ids FROM cut)"""
     for i, (_, _, seq) in enumerate(RULES):
         sql += f",\n    r{i + 1} AS MATERIALIZED (SELECT k, doc_id, replace(ids, {quote(''.join(f'<{k}>' for k in seq))}, '#') AS ids FROM r{i})"
     parts = [f"SELECT a.doc_id, {quote(r)} AS rule, {quote(lic)} AS license, CAST((length(a.ids) - length(b.ids)) / {len(''.join(f'<{k}>' for k in seq)) - 1} AS BIGINT) AS matches FROM r{i} a JOIN r{i + 1} b USING (k) WHERE a.ids <> b.ids" for i, (r, lic, seq) in enumerate(RULES)]

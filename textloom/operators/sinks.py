@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from textloom.functions.matching import Match, spans
@@ -100,20 +100,26 @@ def _painted_matches(line: Column, found: Column) -> Column:
     return F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], part(acc["at"], F.octet_length(line))))
 
 
-def printed(docs: DataFrame, match: Match, path_column: str = "path", text_column: str = "text", how: Printing = Printing(), binary_offset: str | None = None, convert: Column | None = None) -> DataFrame:
+def printed(docs: DataFrame, match: Match, path_column: str = "path", text_column: str = "text", how: Printing = Printing(), binary_offset: str | None = None, convert: Column | None = None, observe: dict[str, Observation] | None = None) -> DataFrame:
     """(path, seq, kind, row): the rows that a search prints of each text, in order of seq, built in the text's own row.
 
     kind is match, context, gap, heading, notice or between: the row that parts this text's rows from those of a text
     before it, left out before the first. Vimgrep and only_matching give a row for each match, only_matching the whole
     of an inverted line. binary_offset is a column with the place of a text's first NUL; where `convert` is true such a
     text gives a notice that it matches instead of its lines from the NUL on, or instead of all if it is within the
-    first CHUNK bytes; elsewhere its lines are followed by a warning. Null and empty texts print nothing.
+    first CHUNK bytes; elsewhere its lines are followed by a warning. Null and empty texts print nothing. `observe` has
+    observations that the rows' own job fills: "searched" (texts, bytes), "found" (texts, lines, matches) and "printed"
+    (bytes, parting_bytes, parting_rows).
     """
     offset = F.col(f"`{binary_offset}`").cast("long") if binary_offset else F.lit(None).cast("long")
     docs = docs.select(F.col(f"`{path_column}`").cast("string").alias("path"), offset.alias("nul"), (F.lit(False) if convert is None else convert).alias("convert"), F.col(f"`{text_column}`").alias("text"))
+    size = F.coalesce(F.octet_length("text").cast("long"), F.lit(0))
+    searched = F.when(F.col("convert"), size).otherwise(F.least(size, F.coalesce("nul", size)))
+    if observe:
+        docs = docs.observe(observe["searched"], F.count("*").alias("texts"), F.coalesce(F.sum(searched), F.lit(0)).alias("bytes"))
     rows = with_events(candidates(docs, match, "text", how.passthru), match, how.before, how.after, how.max_count, how.passthru).toDF("path", "nul", "convert", "text", "lines", "events")
     each_match = how.only_matching or how.vimgrep
-    look = each_match or how.column or how.color or (how.max_columns is not None and how.preview)
+    look = each_match or how.column or how.color or (how.max_columns is not None and how.preview) or observe is not None
 
     def line_of(lines: Column, e: Column) -> Column:
         line = F.get(lines, e["line_no"].cast("int") - 1)
@@ -166,6 +172,10 @@ def printed(docs: DataFrame, match: Match, path_column: str = "path", text_colum
     held = F.filter("found", lambda x: F.coalesce(~F.col("convert") | (~early & (x["at"] + F.octet_length(x["line"]) + 1 <= F.col("nul"))), F.lit(True)))
     matched = F.exists("found", lambda x: x["hit"])
     rows = rows.select("path", "nul", "convert", matched.alias("matched"), held.alias("found"))
+    if observe:
+        hits = F.filter("found", lambda x: x["hit"])
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+        rows = rows.observe(observe["found"], F.count_if("matched").alias("texts"), total(F.size(hits)).alias("lines"), total(F.aggregate(hits, F.lit(0), lambda n, x: n + F.size(x["found"]))).alias("matches"))
     prefix = F.concat("path", F.lit(": ")) if how.with_path else F.lit("")
     what = F.when(F.col("convert"), "binary file matches").otherwise("WARNING: stopped searching binary file after match")
     notice = F.concat(prefix, what, F.lit(' (found "\\0" byte around offset '), F.col("nul").cast("string"), F.lit(")"))
@@ -173,7 +183,11 @@ def printed(docs: DataFrame, match: Match, path_column: str = "path", text_colum
     heading = F.when(F.size("found") > 0, one("heading", F.concat(_painted(F.col("path"), PATH, how.color), F.lit("\0" if how.null else "")))).otherwise(none) if how.heading and how.with_path else none
     every = F.concat(between, heading, let(F.col("found"), lambda found: F.flatten(F.transform(found, lambda x, i: block(found, i, x)))), F.when(F.col("nul").isNotNull() & F.col("matched"), one("notice", notice)).otherwise(none))
     rows = rows.select("path", let(every, lambda r: F.when(F.exists(r, lambda x: x["kind"] != "between"), r)).alias("rows"))
-    return exploded(rows, ["path"], "rows", "seq", "r").select("path", F.col("seq").cast("long").alias("seq"), "r.kind", "r.row")
+    rows = exploded(rows, ["path"], "rows", "seq", "r").select("path", F.col("seq").cast("long").alias("seq"), "r.kind", "r.row")
+    if observe:
+        long, parts = raw_length(F.col("row")).cast("long") + 1, F.col("kind") == "between"
+        rows = rows.observe(observe["printed"], F.coalesce(F.sum(F.when(~parts, long)), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.when(parts, long)), F.lit(0)).alias("parting_bytes"), F.count_if(parts).alias("parting_rows"))
+    return rows
 
 
 def shows_path(paths: list[str], with_filename: bool | None = None, vimgrep: bool = False) -> bool:

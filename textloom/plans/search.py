@@ -5,11 +5,14 @@ Each takes either paths, which are listed and read, or any table with a key and
 
 from __future__ import annotations
 
+import os
+import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark import Accumulator
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.filetypes import Types
@@ -28,6 +31,8 @@ class Unsupported(ValueError):
     """An option that this library doesn't have, on purpose."""
 
 
+#: The user's own ignore file is found as git finds it.
+LOOK_UP = "git"
 #: Files from this size on are read in ranges, by as many tasks, where what is asked for allows it.
 LARGE_BYTES = 1 << 26
 #: Options that are refused with a message instead of being ignored.
@@ -39,7 +44,8 @@ class Options:
     """How to search. Case: smart beats ignore; line beats word. A max_count of None is no limit.
 
     unrestricted is how often `-u` is given: 1 leaves out ignore files, 2 shows hidden files too, 3 converts binary ones.
-    pattern_files add a pattern for each of their lines. Options of REFUSED raise Unsupported when they are given.
+    global_ignore is the user's own ignore file: a path, None for none, or by default the one that git's configuration
+    names. pattern_files add a pattern for each of their lines. Options of REFUSED raise Unsupported when they are given.
     """
 
     fixed_strings: bool = False
@@ -65,7 +71,7 @@ class Options:
     no_require_git: bool = False
     unrestricted: int = 0
     ignore_files: tuple[str, ...] = ()
-    global_ignore: str | None = None
+    global_ignore: str | None = LOOK_UP
     globs: tuple[str, ...] = ()
     iglobs: tuple[str, ...] = ()
     types: tuple[str, ...] = ()
@@ -129,7 +135,8 @@ def files(spark: SparkSession, paths: list[str], options: Options = Options(), l
 
 
 def _pruning(options: Options) -> S.Pruning:
-    types, own = options._types(), options.global_ignore
+    types = options._types()
+    own = S.global_ignore_path(os.environ) if options.global_ignore == LOOK_UP else options.global_ignore
     return S.Pruning(
         _sources(options), not options.no_require_git, not options.no_ignore_parent and not options.no_ignore, tuple(t for t in map(S.content_of, options.ignore_files) if t is not None), S.content_of(own) if own else None,
         tuple((g.regex, not g.whitelist, g.directories_only) for g in choice(list(options.globs), list(options.iglobs))), tuple(types.globs()) if types else (), bool(types and types.requires()), options.hidden,
@@ -199,6 +206,44 @@ def printed(source, pattern, options: Options = Options(), how: K.Printing | Non
     return K.printed(_texts(source, options, binary=True), options.match(pattern), how=how, binary_offset="nul", convert=F.col("convert"))
 
 
+@dataclass(frozen=True)
+class Figures:
+    """What a run searched and printed. seconds is the time from when it began to be asked for rows until it ended."""
+
+    matches: int
+    matched_lines: int
+    texts_with_match: int
+    texts_searched: int
+    bytes_printed: int
+    bytes_searched: int
+    seconds: float
+
+    def lines(self) -> list[str]:
+        """The figures as a summary's lines; all of the time is spent searching."""
+        names = ("matches", "matched lines", "files contained matches", "files searched", "bytes printed", "bytes searched")
+        counts = (self.matches, self.matched_lines, self.texts_with_match, self.texts_searched, self.bytes_printed, self.bytes_searched)
+        return ["", *(f"{n} {name}" for n, name in zip(counts, names, strict=True)), f"{self.seconds:.6f} seconds spent searching", f"{self.seconds:.6f} seconds total"]
+
+
+def printed_with_figures(source, pattern, act: Callable[[DataFrame], object], options: Options = Options(), how: K.Printing | None = None) -> tuple[object, Figures]:
+    """What `act` (one action, such as a write) makes of the rows of printed(), and the run's figures.
+
+    The figures are observed by the job that gives the rows, so nothing is searched twice.
+    """
+    how = how or K.Printing(with_path=isinstance(source, DataFrame) or K.shows_path(source[1]))
+    how = replace(how, before=options.before_context, after=options.after_context, max_count=options.max_count, passthru=options.passthru)
+    seen = {name: Observation() for name in ("searched", "found", "printed")}
+    began = time.monotonic()
+    if isinstance(source, DataFrame):
+        rows = K.printed(source, options.match(pattern), how=how, observe=seen)
+    else:
+        rows = K.printed(_texts(source, options, binary=True), options.match(pattern), how=how, binary_offset="nul", convert=F.col("convert"), observe=seen)
+    out = act(rows)
+    searched, found, wrote = (seen[n].get for n in ("searched", "found", "printed"))
+    parting = wrote["parting_bytes"] - (wrote["parting_bytes"] // wrote["parting_rows"] if wrote["parting_rows"] else 0)  # not before the first
+    return out, Figures(found["matches"], found["lines"], found["texts"], searched["texts"], wrote["bytes"] + parting, searched["bytes"], time.monotonic() - began)
+
+
 def json_messages(source, pattern, options: Options = Options()) -> DataFrame:
     """(path, line_no, json): a search's messages; the run's summary is sinks.json_summary of them."""
     nul = None if isinstance(source, DataFrame) else "nul"
@@ -235,8 +280,31 @@ def count_matches(source, pattern, options: Options = Options(), include_zero: b
     return out.unionByName(counts.select(*out.columns))
 
 
-def search_stream(source, pattern, on_match: Callable[[object], bool], options: Options = Options()) -> None:
-    """Calls on_match with each row of search() until it returns False."""
-    for row in search(source, pattern, options).toLocalIterator():
-        if on_match(row) is False:
-            return
+def search_stream(source, pattern, on_match: Callable[[object], bool], options: Options = Options()) -> bool:
+    """Calls on_match with each row of search() until it returns False; whether it never did.
+
+    A partition is searched while the rows of the one before are handed out. When on_match says False or raises, what
+    still runs is cancelled, and the partitions after it aren't begun.
+    """
+    spark = (source if isinstance(source, DataFrame) else source[0].range(0)).sparkSession
+    context, group = spark.sparkContext, f"textloom-{uuid.uuid4().hex}"
+    rows = search(source, pattern, options)
+    outer = {k: context.getLocalProperty(k) for k in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")}
+    context.setJobGroup(group, "search until told to stop", interruptOnCancel=True)
+    whole = False
+    try:
+        for row in rows.toLocalIterator(prefetchPartitions=True):
+            if on_match(row) is False:
+                return False
+        whole = True
+        return True
+    finally:
+        for k, v in outer.items():
+            context.setLocalProperty(k, v)
+        if not whole:
+            context.cancelJobGroup(group)
+
+
+def any_match(source, pattern, options: Options = Options()) -> bool:
+    """Whether any text has a matching line: partitions are searched in growing shares until one is found."""
+    return not L.texts_with_match(_texts(source, options), options.match(pattern), "text").isEmpty()

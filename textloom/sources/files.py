@@ -8,8 +8,9 @@ out names that start with `_` or `.`.
 from __future__ import annotations
 
 import os
+import re
 import stat
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import pandas as pd
@@ -223,6 +224,21 @@ def content_of(path: str) -> str | None:
         return None
 
 
+#: An assignment of the user's own ignore file in a git configuration, in any section; the first in a file counts.
+_EXCLUDES_FILE = re.compile(r'^\s*excludesfile\s*=\s*"?\s*(\S+?)\s*"?\s*$', re.I | re.M)
+
+
+def global_ignore_path(environment: Mapping[str, str]) -> str | None:
+    """The user's own ignore file, by HOME and XDG_CONFIG_HOME: what ~/.gitconfig names, else what git/config in the
+    configuration folder does, else git/ignore there. A tilde is the home folder, wherever it stands."""
+    home, folder = environment.get("HOME", ""), environment.get("XDG_CONFIG_HOME", "")
+    folder = folder or (os.path.join(home, ".config") if home else "")
+    for config in [os.path.join(home, ".gitconfig")] * bool(home) + [os.path.join(folder, "git", "config")] * bool(folder):
+        if named := _EXCLUDES_FILE.search(content_of(config) or ""):
+            return named[1].replace("~", home) if home else named[1]
+    return os.path.join(folder, "git", "ignore") if folder else None
+
+
 def exclude_of(directory: str) -> str | None:
     """A repository's info/exclude; where .git is a file, as in a worktree, that of the directory that it names."""
     git = os.path.join(directory, ".git")

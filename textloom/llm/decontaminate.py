@@ -3,7 +3,8 @@
 Words are runs of letters and digits, lower-cased. A seed hashes some words of a short window and ignores the
 others, by a fixed mask, so a substituted word that falls on an ignored place changes nothing. Seeds at all places
 of the documents join those of the test items. Around each hit the windows of WINDOW words that hold the seed are
-compared word by word, aligned with the item; an item contaminates a document when a window of both agrees in at
+compared word by word, aligned with the item. Places of a document that have the same words around them are compared
+once, as are those of an item, so words repeated many times are little work; an item contaminates a document when a window of both agrees in at
 least MATCHED words.
 
 Any window of 13 words with up to 2 substitutions holds one of the masks on unchanged words, whichever words were
@@ -61,34 +62,48 @@ def _items(benchmark: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return rows.filter(F.size("w") > 0).withColumn("step", step).withColumn("count", F.when(short, F.floor(F.size("w") / (spare + 1)).cast("int")).otherwise(0))
 
 
+#: Words on both sides of a place that windows around it may hold.
+REACH = WINDOW - 1
+
+
+def _around(place: str) -> Column:
+    """The words within REACH of a place of the word hashes w, null beyond the text's ends; the place itself is entry REACH."""
+    return F.transform(F.sequence(F.lit(-REACH), F.lit(REACH)), lambda r: F.get("w", F.col(place) + r))
+
+
 def _item_seeds(items: DataFrame, mask: tuple[int, ...], step: int, count: int) -> DataFrame:
-    """(seed, hits): hits are the items, and places in them, that have the seed."""
+    """(seed, hits): hits are the items that have the seed, the words around it, and in how many places it has these.
+
+    Of short items hits have the place too, and the whole item as words. Words repeated many times have few surroundings.
+    """
     rows = _placed(items.filter((F.col("step") == step) & (F.col("count") == count)), "item")
     if step:
         rows = rows.filter(F.col("i") < step)
-    return rows.select(_seed(mask).alias("seed"), "item", F.col("i").alias("j")).filter("seed is not null").groupBy("seed").agg(F.collect_list(F.struct("item", "j")).alias("hits"))
+    rows = rows.select(_seed(mask).alias("seed"), "item", (F.col("i") if step else F.lit(0)).alias("j"), (F.col("w") if step else _around("i")).alias("iw")).filter("seed is not null")
+    return rows.groupBy("seed", "item", "j", "iw").agg(F.count("*").alias("m")).groupBy("seed").agg(F.collect_list(F.struct("item", "j", "iw", "m")).alias("hits"))
 
 
 def _windows(span: int) -> tuple[Column, Column]:
     """Which words agree around a hit, and the most that do in a window that holds it and lies in both texts."""
     back = WINDOW - span
-    same = F.transform(F.sequence(F.lit(-back), F.lit(WINDOW - 1)), lambda r: F.coalesce(F.get("w", F.col("i") + r) == F.get("iw", F.col("j") + r), F.lit(False)).cast("int"))
+    same = F.transform(F.sequence(F.lit(REACH - back), F.lit(2 * REACH)), lambda p: F.coalesce(F.get("w", p) == F.get("iw", p), F.lit(False)).cast("int"))
     best = [F.lit(0)]
     for a in range(back + 1):
-        inside = (F.col("j") >= a) & (F.col("i") >= a) & (F.col("j") - a + WINDOW <= F.size("iw")) & (F.col("i") - a + WINDOW <= F.size("w"))
-        best.append(F.when(inside, F.aggregate(F.slice("same", back - a + 1, WINDOW), F.lit(0), lambda x, y: x + y)).otherwise(0))
+        ends = [F.get(c, F.lit(p)).isNotNull() for c in ("w", "iw") for p in (REACH - a, REACH - a + WINDOW - 1)]
+        best.append(F.when(reduce(Column.__and__, ends), F.aggregate(F.slice("same", back - a + 1, WINDOW), F.lit(0), lambda x, y: x + y)).otherwise(0))
     return same, F.greatest(*best)
 
 
 def _whole() -> tuple[Column, Column]:
     """Which words agree when a short item is laid over the document at the hit, and how many; 0 where it doesn't fit."""
-    same = F.transform(F.sequence(F.lit(0), F.size("iw") - 1), lambda r: F.coalesce(F.get("w", F.col("i") - F.col("j") + r) == F.get("iw", r), F.lit(False)).cast("int"))
-    fits = (F.col("i") >= F.col("j")) & (F.col("i") - F.col("j") + F.size("iw") <= F.size("w"))
+    first = REACH - F.col("j")
+    same = F.transform(F.sequence(F.lit(0), F.size("iw") - 1), lambda r: F.coalesce(F.get("w", first + r) == F.get("iw", r), F.lit(False)).cast("int"))
+    fits = F.get("w", first).isNotNull() & F.get("w", first + F.size("iw") - 1).isNotNull()
     return same, F.when(fits, F.aggregate("same", F.lit(0), lambda x, y: x + y)).otherwise(0)
 
 
 def _of_family(k: int):
-    return lambda hit: F.struct(F.lit(k).alias("k"), hit["item"].alias("item"), hit["j"].alias("j"))
+    return lambda hit: F.struct(F.lit(k).alias("k"), hit["item"].alias("item"), hit["j"].alias("j"), hit["iw"].alias("iw"), hit["m"].alias("m"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_id_column: str = "item_id", item_text_column: str = "text", row_key: bool = False) -> DataFrame:
@@ -110,21 +125,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
 
     def part_of(part: int) -> DataFrame:
         own = items.filter(F.pmod("item", F.lit(parts)) == part)
-        rows = _placed(docs, "id", "row_key")
-        for k, (mask, step, count) in enumerate(families):
-            seeds = _item_seeds(own, mask, step, count).toDF(f"seed{k}", f"hits{k}")
-            rows = rows.withColumn(f"seed{k}", _seed(mask)).join(F.broadcast(seeds), f"seed{k}", "left")
-        rows = rows.filter(reduce(Column.__or__, (F.col(f"hits{k}").isNotNull() for k in range(len(families)))))
-        nothing = F.array().cast("array<struct<k:int,item:bigint,j:int>>")
+        # places that have a seed of an item, those of one document with the same words around them as one
+        rows, some = _placed(docs, "id", "row_key"), []
+        tables = [_item_seeds(own, *family).toDF(f"seed{k}", f"hits{k}") for k, family in enumerate(families)]
+        for k, (mask, *_) in enumerate(families):
+            rows = rows.withColumn(f"seed{k}", _seed(mask)).join(F.broadcast(tables[k].select(f"seed{k}", F.lit(True).alias(f"has{k}"))), f"seed{k}", "left")
+            some.append(F.col(f"has{k}"))
+        rows = rows.filter(F.coalesce(*some)).select("id", "row_key", *(F.when(h, F.col(f"seed{k}")).alias(f"seed{k}") for k, h in enumerate(some)), "i", _around("i").alias("around"))
+        rows = rows.groupBy("id", "row_key", *(f"seed{k}" for k in range(len(families))), "around").agg(F.count("*").alias("n"), F.min("i").alias("i"))
+        for k in range(len(families)):
+            rows = rows.join(F.broadcast(tables[k]), f"seed{k}", "left")
+        nothing = F.array().cast("array<struct<k:int,item:bigint,j:int,iw:array<bigint>,m:bigint>>")
         every = F.concat(*(F.coalesce(F.transform(F.col(f"hits{k}"), _of_family(k)), nothing) for k in range(len(families))))
-        hits = rows.select("id", "row_key", "w", "i", F.explode(every).alias("hit")).select("id", "row_key", "w", "i", "hit.k", "hit.item", "hit.j")
-        hits = hits.join(F.broadcast(own.select("item", "item_id", F.col("w").alias("iw"))), "item")
+        hits = rows.select("id", "row_key", F.col("around").alias("w"), "i", "n", F.explode(every).alias("hit")).select("id", "row_key", "w", "i", "n", "hit.*")
+        hits = hits.join(F.broadcast(own.select("item", "item_id", F.size("w").alias("words"))), "item")
         hits = hits.withColumn("same", of([s for s, _ in scored])).withColumn("matched", of([m for _, m in scored]))
-        return hits.filter(F.col("matched") >= F.when(F.size("iw") >= WINDOW, MATCHED).otherwise(F.ceil(F.size("iw") * 0.8))).select("id", "row_key", "item_id", "matched", "i")
+        enough = F.when(F.col("words") >= WINDOW, MATCHED).otherwise(F.ceil(F.col("words") * 0.8))
+        return hits.filter(F.col("matched") >= enough).select("id", "row_key", "item_id", "matched", "i", (F.col("n") * F.col("m")).alias("n"))
 
     keys = [F.col("id").alias(id_column), *[F.col("row_key")] * row_key, F.col("item_id")]
     hits = reduce(DataFrame.unionByName, map(part_of, range(parts)))
-    return hits.groupBy(*keys).agg(F.max("matched").alias("matched_words"), F.count("*").alias("hits"), F.min("i").alias("first_word"))
+    return hits.groupBy(*keys).agg(F.max("matched").alias("matched_words"), F.sum("n").alias("hits"), F.min("i").alias("first_word"))
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -33,7 +33,7 @@ FIT_ROWS, ROUNDS = 20_000, 3
 #: The probability of a character that no piece covers, and what is added to each expected count.
 _LONE, _SMOOTH = 1e-7, 0.01
 _MARK = 0x2581
-_BLOCK = 1_000_000
+_BLOCK = 400_000
 #: Units of a run of letters above which it is scored in windows; places after which sums are scaled again.
 _LONG, _RESCALE = 1024, 8
 #: Units of a window, and of the context on both sides, in which a long run of letters is learned from.
@@ -337,7 +337,7 @@ class _Scorer:
             for i, h in enumerate(keys):
                 if (row := known.get(h)) is not None:
                     table[i] = row
-            if len(known) > 100_000:
+            if len(known) > 50_000:
                 known.clear()
             known.update((keys[i], table[i].copy()) for i in new.tolist())
             total = np.stack([np.bincount(of, table[each, k], n) for k in range(len(m.langs))], axis=1)

@@ -62,3 +62,16 @@ def test_ignore_rules_any_number(spark, monkeypatch):
     (few, rows), (many, same) = plan_and_rows(50_000), plan_and_rows(1)
     assert "Join" not in few and "Join" in many
     assert rows == same and rows
+
+
+@pytest.mark.parametrize("name", ["sort_path", "sortr_path"])
+def test_ranks_over_many_ranges(spark, duck, tmp_path, name):
+    docs = spark.range(30_000).selectExpr("id as doc_id", "'' as text", "concat('src', id % 7) as source", "if(id % 5 = 0, null, 'en') as lang")
+    docs.repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted((r["rank"], r.path) for r in queries()[name](spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = sorted((r, p) for p, r in duck.execute(oracle_sql()[name].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall())
+    assert got == want

@@ -82,3 +82,23 @@ def test_clashing_names(spark):
     docs, patterns = tables(spark)
     rows = P.pattern_hits(docs.withColumn("pattern", F.lit("own")), patterns)
     assert rows.columns == ["k", "pattern", "pattern_"] and rows.count() == len(expected(TEXTS, PATTERNS))
+
+
+@pytest.mark.parametrize(("fold", "most"), [(False, 1 << 18), (True, 3)])
+def test_lines_are_found_in_whole_texts(spark, monkeypatch, fold, most):
+    monkeypatch.setattr(P, "INDEX_PATTERNS", most)
+    monkeypatch.setattr(P, "ROWS", 2)
+    texts = [*TEXTS, "\n\nThing.\n", "e\nfoo ba\n\nx é", "foo\n ba", "\n", "42 %"]
+    docs, patterns = tables(spark, texts, PATTERNS)
+    docs = docs.withColumn("line", F.lit("own"))
+    match = dict(fixed=True, case="ignore") if fold else dict(fixed=True)
+    every = tuple(p for p in PATTERNS if p and "\n" not in p)
+    for invert in (False, True):
+        found = P.lines_with_pattern(docs, patterns, ignore_case=fold, invert=invert)
+        want = L.search_lines(docs, Match(every, invert=invert, **match))
+        assert found.columns == want.columns
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+        assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()  # lines that aren't found never are rows
+    raw = docs.limit(1).select("k", F.expr("cast(X'61ff0a0afe54' as string)").alias("text"))
+    row = P.lines_with_pattern(raw, patterns.limit(0).union(spark.createDataFrame([("T",)], "p string"))).selectExpr("line_no", "byte_offset", "cast(line as binary) as b").collect()
+    assert [(r.line_no, r.byte_offset, bytes(r.b)) for r in row] == [(3, 4, b"\xfeT")]

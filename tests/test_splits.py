@@ -143,3 +143,21 @@ def test_slice_rule(spark, tmp_path):
     assert (got["inside"].text, got["inside"].binary_offset) == (inside.decode(), 20)
     assert got["outside"].binary_offset is None
     assert S.decoded(files, "slice").filter(F.col("text").contains("b")).count() == 1
+
+
+def test_stray_bytes_and_long_characters_are_kept_by_cuts(spark):
+    docs = spark.createDataFrame([(1, bytearray("é€𝄞\n".encode() * 9 + b"a\xff\xfe\nend")), (2, None), (3, bytearray(b"\n\n")), (4, bytearray(b""))], "k int, b binary").selectExpr("k", "cast(b as string) as text")
+    cut = X.cut_lines(docs, chunk=5).selectExpr("k", "piece", "cast(text as binary) as b").orderBy("k", "piece").collect()
+    whole = {}
+    for r in cut:
+        whole[r.k] = whole.get(r.k, b"") + bytes(r.b)
+    assert whole == {1: "é€𝄞\n".encode() * 9 + b"a\xff\xfe\nend", 3: b"\n\n"}
+    assert [r.piece for r in cut if r.k == 1] == list(range(9))  # a line goes to the piece of its first character: 0, 4, 8, 12 ... of chunks of 5
+
+
+def test_neighbours_get_no_lines(spark):
+    # what reaches a piece from its neighbours is a few flags, however long their lines are, and a cut reads its text once
+    docs = spark.createDataFrame([(1, "the " * 300 + "\nx\n" + "y" * 900 + "\nthe\n")], "k int, text string")
+    counted = X._counted(X.cut_lines(docs, chunk=100).withColumnRenamed("text", "tl_text"), ["k", "piece"], Match(("the",)), 1, 2)
+    assert dict(counted.dtypes)["head"] == dict(counted.dtypes)["tail"] == "array<boolean>"
+    assert "Generate" not in X.cut_lines(docs, chunk=100)._jdf.queryExecution().executedPlan().toString()

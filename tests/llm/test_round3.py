@@ -161,6 +161,20 @@ def phrase_rows(seed=3, n=150):
     return [*rows, ("en", None), ("en", ""), (None, "  ...  "), ("en", "x x x x x x x x " * 400), ("en", "la " * 3000), *rows[:9]]
 
 
+def test_phrases_of_any_length_meet_blocks_once(spark, monkeypatch):
+    from textloom.llm import phrases as P
+
+    rng = random.Random(12)
+    rows = [("en", " ".join(rng.choice("a b c d é".split()) for _ in range(400)) + ", " + "u v w x y z. " * 9) for _ in range(12)]
+    joined, cogroup = [], type(spark.range(1).groupBy("id")).cogroup
+    monkeypatch.setattr(type(spark.range(1).groupBy("id")), "cogroup", lambda self, other: joined.append(1) or cogroup(self, other))
+    monkeypatch.setattr(P, "BLOCK_WORDS", 700)
+    df = spark.createDataFrame(rows, "lang string, text string")
+    got = {tuple(r) for r in P.mine_phrases(df, longest=6, least=5).collect()}
+    assert got == brute_phrases(rows, 6, 5) and any(len(r[2].split()) == 6 for r in got)
+    assert len(joined) == 1  # names of words only are joined back to the blocks: once, not once a level
+
+
 @pytest.mark.parametrize(("least", "overlap", "top", "block"), [(30, 80, 2000, 1 << 21), (5, 50, 7, 100), (2, 100, 2000, 1)])
 def test_phrases(spark, monkeypatch, least, overlap, top, block):
     from textloom.llm import phrases as P

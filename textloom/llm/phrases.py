@@ -1,23 +1,24 @@
 """Collocations: phrases of up to a few words whose words come together more often than their parts do apart.
 
 Phrases are counted by naming pairs, level by level. Texts are packed into blocks, each a sequence of numbers with the
-table of what they stand for. Level 1 counts the distinct words of each block, and frequent words get ids. From then on
-each level counts the distinct pairs of adjacent ids of each block; pairs that are frequent over all blocks get ids of their
-own, which are joined back to the blocks, where they replace the pairs. A
+table of what they stand for. Level 1 counts the distinct words of each block; frequent words get gapless ids, which are
+joined back to the blocks once. From then on each level counts the distinct pairs of adjacent phrases of each block. A
+pair is written as the ids of its words, which says exactly what it is, so no later name is joined back to the blocks. A
 phrase that is frequent has frequent parts, so nothing frequent is lost where a part is not. A name is thus a row
 (left, right, id, n): left and right name the phrase without its last and without its first word, and by them each
 phrase finds the counts of the parts of its cuts, and the phrases that contain it.
 
-What shuffles are each block's distinct pairs to be counted, at most one row a block for a pair however common; hashes
-of what two frequent pairs in a row make, to be counted as well; of the pairs again those that Bloom filters of bounded
-size say may be frequent and part of something longer that is; and the blocks' numbers. Filters and hashes only save
-rows: names are given, and phrases counted, by what the pairs are. Blocks have some 2^21 words; only a piece (words between marks), which may be longer, is never cut.
+What shuffles are each block's distinct pairs to be counted, at most one row a block for a pair however common, and hashes
+of pairs of three words and more, to be counted before. Only pairs go on whose two parts, and later whose hash, may be
+frequent by Bloom filters of bounded size, which are asked anew at each level. Filters and hashes only save rows:
+phrases are counted by what they are. Blocks have some 2^21 words; only a piece (words between marks), which may be longer, is never cut.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm._arrays import distinct, lean, mix
+from textloom.llm._arrays import lean, mix
 from textloom.llm._bloom import build, filter_bits, maybe
 from textloom.llm._staging import small, stage
 
@@ -39,8 +40,8 @@ PARTS = 64
 _MARKS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
 
 _WORDS = "block long, lang string, total long, size int, seq binary, word array<string>, n array<int>"
-_NAMED = pa.schema([("block", pa.int64()), ("size", pa.int32()), ("seq", pa.binary()), ("ids", pa.list_(pa.int64()))])
-_NAMED_DDL = "block long, size int, seq binary, ids array<long>"
+_NAMED = pa.schema([("block", pa.int64()), ("size", pa.int32()), ("seq", pa.binary())])
+_NAMED_DDL = "block long, size int, seq binary"
 
 
 class _Numbers(dict):
@@ -119,107 +120,127 @@ def _unpacked(rows: pa.RecordBatch | pa.Table, k: int = 0) -> np.ndarray:
     return np.frombuffer(pa.decompress(rows.column("seq")[k].as_buffer(), 4 * size, codec="zstd"), np.int32)
 
 
-def _codes(seq: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, code) of the pairs of adjacent numbers; 0 is in no pair, and a code is left * base + right."""
-    both = np.flatnonzero((seq[:-1] > 0) & (seq[1:] > 0))
-    return both, seq[both].astype(np.int64) * base + seq[both + 1]
-
-
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct pairs of each block: (left, right, n)."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            ids = batch.column("ids")[k].values.to_numpy()
-            base = len(ids) + 1
-            codes = _codes(_unpacked(batch, k), base)[1]
-            codes.sort()
-            first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, np.int64)
-            for a in range(0, len(first), ROWS):
-                pairs, n = codes[first[a : a + ROWS]], np.diff(first[a : a + ROWS + 1], append=[len(codes)] if a + ROWS >= len(first) else [])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[pairs // base - 1]), pa.array(ids[pairs % base - 1]), pa.array(n.astype(np.int64))], ["left", "right", "n"])
-
-
-def _renamed(pairs: bool):
-    """A block's sequence with known codes, of pairs or of the numbers themselves, replaced by numbers of their ids."""
-
-    def run(blocks: pa.Table, known: pa.Table) -> pa.Table:
-        if not blocks.num_rows or not known.num_rows:
-            return _NAMED.empty_table()
-        seq = _unpacked(blocks)
-        order = np.argsort(known.column("code").to_numpy())
-        codes, ids = known.column("code").to_numpy()[order], known.column("id").to_numpy()[order]
-        base = len(blocks.column("ids")[0].values) + 1 if pairs else 1
-        out = np.zeros(len(seq), np.int32)
-        for a in range(0, len(seq), ROWS):
-            place, own = _codes(seq[a : a + ROWS + 1], base) if pairs else (slice(None), seq[a : a + ROWS])
-            at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
-            out[a : a + ROWS + pairs][place] = np.where(codes[at] == own, at + 1, 0)
-        out = out[(out > 0) | np.concatenate(([False], out[:-1] > 0))]  # one 0 is as good as many
-        return pa.Table.from_arrays([blocks.column("block"), *_packed(out), _lists(pa.array(ids))], schema=_NAMED)
-
-    return run
+def _sorted_places(seq: np.ndarray, place: np.ndarray, size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(words, a column each, of the distinct phrases of `size` words that begin at the places; how often each does)."""
+    # two words are a number, of an odd size the last overlaps the one before
+    keys = [seq[place + k].astype(np.int64) << 32 | seq[place + k + 1].astype(np.int64) for k in [*range(0, size - 1, 2)] + [size - 2] * (size % 2)]
+    if len(keys) == 1:
+        keys[0].sort()
+    else:
+        order = np.lexsort(keys)
+        keys = [k[order] for k in keys]
+    new = np.ones(len(place), bool)
+    if len(place):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    first = np.flatnonzero(new)
+    keys = [k[first] for k in keys]
+    words = [keys[-1] & 0xFFFFFFFF if k == size - 1 else keys[k // 2] >> 32 if k % 2 == 0 else keys[k // 2] & 0xFFFFFFFF for k in range(size)]
+    return words, np.diff(first, append=len(place))
+
+
+def _renamed(blocks: pa.Table, known: pa.Table) -> pa.Table:
+    """A block's sequence with the numbers of known words replaced by their ids, and 0 for the others."""
+    if not blocks.num_rows or not known.num_rows:
+        return _NAMED.empty_table()
+    seq = _unpacked(blocks)
+    ids = np.zeros(max(int(seq.max(initial=0)), int(known.column("code").to_numpy().max())) + 1, np.int32)
+    ids[known.column("code").to_numpy()] = known.column("id").to_numpy()
+    out = ids[seq]
+    out = out[(out > 0) | np.concatenate(([False], out[:-1] > 0))]  # one 0 is as good as many
+    return pa.Table.from_arrays([blocks.column("block"), *_packed(out)], schema=_NAMED)
+
+
+def _hash2(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64))
 
 
 def _pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix(mix(left.astype(np.uint64)) + right.astype(np.uint64))
+        return mix(mix(left) + right)
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of phrases, whose words are the columns, as _places() has them."""
     for batch in batches:
-        h = _pair_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64))], ["h"])
+        words = [c.to_numpy() for c in batch.columns]
+        h = [_hash2(x, y) for x, y in pairwise(words)]
+        while len(h) > 1:
+            h = [_pair_hash(x, y) for x, y in pairwise(h)]
+        yield pa.RecordBatch.from_arrays([pa.array(h[0].astype(np.int64))], ["h"])
+
+
+def _some(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, bool), *(maybe(bits, hashes[a : a + ROWS]) for a in range(0, len(hashes), ROWS))])
 
 
-def _adjacent(rows: pa.RecordBatch, k: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, codes, codes of the next pairs, hashes of both) where two pairs that may be frequent stand one after the other."""
-    ids, seq = rows.column("ids")[k].values.to_numpy(), _unpacked(rows, k)
-    base = len(ids) + 1
-    place, codes = _codes(seq, base)
-    hashes, some = np.zeros(len(codes), np.uint64), np.zeros(len(codes), bool)
-    for a in range(0, len(codes), ROWS):
-        part = codes[a : a + ROWS]
-        hashes[a : a + ROWS] = h = _pair_hash(ids[part // base - 1], ids[part % base - 1])
-        some[a : a + ROWS] = maybe(frequent, h)
-    next_ = np.flatnonzero(some[1:] & some[:-1] & (place[1:] == place[:-1] + 1))
-    return ids, codes[next_], codes[next_ + 1], _pair_hash(hashes[next_], hashes[next_ + 1])
+def _pairs(seq: np.ndarray) -> np.ndarray:
+    """The places of words that another follows; 0 is no word."""
+    return np.flatnonzero((seq[:-1] > 0) & (seq[1:] > 0))
 
 
-def _count_longer(frequent: Broadcast):
-    """Of each block, the hashes of phrases of one word more whose two parts may be frequent: (h, n)."""
+def _places(seq: np.ndarray, frequent: list[Broadcast]) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of the phrases whose two parts, of a word less, may be frequent; given filters of the frequent phrases
+    of 2, 3 and more words the phrases are longer than theirs by a word."""
+    place = _pairs(seq)
+    hashes = np.zeros(len(place), np.uint64)
+    for a in range(0, len(place), ROWS):
+        at = place[a : a + ROWS]
+        hashes[a : a + ROWS] = _hash2(seq[at], seq[at + 1])
+    for bits in frequent:
+        some = _some(bits.value, hashes)
+        next_ = np.flatnonzero(some[1:] & some[:-1] & (place[1:] == place[:-1] + 1))
+        place, hashes = place[next_], _pair_hash(hashes[next_], hashes[next_ + 1])
+    return place, hashes
+
+
+def _count_hashes(frequent: list[Broadcast]):
+    """Of each block, the hashes of phrases whose two parts may be frequent: (h, n)."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                h, n = np.unique(_adjacent(batch, k, frequent.value)[3].astype(np.int64), return_counts=True)
+                h, n = np.unique(_places(_unpacked(batch, k), frequent)[1].astype(np.int64), return_counts=True)
                 for a in range(0, len(h), ROWS):
                     yield pa.RecordBatch.from_arrays([pa.array(h[a : a + ROWS]), pa.array(n[a : a + ROWS])], ["h", "n"])
 
     return run
 
 
-def _extending(frequent: Broadcast, longer: Broadcast):
-    """Of each block, the pairs that may be part of a frequent phrase of one word more: (block, code, left, right)."""
+def _count_phrases(size: int, frequent: list[Broadcast], promising: Broadcast | None):
+    """Of each block, the distinct phrases of `size` words that may be frequent: (their words' ids, n)."""
+    names = [*_ids(1, size), "n"]
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, first, second, hashes = _adjacent(batch, k, frequent.value)
-                base = len(ids) + 1
-                some = np.zeros(len(hashes), bool)
-                for a in range(0, len(hashes), ROWS):
-                    some[a : a + ROWS] = maybe(longer.value, hashes[a : a + ROWS])
-                every = distinct(np.concatenate((first[some], second[some])))
-                for a in range(0, len(every), ROWS):
-                    pairs = every[a : a + ROWS]
-                    block = np.full(len(pairs), batch.column("block")[k].as_py(), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(pairs), pa.array(ids[pairs // base - 1]), pa.array(ids[pairs % base - 1])], ["block", "code", "left", "right"])
+                seq = _unpacked(batch, k)
+                if promising is None:
+                    place = _pairs(seq)
+                else:
+                    place, hashes = _places(seq, frequent)
+                    place = place[_some(promising.value, hashes)]
+                words, n = _sorted_places(seq, place, size)
+                for a in range(0, len(n), ROWS):
+                    yield pa.RecordBatch.from_arrays([*(pa.array(w[a : a + ROWS].astype(np.int32)) for w in words), pa.array(n[a : a + ROWS].astype(np.int64))], names)
 
     return run
 
 
+def _ids(first: int, last: int) -> list[str]:
+    """The columns of a phrase's words, from one to another."""
+    return [f"w{k}" for k in range(first, last + 1)]
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The rows with a gapless number from 1 as id."""
+    rows = stage(rows.select(F.monotonically_increasing_id().alias("at"), *rows.columns), "unnumbered").withColumn("task", F.shiftright("at", 33))
+    sizes = rows.groupBy("task").agg(F.count("*").alias("n"))
+    before = sizes.select("task", F.coalesce(F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    return rows.join(F.broadcast(before), "task").select((F.col("base") + F.col("at").bitwiseAND((1 << 33) - 1) + 1).alias("id"), *(c for c in rows.columns if c not in ("at", "task")))
+
+
 def mine_phrases(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", longest: int = 4, least: int = 30, overlap: int = 80, top: int = 2000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first `top` phrases of 2 to `longest` words.
 
@@ -237,30 +258,31 @@ def mine_phrases(docs: DataFrame, text_column: str = "text", lang_column: str =
     totals = stage(blocks.groupBy("lang").agg(F.sum("total").alias("total")), "totals")
     counted = blocks.select("lang", F.inline(F.arrays_zip("word", "n"))).groupBy("lang", "word").agg(F.sum("n").alias("a"))
     none = F.array().cast("array<long>")
-    names = stage(counted.filter(F.col("a") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", none.alias("heads"), none.alias("tails")), "names")
-    known = blocks.select("block", "lang", F.posexplode("word").alias("at", "phrase")).join(names.select("lang", "phrase", "id"), ["lang", "phrase"])
-    blocks, known = blocks.select("block", "size", "seq"), known.select(F.col("block").alias("of"), (F.col("at") + 1).cast("long").alias("code"), "id")
-
-    found, send = [], docs.sparkSession.sparkContext.broadcast
+    names = stage(_numbered(counted.filter(F.col("a") >= least).select("lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", none.alias("heads"), none.alias("tails"))).withColumn("w1", F.col("id").cast("int")), "names")
+    if names.count() >= 1 << 31:
+        raise ValueError("2^31 frequent words or more")
+    known = blocks.select("block", "lang", F.posexplode("word").alias("at", "phrase")).join(names.select("lang", "phrase", "w1"), ["lang", "phrase"])
+    known = known.select(F.col("block").alias("of"), (F.col("at") + 1).cast("long").alias("code"), F.col("w1").alias("id"))
+    blocks = stage(blocks.select("block", "size", "seq").groupBy("block").cogroup(known.groupBy("of")).applyInArrow(_renamed, _NAMED_DDL), "named").select("size", "seq")
+
+    found, frequent, promising, send = [], [], None, docs.sparkSession.sparkContext.broadcast
     for size in range(2, longest + 1):
-        blocks = stage(blocks.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(_renamed(size > 2), _NAMED_DDL), "named")
-        counts = blocks.select("size", "seq", "ids").mapInArrow(lean(_count_pairs), "left long, right long, n long")
-        pairs = counts.groupBy("left", "right").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
-        pairs = stage(pairs.withColumn("id", F.monotonically_increasing_id()), "frequent")
-        left = names.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), F.concat("heads", F.array("a")).alias("heads"))
-        right = names.select(F.col("id").alias("right"), "last", F.concat("tails", F.array("a")).alias("tails"))
-        longer = pairs.join(left, "left").join(right, "right")
-        longer = stage(longer.select("id", "left", "right", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "a", "heads", "tails"), "names")
+        words = _ids(1, size)
+        counts = blocks.mapInArrow(_count_phrases(size, list(frequent), promising), ", ".join(f"{w} int" for w in words) + ", n long")
+        phrases = counts.groupBy(*words).agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+        phrases = stage(phrases.withColumn("id", F.monotonically_increasing_id()), "frequent")
+        left = names.select(*words[:-1], F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), F.concat("heads", F.array("a")).alias("heads"))
+        right = names.select(*(F.col(w).alias(v) for w, v in zip(words[:-1], words[1:], strict=True)), F.col("id").alias("right"), "last", F.concat("tails", F.array("a")).alias("tails"))
+        longer = phrases.join(left, words[:-1]).join(right, words[1:])
+        longer = stage(longer.select("id", *words, "left", "right", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "a", "heads", "tails"), "names")
         if size > 2:
             found.append(_outlasting(names, longer, overlap))
         names = longer
         if size < longest:
-            sketch = send(build(pairs.select("left", "right").mapInArrow(_hashes, "h long"), filter_bits(pairs.count()), 1))
-            promising = blocks.select("size", "seq", "ids").mapInArrow(_count_longer(sketch), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-            promising = stage(promising.select("h"), "promising")
-            longer_sketch = send(build(promising, filter_bits(promising.count()), 1))
-            extending = blocks.mapInArrow(_extending(sketch, longer_sketch), "block long, code long, left long, right long")
-            known = extending.join(pairs.select("left", "right", "id"), ["left", "right"]).select(F.col("block").alias("of"), "code", "id")
+            frequent.append(send(build(phrases.select(*words).mapInArrow(_hashes, "h long"), filter_bits(phrases.count()), 1)))
+            likely = blocks.mapInArrow(_count_hashes(list(frequent)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+            likely = stage(likely.select("h"), "promising")
+            promising = send(build(likely, filter_bits(likely.count()), 1))
     found.append(names)
 
     phrases = found[0].select("lang", "phrase", "a", "heads", "tails")

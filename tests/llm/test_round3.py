@@ -275,3 +275,44 @@ def test_filter_audit_of_few_filters_and_no_rows(spark):
     assert audit_orders(flag_failures(none, spark.createDataFrame([], "doc_id long, quality int, toxic int"))).count() == 0
     with pytest.raises(ValueError):
         audit_orders(flags, "AA")
+
+
+# -- what reaches Python, and what tasks send
+
+
+def test_a_kept_text_goes_to_python_once(spark, monkeypatch):
+    from textloom.llm import language_id as L
+
+    df = spark.createDataFrame([(k, f"some words of text number {k}", "en") for k in range(1200)], "doc_id long, text string, lang string").coalesce(1)
+    model, sent, plain = L.train(df), [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema, *a, **b: sent.append((self.columns, f)) or plain(self, f, schema, *a, **b))
+    rows = L.predict(df, model, fit=True).collect()
+    columns, f = sent[-1]
+    assert columns == ["doc_id", "text", "lang"] and {r.text for r in rows} == {r.text for r in df.collect()} and {r.lang_pred for r in rows} == {"en"}
+    assert [b.num_rows for b in f(df.toArrow().combine_chunks().to_batches())] == [500, 500, 200]  # in small batches, however large those that come
+    alone = L.predict(df, model, keep=["doc_id"])
+    assert sent[-1][0] == ["doc_id", "tl_text"] and alone.columns == ["doc_id", "lang_pred", "score"]
+
+
+def test_splitting_needs_no_vocabulary():
+    import pickle
+
+    from textloom.llm.bpe import Vocabulary, default_path
+
+    vocab = Vocabulary(default_path())
+    assert not {"pieces", "_model", "_text"} & vars(vocab).keys()
+    assert len(pickle.dumps(vocab.specials)) < 10_000 and vocab.specials.pattern.fullmatch("<|endoftext|>")
+    assert vocab.text_of(vocab.encode_word("word")) == "word"
+
+
+def test_pipeline_sends_small_batches(spark):
+    import corpus_pipeline as C
+
+    before = spark.conf.get(C._BATCH)
+    try:
+        for rows, after in ((10_000, C.BATCH_ROWS), (0, C.BATCH_ROWS), (7, 7)):
+            spark.conf.set(C._BATCH, rows)
+            C.tokenize(spark, spark.createDataFrame([(1, "a b")], "doc_id long, text string"), "")
+            assert int(spark.conf.get(C._BATCH)) == after
+    finally:
+        spark.conf.set(C._BATCH, before)

@@ -53,30 +53,43 @@ def _byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+class Specials:
+    """The special tokens of a vocabulary, all of it that splitting needs: tasks that only split don't load the rest."""
+
+    def __init__(self, ids: dict[str, int]):
+        self.special = ids
+        self.pattern = re.compile("|".join(map(re.escape, sorted(ids, key=len, reverse=True)))) if ids else None
+
+
 class Vocabulary:
-    """A byte-level BPE vocabulary file of the tokenizers library."""
+    """A byte-level BPE vocabulary file of the tokenizers library; its model and its pieces are loaded where they are asked for."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            self._text = f.read()
-        spec = json.loads(self._text)
+        self._path, spec = path, self._spec(path)
         if spec["model"]["type"] != "BPE" or spec["normalizer"] or (spec["pre_tokenizer"] or {}).get("type") != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space") or not spec["pre_tokenizer"].get("use_regex", True):
             raise ValueError("only byte-level BPE vocabularies without a normalizer or a prefix space are known here")
         added = spec["added_tokens"]
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added):
             raise ValueError("special tokens that take white space or words with them aren't known here")
-        self.special = {t["content"]: t["id"] for t in added}
-        self.pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if added else None
+        self.specials = Specials({t["content"]: t["id"] for t in added})
         self._to = _byte_characters()
+
+    @staticmethod
+    def _spec(path: str) -> dict:
+        with open(path, encoding="utf-8") as f:
+            return json.load(f)
+
+    @cached_property
+    def pieces(self) -> dict[int, bytes]:
+        """Bytes by id, special tokens included."""
         back = {c: bytes([b]) for b, c in enumerate(self._to)}
-        #: Bytes by id, special tokens included.
-        self.pieces = {i: b"".join(back[c] for c in piece) for piece, i in spec["model"]["vocab"].items()} | {i: content.encode() for content, i in self.special.items()}
+        return {i: b"".join(back[c] for c in piece) for piece, i in self._spec(self._path)["model"]["vocab"].items()} | {i: content.encode() for content, i in self.specials.special.items()}
 
     @cached_property
     def _model(self):
         from tokenizers import Tokenizer
 
-        return Tokenizer.from_str(self._text).model
+        return Tokenizer.from_file(self._path).model
 
     def text_of(self, ids: np.ndarray) -> str:
         """The text of ids; those that it doesn't have stand for nothing."""
@@ -97,7 +110,7 @@ def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
     return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)]
 
 
-def _split(texts: pa.Array, vocab: Vocabulary) -> Iterator[tuple]:
+def _split(texts: pa.Array, vocab: Specials) -> Iterator[tuple]:
     """For runs of rows: (first row, number of rows, text, starts, ends, hashes, rows, special id or -1) of their words."""
     for first, data, offsets in blocks(texts, _BLOCK):
         text, points, at = code_points(data, offsets)
@@ -171,7 +184,7 @@ def _unpack(data: bytes) -> np.ndarray:
 
 def _sample_words(docs: DataFrame, path: str) -> DataFrame:
     """(word, n) of a bounded sample of the rows."""
-    rows = max(1, docs.count())
+    rows, specials = max(1, docs.count()), vocabulary(path).specials
     if rows > SAMPLE_ROWS:
         docs = docs.filter(F.pmod(F.xxhash64("k1", "k2"), F.lit(1 << 20)) < int((1 << 20) * SAMPLE_ROWS / rows))
 
@@ -180,7 +193,7 @@ def _sample_words(docs: DataFrame, path: str) -> DataFrame:
 
         seen: dict[str, int] = {}
         for b in batches:
-            for _, _, text, starts, ends, hashes, _, ids in _split(b.column(0), vocabulary(path)):
+            for _, _, text, starts, ends, hashes, _, ids in _split(b.column(0), specials):
                 own = ids < 0
                 each, _ = pd.factorize(hashes[own])
                 n, one = np.bincount(each), np.unique(each, return_index=True)[1]
@@ -240,9 +253,10 @@ class _Split:
         self.kind = self.docs.schema["id"].dataType.simpleString()
         table: Broadcast[WordTable] = docs.sparkSession.sparkContext.broadcast(_word_table(self.docs, path, table_words))
         self.table = table
+        specials = vocabulary(path).specials
 
         def codes(texts: pa.Array) -> Iterator[tuple]:
-            for first, n, text, starts, ends, hashes, rows, ids in _split(texts, vocabulary(path)):
+            for first, n, text, starts, ends, hashes, rows, ids in _split(texts, specials):
                 found = table.value.find(hashes)
                 found[ids >= 0] = (-2 - ids[ids >= 0]).astype(np.int32)
                 yield first, n, text, starts, ends, found, rows

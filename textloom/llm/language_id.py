@@ -34,6 +34,7 @@ FIT_ROWS, ROUNDS = 20_000, 3
 _LONE, _SMOOTH = 1e-7, 0.01
 _MARK = 0x2581
 _BLOCK = 400_000
+_ROWS = 500  # rows that are predicted, and sent, at once
 #: Units of a run of letters above which it is scored in windows; places after which sums are scaled again.
 _LONG, _RESCALE = 1024, 8
 #: Units of a window, and of the context on both sides, in which a long run of letters is learned from.
@@ -361,9 +362,9 @@ def predict(docs: DataFrame, model: Model, text_column: str = "text", keep: list
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         scorer = _Scorer(m)
-        for b in batches:
+        for b in (whole.slice(k, _ROWS) for whole in batches for k in range(0, whole.num_rows, _ROWS)):
             lang, score, usual = np.full(b.num_rows, "und", object), np.zeros(b.num_rows), np.full(b.num_rows, np.nan)
-            for first, letters, total in scorer.totals(b.column(b.num_columns - 1).fill_null("")) if m.langs else ():
+            for first, letters, total in scorer.totals(b.column(at).fill_null("")) if m.langs else ():
                 has = np.flatnonzero(letters)
                 weighed = total[has] + m.log_prior
                 share = np.exp(weighed - weighed.max(axis=1, keepdims=True))
@@ -373,9 +374,10 @@ def predict(docs: DataFrame, model: Model, text_column: str = "text", keep: list
                 mean, deviation = m.usual[best].T
                 usual[first + has] = np.where(letters[has] >= FIT_LETTERS, (total[has, best] / letters[has] - mean) / deviation, np.nan)
             found = [pa.array(lang, pa.string()), pa.array(score), pa.array(usual, from_pandas=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *found[: len(names)]], [*b.schema.names[:-1], *names])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *found[: len(names)]], [*keep, *names])
 
-    text = fresh(docs, "tl_text")
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_column).alias(text))
+    rows, at = carried, keep.index(text_column) if text_column in keep else len(keep)
+    if at == len(keep):  # a text that is kept isn't sent twice
+        rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_column}`").alias(fresh(docs, "tl_text")))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"`{names[0]}` string", *(f"`{n}` double" for n in names[1:])])
     return rows.mapInArrow(lean(f), schema)

@@ -316,3 +316,27 @@ def test_pipeline_sends_small_batches(spark):
             assert int(spark.conf.get(C._BATCH)) == after
     finally:
         spark.conf.set(C._BATCH, before)
+
+
+def test_phrases_are_added_up_before_they_are_sent(spark, monkeypatch):
+    from textloom.llm import phrases as P
+
+    sent, counted = spark.sparkContext.accumulator(0), P._count_phrases
+
+    def observed(*args):
+        f = counted(*args)
+
+        def run(batches):
+            for b in f(batches):
+                sent.add(b.num_rows)
+                yield b
+
+        return run
+
+    monkeypatch.setattr(P, "_count_phrases", observed)
+    monkeypatch.setattr(P, "BLOCK_WORDS", 100)
+    rows = [(lang, f"{lang} one two three four. " * 20) for lang in ("en", "de") for _ in range(100)]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    got = {tuple(r) for r in P.mine_phrases(df).collect()}
+    assert got == brute_phrases(rows)
+    assert sent.value == 2 * (4 + 3 + 2)  # a row for each phrase, not one for each of its 200 blocks

@@ -8,8 +8,9 @@ phrase that is frequent has frequent parts, so nothing frequent is lost where a
 (left, right, id, n): left and right name the phrase without its last and without its first word, and by them each
 phrase finds the counts of the parts of its cuts, and the phrases that contain it.
 
-What shuffles are each block's distinct pairs to be counted, at most one row a block for a pair however common, and hashes
-of pairs of three words and more, to be counted before. Only pairs go on whose two parts, and later whose hash, may be
+Blocks of one language are dealt out together, some 2^23 words a task, and a task adds up what its blocks have before it
+sends them. What shuffles are thus the distinct pairs of several blocks to be counted, at most one row for a pair
+however common, and hashes of pairs of three words and more, to be counted before. Only pairs go on whose two parts, and later whose hash, may be
 frequent by Bloom filters of bounded size, which are asked anew at each level. Filters and hashes only save rows:
 phrases are counted by what they are. Blocks have some 2^21 words; only a piece (words between marks), which may be longer, is never cut.
 """
@@ -32,6 +33,8 @@ from textloom.llm._staging import small, stage
 
 #: Words of a block, bytes of text worked on at a time, and words of all blocks begun (one a language) before they are written.
 BLOCK_WORDS, SLICE, OPEN_WORDS = 1 << 21, 1 << 20, 1 << 22
+#: Words of a language's blocks that are dealt to one task, in expectation, and distinct phrases that a task holds before it sends them.
+TASK_WORDS, HELD = 1 << 23, 1 << 20
 #: Pairs of a block that are worked on, and sent, at a time.
 ROWS = 1 << 16
 #: Parts of a language whose best phrases are found apart before they meet.
@@ -40,8 +43,8 @@ PARTS = 64
 _MARKS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
 
 _WORDS = "block long, lang string, total long, size int, seq binary, word array<string>, n array<int>"
-_NAMED = pa.schema([("block", pa.int64()), ("size", pa.int32()), ("seq", pa.binary())])
-_NAMED_DDL = "block long, size int, seq binary"
+_NAMED = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("size", pa.int32()), ("seq", pa.binary())])
+_NAMED_DDL = "block long, lang string, size int, seq binary"
 
 
 class _Numbers(dict):
@@ -120,22 +123,48 @@ def _unpacked(rows: pa.RecordBatch | pa.Table, k: int = 0) -> np.ndarray:
     return np.frombuffer(pa.decompress(rows.column("seq")[k].as_buffer(), 4 * size, codec="zstd"), np.int32)
 
 
-def _sorted_places(seq: np.ndarray, place: np.ndarray, size: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """(words, a column each, of the distinct phrases of `size` words that begin at the places; how often each does)."""
-    # two words are a number, of an odd size the last overlaps the one before
-    keys = [seq[place + k].astype(np.int64) << 32 | seq[place + k + 1].astype(np.int64) for k in [*range(0, size - 1, 2)] + [size - 2] * (size % 2)]
-    if len(keys) == 1:
-        keys[0].sort()
+def _keys(seq: np.ndarray, place: np.ndarray, size: int) -> list[np.ndarray]:
+    """The phrases of `size` words that begin at the places as columns of numbers, two words each; of an odd size the last overlaps the one before."""
+    return [seq[place + k].astype(np.int64) << 32 | seq[place + k + 1].astype(np.int64) for k in [*range(0, size - 1, 2)] + [size - 2] * (size % 2)]
+
+
+def _words_of(keys: list[np.ndarray], size: int) -> list[np.ndarray]:
+    """The words of phrases, a column each, from their keys."""
+    words = [keys[-1] & 0xFFFFFFFF if k == size - 1 else keys[k // 2] >> 32 if k % 2 == 0 else keys[k // 2] & 0xFFFFFFFF for k in range(size)]
+    return [w.astype(np.int32) for w in words]
+
+
+def _summed(keys: list[np.ndarray], n: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """(distinct keys in order, the sum of n, by default 1, of each)."""
+    if len(keys) == 1 and n is None:
+        keys = [np.sort(keys[0])]
     else:
-        order = np.lexsort(keys)
-        keys = [k[order] for k in keys]
-    new = np.ones(len(place), bool)
-    if len(place):
+        order = np.lexsort(keys) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+        keys, n = [k[order] for k in keys], None if n is None else n[order]
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
         new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
     first = np.flatnonzero(new)
-    keys = [k[first] for k in keys]
-    words = [keys[-1] & 0xFFFFFFFF if k == size - 1 else keys[k // 2] >> 32 if k % 2 == 0 else keys[k // 2] & 0xFFFFFFFF for k in range(size)]
-    return words, np.diff(first, append=len(place))
+    sums = np.diff(first, append=len(new)) if n is None else np.add.reduceat(n, first) if len(first) else n
+    return [k[first] for k in keys], sums
+
+
+def _added(counts: Iterator[tuple[list[np.ndarray], np.ndarray]]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """The (keys, n) of blocks added up as far as they fit into memory, in slices of at most ROWS."""
+
+    def sent(held: list[tuple[list[np.ndarray], np.ndarray]]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+        keys, n = held[0] if len(held) == 1 else _summed([np.concatenate(k) for k in zip(*(k for k, _ in held), strict=True)], np.concatenate([n for _, n in held]))
+        held.clear()
+        for a in range(0, len(n), ROWS):
+            yield [k[a : a + ROWS] for k in keys], n[a : a + ROWS]
+
+    held: list[tuple[list[np.ndarray], np.ndarray]] = []
+    for keys, n in counts:
+        held.append((keys, n))
+        if sum(len(n) for _, n in held) >= HELD:
+            yield from sent(held)
+    if held:
+        yield from sent(held)
 
 
 def _renamed(blocks: pa.Table, known: pa.Table) -> pa.Table:
@@ -147,7 +176,7 @@ def _renamed(blocks: pa.Table, known: pa.Table) -> pa.Table:
     ids[known.column("code").to_numpy()] = known.column("id").to_numpy()
     out = ids[seq]
     out = out[(out > 0) | np.concatenate(([False], out[:-1] > 0))]  # one 0 is as good as many
-    return pa.Table.from_arrays([blocks.column("block"), *_packed(out)], schema=_NAMED)
+    return pa.Table.from_arrays([blocks.column("block"), blocks.column("lang"), *_packed(out)], schema=_NAMED)
 
 
 def _hash2(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -194,36 +223,32 @@ def _places(seq: np.ndarray, frequent: list[Broadcast]) -> tuple[np.ndarray, np.
 
 
 def _count_hashes(frequent: list[Broadcast]):
-    """Of each block, the hashes of phrases whose two parts may be frequent: (h, n)."""
+    """Of a task's blocks, the hashes of phrases whose two parts may be frequent: (h, n)."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                h, n = np.unique(_places(_unpacked(batch, k), frequent)[1].astype(np.int64), return_counts=True)
-                for a in range(0, len(h), ROWS):
-                    yield pa.RecordBatch.from_arrays([pa.array(h[a : a + ROWS]), pa.array(n[a : a + ROWS])], ["h", "n"])
+        for (h,), n in _added(_summed([_places(_unpacked(batch, k), frequent)[1].astype(np.int64)]) for batch in batches for k in range(batch.num_rows)):
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
 
     return run
 
 
 def _count_phrases(size: int, frequent: list[Broadcast], promising: Broadcast | None):
-    """Of each block, the distinct phrases of `size` words that may be frequent: (their words' ids, n)."""
+    """Of a task's blocks, the distinct phrases of `size` words that may be frequent: (their words' ids, n)."""
     names = [*_ids(1, size), "n"]
 
+    def counted(seq: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        if promising is None:
+            place = _pairs(seq)
+        else:
+            place, hashes = _places(seq, frequent)
+            place = place[_some(promising.value, hashes)]
+        return _summed(_keys(seq, place, size))
+
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                seq = _unpacked(batch, k)
-                if promising is None:
-                    place = _pairs(seq)
-                else:
-                    place, hashes = _places(seq, frequent)
-                    place = place[_some(promising.value, hashes)]
-                words, n = _sorted_places(seq, place, size)
-                for a in range(0, len(n), ROWS):
-                    yield pa.RecordBatch.from_arrays([*(pa.array(w[a : a + ROWS].astype(np.int32)) for w in words), pa.array(n[a : a + ROWS].astype(np.int64))], names)
+        for keys, n in _added(counted(_unpacked(batch, k)) for batch in batches for k in range(batch.num_rows)):
+            yield pa.RecordBatch.from_arrays([*map(pa.array, _words_of(keys, size)), pa.array(n.astype(np.int64))], names)
 
     return run
 
@@ -263,7 +288,10 @@ def mine_phrases(docs: DataFrame, text_column: str = "text", lang_column: str =
         raise ValueError("2^31 frequent words or more")
     known = blocks.select("block", "lang", F.posexplode("word").alias("at", "phrase")).join(names.select("lang", "phrase", "w1"), ["lang", "phrase"])
     known = known.select(F.col("block").alias("of"), (F.col("at") + 1).cast("long").alias("code"), F.col("w1").alias("id"))
-    blocks = stage(blocks.select("block", "size", "seq").groupBy("block").cogroup(known.groupBy("of")).applyInArrow(_renamed, _NAMED_DDL), "named").select("size", "seq")
+    named = blocks.select("block", "lang", "size", "seq").groupBy("block").cogroup(known.groupBy("of")).applyInArrow(_renamed, _NAMED_DDL)
+    # blocks of one language share phrases, which their task adds up before it sends them
+    dealt = named.join(small(totals), "lang").withColumn("task", F.pmod(F.xxhash64("block"), F.ceil(F.col("total") / TASK_WORDS)))
+    blocks = stage(dealt.repartition("lang", "task").select("size", "seq"), "named")
 
     found, frequent, promising, send = [], [], None, docs.sparkSession.sparkContext.broadcast
     for size in range(2, longest + 1):

@@ -8,9 +8,9 @@ phrase that is frequent has frequent parts, so nothing frequent is lost where a
 (left, right, id, n): left and right name the phrase without its last and without its first word, and by them each
 phrase finds the counts of the parts of its cuts, and the phrases that contain it.
 
-Blocks of one language are dealt out together, some 2^23 words a task, and a task adds up what its blocks have before it
-sends them. What shuffles are thus the distinct pairs of several blocks to be counted, at most one row for a pair
-however common, and hashes of pairs of three words and more, to be counted before. Only pairs go on whose two parts, and later whose hash, may be
+Blocks of one language are dealt out together, some 2^22 words a task, and a task adds up their phrases of three words and
+more before it sends them; pairs of words and hashes, which are many and mostly of one block, are sent by block. What shuffles are
+thus distinct pairs to be counted, at most one row a block for a pair however common, and hashes of pairs of three words and more, to be counted before. Only pairs go on whose two parts, and later whose hash, may be
 frequent by Bloom filters of bounded size, which are asked anew at each level. Filters and hashes only save rows:
 phrases are counted by what they are. Blocks have some 2^21 words; only a piece (words between marks), which may be longer, is never cut.
 """
@@ -34,7 +34,7 @@ from textloom.llm._staging import small, stage
 #: Words of a block, bytes of text worked on at a time, and words of all blocks begun (one a language) before they are written.
 BLOCK_WORDS, SLICE, OPEN_WORDS = 1 << 21, 1 << 20, 1 << 22
 #: Words of a language's blocks that are dealt to one task, in expectation, and distinct phrases that a task holds before it sends them.
-TASK_WORDS, HELD = 1 << 23, 1 << 20
+TASK_WORDS, HELD = 1 << 22, 1 << 19
 #: Pairs of a block that are worked on, and sent, at a time.
 ROWS = 1 << 16
 #: Parts of a language whose best phrases are found apart before they meet.
@@ -149,8 +149,8 @@ def _summed(keys: list[np.ndarray], n: np.ndarray | None = None) -> tuple[list[n
     return [k[first] for k in keys], sums
 
 
-def _added(counts: Iterator[tuple[list[np.ndarray], np.ndarray]]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """The (keys, n) of blocks added up as far as they fit into memory, in slices of at most ROWS."""
+def _added(counts: Iterator[tuple[list[np.ndarray], np.ndarray]], most: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """The (keys, n) of blocks, those added up that have `most` rows together, in slices of at most ROWS."""
 
     def sent(held: list[tuple[list[np.ndarray], np.ndarray]]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
         keys, n = held[0] if len(held) == 1 else _summed([np.concatenate(k) for k in zip(*(k for k, _ in held), strict=True)], np.concatenate([n for _, n in held]))
@@ -161,7 +161,7 @@ def _added(counts: Iterator[tuple[list[np.ndarray], np.ndarray]]) -> Iterator[tu
     held: list[tuple[list[np.ndarray], np.ndarray]] = []
     for keys, n in counts:
         held.append((keys, n))
-        if sum(len(n) for _, n in held) >= HELD:
+        if sum(len(n) for _, n in held) >= most:
             yield from sent(held)
     if held:
         yield from sent(held)
@@ -223,11 +223,11 @@ def _places(seq: np.ndarray, frequent: list[Broadcast]) -> tuple[np.ndarray, np.
 
 
 def _count_hashes(frequent: list[Broadcast]):
-    """Of a task's blocks, the hashes of phrases whose two parts may be frequent: (h, n)."""
+    """Of each block, the hashes of phrases whose two parts may be frequent: (h, n)."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (h,), n in _added(_summed([_places(_unpacked(batch, k), frequent)[1].astype(np.int64)]) for batch in batches for k in range(batch.num_rows)):
+        for (h,), n in _added((_summed([_places(_unpacked(batch, k), frequent)[1].astype(np.int64)]) for batch in batches for k in range(batch.num_rows)), 1):
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
 
     return run
@@ -247,7 +247,7 @@ def _count_phrases(size: int, frequent: list[Broadcast], promising: Broadcast |
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, n in _added(counted(_unpacked(batch, k)) for batch in batches for k in range(batch.num_rows)):
+        for keys, n in _added((counted(_unpacked(batch, k)) for batch in batches for k in range(batch.num_rows)), HELD if size > 2 else 1):
             yield pa.RecordBatch.from_arrays([*map(pa.array, _words_of(keys, size)), pa.array(n.astype(np.int64))], names)
 
     return run

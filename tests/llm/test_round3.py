@@ -340,3 +340,36 @@ def test_phrases_are_added_up_before_they_are_sent(spark, monkeypatch):
     got = {tuple(r) for r in P.mine_phrases(df).collect()}
     assert got == brute_phrases(rows)
     assert sent.value == 2 * (3 + 2)  # a row for each phrase of three words or four, not one for each of its 100 blocks
+
+
+def test_words_are_scored_without_looking_at_every_run(monkeypatch):
+    import numpy as np
+
+    from textloom.llm import language_id as L
+
+    rng, path = random.Random(5), L.default_path()
+    vocab, chance = L.pieces(path), np.random.default_rng(5)
+    chance = chance.random((len(vocab.words) + 1, 3))
+    model = L.Model(path, ("x", "y", "z"), np.zeros(3), chance / chance.sum(axis=0))
+    words = ["▁" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé漢") for _ in range(rng.randrange(1, 30))) for _ in range(3000)]
+    words += ["▁größe", "▁international", "▁" + "e" * 23, "▁" + "e" * 24, "▁" + "e" * 40, "▁漢漢漢"]
+    units = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    ends = np.cumsum([*map(len, words)])
+    starts, looked, plain = ends - np.array([*map(len, words)]), [], L.hash_spans
+    monkeypatch.setattr(L, "hash_spans", lambda u, a, b: looked.append(len(a)) or plain(u, a, b))
+    if one := getattr(L, "span_sums", None):
+        monkeypatch.setattr(L, "span_sums", lambda s, a, b: looked.append(len(a)) or one(s, a, b))
+    short = np.array([len(w) <= 24 for w in words])
+    got = L.word_scores(units, starts[short], ends[short], model)
+    runs = sum(min(vocab.longest, len(w) - k) for w in words if len(w) <= 24 for k in range(len(w)))
+    assert sum(looked) < runs / 2
+    monkeypatch.setattr(L, "_SHORT", 0, raising=False)  # one run at a time, with sums that are scaled
+    assert np.allclose(got, L.word_scores(units, starts[short], ends[short], model), rtol=1e-12)
+    monkeypatch.undo()
+    monkeypatch.setattr(L, "_UNITS", 50)  # words summed in many parts, beside long ones
+    whole = L.word_scores(units, starts, ends, model)
+    assert np.allclose(whole[short], got, rtol=1e-12) and np.isfinite(whole).all()
+    monkeypatch.setattr(L, "_KNOWN", 10)
+    texts, scorer = [" ".join(w[1:] for w in words[k : k + 7]) for k in range(0, 70, 7)], L._Scorer(model)
+    both = [np.concatenate([t for _, _, t in scorer.totals(L.pa.array(some))]) for some in (texts[:6], texts[3:], texts)]
+    assert np.allclose(np.concatenate([both[0], both[1][3:]]), both[2], rtol=1e-12)

@@ -46,14 +46,24 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
 
 
+def prefix_sums(units: np.ndarray) -> np.ndarray:
+    """Sums of a polynomial over the first units, from none to all."""
+    sums = np.zeros(len(units) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum((units.astype(np.uint64) + np.uint64(1)) * _powers(len(units) + 1)[0][: len(units)], out=sums[1:])
+    return sums
+
+
+def span_sums(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The polynomial over units[start:end] of each span, shifted back to position 0; spans of one length differ as their units do."""
+    with np.errstate(over="ignore"):
+        return (sums[ends] - sums[starts]) * _powers(len(sums))[1][starts]
+
+
 def hash_spans(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of units[start:end] for each span: prefix sums of a polynomial, shifted back to position 0."""
-    powers, inverses = _powers(len(units) + 1)
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(units) + 1, np.uint64)
-        np.cumsum((units.astype(np.uint64) + np.uint64(1)) * powers[: len(units)], out=sums[1:])
-        raw = (sums[ends] - sums[starts]) * inverses[starts]
-        return mix(raw + mix((ends - starts).astype(np.uint64)))
+        return mix(span_sums(prefix_sums(units), starts, ends) + mix((ends - starts).astype(np.uint64)))
 
 
 def blocks(texts: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -9,7 +9,8 @@ Training is expectation maximisation: forward and backward passes over the words
 number of times each piece is used. It starts from equal probabilities. What reaches the driver is a number for each
 piece and language.
 
-Tasks score each distinct word of a block of texts once, all words of one length together, in numpy.
+Tasks score each distinct word of a block of texts once, the words of a block together, in numpy. Runs of characters
+that no piece begins with aren't looked at further.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm._arrays import blocks, hash_spans, lean
+from textloom.llm._arrays import blocks, hash_spans, lean, prefix_sums, span_sums
 from textloom.llm._codepoints import LETTER, classes
 from textloom.llm._staging import fresh, stage
 
@@ -41,6 +42,10 @@ _LONG, _RESCALE = 1024, 8
 _WINDOW, _CONTEXT = 256, 64
 #: Units of a word up to which training multiplies probabilities, lifted by a constant a unit that cancels; longer ones add logarithms.
 _PLAIN, _LIFT = 40, 1e6
+#: Units of a word up to which its score is summed without scaling, units of such words summed together, and words that a task remembers.
+_SHORT, _UNITS, _KNOWN = 24, 100_000, 100_000
+#: Bits of a slot in the tables of what pieces begin with, and the odd number that spreads sums over them.
+_SLOTS, _SPREAD = 17, np.uint64(0x9E3779B97F4A7C15)
 #: The fewest letters of a text from which its fit to a language is told, and the fitted rows that say what is usual, in expectation.
 FIT_LETTERS, USUAL_ROWS = 20, 2_000
 
@@ -62,15 +67,42 @@ class Pieces:
         self.words = sorted(p for p in every if p and all(c == chr(_MARK) or c.isalpha() for c in p))
         lengths = np.array([*map(len, self.words)], np.int64)
         ends = np.cumsum(lengths)
-        hashes = hash_spans(np.frombuffer("".join(self.words).encode("utf-32-le"), np.uint32), ends - lengths, ends)
+        units = np.frombuffer("".join(self.words).encode("utf-32-le"), np.uint32)
+        hashes = hash_spans(units, ends - lengths, ends)
         self.order = np.argsort(hashes)
         self.hashes, self.longest = hashes[self.order], int(lengths.max())
+        self.lengths = np.append(lengths, 1)  # the last is for characters without a piece
+        #: By length: the sums of pieces in order, their numbers, and by slot 1 if a longer piece may begin so, 2 if it may be a piece.
+        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        sums = prefix_sums(units)
+        for k in range(1, self.longest + 1):
+            number = np.flatnonzero(lengths >= k)
+            run, flags = span_sums(sums, (ends - lengths)[number], (ends - lengths)[number] + k), np.zeros(1 << _SLOTS, np.uint8)
+            whole = lengths[number] == k
+            flags[_slots(run[~whole])] |= 1
+            flags[_slots(run[whole])] |= 2
+            order = np.argsort(run[whole])
+            self.runs.append((run[whole][order], number[whole][order], flags))
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each piece, or -1."""
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, self.order[at], -1)
 
+    def find_runs(self, sums: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of runs of one length, by their sums: (those that are pieces, their numbers, whether a longer piece may begin with each)."""
+        run, number, flags = self.runs[length - 1]
+        flag = flags[_slots(sums)]
+        maybe = np.flatnonzero(flag & 2) if len(run) else np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(run, sums[maybe]), len(run) - 1)
+        is_piece = run[at] == sums[maybe]
+        return maybe[is_piece], number[at[is_piece]], (flag & 1).astype(bool)
+
+
+def _slots(sums: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (sums * _SPREAD) >> np.uint64(64 - _SLOTS)
+
 
 @lru_cache(2)
 def pieces(path: str) -> Pieces:
@@ -187,13 +219,56 @@ def word_scores(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, model:
     long = ends - starts > _LONG
     for i in np.flatnonzero(long):
         out[i] = _run_score(units[starts[i] : ends[i]], model.chance, vocab)
-    short = np.flatnonzero(~long)
-    for own, rows in _groups(units, starts[short], ends[short]):
+    few = ends - starts <= _SHORT
+    rest = np.flatnonzero(~long & ~few)
+    for own, rows in _groups(units, starts[rest], ends[rest]):
         ring = min(vocab.longest, rows.shape[1])
         state = np.zeros((len(own), 1, ring, len(model.langs)))
         state[:, 0, -1] = 1
         state, scale = _advance(state, _lattice(rows, vocab), model.chance)
-        out[short[own]] = _log(state[:, 0, (rows.shape[1] - 1) % ring]) + scale
+        out[rest[own]] = _log(state[:, 0, (rows.shape[1] - 1) % ring]) + scale
+    short = np.flatnonzero(few)
+    short = short[np.argsort(starts[short] - ends[short], kind="stable")]  # longest first
+    part = np.cumsum(ends[short] - starts[short]) // _UNITS
+    sums, lifted = prefix_sums(units), model.chance * (_LIFT ** vocab.lengths)[:, None]
+    for own in np.split(short, np.flatnonzero(np.diff(part)) + 1) if len(short) else ():
+        out[own] = _short_scores(sums, starts[own], ends[own] - starts[own], lifted, vocab)
+    return out
+
+
+def _short_scores(sums: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lifted: np.ndarray, vocab: Pieces) -> np.ndarray:
+    """Log probabilities by (word, language) of short words, longest first, from the prefix sums of their units.
+
+    Probabilities are lifted by a constant a unit, so that products stay in the range of numbers.
+    """
+    most = int(lengths[0])
+    many = np.searchsorted(-lengths, -np.arange(most + 1))  # words of more units than that, which are the first
+    place = np.repeat(np.arange(most), many[:-1])
+    word = np.concatenate([np.arange(n) for n in many[:-1]])
+    edges = []  # by length of a piece: words, numbers, and where those that begin at each place are
+    for k in range(1, min(vocab.longest, most) + 1):
+        at = starts[word] + place
+        has, number, longer = vocab.find_runs(span_sums(sums, at, at + k), k)
+        if k == 1:  # a character that no piece covers stands alone
+            every = np.full(len(word), len(vocab.words))
+            every[has] = number
+            has, number = slice(None), every
+        edges.append((word[has], number, np.searchsorted(place[has], np.arange(most + 1))))
+        longer &= lengths[word] - place > k
+        word, place = word[longer], place[longer]
+    out = np.zeros((len(starts), lifted.shape[1]))
+    state = [np.ones(out.shape)]
+    for j in range(most):
+        _, number, cut = edges[0]
+        new = state[j][: many[j]] * lifted[number[cut[j] : cut[j + 1]]]
+        for k in range(2, min(len(edges), j + 1) + 1):
+            has, number, cut = edges[k - 1]
+            a, b = cut[j + 1 - k], cut[j + 2 - k]
+            if a < b:
+                own = has[a:b]
+                new[own] += state[j + 1 - k].take(own, axis=0) * lifted.take(number[a:b], axis=0)
+        state.append(new)
+        out[many[j + 1] : many[j]] = _log(new[many[j + 1] :]) - (j + 1) * np.log(_LIFT)
     return out
 
 
@@ -317,30 +392,39 @@ class _Scorer:
     """Scores texts block by block; words that it has seen lately are looked up."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model = model
+        self.known, self.scores = np.zeros(0, np.uint64), np.zeros((0, len(model.langs)))  # hashes of words in order
+
+    def _table(self, hashes: np.ndarray, units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Log probabilities by (word, language) of distinct words."""
+        at = np.searchsorted(self.known, hashes)
+        seen = np.append(self.known, np.uint64(0))[at] == hashes
+        seen &= at < len(self.known)
+        out, new = np.empty((len(hashes), len(self.model.langs))), np.flatnonzero(~seen)
+        out[seen] = self.scores[at[seen]]
+        if len(new):
+            out[new] = word_scores(units, starts[new], ends[new], self.model)
+            if len(self.known) + len(new) > _KNOWN:  # the words of this block stay
+                known, scores = hashes, out
+            else:
+                known, scores = np.concatenate([self.known, hashes[new]]), np.concatenate([self.scores, out[new]])
+            order = np.argsort(known)
+            self.known, self.scores = known[order], scores[order]
+        return out
 
     def totals(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For runs of rows: (first row, letters of each, log probabilities by row and language)."""
         import pandas as pd
 
-        m, known = self.model, self.known
+        m = self.model
         for first, n, units, starts, ends, of in _words(texts):
             if not len(starts):
                 yield first, np.zeros(n), np.zeros((n, len(m.langs)))
                 continue
             each, hashes = pd.factorize(hash_spans(units, starts, ends))
-            one = np.unique(each, return_index=True)[1]
-            table = np.zeros((len(hashes), len(m.langs)))
-            keys = hashes.tolist()
-            new = np.array([i for i, h in enumerate(keys) if h not in known], np.int64)
-            if len(new):
-                table[new] = word_scores(units, starts[one[new]], ends[one[new]], m)
-            for i, h in enumerate(keys):
-                if (row := known.get(h)) is not None:
-                    table[i] = row
-            if len(known) > 50_000:
-                known.clear()
-            known.update((keys[i], table[i].copy()) for i in new.tolist())
+            one = np.empty(len(hashes), np.int64)
+            one[each[::-1]] = np.arange(len(each))[::-1]
+            table = self._table(hashes, units, starts[one], ends[one])
             total = np.stack([np.bincount(of, table[each, k], n) for k in range(len(m.langs))], axis=1)
             yield first, np.bincount(of, ends - starts - 1, n), total
 

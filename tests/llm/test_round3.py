@@ -373,3 +373,34 @@ def test_words_are_scored_without_looking_at_every_run(monkeypatch):
     texts, scorer = [" ".join(w[1:] for w in words[k : k + 7]) for k in range(0, 70, 7)], L._Scorer(model)
     both = [np.concatenate([t for _, _, t in scorer.totals(L.pa.array(some))]) for some in (texts[:6], texts[3:], texts)]
     assert np.allclose(np.concatenate([both[0], both[1][3:]]), both[2], rtol=1e-12)
+
+
+def test_a_task_sends_what_its_blocks_share_once():
+    import numpy as np
+
+    from textloom.llm import phrases as P
+
+    keys = [np.arange(10), np.arange(10) * 3]
+    same = list(P._added(((keys, np.full(10, 2)) for _ in range(100)), 25))
+    assert sum(len(n) for _, n in same) == 10 and all((n == 200).all() for _, n in same)  # not once every 25 rows
+    other = list(P._added((([np.arange(10) + 10 * k], np.ones(10, int)) for k in range(100)), 25))
+    assert sorted(np.concatenate([k[0] for k, _ in other])) == list(range(1000)) and max(len(n) for _, n in other) <= 34
+    assert list(P._added(iter([]), 25)) == []
+
+
+def test_a_language_meets_in_few_tasks_however_large_the_input(spark, monkeypatch):
+    from textloom.llm import phrases as P
+
+    monkeypatch.setattr(P, "TASK_WORDS", 1000)
+    most = max(P.TASKS, 2 * spark.sparkContext.defaultParallelism)
+    for blocks in (20, 200):
+        rows = [("abcd"[k % 4], k, 1000) for k in range(4 * blocks)]
+        tasks, dealt = P._dealt(spark.createDataFrame(rows, "lang string, block long, total long"))
+        got = {r.block: r.task for r in dealt.collect()}
+        assert tasks == most and set(got) == set(range(4 * blocks)) and set(got.values()) == set(range(tasks))
+        for k in range(4):
+            assert len({got[b] for b in range(k, 4 * blocks, 4)}) <= tasks / 4 + 2
+    assert P._dealt(spark.createDataFrame([], "lang string, block long, total long"))[0] == 1
+    rows = [(lang, f"{lang} one two three four. " * 20) for lang in "abcd" for _ in range(100)]
+    monkeypatch.setattr(P, "BLOCK_WORDS", 100)
+    assert {tuple(r) for r in P.mine_phrases(spark.createDataFrame(rows, "lang string, text string")).collect()} == brute_phrases(rows)

@@ -8,9 +8,11 @@ phrase that is frequent has frequent parts, so nothing frequent is lost where a
 (left, right, id, n): left and right name the phrase without its last and without its first word, and by them each
 phrase finds the counts of the parts of its cuts, and the phrases that contain it.
 
-Blocks of one language are dealt out together, some 2^22 words a task, and a task adds up their phrases of three words and
-more before it sends them; pairs of words and hashes, which are many and mostly of one block, are sent by block. What shuffles are
-thus distinct pairs to be counted, at most one row a block for a pair however common, and hashes of pairs of three words and more, to be counted before. Only pairs go on whose two parts, and later whose hash, may be
+Blocks are dealt in the order of their languages to a number of tasks that doesn't grow with the input, so that a
+language meets in few of them, and a task adds up its phrases of three words and more, and hashes, before it sends them.
+Pairs of words, which are many and mostly of one block, are sent by block. What shuffles are thus distinct pairs to be
+counted, at most one row a block for a pair however common, then rows of longer phrases, at most one a task for each
+unless a task finds more than it may hold, and hashes of those, to be counted before. Only pairs go on whose two parts, and later whose hash, may be
 frequent by Bloom filters of bounded size, which are asked anew at each level. Filters and hashes only save rows:
 phrases are counted by what they are. Blocks have some 2^21 words; only a piece (words between marks), which may be longer, is never cut.
 """
@@ -33,8 +35,8 @@ from textloom.llm._staging import small, stage
 
 #: Words of a block, bytes of text worked on at a time, and words of all blocks begun (one a language) before they are written.
 BLOCK_WORDS, SLICE, OPEN_WORDS = 1 << 21, 1 << 20, 1 << 22
-#: Words of a language's blocks that are dealt to one task, in expectation, and distinct phrases that a task holds before it sends them.
-TASK_WORDS, HELD = 1 << 22, 1 << 19
+#: Tasks that blocks are dealt to (or twice the cores, if that is more), the fewest words of one, and rows that a task holds before it adds them up.
+TASKS, TASK_WORDS, HELD = 12, 1 << 19, 1 << 19
 #: Pairs of a block that are worked on, and sent, at a time.
 ROWS = 1 << 16
 #: Parts of a language whose best phrases are found apart before they meet.
@@ -150,21 +152,27 @@ def _summed(keys: list[np.ndarray], n: np.ndarray | None = None) -> tuple[list[n
 
 
 def _added(counts: Iterator[tuple[list[np.ndarray], np.ndarray]], most: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """The (keys, n) of blocks, those added up that have `most` rows together, in slices of at most ROWS."""
+    """The (keys, n) of blocks, added up whenever `most` rows are held and sent if over half of them are left, in slices of at most ROWS."""
+    held: list[tuple[list[np.ndarray], np.ndarray]] = []
 
-    def sent(held: list[tuple[list[np.ndarray], np.ndarray]]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-        keys, n = held[0] if len(held) == 1 else _summed([np.concatenate(k) for k in zip(*(k for k, _ in held), strict=True)], np.concatenate([n for _, n in held]))
+    def added() -> tuple[list[np.ndarray], np.ndarray]:
+        sums = held[0] if len(held) == 1 else _summed([np.concatenate(k) for k in zip(*(k for k, _ in held), strict=True)], np.concatenate([n for _, n in held]))
         held.clear()
+        return sums
+
+    def sent() -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+        keys, n = added()
         for a in range(0, len(n), ROWS):
             yield [k[a : a + ROWS] for k in keys], n[a : a + ROWS]
 
-    held: list[tuple[list[np.ndarray], np.ndarray]] = []
     for keys, n in counts:
         held.append((keys, n))
         if sum(len(n) for _, n in held) >= most:
-            yield from sent(held)
+            held.append(added())
+            if len(held[0][1]) > most // 2:
+                yield from sent()
     if held:
-        yield from sent(held)
+        yield from sent()
 
 
 def _renamed(blocks: pa.Table, known: pa.Table) -> pa.Table:
@@ -223,11 +231,11 @@ def _places(seq: np.ndarray, frequent: list[Broadcast]) -> tuple[np.ndarray, np.
 
 
 def _count_hashes(frequent: list[Broadcast]):
-    """Of each block, the hashes of phrases whose two parts may be frequent: (h, n)."""
+    """Of a task's blocks, the hashes of phrases whose two parts may be frequent: (h, n)."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (h,), n in _added((_summed([_places(_unpacked(batch, k), frequent)[1].astype(np.int64)]) for batch in batches for k in range(batch.num_rows)), 1):
+        for (h,), n in _added((_summed([_places(_unpacked(batch, k), frequent)[1].astype(np.int64)]) for batch in batches for k in range(batch.num_rows)), HELD):
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
 
     return run
@@ -266,6 +274,15 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(before), "task").select((F.col("base") + F.col("at").bitwiseAND((1 << 33) - 1) + 1).alias("id"), *(c for c in rows.columns if c not in ("at", "task")))
 
 
+def _dealt(blocks: DataFrame) -> tuple[int, DataFrame]:
+    """(the number of tasks, the task of each block): equal shares of all words, in the order of languages."""
+    whole = max(1, blocks.agg(F.sum("total")).first()[0] or 0)
+    tasks = min(max(TASKS, 2 * blocks.sparkSession.sparkContext.defaultParallelism), -(-whole // TASK_WORDS))
+    before = F.coalesce(F.sum("total").over(Window.orderBy("lang", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row a block of some 2^21 words, in one task
+    return tasks, small(stage(blocks.select("lang", "block", "total").select("block", F.floor(before * tasks / whole).cast("int").alias("task")), "dealt"))
+
+
 def mine_phrases(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", longest: int = 4, least: int = 30, overlap: int = 80, top: int = 2000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first `top` phrases of 2 to `longest` words.
 
@@ -290,8 +307,8 @@ def mine_phrases(docs: DataFrame, text_column: str = "text", lang_column: str =
     known = known.select(F.col("block").alias("of"), (F.col("at") + 1).cast("long").alias("code"), F.col("w1").alias("id"))
     named = blocks.select("block", "lang", "size", "seq").groupBy("block").cogroup(known.groupBy("of")).applyInArrow(_renamed, _NAMED_DDL)
     # blocks of one language share phrases, which their task adds up before it sends them
-    dealt = named.join(small(totals), "lang").withColumn("task", F.pmod(F.xxhash64("block"), F.ceil(F.col("total") / TASK_WORDS)))
-    blocks = stage(dealt.repartition("lang", "task").select("size", "seq"), "named")
+    tasks, dealt = _dealt(blocks)
+    blocks = stage(named.join(dealt, "block").repartitionById(tasks, "task").select("size", "seq"), "named")
 
     found, frequent, promising, send = [], [], None, docs.sparkSession.sparkContext.broadcast
     for size in range(2, longest + 1):

@@ -404,3 +404,69 @@ def test_a_language_meets_in_few_tasks_however_large_the_input(spark, monkeypatc
     rows = [(lang, f"{lang} one two three four. " * 20) for lang in "abcd" for _ in range(100)]
     monkeypatch.setattr(P, "BLOCK_WORDS", 100)
     assert {tuple(r) for r in P.mine_phrases(spark.createDataFrame(rows, "lang string, text string")).collect()} == brute_phrases(rows)
+
+
+def test_parts_of_a_block_end_where_pieces_do():
+    import numpy as np
+
+    from textloom.llm import phrases as P
+
+    rng = random.Random(8)
+    for most in (1, 5, 40, 10_000):
+        seq = np.array([x for _ in range(60) for x in [*range(1, rng.choice([2, 4, 9, 90])), 0]], np.int32)
+        parts = P._parts(seq, most)
+        assert np.array_equal(np.concatenate(parts), seq) and all(p[-1] == 0 for p in parts)
+        assert all(len(p) <= most or (p[:-1] > 0).all() for p in parts)  # only a single piece is longer
+    assert P._parts(np.zeros(0, np.int32), 5) == [] and len(P._parts(np.arange(1, 50, dtype=np.int32), 5)) == 1
+
+
+def test_phrases_hold_little_at_a_time(spark, monkeypatch):
+    import textloom.llm._bloom as B
+    from textloom.llm import phrases as P
+
+    chained, before_shuffles = [], []
+    large = [spark.sparkContext.accumulator(0) for _ in range(3)]
+    batch, part = getattr(P, "BATCH", 4), 60
+
+    def observed(make):
+        def made(*args):
+            f = make(*args)
+
+            def run(batches):
+                def seen():
+                    for b in batches:
+                        large[0].add(1)
+                        large[1].add(b.num_rows > batch)
+                        large[2].add(sum(n > part for n in b.column("size").to_pylist()))
+                        yield b
+
+                yield from f(seen())
+
+            return run
+
+        return made
+
+    def staged(df, label, *args, stage=P.stage, **kw):
+        if label in ("frequent", "promising"):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            before_shuffles.append("HashAggregate" in plan[plan.rindex("Exchange") :])
+        return stage(df, label, *args, **kw)
+
+    def mapped(self, *args, f=type(spark.range(1)).mapInArrow, **kw):
+        chained.append(self._jdf.queryExecution().optimizedPlan().toString().split("\n")[0].startswith("MapInArrow"))
+        return f(self, *args, **kw)
+
+    for name in ("_count_phrases", "_count_hashes"):
+        monkeypatch.setattr(P, name, observed(getattr(P, name)))
+    monkeypatch.setattr(P, "stage", staged)
+    monkeypatch.setattr(P, "PART", part, raising=False)
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", mapped)
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    session = [spark.conf.get(n) for n in names]
+    rows = [(lang, f"{lang} one two three four, of the five. " * 20) for lang in ("en", "de") for _ in range(100)]
+    got = {tuple(r) for r in P.mine_phrases(spark.createDataFrame(rows, "lang string, text string")).collect()}
+    assert got == brute_phrases(rows) and [spark.conf.get(n) for n in names] == session
+    assert large[0].value > 0 == large[1].value == large[2].value  # neither a whole block nor all of a task's rows at once
+    assert chained and not any(chained)  # one Python process a task, not two
+    assert len(before_shuffles) == 5 and not any(before_shuffles)  # tasks have added up: no table in the JVM for it again
+    assert B.build(spark.createDataFrame([(1, 2)], "w1 int, w2 int"), P.filter_bits(1), 1, P._hashes).any()

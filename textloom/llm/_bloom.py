@@ -12,7 +12,7 @@ is as right as before, with more rows to look at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +46,11 @@ def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([mix(h + np.uint64(k * 0x5851F42D4C957F2D)) & np.uint64(bits - 1) for k in range(_PROBES)]).astype(np.int64)
 
 
-def build(hashes: DataFrame, bits: int, least: int) -> np.ndarray:
+def build(hashes: DataFrame, bits: int, least: int, hashed: Callable[[pa.RecordBatch], np.ndarray] | None = None) -> np.ndarray:
     """Bitmap of the positions hit at least once (least=1) or twice (least=2) by the one long column of `hashes`.
 
+    With `hashed`, which gives a batch's hashes, the table may have any columns; thus no second Python process works beside.
+
     The distinct probes of one hash count once each, so a value that occurs once marks no position as hit twice
     by itself. Nulls are skipped. The result has bits / 8 bytes.
     """
@@ -65,7 +67,7 @@ def build(hashes: DataFrame, bits: int, least: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part[~twice].astype("<u4").tobytes()], pa.binary()), pa.array([part[twice].astype("<u4").tobytes()], pa.binary())], ["segment", "once", "twice"])
 
         for b in batches:
-            h = b.column(0).drop_null().to_numpy(zero_copy_only=False)
+            h = b.column(0).drop_null().to_numpy(zero_copy_only=False) if hashed is None else hashed(b)
             p = positions(h, bits)
             p[1, p[1] == p[0]] = -1
             held.append(p[p >= 0])

@@ -22,10 +22,10 @@ def staging_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/textloom-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write the rows to the shared folder as Parquet and return the table read back."""
+def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write the rows to the shared folder as Parquet, with the writer's options, and return the table read back."""
     path = staging_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

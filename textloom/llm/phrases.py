@@ -9,24 +9,27 @@ phrase that is frequent has frequent parts, so nothing frequent is lost where a
 phrase finds the counts of the parts of its cuts, and the phrases that contain it.
 
 Blocks are dealt in the order of their languages to a number of tasks that doesn't grow with the input, so that a
-language meets in few of them, and a task adds up its phrases of three words and more, and hashes, before it sends them.
-Pairs of words, which are many and mostly of one block, are sent by block. What shuffles are thus distinct pairs to be
-counted, at most one row a block for a pair however common, then rows of longer phrases, at most one a task for each
-unless a task finds more than it may hold, and hashes of those, to be counted before. Only pairs go on whose two parts, and later whose hash, may be
+language meets in few of them, and a task adds up its phrases and hashes, as many as it may hold, before it sends them.
+What shuffles are thus distinct pairs to be counted, which are many, mostly of a few parts and sent when a task holds
+2^20, then rows of longer phrases, at most one a task for each unless a task finds more than it may hold, and hashes of
+those, to be counted before. Only pairs go on whose two parts, and later whose hash, may be
 frequent by Bloom filters of bounded size, which are asked anew at each level. Filters and hashes only save rows:
-phrases are counted by what they are. Blocks have some 2^21 words; only a piece (words between marks), which may be longer, is never cut.
+phrases are counted by what they are. Blocks have some 2^21 words and are handed on in parts of some 2^18, so that no
+process holds more than that at a time; only a piece (words between marks), which may be longer, is never cut.
+As tasks have added up, Spark doesn't do so again before the shuffle, where its tables took an executor's memory.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm._arrays import lean, mix
@@ -35,7 +38,11 @@ from textloom.llm._staging import small, stage
 
 #: Words of a block, bytes of text worked on at a time, and words of all blocks begun (one a language) before they are written.
 BLOCK_WORDS, SLICE, OPEN_WORDS = 1 << 21, 1 << 20, 1 << 22
-#: Tasks that blocks are dealt to (or twice the cores, if that is more), the fewest words of one, and rows that a task holds before it adds them up.
+#: Words of a part of a block, once its words have ids, and parts that are read and sent to Python at a time.
+PART, BATCH = 1 << 18, 4
+#: Parquet looks at the size of its pages and row groups after each row, not after 100, as a row has up to some megabytes.
+_LARGE = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1"}
+#: Tasks that blocks are dealt to (or twice the cores, if that is more), the fewest words of one, and rows that a task holds before it adds them up (of pairs twice as many).
 TASKS, TASK_WORDS, HELD = 12, 1 << 19, 1 << 19
 #: Pairs of a block that are worked on, and sent, at a time.
 ROWS = 1 << 16
@@ -120,6 +127,18 @@ def _packed(seq: np.ndarray) -> tuple[pa.Array, pa.Array]:
     return pa.array([len(seq)], pa.int32()), pa.array([pa.compress(seq.tobytes(), codec="zstd", asbytes=True)], pa.binary())
 
 
+def _parts(seq: np.ndarray, most: int) -> list[np.ndarray]:
+    """The sequence in parts of at most `most` numbers that end where a piece does; a longer piece is a part of its own."""
+    ends = np.append(np.flatnonzero(seq == 0) + 1, len(seq))
+    parts, at = [], 0
+    while at < len(seq):
+        k = np.searchsorted(ends, at + most, "right")
+        cut = int(ends[k - 1]) if k and ends[k - 1] > at else int(ends[k])
+        parts.append(seq[at:cut])
+        at = cut
+    return parts
+
+
 def _unpacked(rows: pa.RecordBatch | pa.Table, k: int = 0) -> np.ndarray:
     size = rows.column("size")[k].as_py()
     return np.frombuffer(pa.decompress(rows.column("seq")[k].as_buffer(), 4 * size, codec="zstd"), np.int32)
@@ -175,16 +194,22 @@ def _added(counts: Iterator[tuple[list[np.ndarray], np.ndarray]], most: int) ->
         yield from sent()
 
 
-def _renamed(blocks: pa.Table, known: pa.Table) -> pa.Table:
-    """A block's sequence with the numbers of known words replaced by their ids, and 0 for the others."""
-    if not blocks.num_rows or not known.num_rows:
-        return _NAMED.empty_table()
-    seq = _unpacked(blocks)
-    ids = np.zeros(max(int(seq.max(initial=0)), int(known.column("code").to_numpy().max())) + 1, np.int32)
-    ids[known.column("code").to_numpy()] = known.column("id").to_numpy()
-    out = ids[seq]
-    out = out[(out > 0) | np.concatenate(([False], out[:-1] > 0))]  # one 0 is as good as many
-    return pa.Table.from_arrays([blocks.column("block"), blocks.column("lang"), *_packed(out)], schema=_NAMED)
+def _renamed(part: int):
+    """A block's sequence, in parts, with the numbers of known words replaced by their ids, and 0 for the others."""
+
+    def run(blocks: pa.Table, known: pa.Table) -> pa.Table:
+        if not blocks.num_rows or not known.num_rows:
+            return _NAMED.empty_table()
+        seq = _unpacked(blocks)
+        ids = np.zeros(max(int(seq.max(initial=0)), int(known.column("code").to_numpy().max())) + 1, np.int32)
+        ids[known.column("code").to_numpy()] = known.column("id").to_numpy()
+        out = ids[seq]
+        out = out[(out > 0) | np.concatenate(([False], out[:-1] > 0))]  # one 0 is as good as many
+        block, lang = blocks.column("block")[0].as_py(), blocks.column("lang")[0].as_py()
+        rows = [pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([lang], pa.string()), *_packed(p)], schema=_NAMED) for p in _parts(out, part)]
+        return pa.Table.from_batches(rows, _NAMED)
+
+    return run
 
 
 def _hash2(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -196,14 +221,13 @@ def _pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return mix(mix(left) + right)
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashes(batch: pa.RecordBatch) -> np.ndarray:
     """Hashes of phrases, whose words are the columns, as _places() has them."""
-    for batch in batches:
-        words = [c.to_numpy() for c in batch.columns]
-        h = [_hash2(x, y) for x, y in pairwise(words)]
-        while len(h) > 1:
-            h = [_pair_hash(x, y) for x, y in pairwise(h)]
-        yield pa.RecordBatch.from_arrays([pa.array(h[0].astype(np.int64))], ["h"])
+    words = [c.to_numpy() for c in batch.columns]
+    h = [_hash2(x, y) for x, y in pairwise(words)]
+    while len(h) > 1:
+        h = [_pair_hash(x, y) for x, y in pairwise(h)]
+    return h[0]
 
 
 def _some(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -255,7 +279,7 @@ def _count_phrases(size: int, frequent: list[Broadcast], promising: Broadcast |
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, n in _added((counted(_unpacked(batch, k)) for batch in batches for k in range(batch.num_rows)), HELD if size > 2 else 1):
+        for keys, n in _added((counted(_unpacked(batch, k)) for batch in batches for k in range(batch.num_rows)), HELD if size > 2 else 2 * HELD):
             yield pa.RecordBatch.from_arrays([*map(pa.array, _words_of(keys, size)), pa.array(n.astype(np.int64))], names)
 
     return run
@@ -266,6 +290,20 @@ def _ids(first: int, last: int) -> list[str]:
     return [f"w{k}" for k in range(first, last + 1)]
 
 
+@contextmanager
+def _few_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run meanwhile read and send `rows` rows at a time, as theirs are large; what the session had is set again."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name in names:
+            spark.conf.set(name, str(rows))
+        yield
+    finally:
+        for name in names:
+            spark.conf.set(name, before[name])
+
+
 def _numbered(rows: DataFrame) -> DataFrame:
     """The rows with a gapless number from 1 as id."""
     rows = stage(rows.select(F.monotonically_increasing_id().alias("at"), *rows.columns), "unnumbered").withColumn("task", F.shiftright("at", 33))
@@ -296,7 +334,7 @@ def mine_phrases(docs: DataFrame, text_column: str = "text", lang_column: str =
     if not 2 <= longest <= 16 or least < 1 or not 0 < overlap <= 100:
         raise ValueError("2 to 16 words, at least one occurrence, and an overlap of 1 to 100 percent")
     texts = docs.select(F.coalesce(F.col(f"`{lang_column}`"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).cast("binary").alias("text"))
-    blocks = stage(texts.mapInArrow(_words(BLOCK_WORDS, OPEN_WORDS), _WORDS), "words")
+    blocks = stage(texts.mapInArrow(_words(BLOCK_WORDS, OPEN_WORDS), _WORDS), "words", **_LARGE)
     totals = stage(blocks.groupBy("lang").agg(F.sum("total").alias("total")), "totals")
     counted = blocks.select("lang", F.inline(F.arrays_zip("word", "n"))).groupBy("lang", "word").agg(F.sum("n").alias("a"))
     none = F.array().cast("array<long>")
@@ -305,17 +343,18 @@ def mine_phrases(docs: DataFrame, text_column: str = "text", lang_column: str =
         raise ValueError("2^31 frequent words or more")
     known = blocks.select("block", "lang", F.posexplode("word").alias("at", "phrase")).join(names.select("lang", "phrase", "w1"), ["lang", "phrase"])
     known = known.select(F.col("block").alias("of"), (F.col("at") + 1).cast("long").alias("code"), F.col("w1").alias("id"))
-    named = blocks.select("block", "lang", "size", "seq").groupBy("block").cogroup(known.groupBy("of")).applyInArrow(_renamed, _NAMED_DDL)
+    named = blocks.select("block", "lang", "size", "seq").groupBy("block").cogroup(known.groupBy("of")).applyInArrow(_renamed(PART), _NAMED_DDL)
     # blocks of one language share phrases, which their task adds up before it sends them
     tasks, dealt = _dealt(blocks)
-    blocks = stage(named.join(dealt, "block").repartitionById(tasks, "task").select("size", "seq"), "named")
+    blocks = stage(named.join(dealt, "block").repartitionById(tasks, "task").select("size", "seq"), "named", compression="none", **_LARGE)
 
     found, frequent, promising, send = [], [], None, docs.sparkSession.sparkContext.broadcast
     for size in range(2, longest + 1):
         words = _ids(1, size)
         counts = blocks.mapInArrow(_count_phrases(size, list(frequent), promising), ", ".join(f"{w} int" for w in words) + ", n long")
-        phrases = counts.groupBy(*words).agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
-        phrases = stage(phrases.withColumn("id", F.monotonically_increasing_id()), "frequent")
+        phrases = counts.repartition(*words).groupBy(*words).agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+        with _few_rows(docs.sparkSession, BATCH):
+            phrases = stage(phrases.withColumn("id", F.monotonically_increasing_id()), "frequent")
         left = names.select(*words[:-1], F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), F.concat("heads", F.array("a")).alias("heads"))
         right = names.select(*(F.col(w).alias(v) for w, v in zip(words[:-1], words[1:], strict=True)), F.col("id").alias("right"), "last", F.concat("tails", F.array("a")).alias("tails"))
         longer = phrases.join(left, words[:-1]).join(right, words[1:])
@@ -324,9 +363,10 @@ def mine_phrases(docs: DataFrame, text_column: str = "text", lang_column: str =
             found.append(_outlasting(names, longer, overlap))
         names = longer
         if size < longest:
-            frequent.append(send(build(phrases.select(*words).mapInArrow(_hashes, "h long"), filter_bits(phrases.count()), 1)))
-            likely = blocks.mapInArrow(_count_hashes(list(frequent)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-            likely = stage(likely.select("h"), "promising")
+            frequent.append(send(build(phrases.select(*words), filter_bits(phrases.count()), 1, _hashes)))
+            likely = blocks.mapInArrow(_count_hashes(list(frequent)), "h long, n long").repartition("h").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+            with _few_rows(docs.sparkSession, BATCH):
+                likely = stage(likely.select("h"), "promising")
             promising = send(build(likely, filter_bits(likely.count()), 1))
     found.append(names)
 
